@@ -62,7 +62,7 @@ def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             nonlocal number, held, size
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             row = pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + number], pa.int64()), pa.array([whole.num_rows], pa.int32()), pa.array([size], pa.int64()), pa.array([_ipc(whole)], pa.binary())],
+                [pa.array([(part << 22) + number], pa.int64()), pa.array([whole.num_rows], pa.int32()), pa.array([size], pa.int64()), pa.array([_ipc(whole)], pa.binary())],
                 ["block", "n_docs", "n_bytes", "payload"],
             )
             number, held, size = number + 1, [], 0

@@ -1,0 +1,39 @@
+"""Connected components of a distributed list of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import materialize
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows (node, root) for every node that has a link; the root is the least node of its component.
+
+    Large-star and small-star steps alternate until the edges form stars.  A
+    node with very many links costs partial aggregates and a join that
+    adaptive execution can split; nothing is gathered on the driver.  Links
+    with a null end and links from a node to itself are ignored.
+    """
+    x, y = F.col(a), F.col(b)
+    edges = links.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
+    edges = materialize(edges, "edges")
+    before = _state(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        edges = materialize(small, "edges")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
