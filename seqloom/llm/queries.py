@@ -6,26 +6,67 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
+from .jaccard_join import jaccard_components
+from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
+from .url_filter import filter_urls, glob, rule
+
+#: The rules of the url filter, by verdict, host and path.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Globs over paths that decide where no rule fits.
+GLOBS = [("block", "/ads/*"), ("block", "*/login*"), ("block", "*/cart*"), ("block", "*.zip"), ("block", "*.exe")]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .jaccard_join import jaccard_components
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    globs = [rule(*x) for x in RULES] + [glob(*x) for x in GLOBS]
+    return filter_urls(_table(spark, sf_dir, "pages"), globs)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
 
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import substring_dedup
-
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_jaccard_join": op7_jaccard_join, "op9_substring_dedup": op9_substring_dedup}
+    return {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_bpe, op7_jaccard_join, op9_substring_dedup)}
+
+
+OP3_SQL = r"""
+with p as (
+  select page_id, case when position('://' in coalesce(url, '')) = 0 then null else substr(url, position('://' in url) + 3) end as rest from pages
+), h as (
+  select page_id, coalesce(regexp_extract(rest, '^[^/?#]*'), '') as raw, coalesce(rest, '') as rest from p
+), u as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h
+), r(verdict, rhost, rpath) as (values ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')),
+f as (
+  select page_id, max_by(rhost || rpath, length(rhost || rpath)) as rule, max_by(verdict, length(rhost || rpath)) as verdict
+  from u join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by page_id
+)
+select u.page_id, host, path, rule, coalesce(verdict,
+  case when path glob '/ads/*' or path glob '*/login*' or path glob '*/cart*' or path glob '*.zip' or path glob '*.exe' then 'block' else 'allow' end) as verdict
+from u left join f using (page_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}
