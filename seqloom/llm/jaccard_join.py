@@ -90,6 +90,29 @@ def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return [(i, edges[i], edges[i + 1]) for i in range(1 << bits) if edges[i + 1] > edges[i]]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as byte planes, those of zeros left out."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width].tobytes()
+
+
+def _numbers(data) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8)[1:].reshape(width, -1)
+    return sum(plane.astype(np.int64) << (8 * i) for i, plane in enumerate(planes))
+
+
+def _cells(feature: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set its features counted by their first byte, up to 255.
+
+    Two sets differ in at least as many features as the sum over all cells of
+    the counts' differences.
+    """
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n), np.diff(offsets)) * CELLS + (feature >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
     if len(a):
         both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) < 3 else _unique(a, b)
@@ -108,7 +131,7 @@ def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _stars(table: pa.Table) -> pa.Table:
     """Pairs of the least node and each other node of every signature of one bucket."""
     keys = np.concatenate([decode(x.as_buffer()) for x in table.column("keys")])
-    nodes = np.concatenate([(block << NODE_BITS) + np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for block, x in zip(table.column("block").to_pylist(), table.column("sets"), strict=True)])
+    nodes = np.concatenate([(block << NODE_BITS) + _numbers(x.as_buffer()) for block, x in zip(table.column("block").to_pylist(), table.column("sets"), strict=True)])
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     same = np.zeros(len(keys), bool)
@@ -157,7 +180,7 @@ def _across(table: pa.Table) -> pa.Table:
                 for piece in range(0, len(x), PAIRS):
                     i, j = left[x[piece : piece + PAIRS]], right[y[piece : piece + PAIRS]]
                     apart = np.abs(cells[i].astype(np.int16) - cells[j]).sum(axis=1, dtype=np.int64)
-                    near = apart * 9 <= sizes[i] + sizes[j]
+                    near = apart * (DENOMINATOR + NUMERATOR) <= (sizes[i] + sizes[j]) * (DENOMINATOR - NUMERATOR)
                     found_a.append(nodes[i[near]])
                     found_b.append(nodes[j[near]])
     none = np.zeros(0, np.int64)
@@ -207,17 +230,44 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 _, rows = distinct_sets(feature, offsets)
                 keys, sets = signatures(*_subset(feature, offsets, rows))
                 order = np.argsort(keys, kind="stable")
-                keys, sets = keys[order], sets[order].astype(np.uint32)
+                keys, sets = keys[order], sets[order]
                 rows = _cut(keys, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([encode(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([sets[a:b].tobytes() for _, a, b in rows], pa.binary())],
+                    [pa.array([i for i, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([encode(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([_planes(sets[a:b]) for _, a, b in rows], pa.binary())],
                     ["bucket", "block", "keys", "sets"],
                 )
 
     sent = blocks.select("block", "payload").mapInArrow(send, "bucket int, block long, keys binary, sets binary")
     pairs = materialize(sent.groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct(), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                feature, offsets = shingle_sets(unpacked(payload.as_buffer()).column(1), n)
+                _, rows = distinct_sets(feature, offsets)
+                feature, offsets = _subset(feature, offsets, rows)
+                node = (block << NODE_BITS) + np.arange(len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in _cells(feature, offsets)], pa.binary())], ["node", "n", "cells"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in part.column(i)]).astype(np.int16) for i in (3, 5))
+                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+                keep.append(apart * (DENOMINATOR + NUMERATOR) <= (np.array(part.column(2)) + np.array(part.column(4))) * (DENOMINATOR - NUMERATOR))
+            keep = pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    # most pairs share a passage only: their histograms rule them out, and their whole sets stay where they are
+    sketches = blocks.select("block", "payload").mapInArrow(sketch, "node long, n long, cells binary")
+    side = lambda node, i: sketches.select(F.col("node").alias(node), F.col("n").alias(f"n{i}"), F.col("cells").alias(f"c{i}"))
+    compared = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    compared = compared.where(F.least("n1", "n2") * DENOMINATOR >= F.greatest("n1", "n2") * NUMERATOR)
+    likely = materialize(compared.select("a", "b", "n1", "c1", "n2", "c2").mapInArrow(near, "a long, b long"), "likely")
+
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = wanted.groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list((F.col("node") % (1 << NODE_BITS)).cast("int")).alias("sets"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +286,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = materialize(held.mapInArrow(members, f"id {id_type}, n_shingles long, node long, features binary"), "members")
     sets = held.where("features is not null").select("node", "features")
 
-    links = materialize(_linked(sets, pairs), "links")
+    links = materialize(_linked(sets, likely), "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     # groups of one signature that lie in several components
@@ -258,9 +308,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     sizes = np.array([len(x) for x in each], np.int64)
                     offsets = np.concatenate([[0], np.cumsum(sizes)])
                     feature = np.concatenate(each)
-                    owner = np.repeat(np.arange(len(each)), sizes)
-                    cells = np.bincount(owner * CELLS + (feature >> np.uint64(56)).astype(np.int64), minlength=len(each) * CELLS)
-                    cells = np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)
+                    cells = _cells(feature, offsets)
                     node, root = np.array(part.column(0)), np.array(part.column(1))
                     keys, which = signatures(feature, offsets)
                     order = np.argsort(keys, kind="stable")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .toxicity import score_toxicity, train
 from .url_filter import filter_urls, glob, rule
 
 #: The rules of the url filter, by verdict, host and path.
@@ -26,6 +29,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     globs = [rule(*x) for x in RULES] + [glob(*x) for x in GLOBS]
     return filter_urls(_table(spark, sf_dir, "pages"), globs)
@@ -41,12 +48,20 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train(docs, labels.where(~held_out), "doc_id", "text")
+    scored = score_toxicity(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_url_filter, op5_bpe, op7_jaccard_join, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_url_filter, op5_bpe, op7_jaccard_join, op8_toxicity, op9_substring_dedup)}
 
 
 OP3_SQL = r"""

@@ -41,6 +41,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)
 
 
