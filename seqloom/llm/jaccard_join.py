@@ -2,10 +2,10 @@
 
 Candidates come from PartEnum signatures (see ``partenum``), so no link
 between different texts is lost.  Signatures go to buckets as packed arrays.
-In each group of sets with one signature, the least set is compared with the
-others; only in groups that this leaves in several components are further
-pairs compared, and among those only pairs whose feature histograms allow the
-threshold.  Every link is verified on the whole sets.
+In each group of sets with one signature, the least set is paired with the
+others; only where this leaves several components are further pairs compared.
+Histograms of the features rule pairs out without reading the sets; every
+link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .wordhash import mix, run_hashes, word_hashes, words
 
 NODE_BITS = 20
 CELLS = 256
-PAIRS = 200_000
+TILE = 2048
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BUCKET_KEYS = 1_000_000
@@ -148,41 +148,24 @@ def _stars(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of nodes with a common signature, in different components, whose histograms allow a link."""
-    nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("nodes")])
-    roots = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("roots")])
-    cells = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, CELLS) for x in table.column("cells")])
-    sizes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sizes")])
-    entry = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table.column("entry")])
-    base = np.repeat(np.cumsum([0, *(len(x.as_buffer()) // 8 for x in table.column("nodes"))])[:-1], [len(x.as_buffer()) // 4 for x in table.column("entry")])
-    entry = entry + base
-    keys = np.concatenate([decode(x.as_buffer()) for x in table.column("keys")])
-    order = np.lexsort((roots[entry], keys))
-    keys, entry = keys[order], entry[order]
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    end = np.append(start[1:], len(keys))
-    first, last = roots[entry[start]], roots[entry[end - 1]]
-    seen: set[bytes] = set()
+    """Pairs of nodes of one tile, in different components, whose sizes and histograms allow a link."""
+    node, root, size = (np.array(table.column(c)) for c in ("node", "root", "n"))
+    cells = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("cells")]).astype(np.int16)
+    side = np.array(table.column("side"))
+    same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+    left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     found_a, found_b = [], []
-    for lo, hi in zip(start[first != last], end[first != last], strict=True):
-        own = np.sort(entry[lo:hi])
-        mark = own.tobytes() if len(own) < 4096 else b""
-        if mark and mark in seen:  # another signature of the same sets
-            continue
-        seen.add(mark)
-        for at in range(0, len(own), 256):
-            left = own[at : at + 256]
-            for to in range(at, len(own), 1024):
-                right = own[to : to + 1024]
-                ok = (roots[left][:, None] != roots[right][None]) & (left[:, None] < right[None])
-                ok &= np.minimum(sizes[left][:, None], sizes[right][None]) * DENOMINATOR >= np.maximum(sizes[left][:, None], sizes[right][None]) * NUMERATOR
-                x, y = np.nonzero(ok)
-                for piece in range(0, len(x), PAIRS):
-                    i, j = left[x[piece : piece + PAIRS]], right[y[piece : piece + PAIRS]]
-                    apart = np.abs(cells[i].astype(np.int16) - cells[j]).sum(axis=1, dtype=np.int64)
-                    near = apart * (DENOMINATOR + NUMERATOR) <= (sizes[i] + sizes[j]) * (DENOMINATOR - NUMERATOR)
-                    found_a.append(nodes[i[near]])
-                    found_b.append(nodes[j[near]])
+    for at in range(0, len(left), 64):
+        i = left[at : at + 64]
+        ok = (root[i][:, None] != root[right][None]) & ((node[i][:, None] < node[right][None]) | (not same))
+        ok &= np.minimum(size[i][:, None], size[right][None]) * DENOMINATOR >= np.maximum(size[i][:, None], size[right][None]) * NUMERATOR
+        x, y = np.nonzero(ok)
+        for piece in range(0, len(x), 8192):
+            u, v = i[x[piece : piece + 8192]], right[y[piece : piece + 8192]]
+            apart = np.abs(cells[u] - cells[v]).sum(axis=1, dtype=np.int64)
+            near = apart * (DENOMINATOR + NUMERATOR) <= (size[u] + size[v]) * (DENOMINATOR - NUMERATOR)
+            found_a.append(node[u[near]])
+            found_b.append(node[v[near]])
     none = np.zeros(0, np.int64)
     a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
     return _pairs(np.minimum(a, b), np.maximum(a, b))
@@ -267,9 +250,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared = compared.where(F.least("n1", "n2") * DENOMINATOR >= F.greatest("n1", "n2") * NUMERATOR)
     likely = materialize(compared.select("a", "b", "n1", "c1", "n2", "c2").mapInArrow(near, "a long, b long"), "likely")
 
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = wanted.groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list((F.col("node") % (1 << NODE_BITS)).cast("int")).alias("sets"))
-
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload, sets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -282,48 +262,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 node = pa.array((block << NODE_BITS) + number, pa.int64(), mask=number < 0)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets), pa.int64()), node, pa.array(data, pa.binary())], ["id", "n_shingles", "node", "features"])
 
-    held = blocks.select("block", "payload").join(wanted, "block", "left").select("block", "payload", "sets")
-    held = materialize(held.mapInArrow(members, f"id {id_type}, n_shingles long, node long, features binary"), "members")
-    sets = held.where("features is not null").select("node", "features")
+    def with_sets(wanted: DataFrame, how: str) -> DataFrame:
+        """The documents of all blocks, or of those with a wanted node; wanted nodes with their features."""
+        wanted = wanted.groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list((F.col("node") % (1 << NODE_BITS)).cast("int")).alias("sets"))
+        found = blocks.select("block", "payload").join(wanted, "block", how).select("block", "payload", "sets")
+        return materialize(found.mapInArrow(members, f"id {id_type}, n_shingles long, node long, features binary"), "members")
 
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = with_sets(ends(likely), "left")
+    sets = held.where("features is not null").select("node", "features")
     links = materialize(_linked(sets, likely), "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
-    # groups of one signature that lie in several components
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
-    open_ = rooted(rooted(pairs, "a", "ra"), "b", "rb").where("ra != rb").select("a").distinct()
-    hard = pairs.join(open_, "a", "left_semi")
-    hard = materialize(rooted(hard.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "root"), "hard")
-    count = hard.count()
-    if count:
-        hard_bits = _bits(spark, count * 400)
-
-        def resend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    each = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(2)]
-                    sizes = np.array([len(x) for x in each], np.int64)
-                    offsets = np.concatenate([[0], np.cumsum(sizes)])
-                    feature = np.concatenate(each)
-                    cells = _cells(feature, offsets)
-                    node, root = np.array(part.column(0)), np.array(part.column(1))
-                    keys, which = signatures(feature, offsets)
-                    order = np.argsort(keys, kind="stable")
-                    keys, which = keys[order], which[order]
-                    rows = []
-                    for bucket, a, b in _cut(keys, hard_bits):
-                        own, entry = np.unique(which[a:b], return_inverse=True)
-                        rows.append((bucket, encode(keys[a:b]), entry.astype(np.uint32).tobytes(), node[own].tobytes(), root[own].tobytes(), cells[own].tobytes(), sizes[own].tobytes()))
-                    names = ["bucket", "keys", "entry", "nodes", "roots", "cells", "sizes"]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int32() if not i else pa.binary()) for i in range(7)], names)
-
-        again = hard.join(sets, "node").select("node", "root", "features")
-        again = again.mapInArrow(resend, "bucket int, keys binary, entry binary, nodes binary, roots binary, cells binary, sizes binary")
-        more = again.groupBy("bucket").applyInArrow(_across, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(materialize(_linked(sets, materialize(more, "more")), "links"))
+    # Sets with a common signature are all paired with the least of them.  Where the partners of one least set lie in
+    # several components, the partners are compared with each other, in tiles of a bounded number of sets.
+    stars = materialize(rooted(pairs, "b", "root"), "stars")
+    open_ = stars.groupBy("a").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    spread = stars.join(open_.select("a", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "a").withColumnRenamed("b", "node").join(sketches, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("a", "node", "root", "n", "cells", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    more = spread.groupBy("a", "low", "high").applyInArrow(_across, "a long, b long").distinct()
+    more = materialize(more.join(likely, ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        extra = with_sets(ends(more).join(sets, "node", "left_anti"), "inner").where("features is not null").select("node", "features")
+        links = links.unionByName(materialize(_linked(sets.unionByName(extra), more), "links"))
         roots = materialize(components(links, "a", "b"), "roots")
 
     held = rooted(held.select("id", "n_shingles", "node"), "node", "root")
