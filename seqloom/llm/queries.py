@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .chat_format import format_chats
+from .decontaminate import find_leaks
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
+from .line_dedup import line_dedup
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity, train
@@ -38,12 +41,20 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), globs)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -60,8 +71,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_url_filter, op5_bpe, op7_jaccard_join, op8_toxicity, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_url_filter, op4_decontaminate, op5_bpe, op6_chat_format, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
 
 
 OP3_SQL = r"""
@@ -83,5 +98,38 @@ from u left join f using (page_id)
 """
 
 
+OP6_SQL = r"""
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as place, role, text from conversations
+), c as (
+  select conv_id, list([role, text] order by place) as said, count(*) as n_turns from t group by conv_id
+), d as (
+  select min(conv_id) as conv_id, said, n_turns, count(*) as n_copies from c group by said, n_turns
+), p as (
+  select distinct said[1:n] as said from (select said, unnest(range(1, n_turns)) as n from d)
+), m as (select * from d where not exists (select 1 from p where p.said = d.said))
+select m.conv_id, (t.place - 1) // 256 as part, m.n_turns, m.n_copies,
+       string_agg('<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10), '' order by t.place) as rendered
+from m join t on m.conv_id = t.conv_id group by 1, 2, 3, 4
+"""
+
+OP10_SQL = r"""
+with l as (
+  select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
+), r as (
+  select *, right(md5(coalesce(lag(md5(line)) over (partition by doc_id order by i), '') || md5(line)), 1) in ('0', '4', '8', 'c') as ends from l
+), k as (
+  select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk from r
+), b as (
+  select doc_id, chunk, string_agg(line, chr(10) order by i) as body, count(*) as n, sum((trim(line) <> '')::int) as solid from k group by doc_id, chunk
+), f as (
+  select *, case when solid > 1 then row_number() over (partition by body, solid > 1 order by doc_id, chunk) else 1 end as nth from b
+)
+select doc_id, coalesce(string_agg(case when nth = 1 then body end, chr(10) order by chunk), '') as text,
+       sum(n)::bigint as n_lines, sum(case when nth > 1 then n else 0 end)::bigint as n_removed
+from f group by doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_line_dedup": OP10_SQL}
