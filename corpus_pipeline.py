@@ -1,8 +1,74 @@
-"""Corpus pipeline (being built)."""
+"""The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
+Parquet and read again as the next stage's docs.  All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.llm.bpe import bpe_round_trip
+from seqloom.llm.decontaminate import find_leaks
+from seqloom.llm.jaccard_join import jaccard_components
+from seqloom.llm.line_dedup import line_dedup
+from seqloom.llm.quality_rules import quality_rules
+from seqloom.llm.scratch import materialize
+
+#: The verdict's cutoffs depend on exact binomial bounds and the chunks of one
+#: stage on the texts of the one before; SQL cannot express the whole.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With row_key: the same for rows with equal doc_id and text, never null."""
+    text = F.coalesce(F.md5("text"), F.lit("null"))
+    return docs.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text)))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or the calibrated rules go."""
+    keyed = _keyed(docs)
+    verdicts = quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col="row_key")
+    return keyed.join(verdicts.where("kept").select("row_key").distinct(), "row_key", "left_semi").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go; so do documents of which nothing but blanks is left by that."""
+    reduced = line_dedup(docs)
+    rest = reduced.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group stays; of equal rows one stays."""
+    keyed = _keyed(docs)
+    groups = jaccard_components(keyed.withColumn("pair", F.struct("doc_id", "row_key")), id_col="pair")
+    chosen = groups.where("pair = component_id").select(F.col("pair.row_key").alias("row_key")).distinct()
+    return keyed.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    keyed = _keyed(docs)
+    leaks = find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key")
+    return keyed.join(materialize(leaks.select("row_key").distinct(), "leaks"), "row_key", "left_anti").select(docs.columns)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the round trip of what is left, as digests."""
+    import public_tokenizers
+
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontamination), ("byte_level_bpe", encoding)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

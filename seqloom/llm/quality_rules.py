@@ -104,8 +104,8 @@ def choose_levels(tally: DataFrame, alpha: float, delta: float) -> DataFrame:
     return tally.groupBy("stratum").applyInArrow(pick, "stratum string, cut int")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, level, cut.
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", key_col: str | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """One row for each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, level, cut, and ``key_col`` if given.
 
     ``labels`` (id, quality 0/1) may hold an id more than once: it is good if
     all its labels say so; null labels are ignored.  Null texts have no words
@@ -122,14 +122,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for i in range(len(LEVELS) - 1, -1, -1):
                 level[np.any([m > cut for m, cut in zip(metrics, LEVELS[i], strict=True)], axis=0)] = i
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c[x], pa.int64()) for x in names), pa.array(failed), pa.array(level)], ["id", "stratum", *names, "base_failed", "level"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c[x], pa.int64()) for x in names), pa.array(failed), pa.array(level)], ["id", "stratum", "key", *names, "base_failed", "level"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int"
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, stratum string, key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int"
     digest = materialize(rows.mapInArrow(measure, schema), "digest")
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality")).where("quality = 1")
     tally = digest.where("not base_failed").join(good, "id", "left_semi").groupBy("stratum", "level").agg(F.count("*").alias("n"))
     cuts = choose_levels(materialize(tally, "tally"), alpha, delta)
     out = digest.join(cuts, "stratum", "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
     kept = ~F.col("base_failed") & (F.col("level") > F.col("cut"))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "level", "cut")
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "level", "cut", *([F.col("key").alias(key_col)] if key_col else []))
