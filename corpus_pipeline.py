@@ -15,7 +15,7 @@ from seqloom.llm.decontaminate import find_leaks
 from seqloom.llm.jaccard_join import jaccard_components
 from seqloom.llm.line_dedup import line_dedup
 from seqloom.llm.quality_rules import quality_rules
-from seqloom.llm.scratch import materialize
+from seqloom.plans.scratch import materialize
 
 #: The verdict's cutoffs depend on exact binomial bounds and the chunks of one
 #: stage on the texts of the one before; SQL cannot express the whole.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, shuffle_partitions
+from ..plans.scratch import materialize, shuffle_partitions
 
 BLOCK_BYTES = 4 << 20
 BUCKET_KEYS = 1_000_000

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import decode, encode, pack, text_buffers, unpacked
-from .components import components
 from .partenum import DENOMINATOR, NUMERATOR, signatures
-from .scratch import materialize, shuffle_partitions
+from ..operators.components import components
+from ..plans.scratch import materialize, shuffle_partitions
 from .wordhash import mix, run_hashes, word_hashes, words
 
 NODE_BITS = 20
 CELLS = 256
-TILE = 2048
+TILE = 512
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BUCKET_KEYS = 1_000_000
@@ -244,7 +244,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     # most pairs share a passage only: their histograms rule them out, and their whole sets stay where they are
-    sketches = blocks.select("block", "payload").mapInArrow(sketch, "node long, n long, cells binary")
+    sketches = materialize(blocks.select("block", "payload").mapInArrow(sketch, "node long, n long, cells binary"), "sketches")
     side = lambda node, i: sketches.select(F.col("node").alias(node), F.col("n").alias(f"n{i}"), F.col("cells").alias(f"c{i}"))
     compared = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
     compared = compared.where(F.least("n1", "n2") * DENOMINATOR >= F.greatest("n1", "n2") * NUMERATOR)
@@ -265,7 +265,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def with_sets(wanted: DataFrame, how: str) -> DataFrame:
         """The documents of all blocks, or of those with a wanted node; wanted nodes with their features."""
         wanted = wanted.groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list((F.col("node") % (1 << NODE_BITS)).cast("int")).alias("sets"))
-        found = blocks.select("block", "payload").join(wanted, "block", how).select("block", "payload", "sets")
+        # the list of nodes grows with the input, so it is joined by sorting at every size
+        found = blocks.select("block", "payload").join(wanted.hint("merge"), "block", how).select("block", "payload", "sets")
         return materialize(found.mapInArrow(members, f"id {id_type}, n_shingles long, node long, features binary"), "members")
 
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
