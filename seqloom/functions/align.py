@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Groups of residues with like properties: the rule of the default scores.
 ALIKE = ("ILMV", "FWY", "KRH", "DE", "NQ", "ST", "AG", "C", "P")
@@ -126,13 +127,13 @@ def implied_prefactor(evalue: Column, bits: Column, query_length: Column, databa
     return evalue * F.pow(F.lit(2.0), bits) / (query_length * database_length)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of both texts, without regard to case."""
     return pd.Series([difflib.SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_coverage(short: pd.Series, long: pd.Series) -> pd.Series:
     """The share of the shorter text that lies in matching blocks with the longer one."""
     out = []
