@@ -23,9 +23,9 @@ def substring_groups(rows: DataFrame, node: str, text: str, links: DataFrame, sh
 
 def collapse_to_wildtype(groups: DataFrame, group: str, node: str, wildtype: str) -> DataFrame:
     """(node, target): groups with exactly one wild type collapse onto it, others stay as they are."""
-    counts = groups.groupBy(group).agg(F.count_if(F.col(wildtype)).alias("n_wt"), F.min(F.when(F.col(wildtype), F.col(node))).alias("wt"))
+    counts = groups.groupBy(group).agg(F.count_if(F.col(wildtype)).alias("_n_wt"), F.min(F.when(F.col(wildtype), F.col(node))).alias("_wt"))
     joined = groups.join(counts, group)
-    return joined.select(node, F.when(F.col("n_wt") == 1, F.col("wt")).otherwise(F.col(node)).alias("target"), F.when(F.col("n_wt") == 1, F.when(F.col(node) == F.col("wt"), "wildtype").otherwise("collapsed")).when(F.col("n_wt") == 0, "no_wildtype").otherwise("ambiguous").alias("status"))
+    return joined.select(node, F.when(F.col("_n_wt") == 1, F.col("_wt")).otherwise(F.col(node)).alias("target"), F.when(F.col("_n_wt") == 1, F.when(F.col(node) == F.col("_wt"), "wildtype").otherwise("collapsed")).when(F.col("_n_wt") == 0, "no_wildtype").otherwise("ambiguous").alias("status"))
 
 
 def collapse_pairs(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

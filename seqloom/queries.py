@@ -461,8 +461,8 @@ def crosstab(spark, d):
     return compare.crosstab(c, p, "node", "root", "prior")
 
 
-@query(PRIOR + """, t as (select root, prior, count(*) as n from c join p using (node) group by 1, 2), s as (select (select sum(n * (n - 1) / 2.0) from t) as "both", (select sum(n) from t) as nodes, (select sum(n * (n - 1) / 2.0) from (select sum(n) as n from t group by root)) as x, (select sum(n * (n - 1) / 2.0) from (select sum(n) as n from t group by prior)) as y)
-select nodes::bigint as nodes, "both"::bigint as "both", (x - "both")::bigint as a_only, (y - "both")::bigint as b_only, round((nodes * (nodes - 1) / 2.0 + 2 * "both" - x - y) / (nodes * (nodes - 1) / 2.0), 6) as rand, round(("both" - x * y / (nodes * (nodes - 1) / 2.0)) / ((x + y) / 2 - x * y / (nodes * (nodes - 1) / 2.0)), 6) as ari from s""")
+@query(PRIOR + """, t as (select root, prior, count(*) as n from c join p using (node) group by 1, 2), pooled as (select (select sum(n * (n - 1) / 2.0) from t) as "both", (select sum(n) from t) as nodes, (select sum(n * (n - 1) / 2.0) from (select sum(n) as n from t group by root)) as x, (select sum(n * (n - 1) / 2.0) from (select sum(n) as n from t group by prior)) as y)
+select nodes::bigint as nodes, "both"::bigint as "both", (x - "both")::bigint as a_only, (y - "both")::bigint as b_only, round((nodes * (nodes - 1) / 2.0 + 2 * "both" - x - y) / (nodes * (nodes - 1) / 2.0), 6) as rand, round(("both" - x * y / (nodes * (nodes - 1) / 2.0)) / ((x + y) / 2 - x * y / (nodes * (nodes - 1) / 2.0)), 6) as ari from pooled""")
 def partition_ari(spark, d):
     c, p = _two(spark, d)
     return compare.agreement(compare.crosstab(c, p, "node", "root", "prior"), "root", "prior")
