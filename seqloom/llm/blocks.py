@@ -50,6 +50,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes in a text column each, or one row if that is longer."""
+    _, offsets = text_buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of ``df``'s rows, written to the shared folder: block, n_docs, n_bytes, payload."""
 

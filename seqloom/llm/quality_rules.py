@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import text_buffers
+from .blocks import pieces, text_buffers
 from ..plans.scratch import materialize
 from .wordhash import SPACE, run_hashes, word_hashes, words
 
@@ -114,7 +114,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for whole in batches for x in pieces(whole, 2)):
             c = base_counts(batch.column(2))
             failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
             metrics = (1000 * c["n_symbols"] // np.maximum(c["word_chars"], 1), 1000 * c["n_dup_lines"] // np.maximum(c["n_lines"], 1), 1000 * c["n_repeat_words"] // np.maximum(c["n_words"], 1))
