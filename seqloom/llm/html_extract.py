@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed once into text blocks and element subtrees, every subtree
-with a hash of its tags and text.  Subtrees are counted per host in Spark, over
-pages with different text, and those that recur on many pages of a host are
+Each page is parsed once into text blocks and the element subtrees around them,
+every subtree with a hash of its tags and text.  Subtrees are counted per host
+in Spark, over pages with different text, and those that recur on many pages of a host are
 deleted.  What the markup itself calls navigation, header, footer, sidebar,
 notice, advert, form, script, style or comment goes in any case.  Where a page
 marks its article, only the article counts as main text, and the article's
@@ -178,7 +178,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     only = any(mains)
                     kept.append([{"text": b, "around": [hashes[i] for i in p if hashes[i]]} for b, p, m in zip(blocks, paths, mains, strict=True) if m or not only])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([x[4] for x in parsed], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))), pa.array([sorted({h for h in x[3] if h}) for x in parsed], pa.list_(pa.int64()))],
+                    [part.column(3), part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([x[4] for x in parsed], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))), pa.array([sorted({h for b in k for h in b["around"]}) for k in kept], pa.list_(pa.int64()))],
                     ["uid", "id", "url", "host", "print", "blocks", "subtrees"],
                 )
 
@@ -187,8 +187,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     sizes = parsed.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     found = parsed.select("host", "print", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     template = found.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    wanted = parsed.select("uid", "host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))).alias("subtree"))
-    gone = wanted.join(template, ["host", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("gone"))
+    wanted = parsed.select("uid", "host", F.explode("subtrees").alias("subtree"))
+    # written first: the size of what is removed decides how the texts are joined
+    gone = materialize(wanted.join(template, ["host", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("gone")), "gone")
     out = parsed.select("uid", "id", "url", "blocks").join(gone, "uid", "left")
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
