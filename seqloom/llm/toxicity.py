@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import text_buffers
+from .blocks import pieces, text_buffers
 from .wordhash import word_hashes, words
 
 #: Labelled training rows per class, and the longest text (bytes) among them, that the driver may gather.
@@ -204,8 +204,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in pieces(batch, 1):
                 number, vocabulary, first, (buf, starts, ends) = _tokens(part.column(1))
                 emission = np.array([own.emission(w) for w in vocabulary] or [0.0])[number] if len(number) else np.zeros(0)
                 odds, _, _ = marginals(emission, first, own.move)
