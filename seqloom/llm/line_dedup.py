@@ -53,20 +53,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chunks = materialize(chunks.where("chunk.many").select("id", "print", "place", F.col("chunk.hash").alias("hash")), "chunks")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "print", "place")
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("keeper")).where("n > 1").select("hash", "keeper")
-    again = chunks.join(repeated, "hash")
+    # what is joined grows with the input, so all joins sort at every size
+    again = chunks.join(repeated.hint("merge"), "hash")
     where = materialize(again.groupBy("id", "print").agg(F.collect_set(F.struct("place", "hash", (at != F.col("keeper")).alias("later"))).alias("found")), "found")
 
     # the bytes of repeated chunks: those of later occurrences are compared with the keeper's
-    on = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["print"] == b["print"])
     w = where.withColumnsRenamed({"id": "wid", "print": "wprint"})
-    small = rows.select("id", "print", "text").dropDuplicates(["id", "print"])
-    held = _lines(small.join(w, F.col("id").eqNullSafe(F.col("wid")) & (F.col("print") == F.col("wprint"))).select("id", "print", "text", "found"))
+    held = _lines(rows.select("id", "print", "text").join(w.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("print") == F.col("wprint"))).select("id", "print", "text", "found"))
     bytes_ = held.select("id", "print", "lines", "spans", F.explode(F.transform("found", lambda f: F.struct(f["place"].alias("place"), f["hash"].alias("hash"), f["later"].alias("later"), _text(F.col("lines"), F.element_at(F.col("spans"), f["place"] + 1)).alias("body")))).alias("f")).select("id", "print", "f.*")
     bytes_ = materialize(bytes_, "bodies")
     first = bytes_.where("not later").select("hash", F.col("body").alias("kept")).dropDuplicates(["hash"])
-    gone = bytes_.where("later").join(first, "hash").where("body = kept")
+    gone = bytes_.where("later").join(first.hint("merge"), "hash").where("body = kept")
     gone = materialize(gone.groupBy("id", "print").agg(F.collect_set("place").alias("gone")), "gone").withColumnsRenamed({"id": "gid", "print": "gprint"})
-    out = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")) & (F.col("print") == F.col("gprint")), "left")
+    out = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gid")) & (F.col("print") == F.col("gprint")), "left")
     # texts that lose nothing are passed on as they are
     touched = _lines(out)
     left = F.filter(F.transform("spans", lambda s, i: F.when(~F.array_contains("gone", i), s)), lambda s: s.isNotNull())
