@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.
+columns of documents.  Lists of kept or dropped rows grow with the input, so
+they are joined by sorting at every size.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the calibrated rules go."""
     keyed = _keyed(docs)
     verdicts = quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col="row_key")
-    return keyed.join(verdicts.where("kept").select("row_key").distinct(), "row_key", "left_semi").select(docs.columns)
+    return keyed.join(verdicts.where("kept").select("row_key").distinct().hint("merge"), "row_key", "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document with the least doc_id of each group stays; of equal rows one stays."""
     keyed = _keyed(docs)
     groups = jaccard_components(keyed.withColumn("pair", F.struct("doc_id", "row_key")), id_col="pair")
-    chosen = groups.where("pair = component_id").select(F.col("pair.row_key").alias("row_key")).distinct()
+    chosen = groups.where("pair = component_id").select(F.col("pair.row_key").alias("row_key")).distinct().hint("merge")
     return keyed.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
 
 
@@ -54,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a passage of the benchmark go."""
     keyed = _keyed(docs)
     leaks = find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key")
-    return keyed.join(materialize(leaks.select("row_key").distinct(), "leaks"), "row_key", "left_anti").select(docs.columns)
+    return keyed.join(materialize(leaks.select("row_key").distinct(), "leaks").hint("merge"), "row_key", "left_anti").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
