@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import accession, align, families, text
-from .operators import cluster, collapse, compare, graph, relate, rules, variants
+from .operators import cluster, collapse, compare, evidence, graph, relate, rules, variants
 from .sources import records, sinks
 from .streaming import events as streaming
 
@@ -558,6 +558,53 @@ def fuzzy_ratio(spark, d):
     return table(spark, d, "part").select("p_partkey", align.fuzzy_ratio("p_name", "p_type").alias("ratio"), align.block_coverage("p_type", "p_name").alias("coverage"))
 
 
+# --- evidence --------------------------------------------------------------------------------------------------------
+
+
+@query("with h as (select l_partkey, l_suppkey, l_discount * 1000 as identity, l_quantity as bits, l_linenumber as q_from, l_linenumber + 5 as q_to, 60 as query_length, l_orderkey from lineitem), r as (select *, row_number() over (partition by l_partkey, l_suppkey order by bits desc, identity desc) as n from h) select l_partkey, l_suppkey, round(max(case when n = 1 then identity end), 1) as identity, max(bits) as bits, round(least(100.0, 100.0 * count(*) * 6 / 60), 1) as coverage from r group by 1, 2")
+def hit_rollup(spark, d):
+    h = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_discount") * 1000).alias("identity"), F.col("l_quantity").alias("bits"), F.col("l_linenumber").alias("q_from"), (F.col("l_linenumber") + 5).alias("q_to"), F.lit(60).alias("query_length"))
+    return evidence.hit_rollup(h, "l_partkey", "l_suppkey")
+
+
+@query("with r as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as pos, o_orderstatus = 'P' as s, o_orderpriority = '1-URGENT' as a, o_orderpriority = '2-HIGH' as t from orders), g as (select o_custkey, min(case when s then pos end) as ps, max(case when a then pos end) as pa, min(case when t then pos end) as pt from r group by 1) select g.o_custkey, case when ps is not null then 'sequence' when pa is not null then 'accession' when pt is not null then 'accession_maintext' else 'none' end as match_kind, r.o_orderkey as paper from g left join r on g.o_custkey = r.o_custkey and r.pos = coalesce(ps, pa, pt)")
+def cited_match(spark, d):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("paper"), F.row_number().over(w).alias("pos"), (F.col("o_orderstatus") == "P").alias("by_sequence"), (F.col("o_orderpriority") == "1-URGENT").alias("by_accession"), (F.col("o_orderpriority") == "2-HIGH").alias("by_text"))
+    return evidence.cited_match(rows, "o_custkey")
+
+
+@query("select o_custkey, coalesce(min(case when refseq then o_orderkey end), min(o_orderkey)) as replacement from (select o_custkey, o_orderkey, o_orderkey % 4 = 0 as refseq from orders where o_orderkey <> o_custkey) group by 1")
+def replacement_pick(spark, d):
+    m = table(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 4 == 0).alias("refseq"), F.col("o_orderkey").alias("ord"))
+    return evidence.replacement(m, "o_custkey", "o_orderkey", "o_custkey", "refseq", "ord")
+
+
+@query("select doc_id, length(text) as len_before, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as len_after, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) - length(text) as delta from documents where upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) <> text")
+def change_audit(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out = evidence.change_audit(docs, docs.withColumn("text", text.letters("text")), "doc_id", "text")
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("len_before", "len_after", "delta")))
+
+
+@query("with a as (select distinct s_nationkey as a, n_regionkey as surname from supplier join nation on s_nationkey = n_nationkey), b as (select distinct c_mktsegment as b, n_regionkey as surname from customer join nation on c_nationkey = n_nationkey) select a, b, count(*) as overlap from a join b using (surname) group by 1, 2")
+def author_overlap(spark, d):
+    authors = table(spark, d, "nation").select(F.col("n_nationkey").alias("paper"), F.col("n_regionkey").alias("surname"))
+    a = table(spark, d, "supplier").select(F.col("s_nationkey").alias("a"), F.col("s_nationkey").alias("paper"))
+    b = table(spark, d, "customer").select(F.col("c_mktsegment").alias("b"), F.col("c_nationkey").alias("paper"))
+    return evidence.author_overlap(a, b, authors, "a", "b", "paper")
+
+
+@query("select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 50 as chunk from orders")
+def request_chunks(spark, d):
+    return evidence.chunked(table(spark, d, "orders").select("o_orderkey"), 50, "o_orderkey")
+
+
+@query("select cast(regexp_extract(c_name, '(\\d+)', 1) as bigint) % 100 as key, count(*) as n, min(c_custkey) as first_id from customer group by 1 having count(*) > 1")
+def number_collisions(spark, d):
+    return evidence.collisions(table(spark, d, "customer"), text.first_number("c_name") % 100, "c_custkey")
+
+
 # --- generic relational coverage -------------------------------------------------------------------------------------
 
 

@@ -190,3 +190,26 @@ def test_steps(tmp_path):
     assert steps.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     with pytest.raises(ValueError):
         steps.the_only([])
+
+
+def test_evidence(spark):
+    from seqloom.operators import evidence
+
+    assert one(spark, evidence.live_protein(F.lit("AA"), F.col("x"), F.lit(None)), " ") is True
+    assert one(spark, evidence.live_protein(F.lit("aa"), F.col("x"), F.lit("")), "dead") is False
+    long = "ACDEFGHIKL" * 7
+    known = F.array(F.lit(long), F.lit("SHORT"))
+    assert one(spark, evidence.sequence_in(F.col("x"), known), long[3:]) is True
+    assert one(spark, evidence.sequence_in(F.col("x"), known), "SHOR") is False
+    assert one(spark, evidence.sequence_in(F.col("x"), known), "") is False
+    assert one(spark, evidence.surnames(F.col("x")), ["Doe J", "doe K", " ", None, "Roe"], "array<string>") == ["doe", "roe"]
+    files = spark.createDataFrame([("p", "supplement", ["A", "B"], None), ("p", "main", ["B"], ["S"]), ("q", "main", None, None)], "paper string, kind string, accessions array<string>, sequences array<string>")
+    got = {r.paper: (r.accessions, r.sequences, r.status) for r in evidence.supplement_index(files, "paper").collect()}
+    assert got == {"p": (["A", "B"], ["S"], "parsed"), "q": ([], [], "unavailable")}
+    proteins = spark.createDataFrame([(1, "R1", "P1", "AA"), (2, "R1", "P9", "AA"), (3, "R1", "P9", "CC"), (4, "R2", "P1", "AA"), (5, None, "P1", "AA")], "k long, record string, protein_id string, sequence string")
+    coding = spark.createDataFrame([("R1", "P1", "AA")], "record string, protein_id string, sequence string")
+    assert {r.k: r.cds_match for r in evidence.coding_match(proteins, coding, "k").collect()} == {1: "by_id", 2: "by_sequence", 3: "mismatch", 4: "no_cds", 5: "unavailable"}
+    pairs = spark.createDataFrame([("ABCDEFGHIJ", "xxABCDEFGHIJyy"), ("ABCDEFGHIJ", "QRSTUVW")], "a string, b string")
+    assert [r.coverage for r in evidence.near_containment(pairs, "a", "b").collect()] == [1.0]
+    tries = spark.createDataFrame([("d", "pdf", True), ("d", "epmc", True), ("d", "file", False)], "doi string, route string, ok boolean")
+    assert evidence.best_attempt(tries, "doi", ["file", "epmc", "efetch", "pdf"]).first().route == "epmc"
