@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, WIDTH, STEP, EDITS = 8, 60, 10, 4
+Q, WIDTH, STEP, EDITS = 8, 48, 4, 3
 #: Items with fewer bytes are no evidence and are not searched.
 LEAST = 24
 BAND = 32
