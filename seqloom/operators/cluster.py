@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..sources.delimited import numbered
 from .graph import partition
 
 
@@ -101,8 +102,8 @@ def seeded(nodes: DataFrame, links: DataFrame, seeds: DataFrame, cover: float =
     every = anchors.select("node", F.col("node").alias("centroid")).withColumn("origin", F.lit("seed")).unionByName(joined.withColumn("origin", F.lit("seed"))).unionByName(new.withColumn("origin", F.lit("denovo")))
     every = materialize(every, "clusters")
     heads = every.where("node = centroid").join(anchors.select("node", F.col("ord").alias("seed_ord")), "node", "left").join(nodes.select("node", "ord"), "node")
-    place = F.row_number().over(Window.orderBy(F.col("origin") == "denovo", F.coalesce("seed_ord", "ord"), "node"))
-    heads = heads.select(F.col("node").alias("centroid"), place.alias("cluster"))
+    heads = numbered(heads.withColumn("_late", F.col("origin") == "denovo").withColumn("_by", F.coalesce("seed_ord", "ord")), "_late", "_by", "node")
+    heads = heads.select(F.col("node").alias("centroid"), (F.col("_ord") + 1).alias("cluster"))
     return every.join(heads, "centroid").select("cluster", "node", F.when(F.col("node") == F.col("centroid"), "centroid").otherwise("member").alias("role"), "origin")
 
 

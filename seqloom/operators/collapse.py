@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_number, stripped
+from ..sources.delimited import numbered
+from .relate import ranked
 
 
 def value_set(x: str, numeric: bool = False) -> Column:
@@ -47,20 +49,22 @@ def upper_median(x: str) -> Column:
 
 
 def upper_median_of(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
-    """The same for large groups: value counts are accumulated, values are never gathered in a row."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("_n").over(w.orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(w)
-    placed = counts.withColumn("_upto", upto).withColumn("_total", total)
-    return placed.where(F.col("_upto") > F.floor(F.col("_total") / 2)).groupBy(*by).agg(F.min(x).alias("upper_median"))
+    """The same for groups of any size: values are ranked over tasks, never gathered in a row."""
+    rows = df.where(F.col(x).isNotNull()).withColumn("_group", F.struct(*by) if by else F.lit(0))
+    counts = rows.groupBy(F.col("_group").alias("_g")).agg(F.floor(F.count("*") / 2).alias("_half"))
+    placed = ranked(rows, "_group", [x]).join(counts, F.col("_group") == F.col("_g"))
+    return placed.where(F.col("_rank") == F.col("_half") + 1).select(*by, F.col(x).alias("upper_median"))
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """Rows that share a key with others: group number by first id, size, and the other ids."""
-    groups = df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id"), F.array_sort(F.collect_list(id_col)).alias("ids")).where("n > 1")
-    numbered = groups.withColumn("gid", F.row_number().over(Window.orderBy("first_id")))
-    return df.join(numbered, key).select(id_col, "gid", "n", F.array_remove("ids", F.col(id_col)).alias("partners"))
+    """(id, gid, n, first_id) of rows that share a key with others; groups are numbered by their first id.
+
+    The other members are those with the same gid: a list of them in each row
+    would grow with the square of the group.
+    """
+    groups = df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.count("*").alias("n"), F.min(id_col).alias("first_id")).where("n > 1")
+    placed = numbered(groups, "first_id", key).withColumn("gid", F.col("_ord") + 1)
+    return df.select(id_col, key).join(placed, key).select(id_col, "gid", "n", "first_id")
 
 
 def histogram(df: DataFrame, size: str) -> DataFrame:

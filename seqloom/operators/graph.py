@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_number
+from ..sources.delimited import numbered
 from .components import components
 
 
@@ -58,13 +59,12 @@ def canonical_order(label: str, node: str) -> Column:
 
 
 def number_components(members: DataFrame, root: str, label: str, node: str) -> DataFrame:
-    """Per component: size, canonical member, id C001... by canonical member, size_rank by size.
-
-    The windows run over one row for each component.
-    """
+    """Per component: size, canonical member, id C001... by canonical member, size_rank by size."""
     comps = members.groupBy(root).agg(F.count("*").alias("size"), F.min(canonical_order(label, node)).alias("canonical"))
-    by_key, by_size = Window.orderBy("canonical"), Window.orderBy(F.col("size").desc(), "canonical")
-    return comps.withColumn("component_id", F.format_string("C%03d", F.row_number().over(by_key))).withColumn("size_rank", F.row_number().over(by_size))
+    by_key = numbered(comps, "canonical", name="_key")
+    placed = numbered(by_key, F.col("size").desc(), F.col("canonical"), name="_size")
+    number = (F.col("_key") + 1).cast("string")
+    return placed.select(root, "size", "canonical", F.concat(F.lit("C"), F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))).alias("component_id"), (F.col("_size") + 1).alias("size_rank"))
 
 
 def label_split(members: DataFrame, label: str, component: str) -> DataFrame:
@@ -99,7 +99,7 @@ def inherit_labels(members: DataFrame, component: str, prior: str) -> DataFrame:
     single = single.withColumn("letter", F.when(letter <= 26, F.char(96 + letter)).otherwise(F.concat(F.lit("z"), letter.cast("string"))))
     single = single.select(component, "size", F.when(F.col("n_components") == 1, "inherited").otherwise("split").alias("kind"), F.when(F.col("n_components") == 1, F.col("label").cast("string")).otherwise(F.concat(F.col("label").cast("string"), F.col("letter"))).alias("name"))
     merged = comps.where(F.size("labels") > 1).select(component, "size", F.lit("merged").alias("kind"), F.concat(F.lit("M"), F.get("labels", F.lit(0)).cast("string")).alias("name"))
-    novel = comps.where(F.size("labels") == 0).select(component, "size", F.lit("novel").alias("kind"), F.concat(F.lit("N"), F.row_number().over(Window.orderBy(component)).cast("string")).alias("name"))
+    novel = numbered(comps.where(F.size("labels") == 0), component).select(component, "size", F.lit("novel").alias("kind"), F.concat(F.lit("N"), (F.col("_ord") + 1).cast("string")).alias("name"))
     return single.unionByName(merged).unionByName(novel)
 
 

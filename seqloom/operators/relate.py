@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..sources.delimited import numbered
 
 
 def ranked(df: DataFrame, key: str, order: list, name: str = "_rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    """The place, from 1, of each row among those of its key.
+
+    Rows are numbered over a range-partitioned sort and each key's first number
+    is taken off, so a key with very many rows is spread over tasks.
+    """
+    placed = numbered(df, key, *order, name="_at")
+    first = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_at").alias("_first"))
+    joined = placed.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", "_key", "_first")
 
 
 def rank_match(left: DataFrame, right: DataFrame, key: str, left_order: list, right_order: list) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import accession, align, families, text
 from .operators import cluster, collapse, compare, evidence, graph, relate, rules, variants
 from .sources import records, sinks
+from .sources.delimited import numbered
 from .streaming import events as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,8 +51,6 @@ def md5_collapse(spark, d):
 @query(f"select 'm' || lpad(cast(row_number() over (order by h) as varchar), 6, '0') as node_id, h as sequence_md5, n from (select md5({LETTERS}) as h, count(*) as n from documents where {LETTERS} <> '' group by 1)")
 def md5_nodes(spark, d):
     groups = table(spark, d, "documents").select(text.sequence_key("text").alias("sequence_md5")).where("sequence_md5 <> ''").groupBy("sequence_md5").agg(F.count("*").alias("n"))
-    from .sources.delimited import numbered
-
     return numbered(groups, "sequence_md5").select(F.concat(F.lit("m"), F.lpad((F.col("_ord") + 1).cast("string"), 6, "0")).alias("node_id"), "sequence_md5", "n")
 
 
@@ -62,8 +61,6 @@ def whitespace_key(spark, d):
 
 @query(r"select c_custkey, cast(regexp_extract(c_name, '(\d+)', 1) as bigint) as num, row_number() over (order by (coalesce(c_mktsegment, '') = ''), c_mktsegment, cast(regexp_extract(c_name, '(\d+)', 1) as bigint), c_custkey) as place from customer")
 def first_number_sort(spark, d):
-    from .sources.delimited import numbered
-
     rows = table(spark, d, "customer").select("c_custkey", text.first_number("c_name").alias("num"), (F.coalesce("c_mktsegment", F.lit("")) == "").alias("blank"), "c_mktsegment")
     return numbered(rows, "blank", "c_mktsegment", "num", "c_custkey").select("c_custkey", "num", (F.col("_ord") + 1).alias("place"))
 
@@ -256,11 +253,10 @@ def distinct_set_agg(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(collapse.value_set("event_type"), ";").alias("types"), F.count("*").alias("n"))
 
 
-@query(f"""with k as (select doc_id, {LETTERS} as l from documents), g as (select l, count(*) as n, min(doc_id) as f from k where l <> '' group by l having count(*) > 1), r as (select *, row_number() over (order by f) as gid from g)
-select doc_id, gid, n, (select string_agg(cast(k2.doc_id as varchar), ',' order by k2.doc_id) from k k2 where k2.l = k.l and k2.doc_id <> k.doc_id) as partners from k join r using (l)""")
+@query(f"with k as (select doc_id, {LETTERS} as l from documents), g as (select l, count(*) as n, min(doc_id) as first_id from k where l <> '' group by l having count(*) > 1), r as (select *, row_number() over (order by first_id) as gid from g) select doc_id, gid, n, first_id from k join r using (l)")
 def dup_groups(spark, d):
     docs = table(spark, d, "documents").select("doc_id", text.sequence_key("text").alias("h"))
-    return collapse.duplicate_groups(docs, "h", "doc_id").select("doc_id", F.col("gid").cast("long").alias("gid"), "n", F.array_join(F.transform("partners", lambda p: p.cast("string")), ",").alias("partners"))
+    return collapse.duplicate_groups(docs, "h", "doc_id")
 
 
 @query("select doc_id, lang, source from (select *, row_number() over (partition by lang, source order by n_chars desc, doc_id) as n from documents) where n = 1")
@@ -420,8 +416,6 @@ def components(spark, d):
 
 @query(COMPONENTS + ", z as (select root, count(*) as size from c group by root) select root, size, 'C' || lpad(cast(row_number() over (order by root) as varchar), 6, '0') as component_id, row_number() over (order by size desc, root) as size_rank from z")
 def component_numbering(spark, d):
-    from .sources.delimited import numbered
-
     sizes = _components(spark, d).groupBy("root").agg(F.count("*").alias("size"))
     by_key = numbered(sizes, "root", name="key_place")
     placed = numbered(by_key, F.col("size").desc(), F.col("root"), name="size_place")

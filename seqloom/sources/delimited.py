@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..plans.scratch import materialize
 
 BOM = "﻿"
 
@@ -108,11 +109,7 @@ def numbered(df: DataFrame, *order, name: str = "_ord") -> DataFrame:
     Rows are range-partitioned and sorted; each partition's offset comes from
     the partitions' sizes.
     """
-    from pyspark.sql import functions as fn
-
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", fn.spark_partition_id()).withColumn("_in", fn.monotonically_increasing_id())
-    from ..plans.scratch import materialize
-
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
     held = materialize(sorted_, "numbered")
     sizes = held.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_least"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_least", "_before")

@@ -213,3 +213,17 @@ def test_evidence(spark):
     assert [r.coverage for r in evidence.near_containment(pairs, "a", "b").collect()] == [1.0]
     tries = spark.createDataFrame([("d", "pdf", True), ("d", "epmc", True), ("d", "file", False)], "doi string, route string, ok boolean")
     assert evidence.best_attempt(tries, "doi", ["file", "epmc", "efetch", "pdf"]).first().route == "epmc"
+
+
+def test_component_numbers(spark):
+    m = spark.createDataFrame([(1, "PL0010", "x"), (1, "PL0002", "y"), (2, "PL0001", "z"), (3, "", "w"), (3, "", "v"), (3, "PL9", "u")], "root long, label string, node string")
+    got = {r.root: (r.component_id, r.size, r.size_rank, r.canonical.node) for r in graph.number_components(m, "root", "label", "node").collect()}
+    assert got == {2: ("C001", 1, 3, "z"), 1: ("C002", 2, 2, "y"), 3: ("C003", 3, 1, "u")}
+
+
+def test_ranks_of_a_hot_key(spark):
+    df = spark.createDataFrame([("k" if i % 3 else "z", 1000 - i) for i in range(600)], "key string, v int")
+    got = relate.ranked(df, "key", ["v"]).collect()
+    for key in "kz":
+        ordered = sorted((r.v, r._rank) for r in got if r.key == key)
+        assert [r for _, r in ordered] == list(range(1, len(ordered) + 1))
