@@ -13,7 +13,7 @@ from .decontaminate import find_leaks
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
-from .quality_rules import quality_rules
+from .quality_rules import ALPHA, DELTA, LEVELS, quality_rules
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity, train
 from .url_filter import filter_urls, glob, rule
@@ -131,5 +131,88 @@ from f group by doc_id
 """
 
 
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, case when text is null then [] else regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') end as ws from documents
+), k as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p, len(ws) as n from w
+), g as (
+  select doc_id, p, n, string_agg(word, ' ') over (partition by doc_id order by p rows between current row and 4 following) as s from k
+), sh as (
+  select distinct doc_id, md5(s) as s from g where p <= greatest(n - 4, 1)
+), size as (
+  select doc_id, count(*) as n from sh group by doc_id
+), pair as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), reach as (
+  select doc_id as node, doc_id as seen from documents union select node, b from reach join link on seen = a
+)
+select node as doc_id, coalesce(n, 0) as n_shingles, min(seen) as component_id from reach left join size on size.doc_id = node group by node, n
+"""
+
+OP9_SQL = r"""
+with w as (
+  select doc_id, case when text is null then [] else regexp_extract_all(text, '[^\x20\x09-\x0D]+') end as ws from documents
+), k as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p, len(ws) as n from w
+), g as (
+  select doc_id, word, p, case when p <= n - 34 then md5(string_agg(word, ' ') over (partition by doc_id order by p rows between current row and 34 following)) end as h from k
+), r as (
+  select doc_id, word, p, h is not null and count(*) over (partition by h) > 1 as again from g
+), c as (
+  select doc_id, word, p, bool_or(again) over (partition by doc_id order by p rows between 34 preceding and current row) as gone from r
+), d as (
+  select doc_id, count(*) as n_words, count_if(gone) as n_removed, coalesce(string_agg(case when not gone then word end, ' ' order by p), '') as kept from c group by doc_id
+)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from documents left join d using (doc_id)
+"""
+
+
+OP1_SQL = r"""
+with w as (
+  select doc_id, coalesce(text, '') as text, coalesce(lang, '') as stratum, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), k as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p, len(ws) as n from w
+), g as (
+  select doc_id, p, case when p <= n - 4 then md5(string_agg(word, ' ') over (partition by doc_id order by p rows between current row and 4 following)) end as h from k
+), r as (
+  select doc_id, p, h is not null and count(*) over (partition by doc_id, h) > 1 as again from g
+), c as (
+  select doc_id, bool_or(again) over (partition by doc_id order by p rows between 4 preceding and current row) as hit from r
+), rep as (
+  select doc_id, count_if(hit) as n_repeat_words from c group by doc_id
+), ln as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
+), b as (
+  select doc_id, stratum, len(ws) as n_words, len(array_to_string(ws, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from w left join ln using (doc_id) left join rep using (doc_id)
+), lev(i, sy, du, re) as (values LADDER), l as (
+  select b.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+         coalesce((select min(i) from lev where 1000 * n_symbols // greatest(word_chars, 1) > sy or 1000 * n_dup_lines // greatest(n_lines, 1) > du or 1000 * n_repeat_words // greatest(n_words, 1) > re), STEPS) as level
+  from b
+), good as (
+  select doc_id from labels where quality is not null group by doc_id having min(quality) = 1
+), t as (
+  select stratum, i, count(*) as n, count_if(level <= i)::bigint as errors from l join good using (doc_id) cross join (select i from lev) where not base_failed group by stratum, i
+), risk as (
+  select DELTA / (greatest(count(distinct stratum), 1) * STEPS) as risk from t
+), f as (
+  select stratum, i, errors <= ALPHA * n and (select sum(exp(lgamma(n + 1) - (case when x = 0 then 0 else lgamma(x + 1) end) - (case when x = n then 0 else lgamma(n - x + 1) end) + x * ln(ALPHA) + (n - x) * ln(1 - ALPHA))) from (select unnest(range(0, errors + 1)) as x)) <= risk as ok from t, risk
+), cut as (
+  select stratum, coalesce(min(case when not ok then i end), STEPS) - 1 as cut from f group by stratum
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and level > coalesce(cut, -1) as kept, stratum, level, coalesce(cut, -1) as cut
+from l left join cut using (stratum)
+"""
+
+
+def _op1_sql() -> str:
+    ladder = ", ".join(str((i, *x)) for i, x in enumerate(LEVELS))
+    return OP1_SQL.replace("LADDER", ladder).replace("STEPS", str(len(LEVELS))).replace("ALPHA", str(ALPHA)).replace("DELTA", str(DELTA))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
