@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, shuffle_partitions
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_KEYS = 1_000_000
 KEYS = "bucket int, block long, n int, keys binary, again binary"
 
