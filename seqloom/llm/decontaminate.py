@@ -24,23 +24,21 @@ from pyspark.sql import functions as F
 Q, WIDTH, STEP, EDITS = 8, 48, 4, 3
 #: Items with fewer bytes are no evidence and are not searched.
 LEAST = 24
-BAND = 32
+BAND = 2 * (EDITS + 1)
 TABLE_BITS = 21
 #: Bytes of benchmark text searched in one pass over the documents.
 SLICE_BYTES = 2 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 256 << 10
 
 
-def normalise(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode().split())
+def normalise(text: str | bytes | None) -> bytes:
+    raw = text if isinstance(text, bytes) else (text or "").encode()
+    return b" ".join((raw.lower() if raw.isascii() else raw.decode().lower().encode()).split())
 
 
 def grams(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place on as one number."""
-    x = buf.astype(np.uint64)
-    for shift in (1, 2, 4):
-        x = x[:-shift] | (x[shift:] << np.uint64(8 * shift)) if len(x) > shift else x[:0]
-    return x
+    """The 8 bytes from each place on as one number: a view of the bytes, not a copy."""
+    return np.ndarray((max(0, len(buf) - Q + 1),), "<u8", buffer=buf.data if len(buf) else b"", strides=(1,))
 
 
 def budget(width: int) -> tuple[int, int]:
@@ -71,12 +69,15 @@ class Index:
         self.item, self.place = item[order], place[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self._slot(self.values)] = True
+        self.starts = [np.array(window_starts(len(t))) for t in self.texts]
         bounds = [budget(min(WIDTH, len(t))) for t in self.texts]
         self.least = min((b for _, b in bounds), default=1)
 
     @staticmethod
     def _slot(values: np.ndarray) -> np.ndarray:
-        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
+        out = values * np.uint64(0x9E3779B97F4A7C15)
+        out >>= np.uint64(64 - TABLE_BITS)
+        return out.view(np.int64)
 
 
 def align(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int]:
@@ -104,13 +105,15 @@ def search(index: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, int
     near = index.table[index._slot(gram)]
     # the bound must be met within the places that one window can touch
     span = WIDTH + EDITS - Q + 1
-    total = np.concatenate([[0], np.cumsum(near, dtype=np.int32)])
-    dense = np.flatnonzero(total[np.minimum(np.arange(len(gram)) + span, len(gram))] - total[:-1] >= index.least)
+    total = np.zeros(len(gram) + 1, np.int32)
+    np.cumsum(near, out=total[1:])
+    span = min(span, len(gram))
+    dense = np.flatnonzero(total[span:] - total[:-span] >= index.least)
     if not len(dense):
         return
     edge = np.zeros(len(gram) + 1, np.int32)
     np.add.at(edge, dense, 1)
-    np.add.at(edge, np.minimum(dense + span, len(gram)), -1)
+    np.add.at(edge, dense + span, -1)
     at = np.flatnonzero(near & (np.cumsum(edge)[:-1] > 0))
     slot = np.searchsorted(index.values, gram[at])
     slot = np.minimum(slot, len(index.values) - 1)
@@ -138,11 +141,13 @@ def search(index: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, int
             text = index.texts[which]
             width = min(WIDTH, len(text))
             edits, bound = budget(width)
-            places = p[lo:hi]
-            for w in window_starts(len(text)):
-                a, z = np.searchsorted(places, [w, w + width - Q + 1])
-                if z - a < bound:
-                    continue
+            # a q-gram of the item counts once, however often the document repeats it
+            places = np.unique(p[lo:hi])
+            if len(places) < bound:
+                continue
+            starts_ = index.starts[which]
+            enough = np.searchsorted(places, starts_ + width - Q + 1) - np.searchsorted(places, starts_) >= bound
+            for w in starts_[enough].tolist():
                 low = max(int(begin[own]), int(b[lo]) * BAND - half + w - EDITS)
                 high = min(int(begin[own + 1]) - 1, int(b[lo]) * BAND - half + BAND + w + width + EDITS)
                 if (own, which, w, low) in tried or high <= low:
@@ -185,13 +190,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             index = Index([x[0] for x in sent.value], [x[1] for x in sent.value])
             for batch in batches:
                 held, size, start = [], 0, 0
+                texts = batch.column(1).cast(pa.binary())
                 for i in range(batch.num_rows + 1):
                     if i == batch.num_rows or size >= BATCH_BYTES:
                         hits = list(search(index, held))
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], arrow_item), *(pa.array([h[j] for h in hits], pa.int64()) for j in (2, 3, 4))], ["id", "item", "first", "end", "edits"])
                         held, size, start = [], 0, i
                     if i < batch.num_rows:
-                        held.append(normalise(batch.column(1)[i].as_py()))
+                        held.append(normalise(texts[i].as_py()))
                         size += len(held[-1])
 
         hits = rows.mapInArrow(run, f"id {id_type}, item {item_type}, first long, end long, edits long")
