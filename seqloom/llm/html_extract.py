@@ -1,13 +1,14 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed once into text blocks and the element subtrees around them,
-every subtree with a hash of its tags and text.  Subtrees are counted per host
-in Spark, over pages with different text, and those that recur on many pages of a host are
-deleted.  What the markup itself calls navigation, header, footer, sidebar,
-notice, advert, form, script, style or comment goes in any case.  Where a page
-marks its article, only the article counts as main text, and the article's
-own paragraphs are never taken for a template (quotations and licence lines
-recur too).
+Each page is parsed once into text blocks and element subtrees, every subtree
+with a hash of its tags and text.  All subtrees of all pages, menus, footers,
+adverts and the paragraphs of articles too, are counted per host in Spark (as
+hashes, without texts), over pages with different main text, and those that
+recur on many pages of a host are deleted.  The article's own paragraphs must
+recur on half of the pages for that (quotations and licence lines recur too).
+In addition goes what the markup itself calls navigation, header, footer,
+sidebar, notice, advert, form, script, style or comment, and where a page marks
+its article, what lies outside of it.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MARKS = frozenset(
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MIN_PAGES, MIN_SHARE = 4, 0.25
+#: Share of a host's pages on which a paragraph of an article must recur.
+ARTICLE_SHARE = 0.5
 
 
 class _Element:
@@ -63,12 +66,12 @@ def _marked(attributes: str, inside: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[str], list[list[int]], list[bool], list[int], int]:
-    """Blocks in page order, the elements around each, whether each is in a marked article, the elements' hashes (0: never a template), and a fingerprint of all text."""
+    """Blocks in page order, the elements around each, whether each is in a marked article, the elements' hashes (0: never a template; odd: an article or a paragraph in one), and a fingerprint of the main text: that of the article, if one is marked, or all text."""
     blocks: list[str] = []
     paths: list[list[int]] = []
     mains: list[bool] = []
     hashes: list[int] = []
-    whole = blake2b(digest_size=8)
+    whole, article = blake2b(digest_size=8), blake2b(digest_size=8)
     stack: list[_Element] = []
     held: list[str] = []
 
@@ -87,6 +90,8 @@ def parse(page: str) -> tuple[list[str], list[list[int]], list[bool], list[int],
             blocks.append(text)
             paths.append([e.number for e in stack])
             mains.append(any(e.main for e in stack))
+            if mains[-1]:
+                article.update(raw + b"\n")
 
     def close() -> None:
         e = stack.pop()
@@ -94,8 +99,8 @@ def parse(page: str) -> tuple[list[str], list[list[int]], list[bool], list[int],
         if stack:
             stack[-1].digest.update(digest)
         inside = e.main or any(x.main for x in stack)
-        if e.text and e.tag not in ("html", "body") and not (inside and (e.main or e.tag in PARAGRAPH)):
-            hashes[e.number] = int.from_bytes(digest, "big", signed=True) or 1
+        if e.text and e.tag not in ("html", "body"):
+            hashes[e.number] = (int.from_bytes(digest, "big", signed=True) & ~1 or 2) | (inside and (e.main or e.tag in PARAGRAPH))
 
     def close_to(tags, stop) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -152,15 +157,16 @@ def parse(page: str) -> tuple[list[str], list[list[int]], list[bool], list[int],
     flush()
     while stack:
         close()
-    return blocks, paths, mains, hashes, int.from_bytes(whole.digest(), "big", signed=True)
+    return blocks, paths, mains, hashes, int.from_bytes((article if any(mains) else whole).digest(), "big", signed=True)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row for each page: id, url, text, n_chars.
 
     A subtree is a site template if it recurs on at least ``min_pages`` pages
-    of a host and ``min_share`` of them; pages of a host with the same text
-    count once, so copies of a page are no template.  Null html is an empty
+    of a host and ``min_share`` of them (in articles also ``ARTICLE_SHARE``);
+    pages of a host with the same main text count once, so copies of a page
+    or article are no template.  Null html is an empty
     page; a null url has the host ''.  A page without text left gives an empty
     text.  Rows given twice give two rows; other columns are ignored.
     """
@@ -172,24 +178,27 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 parsed = [parse(x.as_py() or "") for x in part.column(2)]
-                hosts = [host_and_path(x.as_py())[0] for x in part.column(1)]
+                sites = [int.from_bytes(blake2b(host_and_path(x.as_py())[0].encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for x in part.column(1)]
                 kept = []
                 for blocks, paths, mains, hashes, _ in parsed:
                     only = any(mains)
                     kept.append([{"text": b, "around": [hashes[i] for i in p if hashes[i]]} for b, p, m in zip(blocks, paths, mains, strict=True) if m or not only])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(1), pa.array(hosts, pa.string()), pa.array([x[4] for x in parsed], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))), pa.array([sorted({h for b in k for h in b["around"]}) for k in kept], pa.list_(pa.int64()))],
-                    ["uid", "id", "url", "host", "print", "blocks", "subtrees"],
+                    [part.column(3), part.column(0), part.column(1), pa.array(sites, pa.int64()), pa.array([x[4] for x in parsed], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))), pa.array([sorted({h & ~1 for h in x[3] if h}) for x in parsed], pa.list_(pa.int64()))],
+                    ["uid", "id", "url", "site", "print", "blocks", "subtrees"],
                 )
 
-    schema = f"uid long, id {id_type}, url string, host string, print long, blocks array<struct<text: string, around: array<long>>>, subtrees array<long>"
+    schema = f"uid long, id {id_type}, url string, site long, print long, blocks array<struct<text: string, around: array<long>>>, subtrees array<long>"
     parsed = materialize(rows.mapInArrow(read, schema), "parsed")
-    sizes = parsed.select("host", "print").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    found = parsed.select("host", "print", F.explode("subtrees").alias("subtree")).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    template = found.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
-    wanted = parsed.select("uid", "host", F.explode("subtrees").alias("subtree"))
+    sizes = parsed.select("site", "print").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+    found = parsed.select("site", "print", F.explode("subtrees").alias("subtree")).distinct().groupBy("site", "subtree").agg(F.count("*").alias("n"))
+    template = found.where(F.col("n") >= min_pages).join(sizes, "site").where(F.col("n") >= min_share * F.col("pages"))
+    # an odd hash stands for the same subtree as a paragraph of an article
+    both = F.when(F.col("n") >= ARTICLE_SHARE * F.col("pages"), F.array("subtree", F.col("subtree").bitwiseOR(F.lit(1)))).otherwise(F.array("subtree"))
+    template = materialize(template.select("site", F.explode(both).alias("subtree")), "template")
+    wanted = parsed.select("uid", "site", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
     # written first: the size of what is removed decides how the texts are joined
-    gone = materialize(wanted.join(template, ["host", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("gone")), "gone")
+    gone = materialize(wanted.join(template, ["site", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("gone")), "gone")
     out = parsed.select("uid", "id", "url", "blocks").join(gone, "uid", "left")
     left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")

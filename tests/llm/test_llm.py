@@ -227,6 +227,18 @@ def test_html_extraction(spark):
     assert html_extract.extract_main_text(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_recurrence_decides_on_pages_with_an_article(spark):
+    menu = "<div><div>Home</div><div>Shop</div></div>"
+    rows = [(i, f"http://c.org/{i}", page(f"{menu}<article><h1>Title {i}</h1><p>Some text {i}<p>{'A quotation' if i < 4 else f'No quotation {i}'}<p>Read our weekly letter</article>")) for i in range(10)]
+    rows += [(20, "http://c.org/list", page(f"{menu}<div><p>No article here</div>"))]
+    # one article under many urls, with dates around it: its paragraphs stay
+    rows += [(30 + i, f"http://d.org/{i}", page(f"<div>Seen {i} times</div><article><p>Only text</article>")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nSome text {i}\n" + ("A quotation" if i < 4 else f"No quotation {i}") for i in range(10))
+    assert got[20] == "No article here"
+    assert all(got[30 + i] == "Only text" for i in range(8))
+
+
 def test_html_parser_survives_anything():
     rng = random.Random(1)
     parts = ["<p>", "</p>", "<div", ">", "</div>", "<b>", "&amp;", "&#x41;", "text ", "<!-- c", "-->", "<script>", "</script>", "\"", "'", "<li>", "<td>", "</table>", "<article>", "</article>", "<br/>", "\x00"]
