@@ -37,9 +37,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; so do documents of which nothing but blanks is left by that."""
-    reduced = line_dedup(docs)
-    rest = reduced.where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    """Repeated multi-line chunks go, then what is left of repeated passages of two lines or more; so do documents of which nothing but blanks is left by that."""
+    chunks = materialize(line_dedup(docs).drop("n_lines").withColumnRenamed("n_removed", "n_before"), "chunks_gone")
+    reduced = line_dedup(chunks, passages=True)
+    rest = reduced.where((F.col("n_before") + F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -450,6 +450,52 @@ def test_line_dedup(spark):
     assert line_dedup(frame(spark, [])).count() == 0
 
 
+def brute_passages(rows):
+    """Pairs of successive non-blank lines; the first occurrence of each keeps its lines."""
+    split, first, out = [], {}, []
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        solid = [i for i, x in enumerate(lines) if x.strip(" \r\t")]
+        key = (doc is None, doc or 0, hashlib.md5((text or "").encode()).digest())
+        pairs = [("\n".join(lines[a : b + 1]), range(a, b + 1), (key, i)) for i, (a, b) in enumerate(zip(solid, solid[1:]))]
+        split.append((doc, lines, pairs))
+        for body, _, at in pairs:
+            first.setdefault(body, set()).add(at)
+    for doc, lines, pairs in split:
+        dead = {i for body, span, at in pairs if at != min(first[body]) for i in span}
+        dead -= {i for body, span, at in pairs if at == min(first[body]) and len(first[body]) > 1 for i in span}
+        out.append((-1 if doc is None else doc, "\n".join(x for i, x in enumerate(lines) if i not in dead), len(lines), len(dead)))
+    return sorted(out)
+
+
+def test_passages_of_two_lines_are_found(spark):
+    rng = random.Random(13)
+    shared = [prose(rng, 6) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        lines = [prose(rng, 5) for _ in range(1 + rng.randrange(12))]
+        a, at = rng.randrange(50), rng.randrange(len(lines) + 1)
+        rows.append((i, "\n".join(lines[:at] + shared[a : a + rng.randrange(5)] + [""] * rng.randrange(2) + lines[at:])))
+    rows += [(70, rows[3][1]), (71, None), (72, ""), (73, "one line"), (74, "\n\n \n"), (75, "\r\nx\r"), (78, "\r\nx\r"), (3, rows[3][1]), (None, rows[4][1]), (76, "é\r\n" * 2000), (77, "a\nb\n\nc"), (79, "b\n\nc\nd")]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(frame(spark, rows).drop("n_words"), passages=True).collect())
+    assert got == brute_passages(rows)
+    assert sum(r[3] for r in got) > 50
+
+
+def test_pipeline_removes_every_short_passage(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = []
+    for i in range(20):  # a passage of two lines in two documents, between other lines
+        passage = prose(rng, 6) + "\n" + prose(rng, 6)
+        rows += [(k, f"{prose(rng, 5)}\n{passage}\n{prose(rng, 5)}", passage) for k in (i, 100 + i)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert all((p in got[i]) == (i < 100) for i, _, p in rows)
+    assert all(got[i].count("\n") == (3 if i < 100 else 1) for i, _, _ in rows)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
