@@ -8,7 +8,8 @@ recur on many pages of a host are deleted.  The article's own paragraphs must
 recur on half of the pages for that (quotations and licence lines recur too).
 In addition goes what the markup itself calls navigation, header, footer,
 sidebar, notice, advert, form, script, style or comment, and where a page marks
-its article, what lies outside of it.
+its article, what lies outside of it.  Inside an article class, id and role
+count only as names of comments or adverts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .url_filter import host_and_path
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/A-Za-z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-RAW = frozenset("script style noscript template iframe svg textarea title math object".split())
+RAW = frozenset("script style noscript template iframe svg textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption b i em strong span a code q cite u s sub sup small mark".split())
@@ -39,6 +40,9 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login popup modal overlay paywall comment comments commentlist disqus respond replies reply discussion "
     "related recommended recommendations share sharing social toolbar widget pagination pager search searchbox skip contentinfo complementary dialog".split()
 )
+#: Inside an article only these count, in names made up of them and of PLAIN words: 'discussion' or 'ad-hoc' may name a chapter.
+INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus".split())
+PLAIN = frozenset("container wrapper wrap list section area box block slot unit inner outer top bottom left right inline native google article post entry thread".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MIN_PAGES, MIN_SHARE = 4, 0.25
@@ -55,10 +59,15 @@ class _Element:
 
 
 def _marked(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role call the element no main text; an article may have a header of its own."""
+    """Whether class, id or role call the element no main text; inside an article only as comments or advert."""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name in ("class", "id", "role") and (MARKS - {"header"} if inside else MARKS).intersection(SPLIT.split(CAMEL.sub(" ", a or b or c).lower())):
+        if name in ("class", "id", "role") and inside:
+            for word in (a or b or c).split():
+                parts = {x for x in SPLIT.split(CAMEL.sub(" ", word).lower()) if x}
+                if parts & INSIDE and parts <= INSIDE | PLAIN:
+                    return True
+        elif name in ("class", "id", "role") and MARKS.intersection(SPLIT.split(CAMEL.sub(" ", a or b or c).lower())):
             return True
         if name == "aria-hidden" and (a or b or c).lower() == "true":
             return True

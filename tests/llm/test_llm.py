@@ -239,6 +239,12 @@ def test_html_recurrence_decides_on_pages_with_an_article(spark):
     assert all(got[30 + i] == "Only text" for i in range(8))
 
 
+def test_html_keeps_chapters_of_an_article(spark):
+    body = "<article><section id='discussion'><h2 id='related-work'>Related work</h2><p class='alert'>Mind this</section><section id='ad-hoc-networks'>Ad hoc</section><p>By <math><mi>x</mi></math> and <object>a chart</object><div class='article-ad'>buy</div><div id='comments'>bad</div></article>"
+    got = html_extract.extract_main_text(frame(spark, [(1, "http://e.org/", page(body))], "page_id long, url string, html string")).collect()
+    assert got[0].text == "Related work\nMind this\nAd hoc\nBy x and a chart"
+
+
 def test_html_parser_survives_anything():
     rng = random.Random(1)
     parts = ["<p>", "</p>", "<div", ">", "</div>", "<b>", "&amp;", "&#x41;", "text ", "<!-- c", "-->", "<script>", "</script>", "\"", "'", "<li>", "<td>", "</table>", "<article>", "</article>", "<br/>", "\x00"]
