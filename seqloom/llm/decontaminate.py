@@ -7,6 +7,8 @@ neighbouring diagonals (document place minus item place).  Hits are counted in
 overlapping bands of diagonals; windows that reach the bound in a band are
 verified by a banded alignment.
 
+Items too short for that are searched exactly, as whole words.
+
 Texts are compared in lower case with white space as single spaces.  A q-gram
 of 8 bytes is one 64-bit number, so q-grams are compared exactly.
 """
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, WIDTH, STEP, EDITS = 8, 48, 4, 3
-#: Items with fewer bytes are no evidence and are not searched.
+#: Items with fewer bytes are searched whole and without edits.
 LEAST = 24
 BAND = 2 * (EDITS + 1)
 TABLE_BITS = 21
@@ -165,12 +167,51 @@ def search(index: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, int
         yield own, which, min(h[0] for h in hits), max(h[1] for h in hits), min(h[2] for h in hits)
 
 
+def _wordy(b: int) -> bool:
+    return 48 <= b < 58 or 97 <= b < 123
+
+
+class Short:
+    """Items of fewer than ``LEAST`` bytes by their first 8 bytes, or all if they have fewer."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts = texts
+        by: dict[int, dict[int, list[int]]] = {}
+        for i, t in enumerate(texts):
+            by.setdefault(min(len(t), Q), {}).setdefault(int.from_bytes(t[:Q], "little"), []).append(i)
+        self.heads = [(np.uint64((1 << 8 * n) - 1), np.array(sorted(heads), np.uint64), heads) for n, heads in sorted(by.items())]
+
+    def search(self, docs: list[bytes]) -> Iterator[tuple[int, int, int, int, int]]:
+        """As ``search``; no letter or digit (of ASCII) may go on beyond an end of the item that is one."""
+        if not self.heads:
+            return
+        whole = b"\n".join([b"", *docs, b"\n" * Q])
+        begin = 1 + np.cumsum([0, *(len(d) + 1 for d in docs)])
+        gram = grams(np.frombuffer(whole, np.uint8))
+        found: dict[tuple[int, int], list[int]] = {}
+        for mask, values, heads in self.heads:
+            masked = gram & mask
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[Index._slot(values)] = True
+            at = np.flatnonzero(table[Index._slot(masked)])
+            at = at[np.isin(masked[at], values)]
+            for place, own in zip(at.tolist(), (np.searchsorted(begin, at, side="right") - 1).tolist(), strict=True):
+                for item in heads[int(masked[place])]:
+                    text = self.texts[item]
+                    end = place + len(text)
+                    if whole[place:end] == text and not (_wordy(text[0]) and _wordy(whole[place - 1])) and not (_wordy(text[-1]) and _wordy(whole[end])):
+                        first = place - int(begin[own])
+                        found.setdefault((own, item), [first, 0])[1] = first + len(text)
+        for (own, item), (first, end) in found.items():
+            yield own, item, first, end, 0
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it: id, item, first, end, edits.
 
     ``first`` and ``end`` are bytes of the document's normalised text.  Null
-    and empty texts on either side match nothing, nor do items of fewer than
-    ``LEAST`` bytes.  A row given twice is reported twice; items with equal
+    and empty texts on either side match nothing.  Items of fewer than
+    ``LEAST`` bytes are found whole only, without edits.  A row given twice is reported twice; items with equal
     texts are each reported.  Other columns are ignored.  The benchmark is
     read in slices of at most ``SLICE_BYTES`` on average, each with its own
     pass over the documents, so it may grow.
@@ -184,17 +225,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     out = None
     for number in range(slices):
         part = [(r.item, normalise(r.text)) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == number).collect()]
-        sent = spark.sparkContext.broadcast([x for x in part if len(x[1]) >= LEAST])
+        sent = spark.sparkContext.broadcast([x for x in part if x[1]])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index([x[0] for x in sent.value], [x[1] for x in sent.value])
+            usual, brief = ([x for x in sent.value if (len(x[1]) < LEAST) == low] for low in (False, True))
+            index, short = Index([x[0] for x in usual], [x[1] for x in usual]), Short([x[1] for x in brief])
+            ids = [x[0] for x in usual + brief]
             for batch in batches:
                 held, size, start = [], 0, 0
                 texts = batch.column(1).cast(pa.binary())
                 for i in range(batch.num_rows + 1):
                     if i == batch.num_rows or size >= BATCH_BYTES:
-                        hits = list(search(index, held))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], arrow_item), *(pa.array([h[j] for h in hits], pa.int64()) for j in (2, 3, 4))], ["id", "item", "first", "end", "edits"])
+                        hits = [*search(index, held), *((h[0], len(usual) + h[1], *h[2:]) for h in short.search(held))]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([start + h[0] for h in hits], pa.int64())), pa.array([ids[h[1]] for h in hits], arrow_item), *(pa.array([h[j] for h in hits], pa.int64()) for j in (2, 3, 4))], ["id", "item", "first", "end", "edits"])
                         held, size, start = [], 0, i
                     if i < batch.num_rows:
                         held.append(normalise(texts[i].as_py()))

@@ -313,6 +313,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_leaks(frame(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Who is it?"), (2, "cat"), (3, "漢字"), (4, "x"), (5, "a quotation of 23 bytes"), (6, " "), (7, "12345678"), (8, "who  is IT?")]
+    docs = [(1, "so: WHO is\nit? A cat."), (2, "concatenate 123456789 who is"), (3, "本漢字本"), (4, "cat x cat"), (5, "say a quotation of 23 bytes"), (6, "a quotation of 24 bytes"), (7, "12345678"), (8, ""), (9, None)]
+    got = {(r.doc_id, r.item_id): (r["first"], r.end, r.edits) for r in decontaminate.find_leaks(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (4, 14, 0), (1, 8): (4, 14, 0), (1, 2): (17, 20, 0), (3, 3): (3, 9, 0), (4, 2): (0, 9, 0), (4, 4): (4, 5, 0), (5, 5): (4, 27, 0), (7, 7): (0, 8, 0)}
+
+
 def test_alignment_is_the_edit_distance():
     rng = random.Random(3)
     for _ in range(60):
