@@ -47,11 +47,21 @@ def claim(seeds: DataFrame, rows: DataFrame, key: str, seed_order: list, row_ord
     return ranked(seeds, key, seed_order).join(ranked(rows, key, row_order), [key, "_rank"], "left")
 
 
-def cascade(base: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str) -> DataFrame:
-    """The first non-blank value among ordered look-up tables (key, value), and the stage that gave it."""
+def cascade(base: DataFrame, key: str, sources: list[tuple[str, DataFrame]], value: str, prefer: Column | None = None) -> DataFrame:
+    """The first non-blank value among ordered look-up tables (key, value), and the stage that gave it.
+
+    Of a key's values in one stage that with the greatest ``prefer`` is taken
+    (``F.length(value)``: the longest; a struct of a match and the length: a
+    match, else the longest), then the least.
+    """
     stages = None
     for i, (name, table) in enumerate(sources):
-        part = table.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(key).agg(F.min(value).alias(value)).select(key, value, F.lit(i).alias("_stage"), F.lit(name).alias("stage"))
+        part = table.where(F.coalesce(F.col(value), F.lit("")) != "")
+        if prefer is not None:
+            part = part.withColumn("_prefer", prefer)
+            best = part.groupBy(key).agg(F.max("_prefer").alias("_most"))
+            part = part.join(best, key).where(F.col("_prefer").eqNullSafe(F.col("_most")))
+        part = part.groupBy(key).agg(F.min(value).alias(value)).select(key, value, F.lit(i).alias("_stage"), F.lit(name).alias("stage"))
         stages = part if stages is None else stages.unionByName(part)
     best = stages.groupBy(key).agg(F.min_by(F.struct(value, "stage"), "_stage").alias("_best"))
     return base.join(best, key, "left").select(*base.columns, F.coalesce(f"_best.{value}", F.lit("")).alias(value), F.coalesce("_best.stage", F.lit("")).alias("stage"))

@@ -227,3 +227,12 @@ def test_ranks_of_a_hot_key(spark):
     for key in "kz":
         ordered = sorted((r.v, r._rank) for r in got if r.key == key)
         assert [r for _, r in ordered] == list(range(1, len(ordered) + 1))
+
+
+def test_cascade_takes_the_preferred_value(spark):
+    base = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    rows = spark.createDataFrame([(1, "AAA", "A"), (1, "MKVLA", "B"), (1, "MKVLC", "B"), (2, "", "A"), (2, "M", "B")], "k int, seq string, chain string")
+    got = lambda prefer: {r.k: r.seq for r in relate.cascade(base, "k", [("x", rows)], "seq", prefer).collect()}
+    assert got(None)[1] == "AAA"
+    assert got(F.length("seq")) == {1: "MKVLA", 2: "M", 3: ""}
+    assert got(F.struct(F.col("chain") == "A", F.length("seq"))) == {1: "AAA", 2: "M", 3: ""}
