@@ -236,3 +236,10 @@ def test_cascade_takes_the_preferred_value(spark):
     assert got(None)[1] == "AAA"
     assert got(F.length("seq")) == {1: "MKVLA", 2: "M", 3: ""}
     assert got(F.struct(F.col("chain") == "A", F.length("seq"))) == {1: "AAA", 2: "M", 3: ""}
+
+
+def test_all_pairs_misses_no_pair(spark):
+    # two alike residues, then a different one: no common word of three
+    rows = spark.createDataFrame([(1, "AWKAWRAWNAWD"), (2, "AWCAWQAWEAWG"), (3, "MMMMMMMMM")], "n int, seq string")
+    assert align.shared_words(rows, "n", "seq", k=3, least=1).count() == 0
+    assert sorted((r.a, r.b) for r in align.all_pairs(rows, "n").collect()) == [(1, 2), (1, 3), (2, 3)]
