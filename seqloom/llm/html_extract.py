@@ -3,13 +3,16 @@
 Each page is parsed once into text blocks and element subtrees, every subtree
 with a hash of its tags and text.  All subtrees of all pages, menus, footers,
 adverts and the paragraphs of articles too, are counted per host in Spark (as
-hashes, without texts), over pages with different main text, and those that
-recur on many pages of a host are deleted.  The article's own paragraphs must
-recur on half of the pages for that (quotations and licence lines recur too).
-In addition goes what the markup itself calls navigation, header, footer,
+hashes, without texts), over pages with different main text.  Those that recur
+on ``MIN_PAGES`` pages of their host are deleted, however many pages the host
+has.  Only a paragraph of a marked article must recur on half of the host's
+pages for that: quotations and licence lines recur too.
+
+After that goes what the markup itself calls navigation, header, footer,
 sidebar, notice, advert, form, script, style or comment, and where a page marks
-its article, what lies outside of it.  Inside an article class, id and role
-count only as names of comments or adverts.
+its article, what lies outside of it.  A class, id or role counts if all its
+words are such names or plain ones like 'box'; inside an article, around one
+and on inline elements only names of comments and adverts count.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_hot
 from ..plans.scratch import materialize
 from .url_filter import host_and_path
 
@@ -30,185 +34,235 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 RAW = frozenset("script style noscript template iframe svg textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption b i em strong span a code q cite u s sub sup small mark".split())
-DROPPED = frozenset("nav header footer aside form button select input label fieldset dialog menu head".split())
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
+DROPPED = frozenset("nav header footer aside form button select label fieldset dialog menu head".split())
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Words in class, id or role that mark a part of the page as no main text.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation navigational breadcrumb breadcrumbs topbar masthead header footer foot "
     "cookie cookies consent gdpr notice notices notification alert disclaimer newsletter subscribe subscription signup login popup modal overlay paywall comment comments commentlist disqus respond replies reply discussion "
     "related recommended recommendations share sharing social toolbar widget pagination pager search searchbox skip contentinfo complementary dialog".split()
 )
-#: Inside an article only these count, in names made up of them and of PLAIN words: 'discussion' or 'ad-hoc' may name a chapter.
+#: Inside an article only these count: 'discussion' or 'ad-hoc' may name a chapter.
 INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus".split())
-PLAIN = frozenset("container wrapper wrap list section area box block slot unit inner outer top bottom left right inline native google article post entry thread".split())
+#: Words that may stand beside them in a name.
+PLAIN = frozenset("container wrapper wrap list section area box block slot unit inner outer top bottom left right inline native google article post entry thread site page main global primary secondary mobile bar links link item items button buttons icon icons text title js id".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-MIN_PAGES, MIN_SHARE = 4, 0.25
+MIN_PAGES = 4
 #: Share of a host's pages on which a paragraph of an article must recur.
 ARTICLE_SHARE = 0.5
 
 
 class _Element:
-    __slots__ = ("tag", "number", "dropped", "main", "digest", "text")
+    __slots__ = ("tag", "first", "dropped", "soft", "main", "digest", "text")
 
-    def __init__(self, tag: str, number: int, dropped: bool, main: bool):
-        self.tag, self.number, self.dropped, self.main, self.text = tag, number, dropped, main, False
+    def __init__(self, tag: str, first: int, dropped: bool, soft: bool, main: bool):
+        self.tag, self.first, self.dropped, self.soft, self.main, self.text = tag, first, dropped, soft, main, False
         self.digest = blake2b(tag.encode(), digest_size=8)
 
 
-def _marked(attributes: str, inside: bool) -> bool:
-    """Whether class, id or role call the element no main text; inside an article only as comments or advert."""
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role name an advert, comments or something hidden; and whether they call the element no main text at all."""
+    sure = "hidden" in attributes.lower().split()
+    any_ = sure
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role") and inside:
-            for word in (a or b or c).split():
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id", "role"):
+            for word in value.split():
                 parts = {x for x in SPLIT.split(CAMEL.sub(" ", word).lower()) if x}
-                if parts & INSIDE and parts <= INSIDE | PLAIN:
-                    return True
-        elif name in ("class", "id", "role") and MARKS.intersection(SPLIT.split(CAMEL.sub(" ", a or b or c).lower())):
-            return True
-        if name == "aria-hidden" and (a or b or c).lower() == "true":
-            return True
-    return "hidden" in attributes.lower().split()
-
-
-def parse(page: str) -> tuple[list[str], list[list[int]], list[bool], list[int], int]:
-    """Blocks in page order, the elements around each, whether each is in a marked article, the elements' hashes (0: never a template; odd: an article or a paragraph in one), and a fingerprint of the main text: that of the article, if one is marked, or all text."""
-    blocks: list[str] = []
-    paths: list[list[int]] = []
-    mains: list[bool] = []
-    hashes: list[int] = []
-    whole, article = blake2b(digest_size=8), blake2b(digest_size=8)
-    stack: list[_Element] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
+                sure = sure or bool(parts & INSIDE) and parts <= INSIDE | PLAIN
+                any_ = any_ or bool(parts & MARKS) and parts <= MARKS | PLAIN
+        elif name == "aria-hidden" and value.lower() == "true":
+            sure = True
+    return sure, sure or any_
+
+
+class Page:
+    """The text blocks of a page and its element subtrees.
+
+    ``blocks``: texts in page order.  ``marked``: for each, whether the markup
+    calls it no main text.  ``mains``: whether it lies in a marked article.
+    ``elements``: (hash, first block, end) of each element with text; the hash
+    is odd for an article or a paragraph in one.  ``print``: a fingerprint of
+    the article's text, or of all text where no article is marked.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.blocks: list[str] = []
+        self.marked: list[bool] = []
+        self.mains: list[bool] = []
+        self.elements: list[tuple[int, int, int]] = []
+        self._whole, self._article = blake2b(digest_size=8), blake2b(digest_size=8)
+        self._stack: list[_Element] = []
+        self._held: list[str] = []
+        self._dropped = self._main = 0
+        self._mute: list = []  # an inline element whose text is no main text, and how deep it is nested in itself
+        self._parse(page)
+        while self._stack:
+            self._close()
+        self.print = int.from_bytes((self._article if any(self.mains) else self._whole).digest(), "big", signed=True)
+
+    def _flush(self) -> None:
+        self._mute = []
+        text = " ".join(html.unescape("".join(self._held)).split())
+        self._held.clear()
         if not text:
             return
         raw = text.encode("utf-8", "replace")
-        whole.update(raw + b"\n")
-        if stack:
-            stack[-1].digest.update(raw)
-        for e in stack:
-            e.text = True
-        if not any(e.dropped for e in stack):
-            blocks.append(text)
-            paths.append([e.number for e in stack])
-            mains.append(any(e.main for e in stack))
-            if mains[-1]:
-                article.update(raw + b"\n")
-
-    def close() -> None:
-        e = stack.pop()
+        self._whole.update(raw + b"\n")
+        if self._stack:
+            self._stack[-1].digest.update(raw)
+            self._stack[-1].text = True
+        self.blocks.append(text)
+        self.marked.append(self._dropped > 0)
+        self.mains.append(self._main > 0 and not self._dropped)
+        if self.mains[-1]:
+            self._article.update(raw + b"\n")
+
+    def _open(self, tag: str, attributes: str) -> None:
+        sure, any_ = _marked(attributes)
+        by_tag = tag in DROPPED and not (tag == "header" and self._main)
+        soft = any_ and not sure and not by_tag and not self._main
+        dropped = (by_tag or sure or soft) and tag not in ("html", "body")
+        main = tag in ("article", "main") and not dropped
+        if main and not any(e.dropped and not e.soft for e in self._stack):
+            for e in self._stack:  # a wrapper's class does not speak of the article inside
+                if e.dropped:
+                    e.dropped = False
+                    self._dropped -= 1
+        self._dropped += dropped
+        self._main += main
+        self._stack.append(_Element(tag, len(self.blocks), dropped, soft, main))
+
+    def _close(self) -> None:
+        self._flush()
+        e = self._stack.pop()
+        self._dropped -= e.dropped
+        inside = self._main > 0
+        self._main -= e.main
         digest = e.digest.digest()
-        if stack:
-            stack[-1].digest.update(digest)
-        inside = e.main or any(x.main for x in stack)
+        if self._stack:
+            self._stack[-1].digest.update(digest)
+            self._stack[-1].text |= e.text
         if e.text and e.tag not in ("html", "body"):
-            hashes[e.number] = (int.from_bytes(digest, "big", signed=True) & ~1 or 2) | (inside and (e.main or e.tag in PARAGRAPH))
-
-    def close_to(tags, stop) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                flush()
-                while len(stack) > i:
-                    close()
+            self.elements.append(((int.from_bytes(digest, "big", signed=True) & ~1 or 2) | (inside and (e.main or e.tag in PARAGRAPH)), e.first, len(self.blocks)))
+
+    def _close_to(self, tags, stop) -> None:
+        for i in range(len(self._stack) - 1, -1, -1):
+            if self._stack[i].tag in tags:
+                while len(self._stack) > i:
+                    self._close()
                 return
-            if stack[i].tag in stop:
+            if self._stack[i].tag in stop:
                 return
 
-    at = 0
-    while at < len(page):
-        found = TOKEN.search(page, at)
-        if not found:
-            held.append(page[at:])
-            break
-        if found.start() > at:
-            held.append(page[at : found.start()])
-        at = found.end()
-        tag = found[2] or found[5]
-        if not tag:
-            continue
-        tag, ending, attributes = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
-        if ending:
-            if tag in BLOCK:
-                flush()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        while len(stack) > i:
-                            close()
+    def _inline(self, tag: str, ending: str, attributes: str) -> None:
+        if self._mute:
+            if tag == self._mute[0]:
+                self._mute[1] += -1 if ending else 1
+                if not self._mute[1]:
+                    self._mute = []
+        elif not ending and not attributes.rstrip().endswith("/") and (tag in DROPPED or attributes and _marked(attributes)[0]):
+            self._mute = [tag, 1]
+
+    def _parse(self, page: str) -> None:
+        at, endless = 0, set()
+        while at < len(page):
+            found = TOKEN.search(page, at)
+            end = found.start() if found else len(page)
+            if end > at and not self._mute:
+                self._held.append(page[at:end])
+            if not found:
+                break
+            at = found.end()
+            tag = found[2] or found[5]
+            if not tag:
+                continue
+            tag, ending, attributes = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
+            if ending:
+                if tag not in BLOCK:
+                    self._inline(tag, ending, "")
+                    continue
+                self._flush()
+                for i in range(len(self._stack) - 1, -1, -1):
+                    if self._stack[i].tag == tag:
+                        while len(self._stack) > i:
+                            self._close()
+                        break
+            elif tag in RAW:
+                if not attributes.rstrip().endswith("/") or tag in ("script", "style"):
+                    close = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    if close:
+                        at = close.end()
+                    elif tag in ("script", "style"):
                         break
-            continue
-        if tag in RAW:
-            if not attributes.rstrip().endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if tag in VOID:
-            held.append(" ")
-            if tag == "hr":
-                flush()
-            continue
-        if tag not in BLOCK:
-            continue
-        flush()
-        close_to({"p"}, {"button", "table", "td", "th", "article", "div", "section", "li", "blockquote", "body"} if tag != "p" else {"button", "table", "article", "div", "section", "body"})
-        if tag in CLOSES:
-            close_to(*CLOSES[tag])
-        inside = any(e.main for e in stack)
-        dropped = tag in DROPPED and not (tag == "header" and inside) or _marked(attributes, inside) and tag not in ("html", "body")
-        stack.append(_Element(tag, len(hashes), dropped, tag in ("article", "main") and not dropped))
-        hashes.append(0)
-    flush()
-    while stack:
-        close()
-    return blocks, paths, mains, hashes, int.from_bytes((article if any(mains) else whole).digest(), "big", signed=True)
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row for each page: id, url, text, n_chars.
+                    else:  # never closed: the tag alone goes
+                        endless.add(tag)
+            elif tag in VOID:
+                self._held.append(" ")
+                if tag == "hr":
+                    self._flush()
+            elif tag in BLOCK:
+                self._flush()
+                self._close_to({"p"}, {"table", "td", "th", "article", "div", "section", "li", "blockquote", "body"} if tag != "p" else {"table", "article", "div", "section", "body"})
+                if tag in CLOSES:
+                    self._close_to(*CLOSES[tag])
+                self._open(tag, attributes)
+            else:
+                self._inline(tag, "", attributes)
+        self._flush()
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, markup: bool = True) -> DataFrame:
+    """One row for each page: id, url, text, n_chars, n_recurring, n_marked.
 
     A subtree is a site template if it recurs on at least ``min_pages`` pages
-    of a host and ``min_share`` of them (in articles also ``ARTICLE_SHARE``);
-    pages of a host with the same main text count once, so copies of a page
-    or article are no template.  Null html is an empty
-    page; a null url has the host ''.  A page without text left gives an empty
-    text.  Rows given twice give two rows; other columns are ignored.
+    of a host (a paragraph of a marked article also on ``ARTICLE_SHARE`` of
+    them); pages of a host with the same main text count once, so copies of a
+    page or article are no template.  ``n_recurring`` blocks go by that,
+    ``n_marked`` further ones by the markup; without ``markup`` none, and no
+    article is known.  Null html is an empty page; a null url has the host ''.
+    A page without text left gives an empty text.  Rows given twice give two
+    rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("uid"))
     id_type = rows.schema["id"].dataType.simpleString()
+    element = pa.list_(pa.struct([("hash", pa.int64()), ("article", pa.bool_()), ("first", pa.int32()), ("end", pa.int32())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                parsed = [parse(x.as_py() or "") for x in part.column(2)]
-                sites = [int.from_bytes(blake2b(host_and_path(x.as_py())[0].encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for x in part.column(1)]
-                kept = []
-                for blocks, paths, mains, hashes, _ in parsed:
-                    only = any(mains)
-                    kept.append([{"text": b, "around": [hashes[i] for i in p if hashes[i]]} for b, p, m in zip(blocks, paths, mains, strict=True) if m or not only])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(1), pa.array(sites, pa.int64()), pa.array([x[4] for x in parsed], pa.int64()), pa.array(kept, pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))), pa.array([sorted({h & ~1 for h in x[3] if h}) for x in parsed], pa.list_(pa.int64()))],
-                    ["uid", "id", "url", "site", "print", "blocks", "subtrees"],
-                )
-
-    schema = f"uid long, id {id_type}, url string, site long, print long, blocks array<struct<text: string, around: array<long>>>, subtrees array<long>"
+                parsed = [Page(x.as_py() or "") for x in part.column(2)]
+                hosts = [host_and_path(x.as_py())[0].encode("utf-8", "replace") for x in part.column(1)]
+                sites = [int.from_bytes(blake2b(x, digest_size=8).digest(), "big", signed=True) for x in hosts]
+                texts, elements, prints = [], [], []
+                for p, site in zip(parsed, sites, strict=True):
+                    only = markup and any(p.mains)
+                    texts.append([None if markup and (m or only and not a) else b for b, m, a in zip(p.blocks, p.marked, p.mains, strict=True)])
+                    # the host is part of the hash: one column to count and to join by
+                    elements.append([{"hash": (h & ~1) * 0x9E3779B97F4A7C15 + site + (1 << 63) & (1 << 64) - 1, "article": bool(markup and h & 1), "first": a, "end": b} for h, a, b in p.elements])
+                    for e in elements[-1]:
+                        e["hash"] -= 1 << 63
+                    prints.append(p.print)
+                columns = [part.column(3), part.column(0), part.column(1), pa.array(sites, pa.int64()), pa.array(prints, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(elements, element)]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "url", "site", "print", "blocks", "elements"])
+
+    schema = f"uid long, id {id_type}, url string, site long, print long, blocks array<string>, elements array<struct<hash: long, article: boolean, first: int, end: int>>"
     parsed = materialize(rows.mapInArrow(read, schema), "parsed")
     sizes = parsed.select("site", "print").distinct().groupBy("site").agg(F.count("*").alias("pages"))
-    found = parsed.select("site", "print", F.explode("subtrees").alias("subtree")).distinct().groupBy("site", "subtree").agg(F.count("*").alias("n"))
-    template = found.where(F.col("n") >= min_pages).join(sizes, "site").where(F.col("n") >= min_share * F.col("pages"))
-    # an odd hash stands for the same subtree as a paragraph of an article
-    both = F.when(F.col("n") >= ARTICLE_SHARE * F.col("pages"), F.array("subtree", F.col("subtree").bitwiseOR(F.lit(1)))).otherwise(F.array("subtree"))
-    template = materialize(template.select("site", F.explode(both).alias("subtree")), "template")
-    wanted = parsed.select("uid", "site", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("subtree"))
-    # written first: the size of what is removed decides how the texts are joined
-    gone = materialize(wanted.join(template, ["site", "subtree"]).groupBy("uid").agg(F.collect_set("subtree").alias("gone")), "gone")
-    out = parsed.select("uid", "id", "url", "blocks").join(gone, "uid", "left")
-    left = F.filter("blocks", lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["around"], F.col("gone")))
+    found = parsed.select("site", "print", F.explode(F.array_distinct(F.col("elements.hash"))).alias("hash")).distinct().groupBy("hash").agg(F.count("*").alias("n"), F.first("site").alias("site"))
+    found = materialize(found.where(F.col("n") >= min_pages), "found")
+    template = join_hot(found, sizes, "site").select("hash", (F.col("n") >= ARTICLE_SHARE * F.col("pages")).alias("most"))
+    wanted = parsed.select("uid", F.inline("elements"))
+    gone = join_hot(wanted, template, "hash").where("most or not article").groupBy("uid").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
+    out = parsed.select("uid", "id", "url", "blocks").join(materialize(gone, "gone"), "uid", "left").withColumn("gone", F.coalesce("gone", F.array()))
+    # a recurring element takes all blocks from its first to its end
+    out = out.withColumn("blocks", F.transform("blocks", lambda b, i: F.struct(b.alias("text"), F.exists("gone", lambda g: (g["first"] <= i) & (i < g["end"])).alias("recurs"))))
+    left = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["recurs"])
+    n_recurring = F.size(F.filter("blocks", lambda b: b["recurs"])).cast("long")
+    n_marked = F.size(F.filter("blocks", lambda b: b["text"].isNull() & ~b["recurs"])).cast("long")
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), n_recurring.alias("n_recurring"), n_marked.alias("n_marked")).withColumn("n_chars", F.length("text").cast("long")).select(id_col, url_col, "text", "n_chars", "n_recurring", "n_marked")
