@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .blocks import pieces, text_buffers
 from .wordhash import word_hashes, words
 
-#: Labelled training rows per class, and the longest text (bytes) among them, that the driver may gather.
-PER_CLASS, MAX_BYTES = 1000, 100_000
+#: Labelled training rows per class, and the longest text (bytes) among them: the driver gathers at most 40 MB.
+PER_CLASS, MAX_BYTES = 1000, 20_000
 PREFIXES = range(3, 9)
 MIN_DOCS, MIN_G, MIN_RATIO, FEATURE_G = 5, 20.0, 5.0, 3.0
 CHUNK, STEPS, RATE, RIDGE = 64, 60, 0.3, 1e-3
