@@ -19,17 +19,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_hot
 from ..plans.scratch import materialize
 
 #: Last hex digits of the rolling hash that end a chunk: one line in four.
 ENDS = ("0", "4", "8", "c")
 
 
+def _solid(line: Column) -> Column:
+    return F.trim(F.translate(line, "\r\t", "  ")) != ""
+
+
 def _lines(df: DataFrame, passages: bool) -> DataFrame:
     """With columns lines and spans (first line and number of lines of each chunk or pair)."""
     df = df.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     if passages:
-        solid = F.transform("lines", lambda x, i: F.when(F.trim(F.translate(x, "\r\t", "  ")) != "", i + 1))
+        solid = F.transform("lines", lambda x, i: F.when(_solid(x), i + 1))
         df = df.withColumn("solid", F.filter(solid, lambda i: i.isNotNull()))
         after = F.slice("solid", 2, F.size("solid"))
         return df.withColumn("spans", F.zip_with(F.slice("solid", 1, F.size(after)), after, lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("n")))).drop("solid")
@@ -60,25 +65,25 @@ def _numbers(spans: Column, places: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(chosen, lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1))))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False) -> DataFrame:
-    """All columns of ``docs`` with the text reduced, and n_lines and n_removed (lines).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passages: bool = False, results: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of ``docs`` with the text reduced, and the ``results``: the text's lines and the lines removed.
 
     A null text counts as empty and becomes an empty one; a text of one line
     has no multi-line chunk and stays.  Rows with equal id and text are one
     occurrence: each keeps the chunks of which they are the first.  A null id
-    comes after all others.  ``docs`` must have no columns named as the two
-    results.
+    comes after all others.  A column of ``docs`` named as a result is replaced
+    by it; other names never clash.
     """
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    others = [c for c in docs.columns if c not in (id_col, text_col, *results)]
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*others).alias("rest") if others else F.lit(None).cast("int").alias("rest"))
     rows = rows.withColumn("print", F.unhex(F.md5("text")))
     plain = _lines(rows.select("id", "print", "text"), passages)
-    chunks = plain.select("id", "print", F.posexplode(F.transform("spans", lambda s: F.struct(F.unhex(F.md5(_text(F.col("lines"), s))).alias("hash"), (F.size(F.filter(F.slice(F.col("lines"), s["first"], s["n"]), lambda x: F.trim(x) != "")) > 1).alias("many")))).alias("place", "chunk"))
+    chunks = plain.select("id", "print", F.posexplode(F.transform("spans", lambda s: F.struct(F.unhex(F.md5(_text(F.col("lines"), s))).alias("hash"), (F.size(F.filter(F.slice(F.col("lines"), s["first"], s["n"]), _solid)) > 1).alias("many")))).alias("place", "chunk"))
     chunks = materialize(chunks.where("chunk.many").select("id", "print", "place", F.col("chunk.hash").alias("hash")), "chunks")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "print", "place")
     repeated = chunks.groupBy("hash").agg(F.max(at).alias("last"), F.min(at).alias("keeper")).where("last != keeper").select("hash", "keeper")
     # what is joined grows with the input, so all joins sort at every size
-    again = chunks.join(repeated.hint("merge"), "hash")
+    again = join_hot(chunks, repeated, "hash")
     where = materialize(again.groupBy("id", "print").agg(F.collect_set(F.struct("place", "hash", (at != F.col("keeper")).alias("later"))).alias("found")), "found")
 
     # the bytes of repeated chunks: those of later occurrences are compared with the keeper's
@@ -87,7 +92,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bytes_ = held.select("id", "print", "lines", "spans", F.explode(F.transform("found", lambda f: F.struct(f["place"].alias("place"), f["hash"].alias("hash"), f["later"].alias("later"), _text(F.col("lines"), F.element_at(F.col("spans"), f["place"] + 1)).alias("body")))).alias("f")).select("id", "print", "f.*")
     bytes_ = materialize(bytes_, "bodies")
     first = bytes_.where("not later").select("hash", F.col("body").alias("kept")).dropDuplicates(["hash"])
-    gone = bytes_.where("later").join(first.hint("merge"), "hash").where("body = kept")
+    gone = join_hot(bytes_.where("later"), first, "hash").where("body = kept")
     if passages:  # pairs overlap: the lines of first occurrences are needed beside those that go
         gone = gone.select("id", "print", "place", "later").unionByName(bytes_.where("not later").select("id", "print", "place", "later"))
         sets = gone.groupBy("id", "print").agg(F.collect_set(F.when(F.col("later"), F.col("place"))).alias("gone"), F.collect_set(F.when(~F.col("later"), F.col("place"))).alias("first")).where(F.size("gone") > 0)
@@ -106,4 +111,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text, lost = _chunks_left()
     result = touched.select("id", text.alias("text"), "rest", F.size("lines").cast("long").alias("n_lines"), lost.cast("long").alias("n_removed"))
     named = {id_col: F.col("id"), text_col: F.col("text")}
-    return result.select(*(named.get(c, F.col("rest")[c] if others else F.lit(None)).alias(c) for c in docs.columns), "n_lines", "n_removed")
+    return result.select(*(named.get(c, F.col("rest")[c] if others else F.lit(None)).alias(c) for c in docs.columns if c not in results), F.col("n_lines").alias(results[0]), F.col("n_removed").alias(results[1]))

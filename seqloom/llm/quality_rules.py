@@ -4,11 +4,16 @@ Base statistics of every whole text give three rule metrics (parts per
 thousand): symbols among word characters, repeated lines, repeated words.  A
 ladder of ``LEVELS`` settings makes all rules stricter step by step.  On
 labelled good documents, per stratum, the false rejections of each setting
-are bounded from above by an exact (Clopper-Pearson) binomial bound.  Bonferroni's
-correction over strata and settings holds all bounds at once with confidence
-1 - delta; the strictest setting bounded by ``alpha`` is taken.  Where the
-labels cannot guarantee any setting, no document of the stratum is rejected
-by it.
+are bounded from above by an exact (Clopper-Pearson) binomial bound.  The
+settings of a stratum are tested from loose to strict, stopping at the first
+whose bound exceeds ``alpha``: a fixed sequence of tests holds its level
+without a correction, and Bonferroni's correction over the strata holds all
+bounds at once with confidence 1 - delta.  Where the labels cannot guarantee
+any setting, no document of the stratum is rejected by it.
+
+The bound needs independent draws, so a labelled document counts once, however
+often its id or its text is given.  It covers the documents that pass the base
+rule; what the base rule rejects is not part of it.
 """
 
 from __future__ import annotations
@@ -87,8 +92,7 @@ def choose_levels(tally: DataFrame, alpha: float, delta: float) -> DataFrame:
     ``tally`` has stratum, level (the first setting that rejects, or the
     number of settings) and n (labelled good documents).
     """
-    strata = max(1, tally.select("stratum").distinct().count())
-    risk = delta / (strata * len(LEVELS))
+    risk = delta / max(1, tally.select("stratum").distinct().count())
 
     def pick(table: pa.Table) -> pa.Table:
         counts = np.zeros(len(LEVELS) + 1, np.int64)
@@ -108,7 +112,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row for each document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum, level, cut, and ``key_col`` if given.
 
     ``labels`` (id, quality 0/1) may hold an id more than once: it is good if
-    all its labels say so; null labels are ignored.  Null texts have no words
+    all its labels say so; null labels are ignored.  An id or text given more
+    than once counts once for the bounds, with the first setting that rejects it.  Null texts have no words
     and fail the base rule; a null stratum is the stratum ''.  Every row of
     ``docs`` gets one result, rows given twice too.  Other columns are ignored.
     """
@@ -122,13 +127,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             for i in range(len(LEVELS) - 1, -1, -1):
                 level[np.any([m > cut for m, cut in zip(metrics, LEVELS[i], strict=True)], axis=0)] = i
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(c[x], pa.int64()) for x in names), pa.array(failed), pa.array(level)], ["id", "stratum", "key", *names, "base_failed", "level"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), *(pa.array(c[x], pa.int64()) for x in names), pa.array(failed), pa.array(level)], ["id", "stratum", "key", "print", *names, "base_failed", "level"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, stratum string, key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int"
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("string").alias("key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("print"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, stratum string, key string, print string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, level int"
     digest = materialize(rows.mapInArrow(measure, schema), "digest")
     good = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality")).where("quality = 1")
-    tally = digest.where("not base_failed").join(good, "id", "left_semi").groupBy("stratum", "level").agg(F.count("*").alias("n"))
+    once = digest.where("not base_failed").join(good, "id", "left_semi").groupBy("stratum", "id").agg(F.min("print").alias("print"), F.min("level").alias("level"))
+    tally = once.groupBy("stratum", "print").agg(F.min("level").alias("level")).groupBy("stratum", "level").agg(F.count("*").alias("n"))
     cuts = choose_levels(materialize(tally, "tally"), alpha, delta)
     out = digest.join(cuts, "stratum", "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
     kept = ~F.col("base_failed") & (F.col("level") > F.col("cut"))

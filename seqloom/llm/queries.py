@@ -121,7 +121,7 @@ with l as (
 ), k as (
   select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as chunk from r
 ), b as (
-  select doc_id, chunk, string_agg(line, chr(10) order by i) as body, count(*) as n, sum((trim(line) <> '')::int) as solid from k group by doc_id, chunk
+  select doc_id, chunk, string_agg(line, chr(10) order by i) as body, count(*) as n, sum((trim(translate(line, chr(9) || chr(13), '  ')) <> '')::int) as solid from k group by doc_id, chunk
 ), f as (
   select *, case when solid > 1 then row_number() over (partition by body, solid > 1 order by doc_id, chunk) else 1 end as nth from b
 )
@@ -186,7 +186,7 @@ with w as (
 ), ln as (
   select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id
 ), b as (
-  select doc_id, stratum, len(ws) as n_words, len(array_to_string(ws, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  select doc_id, text, stratum, len(ws) as n_words, len(array_to_string(ws, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
          coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
   from w left join ln using (doc_id) left join rep using (doc_id)
 ), lev(i, sy, du, re) as (values LADDER), l as (
@@ -195,10 +195,12 @@ with w as (
   from b
 ), good as (
   select doc_id from labels where quality is not null group by doc_id having min(quality) = 1
+), once as (
+  select stratum, print, min(level) as level from (select stratum, doc_id, min(md5(text)) as print, min(level) as level from l join good using (doc_id) where not base_failed group by 1, 2) group by 1, 2
 ), t as (
-  select stratum, i, count(*) as n, count_if(level <= i)::bigint as errors from l join good using (doc_id) cross join (select i from lev) where not base_failed group by stratum, i
+  select stratum, i, count(*) as n, count_if(level <= i)::bigint as errors from once cross join (select i from lev) group by stratum, i
 ), risk as (
-  select DELTA / (greatest(count(distinct stratum), 1) * STEPS) as risk from t
+  select DELTA / greatest(count(distinct stratum), 1) as risk from t
 ), f as (
   select stratum, i, errors <= ALPHA * n and (select sum(exp(lgamma(n + 1) - (case when x = 0 then 0 else lgamma(x + 1) end) - (case when x = n then 0 else lgamma(n - x + 1) end) + x * ln(ALPHA) + (n - x) * ln(1 - ALPHA))) from (select unnest(range(0, errors + 1)) as x)) <= risk as ok from t, risk
 ), cut as (
