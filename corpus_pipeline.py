@@ -23,47 +23,58 @@ from seqloom.plans.scratch import materialize
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With row_key: the same for rows with equal doc_id and text, never null."""
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, which ``docs`` has no column of (names differ in more than case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a row key, and its name: the same for rows with equal doc_id and text, never null."""
+    key = _free(docs, "row_key")
     text = F.coalesce(F.md5("text"), F.lit("null"))
-    return docs.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text)))
+    return docs.withColumn(key, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text))), key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or the calibrated rules go."""
-    keyed = _keyed(docs)
-    verdicts = quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col="row_key")
-    return keyed.join(verdicts.where("kept").select("row_key").distinct().hint("merge"), "row_key", "left_semi").select(docs.columns)
+    keyed, key = _keyed(docs)
+    verdicts = quality_rules(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), key_col=key)
+    return keyed.join(verdicts.where("kept").select(key).distinct().hint("merge"), key, "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go, then what is left of repeated passages of two lines or more; so do documents of which nothing but blanks is left by that."""
-    chunks = materialize(line_dedup(docs).drop("n_lines").withColumnRenamed("n_removed", "n_before"), "chunks_gone")
-    reduced = line_dedup(chunks, passages=True)
-    rest = reduced.where((F.col("n_before") + F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
+    total, before, now = (_free(docs, x) for x in ("lines_total", "lines_before", "lines_now"))
+    chunks = materialize(line_dedup(docs, results=(total, before)).drop(total), "chunks_gone")
+    reduced = line_dedup(chunks, passages=True, results=(total, now))
+    rest = reduced.where((F.col(before) + F.col(now) == 0) | (F.trim(F.translate("text", "\n\r\t", "   ")) != ""))
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group stays; of equal rows one stays."""
-    keyed = _keyed(docs)
-    groups = jaccard_components(keyed.withColumn("pair", F.struct("doc_id", "row_key")), id_col="pair")
-    chosen = groups.where("pair = component_id").select(F.col("pair.row_key").alias("row_key")).distinct().hint("merge")
-    return keyed.join(chosen, "row_key", "left_semi").dropDuplicates(["row_key"]).select(docs.columns)
+    keyed, key = _keyed(docs)
+    pair = _free(keyed, "pair")
+    groups = jaccard_components(keyed.withColumn(pair, F.struct(F.col("doc_id"), F.col(key).alias("row_key"))), id_col=pair)
+    chosen = groups.where(F.col(pair) == F.col("component_id")).select(F.col(f"{pair}.row_key").alias(key)).distinct().hint("merge")
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    keyed = _keyed(docs)
-    leaks = find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key")
-    return keyed.join(materialize(leaks.select("row_key").distinct(), "leaks").hint("merge"), "row_key", "left_anti").select(docs.columns)
+    keyed, key = _keyed(docs)
+    leaks = find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return keyed.join(materialize(leaks.select(key).distinct(), "leaks").hint("merge"), key, "left_anti").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and the round trip of what is left, as digests."""
+    """Token ids of what is left, with digests of them and of the round trip."""
     import public_tokenizers
 
-    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontamination), ("byte_level_bpe", encoding)]
