@@ -32,6 +32,13 @@ KINDS = [
     ("Locus", r"(?i)^[A-Z]{2,5}[0-9]{3,4}$"),
 ]
 KIND_RANKS = {"RefSeq": 0, "GenBank-protein": 0, "MGnify": 0, "UniProt": 1, "UniProt/locus": 1, "Nucleotide": 1, "Locus": 1, "PDB": 2}
+#: Whether accessions name nucleotides, tried in this order.
+MOLECULES = [
+    ("^(AC|NC|NG|NM|NR|NT|NW|NZ|XM|XR)_", True),
+    ("^MGYP", False),
+    ("^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$", False),
+    ("^([A-Z][0-9]{5}|[A-Z]{2}[0-9]{6}|[A-Z]{2}[0-9]{8})$", True),
+]
 PROTEIN_KINDS = ("RefSeq", "GenBank-protein")
 
 
@@ -56,12 +63,10 @@ def kind_rank(kind: Column) -> Column:
 def is_nucleotide(x: Column | str) -> Column:
     """Nucleotide accessions; MGnify and UniProt ids come first and are none."""
     value = F.upper(F.split_part(stripped(x), F.lit("."), F.lit(1)))
-    return (
-        F.when(value.rlike("^(AC|NC|NG|NM|NR|NT|NW|NZ|XM|XR)_"), True)
-        .when(value.rlike("^MGYP"), False)
-        .when(value.rlike("^([OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2})$"), False)
-        .otherwise(value.rlike("^([A-Z][0-9]{5}|[A-Z]{2}[0-9]{6}|[A-Z]{2}[0-9]{8})$"))
-    )
+    out = None
+    for pattern, nucleotide in MOLECULES:
+        out = F.when(value.rlike(pattern), nucleotide) if out is None else out.when(value.rlike(pattern), nucleotide)
+    return out.otherwise(F.lit(False))
 
 
 def protein_tokens(x: Column | str) -> Column:

@@ -84,6 +84,45 @@ class Aligner:
         return score, same, length, int(i), ends[0], int(j), ends[1]
 
 
+    def spanning(self, a: str, b: str) -> tuple[int, int, int, int, int]:
+        """Near-global alignment: both sequences from a common end to a common end, gaps beyond the ends free.
+
+        Score, identities, aligned columns (end gaps left out), and the residues of each side in them.
+        """
+        x = np.frombuffer(a.encode("ascii", "replace"), np.uint8)
+        y = np.frombuffer(b.encode("ascii", "replace"), np.uint8)
+        if not len(x) or not len(y):
+            return 0, 0, 0, 0, 0
+        steps = np.arange(len(y) + 1) * self.extend
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        down = np.full(len(y) + 1, -(10**6), np.int64)
+        for i, c in enumerate(x, 1):
+            down = np.maximum(down - self.extend, best[i - 1] - self.open - self.extend)
+            row = down.copy()
+            row[0] = 0  # a gap before the start of b is free
+            row[1:] = np.maximum(row[1:], best[i - 1, :-1] + self.table[c, y])
+            gap = np.maximum.accumulate(row + steps)
+            row[1:] = np.maximum(row[1:], gap[:-1] - steps[1:] - self.open)
+            best[i] = row
+        i, j = max(((len(x), int(best[-1].argmax())), (int(best[:, -1].argmax()), len(y))), key=lambda e: best[e])
+        score, ends, same, columns = int(best[i, j]), (i, j), 0, 0
+        while i > 0 and j > 0:
+            here = best[i, j]
+            if here == best[i - 1, j - 1] + self.table[x[i - 1], y[j - 1]]:
+                same += int(x[i - 1] == y[j - 1])
+                i, j, columns = i - 1, j - 1, columns + 1
+                continue
+            hit = np.flatnonzero(best[:i, j] - self.open - self.extend * np.arange(i, 0, -1) == here)
+            if len(hit):
+                columns += int(i - hit[-1])
+                i = int(hit[-1])
+                continue
+            hit = np.flatnonzero(best[i, :j] - self.open - self.extend * np.arange(j, 0, -1) == here)
+            columns += int(j - hit[-1])
+            j = int(hit[-1])
+        return score, same, columns, ends[0] - i, ends[1] - j
+
+
 def bit_score(raw: float) -> float:
     return (LAMBDA * raw - np.log(K)) / np.log(2)
 
@@ -112,6 +151,29 @@ def align_pairs(pairs: DataFrame, a: str, b: str, seq_a: str, seq_b: str, databa
     return rows.mapInArrow(run, f"a {kind}, b {rows.schema['b'].dataType.simpleString()}, pct_id double, evalue double, bits double, qcov double, scov double")
 
 
+def near_global(pairs: DataFrame, a: str, b: str, seq_a: str, seq_b: str, scores: dict | None = None) -> DataFrame:
+    """(a, b, pct_id, qcov, scov) of each candidate pair by near-global alignment: identities over columns without end gaps."""
+    aligner = Aligner(scores or default_scores())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (x or "").upper(), (y or "").upper()
+                _, same, columns, in_x, in_y = aligner.spanning(x, y)
+                out.append((100.0 * same / columns if columns else 0.0, in_x / max(len(x), 1), in_y / max(len(y), 1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in out], pa.float64()) for i in range(3))], ["a", "b", "pct_id", "qcov", "scov"])
+
+    rows = pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(seq_a), F.col(seq_b))
+    return rows.mapInArrow(run, f"a {rows.schema['a'].dataType.simpleString()}, b {rows.schema['b'].dataType.simpleString()}, pct_id double, qcov double, scov double")
+
+
+def best_reference(hits: DataFrame, query: str, reference: str, least: float, order: str) -> DataFrame:
+    """Closed reference: each query's reference with the highest identity of at least ``least``; of equals the first by ``order``."""
+    good = hits.where(F.col("pct_id") >= least)
+    return good.groupBy(query).agg(F.max_by(F.struct(reference, "pct_id"), F.struct("pct_id", -F.col(order))).alias("x")).select(query, "x.*")
+
+
 def shared_words(sequences: DataFrame, node: str, sequence: str, k: int = 5, least: int = 2) -> DataFrame:
     """Candidate pairs (a, b, shared) with at least ``least`` common words of k residues."""
     words = sequences.select(F.col(node).alias("node"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(sequence), F.lit(f"(?=(.{{{k}}}))"), 1))).alias("word"))

@@ -36,6 +36,29 @@ CLANS = [
     ["nitrilase"],
 ]
 GENERIC = ["ab_hydrolase", "hydrolase"]
+#: Families that laboratory codes such as PpCutA, EstB or LCC hint at, as patterns over lower-case names.
+CODE_HINTS = [
+    (r"petase", "pet_hydrolase"),
+    (r"mhetase", "mhetase"),
+    (r"\bbta[-_ ]?\d*\b", "pet_hydrolase"),
+    (r"\blcc\b|leaf.?compost|leaf.?branch", "cutinase"),
+    (r"cut(?:in)?(?:ase)?[a-z]?\d*\b|\bcut\d+", "cutinase"),
+    (r"\best(?:erase)?[a-z]?\d*\b", "esterase"),
+    (r"lip(?:ase)?[a-z]?\d*\b", "lipase"),
+    (r"\bpe[-_]?h\b", "pet_hydrolase"),
+    (r"protease|peptidase|subtilisin", "protease"),
+    (r"laccase", "laccase"),
+    (r"peroxidase", "peroxidase"),
+    (r"amidase", "amidase"),
+    (r"urethanase", "urethanase"),
+    (r"depolymerase", "depolymerase"),
+    (r"tannase", "tannase"),
+    (r"nitrilase", "nitrilase"),
+    (r"\bpet\d*\b|\bpet[a-z]?\b", "pet_hydrolase"),
+]
+#: Titles that describe no function; characters that separate words.
+UNINFORMATIVE = r"(?i)^(?:hypothetical|uncharacterized|unnamed|predicted|putative uncharacterized)\b|^protein of unknown function|^(?:conserved )?(?:hypothetical )?protein\s+\S+$"
+SEPARATORS = r"[^a-z0-9()/\- ]+"
 
 
 def families(text: Column, forms: dict[str, list[str]] = FORMS, weakest: str = "hydrolase") -> Column:
@@ -44,7 +67,7 @@ def families(text: Column, forms: dict[str, list[str]] = FORMS, weakest: str = "
     A form that contains another of the same family adds nothing, so only the
     shortest are listed.
     """
-    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9()/\- ]+", " "), F.lit(" "))
+    low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "), F.lit(" "))
     flags = []
     for family in sorted(forms):
         hit = F.lit(False)
@@ -67,6 +90,14 @@ def agreement(a: Column, b: Column, clans: list[list[str]] = CLANS, generic: lis
     )
 
 
+def families_of_name(name: Column, weakest: str = "hydrolase") -> Column:
+    """Sorted families of an enzyme's name: those in its words, and those that its laboratory code hints at."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    hinted = F.filter(F.array(*(F.when(low.rlike(pattern), F.lit(family)) for pattern, family in CODE_HINTS)), lambda f: f.isNotNull())
+    found = F.array_sort(F.array_union(families(name), hinted))
+    return F.when(F.size(found) > 1, F.array_remove(found, weakest)).otherwise(found)
+
+
 def uninformative(title: Column) -> Column:
     """Titles that describe no function."""
-    return title.rlike(r"(?i)^(?:hypothetical|uncharacterized|unnamed|predicted|putative uncharacterized)\b|^protein of unknown function|^(?:conserved )?(?:hypothetical )?protein\s+\S+$")
+    return title.rlike(UNINFORMATIVE)

@@ -109,12 +109,16 @@ def dois(x: Column | str) -> Column:
     return F.filter(F.transform(parts, doi), lambda d: F.startswith(d, F.lit("10.")))
 
 
+#: Decorations of record titles.
+DECORATIONS = (r"(?i)^MULTISPECIES:\s*", r"(?i)^MAG(\s+TPA)?:\s*", r"(?i)^Chain\s+[A-Z0-9]+,\s*", r"(?i)^RecName:\s*Full=", r"(?i);\s*(AltName|Flags|Short)\b.*$", r"\s*;\s*$")
+
+
 def title_parts(x: Column | str) -> Column:
     """A record title without decorations, and the organism in its closing brackets."""
     raw = stripped(x)
     organism = F.regexp_extract(raw, r"\[([^\[\]]+)\]\s*$", 1)
     text = F.when(organism != "", F.regexp_replace(raw, r"\s*\[[^\[\]]+\]\s*$", "")).otherwise(raw)
-    for pattern in (r"(?i)^MULTISPECIES:\s*", r"(?i)^MAG(\s+TPA)?:\s*", r"(?i)^Chain\s+[A-Z0-9]+,\s*", r"(?i)^RecName:\s*Full=", r"(?i);\s*(AltName|Flags|Short)\b.*$", r"\s*;\s*$"):
+    for pattern in DECORATIONS:
         text = F.regexp_replace(text, pattern, "")
     return F.struct(stripped(text).alias("title"), stripped(organism).alias("organism"))
 
@@ -163,10 +167,20 @@ def listed(x: Column | str, delimiter: str = ";") -> Column:
     return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), delimiter), stripped), lambda t: t != "")
 
 
+#: Accessions in running text, of RefSeq, of INSD, of MGnify and of UniProt.
+FREE_ACCESSION = r"\b((?:[A-Z]{2}_\d{6,9}|[A-Z]{3}\d{5,7}|MGYP\d{9,}|[OPQ]\d[A-Z0-9]{3}\d|[A-NR-Z]\d[A-Z][A-Z0-9]{2}\d(?:[A-Z][A-Z0-9]{2}\d)?)(?:\.\d+)?)\b"
+
+
 def free_accessions(x: Column | str) -> Column:
-    """Accessions named in running text, article ids left out."""
+    """Accessions named in running text, each once without its version, article ids left out."""
     text = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"PMC\d+", " ")
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{3}\d{5,7}(?:\.\d+)?|[WNXY]P_\d{6,9}(?:\.\d+)?)\b"), 1))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FREE_ACCESSION), 1), without_version))
+
+
+def free_sequences(x: Column | str, least: int = 40) -> Column:
+    """Sequences of FASTA records in a text (what precedes the first header counts too), letters only, of at least ``least`` residues."""
+    records = F.split(F.concat(F.lit("\n"), F.regexp_replace(F.coalesce(_c(x), F.lit("")), "\r\n?", "\n")), "\n>[^\n]*")
+    return F.filter(F.transform(records, letters), lambda s: F.length(s) >= least)
 
 
 def looks_like_sequence(x: Column | str) -> Column:

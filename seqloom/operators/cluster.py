@@ -53,22 +53,102 @@ def _kernel(kind: str, cover: float):
     return run
 
 
-def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float = 0.9) -> DataFrame:
+#: Nodes and links of a component that one task may hold; larger components are clustered in rounds of joins.
+KERNEL_ROWS = 200_000
+
+
+def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float = 0.9, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
     """(node, centroid).  ``nodes``: node, ord, len (longs); ``links``: node, other, cover: how much of node other covers.
 
     'cover': the node that covers most uncovered nodes comes next, ties by ord.
     'length': longest first; a node joins the best existing centroid, or becomes one.
-    The kernels run per connected component of the links that pass.
+    A connected component of the links that pass is clustered in one task if it
+    has at most ``kernel_rows`` nodes and links, else in rounds of joins; both
+    give the same clusters.
     """
-    strong = links.where(F.col("cover") >= cover)
-    roots = partition(nodes, "node", strong, "node", "other")
+    strong = links.where(F.col("cover") >= cover).where("node <> other")
+    strong = strong.join(nodes.select("node"), "node", "left_semi").join(nodes.select(F.col("node").alias("other")), "other", "left_semi")
+    strong = strong.groupBy("node", "other").agg(F.max("cover").alias("cover"))
+    roots = materialize(partition(nodes, "node", strong, "node", "other"), "roots")
     own = nodes.join(roots, "node").select("root", F.lit(0).alias("tag"), "node", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("cover"), "ord", "len")
     tied = strong.join(roots, "node").select("root", F.lit(1).alias("tag"), "node", "other", "cover", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("len"))
+    every = materialize(own.unionByName(tied), "tagged")
     # a component of one node needs no kernel
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    alone = roots.join(sizes.where("n = 1"), "root").select("node", F.col("node").alias("centroid"))
-    several = own.unionByName(tied).join(sizes.where("n > 1").select("root"), "root")
-    return several.groupBy("root").applyInPandas(_kernel(kind, cover), "node long, centroid long").unionByName(alone)
+    sizes = materialize(every.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    alone = roots.join(sizes.select("root"), "root", "left_anti").select("node", F.col("node").alias("centroid"))
+    several = every.join(sizes.where(F.col("n") <= kernel_rows).select("root"), "root")
+    out = several.groupBy("root").applyInPandas(_kernel(kind, cover), "node long, centroid long").unionByName(alone)
+    large = sizes.where(F.col("n") > kernel_rows).select("root")
+    if large.isEmpty():
+        return out
+    rows = every.join(large, "root")
+    rounds = _cover_rounds if kind == "cover" else _length_rounds
+    return out.unionByName(rounds(rows.where("tag = 0").select("node", "ord", "len"), rows.where("tag = 1").select("node", "other", "cover")))
+
+
+def _cover_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each round takes all nodes that come before every node within two links of them.
+
+    Nothing that is taken before such a node can change how many it covers, so
+    the rounds take the same nodes as the one order would.
+    """
+    nodes, links, done = materialize(nodes.select("node", "ord"), "open"), materialize(links.select("node", "other"), "links"), None
+    while not nodes.isEmpty():
+        gain = links.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("gain"))
+        rank = nodes.join(gain, "node", "left").select("node", F.struct(F.coalesce("gain", F.lit(0)).alias("gain"), (-F.col("ord")).alias("first"), "node").alias("rank"))
+        rank = materialize(rank, "ranks")
+        both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
+        best = rank
+        for _ in range(2):  # the best rank within one link, then within two
+            seen = both.join(best.select(F.col("node").alias("other"), "rank"), "other").select("node", "rank")
+            best = seen.unionByName(best).groupBy("node").agg(F.max("rank").alias("rank"))
+        taken = materialize(best.where("rank.node = node").select("node"), "taken")
+        members = links.join(taken.select(F.col("node").alias("other")), "other", "left_semi").select("node", F.col("other").alias("centroid"))
+        found = materialize(members.unionByName(taken.select("node", F.col("node").alias("centroid"))), "found")
+        done = found if done is None else done.unionByName(found)
+        gone = found.select("node")
+        nodes = materialize(nodes.join(gone, "node", "left_anti"), "open")
+        links = materialize(links.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("other")), "other", "left_anti"), "links")
+    return done
+
+
+def _length_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Each round decides the nodes all of whose earlier coverers are decided: without a centroid among these they become one."""
+    place = F.struct((-F.col("len")).alias("k"), "ord", "node")
+    nodes = materialize(nodes.select("node", "ord", place.alias("place")), "nodes")
+    before = links.join(nodes.select("node", "place"), "node").join(nodes.select(F.col("node").alias("other"), F.col("ord").alias("other_ord"), F.col("place").alias("other_place")), "other")
+    before = materialize(before.where("other_place < place").select("node", "other", "cover", "other_ord"), "before")
+    left, done = nodes.select("node"), None
+    while not left.isEmpty():
+        waiting = before.join(left.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
+        ready = left.join(waiting, "node", "left_anti")
+        if done is None:
+            found = ready.select("node", F.col("node").alias("centroid"))
+        else:
+            heads = done.where("node = centroid").select(F.col("node").alias("other"))
+            best = before.join(ready, "node", "left_semi").join(heads, "other", "left_semi").groupBy("node").agg(F.max_by("other", F.struct("cover", -F.col("other_ord"))).alias("best"))
+            found = ready.join(best, "node", "left").select("node", F.coalesce("best", "node").alias("centroid"))
+        found = materialize(found, "found")
+        done = found if done is None else done.unionByName(found)
+        left = materialize(left.join(found.select("node"), "node", "left_anti"), "left")
+    return done
+
+
+def hierarchy(nodes: DataFrame, links: DataFrame, covers: list[float], kind: str = "cover") -> DataFrame:
+    """(node, level, centroid): nodes clustered at the first cover, their centroids at the next, and so on.
+
+    Every node is carried forward: at each level it has the centroid of its
+    centroid of the level before.
+    """
+    held, out = nodes.select("node", F.col("node").alias("at")), None
+    for level, cover in enumerate(covers):
+        heads = nodes.join(held.select(F.col("at").alias("node")).distinct(), "node", "left_semi")
+        own = links.join(heads.select("node"), "node", "left_semi").join(heads.select(F.col("node").alias("other")), "other", "left_semi")
+        found = greedy(heads, own, kind, cover).select(F.col("node").alias("at"), "centroid")
+        held = materialize(held.join(found, "at").select("node", F.col("centroid").alias("at")), "level")
+        part = held.select("node", F.lit(level).alias("level"), F.col("at").alias("centroid"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def recruit(links: DataFrame, seeds: DataFrame, cover: float = 0.9) -> DataFrame:

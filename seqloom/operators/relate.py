@@ -100,25 +100,38 @@ def without_tokens(df: DataFrame, tokens: Column, seeds: DataFrame, seed: str) -
     return held.join(hit, "_id", "left_anti").drop("_id")
 
 
+#: Characters of a very short text that lead to the texts that may hold it.
+GRAM = 8
+
+
 def containment(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
     """(short_id, long_id) where a shorter text is part of a longer one.
 
-    Texts are cut at single spaces.  If the short text has five tokens or more,
-    its second to fourth token are whole tokens of the long text as well, so
-    the rarest way in is an equi-join on three successive tokens.  Shorter
-    texts are compared with all long ones; there are few of them, and they are
-    broadcast only within a size that Spark checks.
+    Every short text has an anchor that a text holding it must have too, so
+    candidates come from equi-joins of ids: of five or more tokens (cut at
+    single spaces) the second to fourth, of three or four the second, else its
+    first characters, ``GRAM`` of them or all.  Whole texts are read for the
+    candidates only.  Null and empty texts are in nothing and hold nothing.
     """
-    s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s is not null and s <> ''").withColumn("t", F.split("s", " "))
-    l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l is not null")  # noqa: E741
-    anchored = s.where(F.size("t") >= 5).withColumn("anchor", F.concat_ws(" ", F.slice("t", 2, 3))).drop("t")
-    ts = l.withColumn("t", F.split("l", " ")).where(F.size("t") >= 5)
+    s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s <> ''").withColumn("t", F.split("s", " "))
+    l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l <> ''")  # noqa: E741
+    size = F.size("t")
+    kind = F.when(size >= 5, -2).when(size >= 3, -1).otherwise(F.least(F.length("s"), F.lit(GRAM)))
+    anchor = F.when(size >= 5, F.concat_ws(" ", F.slice("t", 2, 3))).when(size >= 3, F.get("t", F.lit(1))).otherwise(F.substring("s", 1, GRAM))
+    anchored = s.select("s_id", kind.alias("kind"), anchor.alias("anchor"), F.length("s").alias("s_length"))
+    words = l.select("l_id", F.length("l").alias("l_length"), "l", F.split("l", " ").alias("t"))
     trigrams = F.zip_with(F.zip_with("t", F.slice("t", 2, F.size("t")), lambda a, b: F.concat_ws(" ", a, b)), F.slice("t", 3, F.size("t")), lambda ab, c: F.concat_ws(" ", ab, c))
-    keyed = ts.select("l_id", "l", F.explode(F.array_distinct(trigrams)).alias("anchor"))
-    meets = (F.length("s") < F.length("l")) & F.col("l").contains(F.col("s"))
-    found = keyed.join(anchored, "anchor").where(meets).select("s_id", "l_id")
-    few = s.where(F.size("t") < 5).drop("t").join(l, meets).select("s_id", "l_id")
-    return found.unionByName(few).distinct().withColumnsRenamed({"s_id": short_id, "l_id": long_id} if short_id != long_id else {"s_id": "short_id", "l_id": "long_id"})
+    found = None
+    for n in sorted(r.kind for r in anchored.select("kind").distinct().collect()):  # at most GRAM + 2 kinds
+        ways = F.filter(trigrams, lambda x: x.isNotNull()) if n == -2 else F.col("t") if n == -1 else F.regexp_extract_all("l", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+        keyed = words.select("l_id", "l_length", F.explode(F.array_distinct(ways)).alias("anchor"))
+        part = keyed.join(anchored.where(F.col("kind") == n), "anchor").where("s_length < l_length").select("s_id", "l_id")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = s.select("s_id").join(l.select("l_id"), F.lit(False))
+    found = materialize(found.distinct(), "candidates")
+    read = found.join(s.select("s_id", "s"), "s_id").join(l, "l_id").where((F.length("s") < F.length("l")) & F.col("l").contains(F.col("s")))
+    return read.select("s_id", "l_id").distinct().withColumnsRenamed({"s_id": short_id, "l_id": long_id} if short_id != long_id else {"s_id": "short_id", "l_id": "long_id"})
 
 
 def containment_place(short: Column, long: Column) -> Column:

@@ -141,12 +141,61 @@ def test_alignment():
     aligner = align.Aligner(align.default_scores())
     score, same, length, *_ = aligner.local("AAAWWWKKKDDD", "WWWKKKDDD")
     assert (same, length) == (9, 9) and score == 3 * 9 + 6 * 5
-    score, same, length, *_ = aligner.local("WWWWWKKKKK", "WWWWWGKKKKK")
-    assert (same, length) == (10, 11) and score == 5 * 9 + 5 * 5 - 12
+    score, same, length, *_ = aligner.local("WWWWWKKKKKKKKKK", "WWWWWGGKKKKKKKKKK")  # the gap of two wins
+    assert (same, length) == (15, 17) and score == 5 * 9 + 10 * 5 - 13
     assert aligner.local("", "A")[0] == 0
     assert align.e_value(10, 100, 1000) == pytest.approx(2 * align.e_value(10, 100, 500))
 
 
+def plain_scores(a, b, table, free):
+    """Affine-gap scores by the plain program: the best local one, and the best from a common start to a common end."""
+    low = -(10**9)
+    m = [[0 if free or not i or not j else low for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    x, y = ([[low] * (len(b) + 1) for _ in range(len(a) + 1)] for _ in range(2))
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            x[i][j] = max(m[i - 1][j] - 12, x[i - 1][j] - 1)
+            y[i][j] = max(m[i][j - 1] - 12, y[i][j - 1] - 1)
+            m[i][j] = max(m[i - 1][j - 1] + table[a[i - 1]][b[j - 1]], x[i][j], y[i][j], *([0] if free else []))
+    return max(max(r) for r in m) if free else max(max(m[-1]), max(r[-1] for r in m))
+
+
+def test_alignments_equal_a_plain_program():
+    import random
+
+    rng, table = random.Random(4), align.default_scores()
+    aligner = align.Aligner(table)
+    for _ in range(150):
+        a = "".join(rng.choice("WKADP") for _ in range(rng.randrange(1, 14)))
+        b = "".join(c for c in a if rng.random() < 0.8) + rng.choice(["", "KK", "WA"]) if rng.random() < 0.6 else "".join(rng.choice("WKADP") for _ in range(rng.randrange(1, 14)))
+        if b:
+            assert aligner.local(a, b)[0] == plain_scores(a, b, table, True)
+            assert aligner.spanning(a, b)[0] == plain_scores(a, b, table, False)
+    assert aligner.spanning("AAWWKKDD", "WWKKDD")[1:] == (6, 6, 6, 6)
+
+
+@pytest.mark.parametrize("kind", ["cover", "length"])
+def test_rounds_of_joins_cluster_like_the_kernel(spark, kind):
+    import random
+
+    rng = random.Random(6)
+    nodes = spark.createDataFrame([(i, (i * 37) % 60, rng.randrange(5)) for i in range(60)], "node long, ord long, len long")
+    links = spark.createDataFrame(list({(rng.randrange(60), rng.randrange(60)): 0 for _ in range(110)}), "node long, other long").selectExpr("node", "other", "0.85 + 0.01 * ((node * 7 + other * 3) % 15) as cover")
+    one, many = (sorted(map(tuple, cluster.greedy(nodes, links, kind, 0.9, kernel_rows=n).select("node", "centroid").collect())) for n in (10**6, 1))
+    assert one == many and len(one) == 60
+
+
+def test_containment_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bc", "the", "Öl", "x y", "", "stone"]) for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    texts += [t[rng.randrange(3) : len(t) - rng.randrange(3)] for t in texts] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r.short_id, r.long_id) for r in relate.containment(df, df, "id", "text", "id", "text").collect()}
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and t and len(s) < len(t) and s in t}
+
+
 def test_delimited_files(spark, tmp_path):
     path = tmp_path / "t.tsv"
     path.write_text("﻿id\tseq\tseq\textra\r\n1\tAA\tBB\tx\r\n\r\n2\tCC\r\n", encoding="utf-8")
