@@ -35,12 +35,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Removes a folder when the session's process ends."""
+    atexit.register(_remove, spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written copy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
-    atexit.register(_remove, spark, path)
+    forget_at_exit(spark, path)
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the finished job
     return spark.read.schema(df.schema).parquet(path)
 

@@ -103,6 +103,19 @@ def domain_hits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.get("v", 0).alias("target"), F.get("v", 3).alias("query"), number(5, "query_length"), number(13, "score"), number(15, "hmm_from"), number(16, "hmm_to"))
 
 
+def count_rows(spark: SparkSession, path: str) -> int | None:
+    """The number of rows of a delimited file, null if there is none."""
+    if not exists(spark, path):
+        return None
+    return scan(spark, path)[1].count()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def numbered(df: DataFrame, *order, name: str = "_ord") -> DataFrame:
     """A running number from 0 in the given order, without one task that sorts everything.
 

@@ -19,6 +19,13 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(stripped("value") != "").select("_row", stripped(F.get(parts, 0)).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s+", "").alias("sequence"))
 
 
+def count_records(spark: SparkSession, path: str) -> int | None:
+    """The number of records of a FASTA file, null if there is none."""
+    from .delimited import exists
+
+    return spark.read.text(path).where(F.startswith("value", F.lit(">"))).count() if exists(spark, path) else None
+
+
 def fasta_by_key(records: DataFrame) -> DataFrame:
     """(key, sequence): the header's first token; of equal keys the last record counts."""
     keyed = records.withColumn("key", F.split_part("header", F.lit(" "), F.lit(1)))

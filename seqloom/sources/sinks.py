@@ -56,3 +56,12 @@ def markdown(df: DataFrame, limit: int = 100) -> str:
     rows = df.limit(limit).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
     return head + "".join("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n" for r in rows)
+
+
+def write_full_and_slim(df: DataFrame, path: str, slim_path: str, columns: list[str], slim_columns: list[str]) -> None:
+    """A table and its short form, computed once."""
+    from ..plans.scratch import materialize
+
+    held = materialize(df, "full")
+    write_table(held, path, columns)
+    write_table(held, slim_path, slim_columns)
