@@ -1,11 +1,18 @@
-"""Finding keys that occur twice, without shuffling a row for each key.
+"""Counting keys over all documents, without shuffling a row for each key.
 
 Documents are packed into blocks of a few megabytes and written once, so a
 block keeps its number and its contents whatever is lost or run again.  Each
 block sends the sorted distinct 64-bit keys of its documents to buckets (key
-ranges) as delta-coded byte planes.  A bucket answers each block with one bit
-for each key: does it occur elsewhere?  A key that a third of all documents
-hold thus costs one entry for each block, never one for each document.
+ranges) as delta-coded byte planes, with the number of times that it holds
+each.  A bucket answers each block with one bit for each key (does it occur
+more than once?) and the sums for those that do.  A key that a third of all
+documents hold thus costs one entry for each block, never one for each document.
+
+The work for a block grows with its keys, not with the number of buckets.  A
+block of ``BLOCK_BYTES`` has keys for some thousand buckets of at least
+``ROW_KEYS`` keys a row, which is enough for about a hundred gigabytes of text
+with ``BUCKET_KEYS`` keys in a bucket; beyond that the buckets grow in
+proportion, unless larger blocks (``block_bytes``) are given to ``pack``.
 """
 
 from __future__ import annotations
@@ -21,9 +28,11 @@ from ..plans.scratch import materialize, shuffle_partitions
 
 BLOCK_BYTES = 3 << 20
 BUCKET_KEYS = 1_000_000
-KEYS = "bucket int, block long, n int, keys binary, again binary"
+#: A block sends at least so many keys to a bucket on average, however large the corpus is.
+ROW_KEYS = 64
+KEYS = "bucket int, block long, n int, keys binary, times binary"
 
-KeysOf = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+KeysOf = Callable[..., tuple[np.ndarray, np.ndarray]]
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -109,66 +118,93 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as byte planes, those of zeros left out."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width].tobytes()
+
+
+def numbers(data) -> np.ndarray:
+    plane = np.frombuffer(data, np.uint8)[1:].reshape(data[0], -1)
+    return sum(x.astype(np.uint32) << np.uint32(8 * i) for i, x in enumerate(plane))
+
+
+def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, end) of the buckets that sorted keys fall into."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=False))
+
+
+def bucket_bits(blocks: DataFrame, keys_per_byte: float) -> int:
+    """Bits that choose a bucket: about ``BUCKET_KEYS`` keys in each, but not so many buckets that a block sends fewer than ``ROW_KEYS`` keys to each."""
+    size = blocks.agg(F.sum("n_bytes").alias("n"), F.count("*").alias("blocks")).first()
+    total = (size.n or 0) * keys_per_byte
+    wanted = max(2 * shuffle_partitions(blocks.sparkSession), total / BUCKET_KEYS)
+    if total / BUCKET_KEYS > 1:
+        wanted = min(wanted, max(total / max(1, size.blocks) / ROW_KEYS, 2 * shuffle_partitions(blocks.sparkSession)))
+    return max(int(wanted - 1).bit_length(), 1)
+
+
 def _answer(table: pa.Table) -> pa.Table:
-    """Which keys of one bucket occur again, for each block."""
+    """How often the keys of one bucket occur, for each block that holds a repeated one."""
     blocks = table.column("block").to_pylist()
-    counts = np.array(table.column("n").to_pylist(), np.int64)
+    sizes = np.array(table.column("n").to_pylist(), np.int64)
     keys = np.concatenate([decode(x.as_buffer()) for x in table.column("keys")])
-    again = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n).astype(bool) for x, n in zip(table.column("again"), counts, strict=True)])
+    times = np.concatenate([numbers(x.as_buffer()) for x in table.column("times")]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    out = [(block, bits) for block, bits in zip(blocks, np.split(again, np.cumsum(counts)[:-1]), strict=True) if bits.any()]
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums = np.minimum(np.add.reduceat(times[order], first), (1 << 32) - 1)
+    times[order] = np.repeat(sums, np.diff(first, append=len(keys)))
+    out = [(block, part > 1, part) for block, part in zip(blocks, np.split(times, np.cumsum(sizes)[:-1]), strict=True) if part.max() > 1]
     return pa.table(
         {
             "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()),
             "block": pa.array([x[0] for x in out], pa.int64()),
             "mask": pa.array([np.packbits(x[1]).tobytes() for x in out], pa.binary()),
+            "times": pa.array([planes(x[2][x[1]]) for x in out], pa.binary()),
         }
     )
 
 
-def repeated(blocks: DataFrame, keys_of: KeysOf, keys_per_byte: float) -> tuple[DataFrame, int]:
-    """``blocks`` with a column of answers, and the number of bits that choose a bucket.
+def counted(blocks: DataFrame, keys_of: KeysOf, keys_per_byte: float, name: str = "answers", needs: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``blocks`` with a column ``name`` of answers, and the number of bits that choose a bucket.
 
-    ``keys_of`` gives the sorted distinct keys of a block, and for each whether
-    the block alone holds it twice.
+    ``keys_of`` gives the sorted distinct keys of a block and how often the
+    block holds each, from its payload and the columns ``needs``.  The answers
+    tell how often the keys occur in all blocks (see ``totals``).
     """
-    spark = blocks.sparkSession
-    total = (blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0) * keys_per_byte
-    bits = max(int(max(2 * shuffle_partitions(spark), total / BUCKET_KEYS) - 1).bit_length(), 1)
+    bits = bucket_bits(blocks, keys_per_byte)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, again = keys_of(unpacked(payload.as_buffer()))
-                cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                edges = np.concatenate([[0], cuts, [len(keys)]])
-                rows = [(i, edges[i], edges[i + 1]) for i in range(1 << bits) if edges[i + 1] > edges[i]]
+            for block, payload, *more in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                keys, times = keys_of(unpacked(payload.as_buffer()), *more)
+                rows = cut(keys, bits)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i for i, _, _ in rows], pa.int32()),
                         pa.array([block] * len(rows), pa.int64()),
-                        pa.array([int(b - a) for _, a, b in rows], pa.int32()),
+                        pa.array([b - a for _, a, b in rows], pa.int32()),
                         pa.array([encode(keys[a:b]) for _, a, b in rows], pa.binary()),
-                        pa.array([np.packbits(again[a:b]).tobytes() for _, a, b in rows], pa.binary()),
+                        pa.array([planes(times[a:b]) for _, a, b in rows], pa.binary()),
                     ],
-                    ["bucket", "block", "n", "keys", "again"],
+                    ["bucket", "block", "n", "keys", "times"],
                 )
 
-    answers = blocks.select("block", "payload").mapInArrow(send, KEYS).groupBy("bucket").applyInArrow(_answer, "bucket int, block long, mask binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
-    return blocks.join(answers, "block", "left"), bits
+    answers = blocks.select("block", "payload", *needs).mapInArrow(send, KEYS).groupBy("bucket").applyInArrow(_answer, "bucket int, block long, mask binary, times binary")
+    # written: the keys' shuffle files can go, and nothing is sent twice
+    answers = materialize(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "times")).alias(name)), name)
+    return blocks.join(answers.hint("merge"), "block", "left"), bits
 
 
-def flags(keys: np.ndarray, answers, bits: int) -> np.ndarray:
-    """For each of a block's sorted distinct keys, whether it occurs again."""
-    out = np.zeros(len(keys), bool)
-    for answer in answers.as_py() or [] if answers is not None else []:
-        low = np.uint64(answer["bucket"]) << np.uint64(64 - bits)
-        a = int(np.searchsorted(keys, low))
-        high = (answer["bucket"] + 1) << (64 - bits)
-        b = len(keys) if high >= 1 << 64 else int(np.searchsorted(keys, np.uint64(high)))
-        out[a:b] = np.unpackbits(np.frombuffer(answer["mask"], np.uint8), count=b - a).astype(bool)
+def totals(keys: np.ndarray, answers, bits: int) -> np.ndarray:
+    """For each of a block's sorted distinct keys, how often it occurs in all blocks."""
+    out = np.ones(len(keys), np.int64)
+    place = {i: (a, b) for i, a, b in cut(keys, bits)}
+    for answer in answers.as_py() or []:
+        a, b = place[answer["bucket"]]
+        again = np.flatnonzero(np.unpackbits(np.frombuffer(answer["mask"], np.uint8), count=b - a))
+        out[a + again] = numbers(answer["times"])
     return out

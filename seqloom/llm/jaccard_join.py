@@ -1,11 +1,15 @@
 """N-gram Jaccard join: components of documents whose shingle sets reach 80 %.
 
 Candidates come from PartEnum signatures (see ``partenum``), so no link
-between different texts is lost.  Signatures go to buckets as packed arrays.
-In each group of sets with one signature, the least set is paired with the
-others; only where this leaves several components are further pairs compared.
-Histograms of the features rule pairs out without reading the sets; every
-link is verified on the whole sets.
+between different texts is lost.  Signatures are counted over all documents
+(see ``blocks``); each set keeps those that occur again and that the prefix
+filter needs.  Of the sets with one signature, the one whose signatures are
+the most frequent is paired with the others: in a group of near copies that is
+the original or the copy closest to it.  Only where the partners of one such
+centre lie in several components are they compared among themselves, in tiles
+of bounded size that give no more links than join components.  Histograms of
+the features rule pairs out without reading the sets; every link is verified
+on the whole sets.
 """
 
 from __future__ import annotations
@@ -17,19 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import decode, encode, pack, text_buffers, unpacked
+from .blocks import counted, pack, text_buffers, totals, unpacked
 from .partenum import DENOMINATOR, NUMERATOR, signatures
 from ..operators.components import components
-from ..plans.scratch import materialize, shuffle_partitions
+from ..operators.skew import join_hot
+from ..plans.scratch import materialize
 from .wordhash import mix, run_hashes, word_hashes, words
 
 NODE_BITS = 20
 CELLS = 256
-TILE = 512
+#: Sets and feature bytes of one side of a tile.
+TILE, TILE_BYTES = 512, 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BUCKET_KEYS = 1_000_000
-KEYS_PER_BYTE = 0.12
+KEYS_PER_BYTE = 0.13
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,28 +85,6 @@ def _subset(feature: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple
     return feature[at], new
 
 
-def _bits(spark, total: float) -> int:
-    return max(int(max(2 * shuffle_partitions(spark), total / BUCKET_KEYS) - 1).bit_length(), 1)
-
-
-def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    edges = [0, *cuts.tolist(), len(keys)]
-    return [(i, edges[i], edges[i + 1]) for i in range(1 << bits) if edges[i + 1] > edges[i]]
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 as byte planes, those of zeros left out."""
-    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width].tobytes()
-
-
-def _numbers(data) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8)[1:].reshape(width, -1)
-    return sum(plane.astype(np.int64) << (8 * i) for i, plane in enumerate(planes))
-
-
 def _cells(feature: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each set its features counted by their first byte, up to 255.
 
@@ -113,83 +96,69 @@ def _cells(feature: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(at, minlength=n * CELLS), 255).astype(np.uint8).reshape(n, CELLS)
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
-    if len(a):
-        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) < 3 else _unique(a, b)
-        a, b = both[:, 0], both[:, 1]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _unique(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    keep = np.ones(len(a), bool)
-    keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return np.stack([a[keep], b[keep]], axis=1)
-
-
-def _stars(table: pa.Table) -> pa.Table:
-    """Pairs of the least node and each other node of every signature of one bucket."""
-    keys = np.concatenate([decode(x.as_buffer()) for x in table.column("keys")])
-    nodes = np.concatenate([(block << NODE_BITS) + _numbers(x.as_buffer()) for block, x in zip(table.column("block").to_pylist(), table.column("sets"), strict=True)])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    same = np.zeros(len(keys), bool)
-    same[1:] = keys[1:] == keys[:-1]
-    shared = same.copy()
-    shared[:-1] |= same[1:]
-    keys, nodes, same = keys[shared], nodes[order][shared], same[shared]
-    if not len(keys):
-        return _pairs(nodes, nodes)
-    start = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(nodes, start), np.diff(start, append=len(keys)))
-    other = nodes != least
-    return _pairs(least[other], nodes[other])
+def _reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if min(len(x), len(y)) * DENOMINATOR < max(len(x), len(y)) * NUMERATOR:
+        return False
+    at = np.searchsorted(x, y)
+    common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return common * DENOMINATOR >= (len(x) + len(y) - common) * NUMERATOR
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of nodes of one tile, in different components, whose sizes and histograms allow a link."""
-    node, root, size = (np.array(table.column(c)) for c in ("node", "root", "n"))
+    """Links between sets of one tile that join different components: at most one less than there are components."""
+    root, size, side = (np.array(table.column(c)) for c in ("root", "n", "side"))
     cells = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("cells")]).astype(np.int16)
-    side = np.array(table.column("side"))
+    features = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("features")]
     same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    found_a, found_b = [], []
+    left, right = (np.arange(len(root)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    names, group = np.unique(root, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
+    links = []
     for at in range(0, len(left), 64):
         i = left[at : at + 64]
-        ok = (root[i][:, None] != root[right][None]) & ((node[i][:, None] < node[right][None]) | (not same))
+        ok = group[i][:, None] != group[right][None]
+        if same:
+            ok &= i[:, None] < right[None]
         ok &= np.minimum(size[i][:, None], size[right][None]) * DENOMINATOR >= np.maximum(size[i][:, None], size[right][None]) * NUMERATOR
         x, y = np.nonzero(ok)
         for piece in range(0, len(x), 8192):
             u, v = i[x[piece : piece + 8192]], right[y[piece : piece + 8192]]
             apart = np.abs(cells[u] - cells[v]).sum(axis=1, dtype=np.int64)
             near = apart * (DENOMINATOR + NUMERATOR) <= (size[u] + size[v]) * (DENOMINATOR - NUMERATOR)
-            found_a.append(node[u[near]])
-            found_b.append(node[v[near]])
-    none = np.zeros(0, np.int64)
-    a, b = np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
-    return _pairs(np.minimum(a, b), np.maximum(a, b))
-
-
-def _linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs whose sets reach the threshold."""
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = 0
-                if min(len(x), len(y)) * DENOMINATOR >= max(len(x), len(y)) * NUMERATOR:
-                    at = np.searchsorted(x, y)
-                    common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(common * DENOMINATOR >= (len(x) + len(y) - common) * NUMERATOR)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("features").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("features").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+            for p, q in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                g, h = find(int(group[p])), find(int(group[q]))
+                if g != h and _reaches(features[p], features[q]):
+                    parent[max(g, h)] = min(g, h)
+                    links.append((int(root[p]), int(root[q])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the columns a, b, n, cells, n2, cells2 whose histograms allow a link."""
+    for batch in batches:
+        keep = [np.zeros(0, bool)]
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in part.column(i)]).astype(np.int16) for i in (3, 5))
+            apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
+            keep.append(apart * (DENOMINATOR + NUMERATOR) <= (np.array(part.column(2)) + np.array(part.column(4))) * (DENOMINATOR - NUMERATOR))
+        keep = pa.array(np.concatenate(keep))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the columns a, b, x, y whose sets x and y reach the threshold."""
+    for batch in batches:
+        keep = pa.array([_reaches(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
@@ -201,99 +170,85 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id is never the least unless its whole component has none.  Rows given
     twice are equal sets, hence linked.  Other columns are ignored.
     """
-    spark = docs.sparkSession
     blocks = pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     id_type = docs.schema[id_col].dataType.simpleString()
-    bits = _bits(spark, (blocks.agg(F.sum("n_bytes").alias("n")).first().n or 0) * KEYS_PER_BYTE)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                feature, offsets = shingle_sets(unpacked(payload.as_buffer()).column(1), n)
-                _, rows = distinct_sets(feature, offsets)
-                keys, sets = signatures(*_subset(feature, offsets, rows))
-                order = np.argsort(keys, kind="stable")
-                keys, sets = keys[order], sets[order]
-                rows = _cut(keys, bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([encode(keys[a:b]) for _, a, b in rows], pa.binary()), pa.array([_planes(sets[a:b]) for _, a, b in rows], pa.binary())],
-                    ["bucket", "block", "keys", "sets"],
-                )
-
-    sent = blocks.select("block", "payload").mapInArrow(send, "bucket int, block long, keys binary, sets binary")
-    pairs = materialize(sent.groupBy("bucket").applyInArrow(_stars, "a long, b long").distinct(), "pairs")
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                feature, offsets = shingle_sets(unpacked(payload.as_buffer()).column(1), n)
-                _, rows = distinct_sets(feature, offsets)
-                feature, offsets = _subset(feature, offsets, rows)
-                node = (block << NODE_BITS) + np.arange(len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.array([x.tobytes() for x in _cells(feature, offsets)], pa.binary())], ["node", "n", "cells"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in part.column(i)]).astype(np.int16) for i in (3, 5))
-                apart = np.abs(x - y).sum(axis=1, dtype=np.int64)
-                keep.append(apart * (DENOMINATOR + NUMERATOR) <= (np.array(part.column(2)) + np.array(part.column(4))) * (DENOMINATOR - NUMERATOR))
-            keep = pa.array(np.concatenate(keep)) if keep else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        feature, offsets = shingle_sets(rows.column(1), n)
+        _, first = distinct_sets(feature, offsets)
+        return np.unique(signatures(*_subset(feature, offsets, first)).keys, return_counts=True)
 
-    # most pairs share a passage only: their histograms rule them out, and their whole sets stay where they are
-    sketches = materialize(blocks.select("block", "payload").mapInArrow(sketch, "node long, n long, cells binary"), "sketches")
-    side = lambda node, i: sketches.select(F.col("node").alias(node), F.col("n").alias(f"n{i}"), F.col("cells").alias(f"c{i}"))
-    compared = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    compared = compared.where(F.least("n1", "n2") * DENOMINATOR >= F.greatest("n1", "n2") * NUMERATOR)
-    likely = materialize(compared.select("a", "b", "n1", "c1", "n2", "c2").mapInArrow(near, "a long, b long"), "likely")
+    found, bits = counted(blocks, keys_of, KEYS_PER_BYTE)
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document; the first document of each set that shares a signature carries the set."""
         for batch in batches:
-            for block, payload, sets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for block, payload, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 rows = unpacked(payload.as_buffer())
                 feature, offsets = shingle_sets(rows.column(1), n)
                 number, first = distinct_sets(feature, offsets)
-                data: list[bytes | None] = [None] * rows.num_rows
-                for i in first[np.array(sets.as_py(), np.int64)] if sets.is_valid else ():
-                    data[i] = feature[offsets[i] : offsets[i + 1]].tobytes()
+                feature, own = _subset(feature, offsets, first)
+                signed = signatures(feature, own)
+                keys, place = np.unique(signed.keys, return_inverse=True)
+                times = totals(keys, answers, bits)[place]
+                # how frequent a set's signatures are on average, in 65536ths of a power of two
+                fame = np.bincount(signed.sets, np.log2(times), len(first)) / np.maximum(np.bincount(signed.sets, minlength=len(first)), 1)
+                keep = signed.needed(times) & (times > 1)
+                order = np.flatnonzero(keep)[np.argsort(signed.sets[keep], kind="stable")]
+                edge = np.searchsorted(signed.sets[order], np.arange(len(first) + 1))
+                sign, cells = signed.keys[order].view(np.int64), _cells(feature, own)
+                columns: list[list] = [[None] * rows.num_rows for _ in range(4)]
+                for i, at in enumerate(first.tolist()):
+                    if edge[i + 1] > edge[i]:
+                        for column, value in zip(columns, (sign[edge[i] : edge[i + 1]], int(fame[i] * 65536), cells[i].tobytes(), feature[own[i] : own[i + 1]].tobytes()), strict=True):
+                            column[at] = value
                 node = pa.array((block << NODE_BITS) + number, pa.int64(), mask=number < 0)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets), pa.int64()), node, pa.array(data, pa.binary())], ["id", "n_shingles", "node", "features"])
-
-    def with_sets(wanted: DataFrame, how: str) -> DataFrame:
-        """The documents of all blocks, or of those with a wanted node; wanted nodes with their features."""
-        wanted = wanted.groupBy(F.shiftright("node", NODE_BITS).alias("block")).agg(F.collect_list((F.col("node") % (1 << NODE_BITS)).cast("int")).alias("sets"))
-        # the list of nodes grows with the input, so it is joined by sorting at every size
-        found = blocks.select("block", "payload").join(wanted.hint("merge"), "block", how).select("block", "payload", "sets")
-        return materialize(found.mapInArrow(members, f"id {id_type}, n_shingles long, node long, features binary"), "members")
-
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = with_sets(ends(likely), "left")
-    sets = held.where("features is not null").select("node", "features")
-    links = materialize(_linked(sets, likely), "links")
+                types = (pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(offsets), pa.int64()), node, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_shingles", "node", "keys", "fame", "cells", "features"])
+
+    schema = f"id {id_type}, n_shingles long, node long, keys array<long>, fame long, cells binary, features binary"
+    held = materialize(found.select("block", "payload", "answers").mapInArrow(digest, schema), "sets")
+    sets = held.where("keys is not null").withColumnRenamed("n_shingles", "n")
+
+    # the centre of a signature's sets: that with the most frequent signatures; it is paired with the others
+    entries = sets.select(F.explode("keys").alias("key"), "node", "n", "fame")
+    centres = entries.groupBy("key").agg(F.max(F.struct("fame", "node", "n")).alias("centre"), F.count("*").alias("size")).where("size > 1")
+    paired = join_hot(entries, centres.select("key", "centre"), "key").where("node != centre.node")
+    pairs = materialize(paired.select(F.col("centre.node").alias("a"), F.col("node").alias("b"), F.col("centre.n").alias("n"), F.col("n").alias("n2")).distinct(), "pairs")
+
+    # most pairs share a passage only: their histograms rule them out, and their whole sets stay where they are
+    able = pairs.where(F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR)
+    compared = join_hot(able, sets.select(F.col("node").alias("a"), "cells"), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells2")).hint("merge"), "b")
+    likely = materialize(compared.select("a", "b", "n", "cells", "n2", "cells2").mapInArrow(_near, "a long, b long"), "likely")
+    read = join_hot(likely, sets.select(F.col("node").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("y")).hint("merge"), "b")
+    links = materialize(read.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
-
-    # Sets with a common signature are all paired with the least of them.  Where the partners of one least set lie in
-    # several components, the partners are compared with each other, in tiles of a bounded number of sets.
-    stars = materialize(rooted(pairs, "b", "root"), "stars")
-    open_ = stars.groupBy("a").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
-    spread = stars.join(open_.select("a", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "a").withColumnRenamed("b", "node").join(sketches, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    spread = spread.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("a", "node", "root", "n", "cells", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    more = spread.groupBy("a", "low", "high").applyInArrow(_across, "a long, b long").distinct()
-    more = materialize(more.join(likely, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = with_sets(ends(more).join(sets, "node", "left_anti"), "inner").where("features is not null").select("node", "features")
-        links = links.unionByName(materialize(_linked(sets.unionByName(extra), more), "links"))
-        roots = materialize(components(links, "a", "b"), "roots")
-
-    held = rooted(held.select("id", "n_shingles", "node"), "node", "root")
+        return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)).hint("merge"), node, "left").withColumn(root, F.coalesce(root, node))
+
+    # Any two sets with a common signature have the same centre.  Where the partners of one centre lie in several
+    # components, they are compared with each other, in tiles of a bounded number of sets and bytes.
+    stars = materialize(rooted(pairs.select("a", "b", F.col("n2").alias("n")), "b", "root"), "stars")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int")
+    open_ = stars.groupBy("a").agg(tiles.alias("tiles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("a", "tiles")
+    spread = join_hot(stars, open_, "a").withColumnRenamed("b", "node")
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = spread.select("a", "node", "root", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    spread = spread.join(sets.select("node", "cells", "features").hint("merge"), "node")
+    more = materialize(spread.groupBy("a", "low", "high").applyInArrow(_across, "a long, b long"), "more")
+    if not more.isEmpty():  # links between components: their components' roots replace the roots
+        again = components(more, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = materialize(join_hot(roots, again, "root", "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(_new_roots(again, roots)), "roots")
+
+    # documents without a set match nothing; their keys differ, so that they do not meet in one task
+    held = held.select("id", "n_shingles", "node", F.coalesce("node", -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("at"))
+    held = materialize(rooted(held, "at", "root").select("id", "n_shingles", F.when(F.col("node").isNotNull(), F.col("root")).alias("root")), "rooted")
     least = held.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = held.join(least, "root", "left")
+    out = join_hot(held, least, "root", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _new_roots(again: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (node, root) for sets without a link before: they were their own roots."""
+    return again.join(roots.select(F.col("node").alias("root")).hint("merge"), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))

@@ -5,8 +5,10 @@ Window hashes are counted over all documents in Spark (see ``blocks``), and
 the words under repeated windows merge into maximal removal intervals.
 Windows are judged on the input, so every copy of a repeated passage goes.
 
-Hashes have 64 bits: n distinct windows meet by chance with a probability of
-about n*n/2**65 (10**8 windows: 0.0003).
+Windows that occur again by their 64-bit hash are counted once more by a second,
+independent one, so two different windows count as one only if they agree in
+128 bits: 100 TB of text hold about 2 * 10**13 windows, which meet by chance with
+a probability of about 10**-12.
 """
 
 from __future__ import annotations
@@ -18,53 +20,76 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .blocks import flags, pack, repeated, text_buffers, unpacked
+from .blocks import counted, pack, text_buffers, totals, unpacked
 from .wordhash import run_hashes, word_hashes, words
 
 
-def _windows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The documents' first words, the first word of each window, the distinct window hashes, and each window's place there."""
-    buf, offsets = text_buffers(column)
-    starts, ends, first = words(buf, offsets)
-    hashes = run_hashes(word_hashes(buf, starts, ends), width)
-    length = np.diff(first)
-    inside = np.repeat(first[1:], length)[: len(hashes)] - np.arange(len(hashes)) >= width
-    at = np.flatnonzero(inside)
-    keys, place = np.unique(hashes[at], return_inverse=True)
-    return first, at, keys, place
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, keep_text: bool = False) -> DataFrame:
+class _Windows:
+    """The windows of a batch of texts: each one's first word, its place among the distinct hashes, and these."""
+
+    def __init__(self, column: pa.Array, width: int, key_bits: int) -> None:
+        self.width = width
+        self.buf, offsets = text_buffers(column)
+        self.starts, self.ends, self.first = words(self.buf, offsets)
+        hashes = run_hashes(word_hashes(self.buf, self.starts, self.ends), width)
+        length = np.diff(self.first)
+        inside = np.repeat(self.first[1:], length)[: len(hashes)] - np.arange(len(hashes)) >= width
+        self.at = np.flatnonzero(inside)
+        shift = np.uint64(64 - key_bits)
+        self.keys, self.place, self.times = np.unique(hashes[self.at] >> shift << shift, return_inverse=True, return_counts=True)
+
+    def covered(self, at: np.ndarray) -> np.ndarray:
+        """Which words lie in the windows at ``at``."""
+        edge = np.zeros(self.first[-1] + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + self.width, -1)
+        return np.cumsum(edge)[:-1] > 0
+
+    def second(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows whose keys occur again, their distinct second hashes, each window's place there, and the times of each."""
+        at = self.at[again[self.place]] if len(self.keys) else self.at
+        word = np.flatnonzero(self.covered(at))
+        hashes = np.zeros(len(self.starts), np.uint64)
+        hashes[word] = word_hashes(self.buf, self.starts[word], self.ends[word], 1)
+        runs = run_hashes(hashes, self.width, 1)
+        return at, *np.unique(runs[at], return_inverse=True, return_counts=True)
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, keep_text: bool = False, key_bits: int = 64) -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept_sha256, intervals, and with ``keep_text`` kept_text.
 
     ``intervals`` lists maximal removed word ranges [first, end).  Null and
     empty texts have no words and lose nothing; a row given twice repeats all
     its windows, in both rows; texts shorter than ``width`` are kept whole.
-    Other columns of ``docs`` are ignored; an empty table gives no rows.
+    Other columns of ``docs`` are ignored; an empty table gives no rows.  The
+    result does not depend on ``key_bits``, the bits of the first hash in use.
     """
-    from pyspark.sql import functions as F
-
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
 
-    def keys_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        _, _, keys, place = _windows(batch.column(1), width)
-        return keys, np.bincount(place, minlength=len(keys)) > 1
+    def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        windows = _Windows(rows.column(1), width, key_bits)
+        return windows.keys, windows.times
+
+    found, bits = counted(pack(kept, "text"), keys_of, 0.17)
+
+    def second_of(rows: pa.RecordBatch, answers) -> tuple[np.ndarray, np.ndarray]:
+        windows = _Windows(rows.column(1), width, key_bits)
+        _, keys, _, times = windows.second(totals(windows.keys, answers, bits) > 1)
+        return keys, times
 
-    found, bits = repeated(pack(kept, "text"), keys_of, 0.17)
+    found, second_bits = counted(found, second_of, 0.05, "second", ("answers",))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, answers in zip(batch.column(0), batch.column(1), strict=True):
+            for payload, answers, second in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 block = unpacked(payload.as_buffer())
-                first, at, keys, place = _windows(block.column(1), width)
-                again = flags(keys, answers, bits)[place] if len(keys) else np.zeros(0, bool)
-                edge = np.zeros(first[-1] + 1, np.int64)
-                hit = at[again]
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + width, -1)
-                gone = np.cumsum(edge)[:-1] > 0
+                windows = _Windows(block.column(1), width, key_bits)
+                at, keys, place, _ = windows.second(totals(windows.keys, answers, bits) > 1)
+                gone = windows.covered(at[totals(keys, second, second_bits)[place] > 1])
+                first = windows.first
                 shas, spans, texts, removed = [], [], [], []
                 for i, text in enumerate(block.column(1).cast(pa.binary())):
                     own = gone[first[i] : first[i + 1]]
@@ -87,4 +112,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {id_type}, n_words long, n_removed long, kept_sha256 string, intervals array<struct<first: long, end: long>>" + ", kept_text string" * keep_text
-    return found.select("payload", "answers").mapInArrow(remove, schema).withColumnRenamed("id", id_col)
+    return found.select("payload", "answers", "second").mapInArrow(remove, schema).withColumnRenamed("id", id_col)

@@ -12,9 +12,8 @@ import numpy as np
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-WORD_BASE = 0xD1342543DE82EF95
-WORD_BASE_INVERSE = pow(WORD_BASE, -1, 1 << 64)
+#: Bases for bytes and for words: the usual ones, and independent ones for a second hash.
+BASES = ((0x9E3779B97F4A7C15, 0xD1342543DE82EF95), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,24 +59,25 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for every word."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """One 64-bit hash for every word; ``which`` chooses one of two."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
     at = within + np.repeat(starts, lengths)
-    value = (buf[at].astype(np.uint64) + np.uint64(1)) * powers(int(BYTE_BASE), int(lengths.max()))[within]
+    value = (buf[at].astype(np.uint64) + np.uint64(1)) * powers(BASES[which][0], int(lengths.max()))[within]
     total = np.add.reduceat(value, first)
     return mix(total ^ (lengths.astype(np.uint64) << np.uint64(48)))
 
 
-def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Rolling (Rabin-Karp) hash of every run of ``n`` consecutive word hashes."""
+def run_hashes(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+    """Rolling (Rabin-Karp) hash of every run of ``n`` consecutive word hashes; ``which`` chooses one of two."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
+    base = BASES[which][1]
     total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(WORD_BASE, len(hashes)), out=total[1:])
+    np.cumsum(hashes * powers(base, len(hashes)), out=total[1:])
     m = len(hashes) - n + 1
-    return mix((total[n:] - total[:m]) * powers(WORD_BASE_INVERSE, m) + np.uint64(n))
+    return mix((total[n:] - total[:m]) * powers(pow(base, -1, 1 << 64), m) + np.uint64(n))
