@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rules import first_match
@@ -74,6 +74,12 @@ def protein_tokens(x: Column | str) -> Column:
     return F.filter(listed(x), lambda t: ~is_nucleotide(t))
 
 
+def dropped_counts(rows: DataFrame, column: str) -> DataFrame:
+    """One row: tokens dropped as nucleotides from ';' lists, rows that this empties, rows touched, all rows."""
+    n, kept = F.size(listed(column)), F.size(protein_tokens(column))
+    return rows.agg(F.sum(n - kept).cast("long").alias("dropped_tokens"), F.count_if((n > 0) & (kept == 0)).alias("emptied_rows"), F.count_if(kept < n).alias("touched_rows"), F.count("*").alias("n_rows"))
+
+
 def order_problems(x: Column | str) -> Column:
     """What is wrong with the order of a ';' list of identifiers."""
     items = F.transform(listed(x), lambda t: F.struct(t.alias("token"), identifier_kind(t).alias("kind"), kind_rank(identifier_kind(t)).alias("rank")))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -199,6 +199,23 @@ def implied_prefactor(evalue: Column, bits: Column, query_length: Column, databa
     return evalue * F.pow(F.lit(2.0), bits) / (query_length * database_length)
 
 
+def search_space_models(hits: DataFrame, letters: float, sequences: float) -> DataFrame:
+    """(model, log10_k, spread, place): how evenly each form of search space explains E = K * space * 2 ** -bits.
+
+    ``hits``: evalue (positive), bits, query_length, target_length; ``letters``
+    and ``sequences`` are those of the database.  The form with the least
+    spread of log10 K comes first.
+    """
+    m, n, total, count = F.col("query_length"), F.col("target_length"), F.lit(float(letters)), F.lit(float(sequences))
+    space = {"const": F.lit(1.0), "m(query)": m, "n(target)": n, "m*n": m * n, "m*N": m * total, "N": total, "m*Ndb": m * count, "N*Ndb": total * count, "m*N*Ndb": m * total * count}
+    base = F.log10("evalue") + F.col("bits") * F.log10(F.lit(2.0))
+    rows = hits.where("evalue > 0").select(F.explode(F.array(*(F.struct(F.lit(k).alias("model"), (base - F.log10(v)).alias("x")) for k, v in space.items()))).alias("m")).select("m.*")
+    found = rows.groupBy("model").agg(F.avg("x").alias("log10_k"), F.stddev_pop("x").alias("spread"))
+    # nine rows
+    place = F.row_number().over(Window.orderBy(F.round("spread", 9), "model")).cast("long")
+    return found.withColumn("place", place)
+
+
 @F.pandas_udf(DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks' share of both texts, without regard to case."""

@@ -85,3 +85,16 @@ def coverage(hits: DataFrame, target: str) -> DataFrame:
     """Best-scoring domain of each target and its coverage of the profile."""
     best = hits.groupBy(target).agg(F.max_by(F.struct("score", "hmm_from", "hmm_to", "query_length"), F.struct("score", F.col("hmm_to") - F.col("hmm_from"))).alias("b"))
     return best.select(target, F.col("b.score").alias("score"), ((F.col("b.hmm_to") - F.col("b.hmm_from") + 1) / F.col("b.query_length")).alias("coverage"))
+
+
+def domain_summary(hits: DataFrame, model: str, target: str, sizes: DataFrame, floor: float = 0.5) -> DataFrame:
+    """Per model: members, detected ones, mean and least coverage of the best domains, and flags joined by ';'.
+
+    ``hits``: model, target, score, hmm_from, hmm_to, query_length; ``sizes``: model, n.
+    """
+    best = hits.groupBy(model, target).agg(F.max_by(F.struct("hmm_from", "hmm_to", "query_length"), F.struct("score", F.col("hmm_to") - F.col("hmm_from"))).alias("b"))
+    share = (F.col("b.hmm_to") - F.col("b.hmm_from") + 1) / F.col("b.query_length")
+    found = best.groupBy(model).agg(F.count("*").alias("detected"), F.avg(share).alias("mean"), F.min(share).alias("least"))
+    joined = sizes.join(found, model, "left").withColumns({"detected": F.coalesce("detected", F.lit(0)), "mean": F.coalesce("mean", F.lit(0.0)), "least": F.coalesce("least", F.lit(0.0))})
+    flags = F.concat_ws(";", F.when(F.col("detected") < F.col("n"), F.concat(F.lit("undetected="), (F.col("n") - F.col("detected")).cast("string"))), F.when(F.col("mean") < floor, "low_member_coverage"), F.when(F.col("n") == 1, "singleton_model"))
+    return joined.withColumn("flags", flags)

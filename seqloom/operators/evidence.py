@@ -109,6 +109,13 @@ def change_audit(before: DataFrame, after: DataFrame, key: str, value: str) -> D
     return joined.where("_a <> _b").select(key, F.length("_b").alias("len_before"), F.length("_a").alias("len_after"), (F.length("_a") - F.length("_b")).alias("delta"))
 
 
+def fetch_targets(rows: DataFrame, accession: str, sequence: str) -> DataFrame:
+    """The accessions of rows without a sequence, each once, sorted."""
+    from ..functions.text import cell, letters
+
+    return rows.where((letters(sequence) == "") & (cell(accession) != "")).select(cell(accession).alias(accession)).distinct().orderBy(accession)
+
+
 def linked(links: DataFrame, node: str, target: str, name: str) -> DataFrame:
     """Targets of one kind of link only, as a sorted list."""
     return links.where(F.col("link_name") == name).groupBy(node).agg(F.array_sort(F.collect_set(target)).alias("targets"))

@@ -138,6 +138,13 @@ def containment_place(short: Column, long: Column) -> Column:
     return F.when(F.startswith(long, short), "prefix").when(F.endswith(long, short), "suffix").when(F.contains(long, short), "internal").otherwise("near")
 
 
+def tiers(base: DataFrame, key: str, tables: list[DataFrame]) -> DataFrame:
+    """Each row with the columns of several tables that have at most one row for its key; rows without one have nulls."""
+    for part in tables:
+        base = base.join(part, key, "left")
+    return base
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Sorted common entries of two lists."""
     return F.array_sort(F.array_intersect(a, b))

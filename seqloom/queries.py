@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import accession, align, families, text
-from .operators import cluster, collapse, compare, evidence, graph, relate, rules, variants
+from .operators import cluster, collapse, compare, evidence, graph, relate, rules, shape, variants
 from .sources import records, sinks
 from .sources.delimited import numbered
 from .streaming import events as streaming
@@ -54,9 +54,9 @@ def md5_nodes(spark, d):
     return numbered(groups, "sequence_md5").select(F.concat(F.lit("m"), F.lpad((F.col("_ord") + 1).cast("string"), 6, "0")).alias("node_id"), "sequence_md5", "n")
 
 
-@query(r"select doc_id, md5(upper(regexp_replace(coalesce(text, ''), '[^!-~]+', '', 'g'))) as space_md5, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as n_letters from documents")
+@query(r"select doc_id, md5(upper(replace(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', '', 'g'), 'ß', 'SS'))) as space_md5, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) as n_letters from documents")
 def whitespace_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.spaceless(F.regexp_replace("text", "[^ -~\\s]+", ""))).alias("space_md5"), F.length(text.letters("text")).cast("long").alias("n_letters"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.spaceless("text")).alias("space_md5"), F.length(text.letters("text")).cast("long").alias("n_letters"))
 
 
 @query(r"select c_custkey, cast(regexp_extract(c_name, '(\d+)', 1) as bigint) as num, row_number() over (order by (coalesce(c_mktsegment, '') = ''), c_mktsegment, cast(regexp_extract(c_name, '(\d+)', 1) as bigint), c_custkey) as place from customer")
@@ -99,10 +99,32 @@ def nucleotide_filter(spark, d):
     return _codes(spark, d).select("c_custkey", F.concat_ws(";", kept).alias("proteins"), (F.size(text.listed(cell)) - F.size(kept)).cast("long").alias("dropped"))
 
 
-@query()
+_KIND_SQL = "case when tok = '' then 'empty' when regexp_matches(tok, '^[0-9][A-Za-z0-9]{3}(_?[A-Za-z](/[A-Za-z])?)?$') then 'PDB' when regexp_matches(tok, '(?i)^(WP|NP|XP|YP|AP)_') then 'RefSeq' when regexp_matches(tok, '(?i)^MGYP') then 'MGnify' when regexp_full_match(tok, '[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9]([A-Z][A-Z0-9]{2}[0-9]){1,2}') then 'UniProt' when contains(tok, '_') then 'UniProt/locus' when regexp_full_match(tok, '[A-Z]{3}[0-9]{5,}([.][0-9]+)?') then 'GenBank-protein' when regexp_full_match(tok, '[A-Z]{1,2}[0-9]{5,6}([.][0-9]+)?') then 'Nucleotide' when regexp_full_match(tok, '(?i)[A-Z]{2,5}[0-9]{3,4}') then 'Locus' else 'UNKNOWN' end"
+
+
+def _order_sql(name: str, source: str) -> str:
+    """CTEs that give name_i (c_custkey, pos, tok, kind, rank, n), name_p (c_custkey, problems) and name_r (c_custkey, cell in order) of the lists in ``source`` (c_custkey, cell)."""
+    return f"""{name}_t as (select c_custkey, list_filter(list_transform(string_split(cell, ';'), lambda x: trim(x)), lambda x: x <> '') as toks from {source}),
+{name}_k as (select c_custkey, tok, pos, n, {_KIND_SQL} as kind from (select c_custkey, unnest(toks) as tok, generate_subscripts(toks, 1) as pos, len(toks) as n from {name}_t)),
+{name}_i as (select *, case kind when 'RefSeq' then 0 when 'GenBank-protein' then 0 when 'MGnify' then 0 when 'UniProt' then 1 when 'UniProt/locus' then 1 when 'Nucleotide' then 1 when 'Locus' then 1 when 'PDB' then 2 end as rank from {name}_k),
+{name}_x as (select c_custkey, 0 as part, pos, 'unrecognized:' || tok as p from {name}_i where kind = 'UNKNOWN'
+ union all select c_custkey, 1, pos, 'out-of-order:' || tok from (select *, lag(rank) over (partition by c_custkey order by pos) as before from {name}_i where rank is not null) where rank < before
+ union all select c_custkey, 2, 0, 'primary-misplaced:' || min_by(tok, pos) from {name}_i where kind in ('RefSeq', 'GenBank-protein') and c_custkey not in (select c_custkey from {name}_i where pos = 1 and kind in ('RefSeq', 'GenBank-protein')) group by 1),
+{name}_p as (select c_custkey, coalesce(string_agg(p, '|' order by part, pos), '') as problems from {source} left join {name}_x using (c_custkey) group by 1),
+{name}_r as (select c_custkey, string_agg(tok, ';' order by coalesce(rank, (pos - 1) / n::double), pos) as cell from {name}_i group by 1)"""
+
+
+@query(f"with c as (select c_custkey, '5XFY;' || acc || ';WP_000000001.1;OK558825' as cell from (select c_custkey, {CODES} as acc from customer)), {_order_sql('a', 'c')}, {_order_sql('b', 'a_r')} select c_custkey, a_p.problems, a_r.cell as reordered, b_p.problems as still from a_p join a_r using (c_custkey) join b_p using (c_custkey)")
 def list_order_check(spark, d):
     cell = F.concat(F.lit("5XFY;"), "acc", F.lit(";WP_000000001.1;OK558825"))
-    return _codes(spark, d).select("c_custkey", F.array_join(accession.order_problems(cell), "|").alias("problems"), accession.reordered(cell).alias("reordered"), accession.order_problems(accession.reordered(cell)).alias("left"))
+    again = accession.order_problems(accession.reordered(cell))
+    return _codes(spark, d).select("c_custkey", F.array_join(accession.order_problems(cell), "|").alias("problems"), accession.reordered(cell).alias("reordered"), F.array_join(again, "|").alias("still"))
+
+
+@query(f"with c as (select c_custkey, '5XFY;' || acc || ';WP_000000001.1;OK558825' as cell from (select c_custkey, {CODES} as acc from customer)), {_order_sql('a', 'c')}, k as (select split_part(p, ':', 1) as kind, count(*) as n, count(distinct c_custkey) as n_rows from a_x group by 1) select kind, n, n_rows, row_number() over (order by n desc, kind) as place from k")
+def order_report(spark, d):
+    cell = F.concat(F.lit("5XFY;"), "acc", F.lit(";WP_000000001.1;OK558825"))
+    return shape.refuse(shape.order_report(_codes(spark, d), "c_custkey", accession.order_problems(cell)), strict=False)
 
 
 @query(r"select page_id, regexp_replace(regexp_replace(lower(trim('https://doi.org/10.' || page_id || '/' || split_part(url, '/', 3) || '.;')), '^(https?://)?(dx\.)?doi\.org/', ''), '[.;,]+$', '') as doi, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') as file_token from pages")
@@ -125,7 +147,12 @@ TITLES = "case p_partkey % 6 when 0 then 'MULTISPECIES: PET hydrolase [Ideonella
 NAMES = "case p_partkey % 5 when 0 then 'PETase' when 1 then 'lipase B' when 2 then 'polyester hydrolase' when 3 then 'laccase' else 'P' end"
 
 
-@query()
+_FAMILY_SQL = """with p as (select p_partkey, (p_partkey % 6)::int + 1 as t, (p_partkey % 5)::int + 1 as n from part),
+f as (select p_partkey, ['PET hydrolase', 'cutinase family protein', 'alpha/beta hydrolase', 'laccase', 'hypothetical protein X_1', 'Lipase'][t] as title, ['Ideonella sp.', '', 'uncultured bacterium', '', '', ''][t] as organism, ['pet_hydrolase', 'lipase', 'pet_hydrolase', 'laccase', ''][n] as a, ['pet_hydrolase', 'cutinase', 'ab_hydrolase', 'laccase', '', 'lipase'][t] as b, t = 5 as uninformative from p)
+select p_partkey, title, organism, a as name_families, b as title_families, case when a = '' or b = '' then 'unknown' when a = b then 'match' when b = 'ab_hydrolase' then 'generic' when (a = 'laccase') = (b = 'laccase') then 'related' else 'conflict' end as agreement, uninformative from f"""
+
+
+@query(_FAMILY_SQL)
 def family_match(spark, d):
     p = table(spark, d, "part").select("p_partkey", text.title_parts(F.expr(TITLES)).alias("t"), F.expr(NAMES).alias("name"))
     a, b = families.families(F.col("name")), families.families(F.col("t.title"))
@@ -192,9 +219,9 @@ def two_key_overlay(spark, d):
     return relate.overlay(base, by_row, second, "c_custkey", "ks", "v").select("c_custkey", "v", "via")
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F' and o_orderkey % 5 = 0)")
 def anti_join(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'F' and o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("select c_custkey, exists (select 1 from orders where o_custkey = c_custkey) as has_orders from customer")
@@ -203,11 +230,11 @@ def semi_flag(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(seen, "c_custkey", "left").withColumn("has_orders", F.coalesce("has_orders", F.lit(False)))
 
 
-@query("select p_partkey from part where not (list_has_any(string_split(p_type, ' '), (select list(distinct split_part(p_type, ' ', 1)) from part where p_size = 1)))")
+@query("select p_partkey from part where not list_has_any(string_split(p_name, ' '), (select list(distinct split_part(p_name, ' ', 1)) from part where p_partkey % 50 = 1))")
 def seed_complement(spark, d):
     p = table(spark, d, "part")
-    seeds = p.where("p_size = 1").select(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("seed"))
-    return relate.without_tokens(p.select("p_partkey", "p_type"), F.split("p_type", " "), seeds, "seed").select("p_partkey")
+    seeds = p.where("p_partkey % 50 = 1").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("seed"))
+    return relate.without_tokens(p.select("p_partkey", "p_name"), F.split("p_name", " "), seeds, "seed").select("p_partkey")
 
 
 @query("select b.item_id, d.doc_id from benchmark b join documents d on length(b.text) < length(d.text) and contains(d.text, b.text) where b.text <> ''")
@@ -305,11 +332,20 @@ def robust_stats(spark, d):
     return table(spark, d, "lineitem").groupBy(bins.alias("bin")).agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), p(0.5).alias("median"), p(0.25).alias("q1"), p(0.75).alias("q3"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("sd"))
 
 
-@query("with m as (select unnest([l_quantity, l_discount * 100, l_tax * 100]) as x, unnest(['quantity', 'discount', 'tax']) as model from lineitem) select model, round(stddev_pop(x), 6) as spread, row_number() over (order by stddev_pop(x), model) as place from m group by model")
+@query("""with h as (select l_orderkey + 1.0 as e, l_quantity as bits, l_linenumber::double as m, (l_partkey + 1)::double as n from lineitem), v as (select log10(e) + bits * log10(2.0) as base, m, n from h), x as (select base - log10(unnest([1.0::double, m, n, m * n, m * 5000, 5000, m * 70, 5000.0 * 70, m * 5000 * 70])) as x, unnest(['const', 'm(query)', 'n(target)', 'm*n', 'm*N', 'N', 'm*Ndb', 'N*Ndb', 'm*N*Ndb']) as model from v)
+select model, round(avg(x), 6) as log10_k, round(stddev_pop(x), 6) as spread, row_number() over (order by round(stddev_pop(x), 9), model) as place from x group by model""")
 def model_selection(spark, d):
-    m = table(spark, d, "lineitem").select(F.explode(F.array(*(F.struct(F.lit(n).alias("model"), x.alias("x")) for n, x in (("quantity", F.col("l_quantity")), ("discount", F.col("l_discount") * 100), ("tax", F.col("l_tax") * 100))))).alias("m")).select("m.*")
-    g = m.groupBy("model").agg(F.stddev_pop("x").alias("s"))
-    return g.select("model", F.round("s", 6).alias("spread"), F.row_number().over(Window.orderBy("s", "model")).cast("long").alias("place"))
+    hits = table(spark, d, "lineitem").select((F.col("l_orderkey") + 1.0).alias("evalue"), F.col("l_quantity").alias("bits"), F.col("l_linenumber").cast("double").alias("query_length"), (F.col("l_partkey") + 1).cast("double").alias("target_length"))
+    return align.search_space_models(hits, 5000, 70).select("model", F.round("log10_k", 6).alias("log10_k"), F.round("spread", 6).alias("spread"), "place")
+
+
+@query("""with r as (select l_suppkey as model, l_partkey as target, l_linenumber, row_number() over (partition by l_suppkey, l_partkey order by l_quantity desc, l_linenumber desc) as k from lineitem where l_linenumber > 2), f as (select model, count(*) as detected, avg(l_linenumber / 7.0) as mean, min(l_linenumber / 7.0) as least from r where k = 1 group by 1), s as (select l_suppkey as model, count(distinct l_partkey) as n from lineitem group by 1)
+select model, n, coalesce(detected, 0) as detected, round(coalesce(mean, 0), 6) as mean, round(coalesce(least, 0), 6) as least, concat_ws(';', case when coalesce(detected, 0) < n then 'undetected=' || (n - coalesce(detected, 0)) end, case when coalesce(mean, 0) < 0.7 then 'low_member_coverage' end, case when n = 1 then 'singleton_model' end) as flags from s left join f using (model)""")
+def domain_summary(spark, d):
+    l = table(spark, d, "lineitem")  # noqa: E741
+    hits = l.where("l_linenumber > 2").select(F.col("l_suppkey").alias("model"), F.col("l_partkey").alias("target"), F.col("l_quantity").alias("score"), F.lit(1.0).alias("hmm_from"), F.col("l_linenumber").cast("double").alias("hmm_to"), F.lit(7.0).alias("query_length"))
+    sizes = l.groupBy(F.col("l_suppkey").alias("model")).agg(F.count_distinct("l_partkey").alias("n"))
+    return collapse.domain_summary(hits, "model", "target", sizes, 0.7).withColumns({"mean": F.round("mean", 6), "least": F.round("least", 6)})
 
 
 @query("select t as threshold, count_if(n_chars >= t) as n_docs, count(distinct case when n_chars >= t then lang end) as n_langs from documents, (values (100), (500), (1000), (2000), (4000)) v(t) group by t")
@@ -336,9 +372,27 @@ FLAGS = "o_orderkey % 7 <> 0 as resolves, o_orderkey % 5 <> 0 as is_protein, o_o
  when name_flag = 'concordant' then 'name_supported' when name_flag = 'uninformative_title' then 'unverifiable_title' when paper_flag = 'elink_failed' then 'fetch_error' else 'unconfirmed' end as label from f)
 select o_orderkey, label, coalesce(list_position(['broken_accession','wrong_molecule','provenance_mismatch','obsolete_record','family_conflict','title_unmapped','organism_mismatch','external_database','fetch_error','unverifiable_title','unconfirmed'], label) - 1, 99) as priority from l""")
 def ordered_rules(spark, d):
-    f = table(spark, d, "orders").selectExpr("o_orderkey", *(x.strip() for x in FLAGS.replace("end as ", "end as\x00").replace(", case", "\x01case").replace(", o_", "\x01o_").replace("\x00", " ").split("\x01")))
-    label = rules.confidence(*(F.col(c) for c in ("kind", "resolves", "is_protein", "is_current", "name_flag", "paper_flag", "seq_flag", "org_flag")))
-    return f.select("o_orderkey", label.alias("label")).withColumn("priority", rules.priority(F.col("label"), rules.REVIEW))
+    k = F.col("o_orderkey")
+    flags = {
+        "kind": F.when(k % 8 == 0, "uniprot").otherwise("refseq"),
+        "resolves": k % 7 != 0,
+        "is_protein": k % 5 != 0,
+        "is_current": k % 11 != 0,
+        "name_flag": F.when(k % 4 == 0, "family_conflict").when(k % 4 == 1, "concordant").when(k % 4 == 2, "title_unmapped").otherwise("uninformative_title"),
+        "paper_flag": F.when(k % 6 == 0, "doi_match").when(k % 6 == 1, "elink_failed").otherwise("unlinked"),
+        "seq_flag": F.when(k % 9 == 0, "seq_in_supp").otherwise("no_sequence"),
+        "org_flag": F.when(k % 13 == 0, "mismatch").otherwise("exact"),
+    }
+    label = rules.confidence(*flags.values())
+    return table(spark, d, "orders").select("o_orderkey", label.alias("label")).withColumn("priority", rules.priority(F.col("label"), rules.REVIEW))
+
+
+@query("select l as priority_label, count(*) as n from (select case when p_size % 4 = 0 then 'wrong_molecule' when p_size % 4 = 1 then 'confirmed' when p_size % 4 = 2 then 'unconfirmed' else 'family_conflict' end as l from part) where l <> 'confirmed' group by 1")
+def priority_queue(spark, d):
+    k = F.col("p_size") % 4
+    label = F.when(k == 0, "wrong_molecule").when(k == 1, "confirmed").when(k == 2, "unconfirmed").otherwise("family_conflict")
+    queue = table(spark, d, "part").select(label.alias("priority_label")).withColumn("at", rules.priority(F.col("priority_label"), rules.REVIEW)).where("at < 99")
+    return queue.groupBy("priority_label").agg(F.count("*").alias("n"))
 
 
 @query("select p_partkey, case when p_size >= 40 and p_partkey % 3 >= 2 and p_partkey % 2 >= 1 then 'remap_strong' when p_size > 10 then 'remap_plausible' when p_partkey % 5 >= 1 then 'self_corroborated' else 'remap_none' end as decision from part")
@@ -487,7 +541,10 @@ def baseline_outcome(spark, d):
     return graph.delta_outcome(m, "root", "prior")
 
 
-@query()
+@query(PRIOR + """, m as (select root, case when node % 3 <> 0 then prior end as prior from c join p using (node)), kk as (select root, list_sort(list(distinct prior) filter (prior is not null)) as labels, count(*) as size from m group by root),
+wp as (select prior, count(distinct root) as n from m where prior is not null group by prior), sg as (select root, size, labels[1] as label, n, row_number() over (partition by labels[1] order by size desc, root) as letter from kk join wp on labels[1] = wp.prior where len(labels) = 1)
+select root, size, case when n = 1 then 'inherited' else 'split' end as kind, label::varchar || case when n = 1 then '' when letter <= 26 then chr((96 + letter)::int) else 'z' || letter end as name from sg
+union all select root, size, 'merged', 'M' || labels[1] from kk where len(labels) > 1 union all select root, size, 'novel', 'N' || row_number() over (order by root) from kk where coalesce(len(labels), 0) = 0""")
 def inherited_labels(spark, d):
     c, p = _two(spark, d)
     m = c.join(p, "node").withColumn("prior", F.when(F.col("node") % 3 != 0, F.col("prior")))
@@ -514,7 +571,9 @@ def induced_edges(spark, d):
     return graph.induced(_stars(spark, d), table(spark, d, "documents").where("lang = 'en'"), "doc_id")
 
 
-@query()
+@query("""with recursive l as (select a.doc_id as a, b.doc_id as b from documents a join documents b on length(a.text) < length(b.text) and contains(b.text, a.text) where a.text <> ''), u as (select a, b from l union select b, a from l), w as (select a as node, a as seen from u union select w.node, u.b from w join u on w.seen = u.a), r as (select node, min(seen) as root from w group by node),
+h as (select node as doc_id, root, text from r join documents on node = doc_id), k as (select root, min_by(doc_id, (length(text), doc_id)) as core from h group by root)
+select core as core_doc, h.doc_id, case when h.doc_id = core then 'core' else 'superset' end as role, length(h.text) - length(x.text) as delta, case when h.doc_id = core then 'core' when starts_with(h.text, x.text) then 'prefix' when ends_with(h.text, x.text) then 'suffix' when contains(h.text, x.text) then 'internal' else 'chain' end as place from h join k using (root) join documents x on x.doc_id = core""")
 def substring_groups(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").where("text <> ''")
     links = relate.containment(docs, docs, "doc_id", "text", "doc_id", "text")
