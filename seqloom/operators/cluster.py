@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import discard, materialize
 from ..sources.delimited import numbered
 from .graph import partition
 
@@ -107,8 +107,11 @@ def _cover_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
         found = materialize(members.unionByName(taken.select("node", F.col("node").alias("centroid"))), "found")
         done = found if done is None else done.unionByName(found)
         gone = found.select("node")
+        used = (nodes, links, rank, taken)
         nodes = materialize(nodes.join(gone, "node", "left_anti"), "open")
         links = materialize(links.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("other")), "other", "left_anti"), "links")
+        for table in used:
+            discard(table)
     return done
 
 

@@ -18,11 +18,10 @@ def _pairs(n: str | Column) -> Column:
 
 def agreement(table: DataFrame, la: str, lb: str) -> DataFrame:
     """Pairs of nodes together in both, in one, in the other; Rand and adjusted Rand index, from counts only."""
-    both = table.agg(F.sum(_pairs("n")).alias("both"), F.sum("n").alias("nodes"))
-    rows = table.groupBy(la).agg(F.sum("n").alias("n")).agg(F.sum(_pairs("n")).alias("in_a"))
-    cols = table.groupBy(lb).agg(F.sum("n").alias("n")).agg(F.sum(_pairs("n")).alias("in_b"))
-    # three one-row frames
-    joined = both.join(rows, F.lit(True)).join(cols, F.lit(True)).withColumn("pairs", _pairs("nodes"))
+    # all four sums in one pass over the crosstab
+    sums = table.groupingSets([[la, lb], [la], [lb], []], la, lb).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    part = lambda g: F.sum(F.when(F.col("g") == g, _pairs("n")))
+    joined = sums.agg(part(0).alias("both"), part(1).alias("in_a"), part(2).alias("in_b"), F.sum(F.when(F.col("g") == 3, F.col("n"))).alias("nodes")).withColumn("pairs", _pairs("nodes"))
     expected = F.col("in_a") * F.col("in_b") / F.col("pairs")
     top = (F.col("in_a") + F.col("in_b")) / 2
     ari = F.when(top == expected, F.lit(1.0)).otherwise((F.col("both") - expected) / (top - expected))
