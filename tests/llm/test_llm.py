@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, decontaminate, html_extract, partenum, quality_rules, toxicity, url_filter
 from seqloom.llm.blocks import decode, encode
@@ -46,8 +47,6 @@ def corpus():
 
 def frame(spark, rows, schema="doc_id long, text string"):
     """With extra columns that clash with the operators' own names."""
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(rows, schema)
     return df.withColumns({c: F.lit("x") for c in ("id", "node", "root", "block", "payload", "n_words", "score", "kept") if c not in df.columns})
 
@@ -604,12 +603,12 @@ def brute_lines(rows):
         split.append((doc, text or "", chunks + [now] * bool(now)))
     for doc, text, chunks in split:
         for i, c in enumerate(chunks):
-            if sum(bool(x.strip(" ")) for x in c) > 1:
+            if sum(bool(x.strip(" \r\t")) for x in c) > 1:
                 key = (doc is None, doc or 0, bytes.fromhex(digest(text)), i)
                 body = "\n".join(c)
                 first[body] = min(key, first.get(body, key))
     for doc, text, chunks in split:
-        keep = [c for i, c in enumerate(chunks) if sum(bool(x.strip(" ")) for x in c) < 2 or first["\n".join(c)] == (doc is None, doc or 0, bytes.fromhex(digest(text)), i)]
+        keep = [c for i, c in enumerate(chunks) if sum(bool(x.strip(" \r\t")) for x in c) < 2 or first["\n".join(c)] == (doc is None, doc or 0, bytes.fromhex(digest(text)), i)]
         kept = "\n".join("\n".join(c) for c in keep)
         out.append((doc if doc is not None else -1, kept, sum(map(len, chunks)), sum(map(len, chunks)) - sum(map(len, keep))))
     return sorted(out)
@@ -625,7 +624,7 @@ def test_line_dedup(spark):
         at = rng.randrange(len(lines) + 1)
         rows.append((i, "\n".join(lines[:at] + shared[a : a + rng.randrange(12)] + lines[at:])))
     rows += [(70, rows[3][1]), (71, None), (72, ""), (73, "one line"), (74, "\n\n \n"), (75, "\n".join(shared * 3)), (3, rows[3][1]), (None, rows[4][1]), (76, "é\r\n" * 2000)]
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(frame(spark, rows).drop("n_words")).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(frame(spark, rows).withColumns({c: F.lit("x") for c in ("n_lines", "n_removed", "text_", "hash", "rest")})).collect())
     assert got == brute_lines(rows)
     assert sum(r[3] for r in got) > 50
     assert line_dedup(frame(spark, [])).count() == 0
@@ -658,7 +657,7 @@ def test_passages_of_two_lines_are_found(spark):
         a, at = rng.randrange(50), rng.randrange(len(lines) + 1)
         rows.append((i, "\n".join(lines[:at] + shared[a : a + rng.randrange(5)] + [""] * rng.randrange(2) + lines[at:])))
     rows += [(70, rows[3][1]), (71, None), (72, ""), (73, "one line"), (74, "\n\n \n"), (75, "\r\nx\r"), (78, "\r\nx\r"), (3, rows[3][1]), (None, rows[4][1]), (76, "é\r\n" * 2000), (77, "a\nb\n\nc"), (79, "b\n\nc\nd")]
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(frame(spark, rows).drop("n_words"), passages=True).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup(frame(spark, rows), passages=True).collect())
     assert got == brute_passages(rows)
     assert sum(r[3] for r in got) > 50
 
@@ -680,6 +679,73 @@ def test_pipeline_removes_every_short_passage(spark):
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
+def brute_quality(rows, good):
+    """Ids that the base rule and the cutoffs keep; one stratum."""
+    levels, kept = {}, []
+    for i, text in rows:
+        c = {k: int(v[0]) for k, v in quality_rules.base_counts(pa.array([text or ""])).items()}  # tested against plain counts above
+        base = c["n_words"] < 10 or 100 * c["n_repeat_words"] > 20 * c["n_words"]
+        metrics = (1000 * c["n_symbols"] // max(c["word_chars"], 1), 1000 * c["n_dup_lines"] // max(c["n_lines"], 1), 1000 * c["n_repeat_words"] // max(c["n_words"], 1))
+        level = min([k for k, cut in enumerate(quality_rules.LEVELS) if any(m > x for m, x in zip(metrics, cut))], default=len(quality_rules.LEVELS))
+        levels[i] = (base, level, text)
+    drawn = {t: lv for i, (base, lv, t) in levels.items() if i in good and not base}
+    cut = -1
+    for k in range(len(quality_rules.LEVELS)):
+        errors = sum(lv <= k for lv in drawn.values())
+        tail = sum(math.comb(len(drawn), x) * quality_rules.ALPHA**x * (1 - quality_rules.ALPHA) ** (len(drawn) - x) for x in range(errors + 1))
+        if errors > quality_rules.ALPHA * len(drawn) or tail > quality_rules.DELTA:
+            break
+        cut = k
+    for i, text in rows:
+        base, level, _ = levels[i]
+        if not base and level > cut:
+            kept.append((i, text))
+    return kept
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(21)
+    shared = [prose(rng, 7) for _ in range(12)]
+    texts = ["\n".join(prose(rng, 9) for _ in range(rng.choice([2, 4, 12]))) for _ in range(330)]
+    for i in range(0, 330, 6):
+        texts[i] += "\n" + "\n".join(shared[i % 9 : i % 9 + rng.randrange(1, 4)])
+    items = [prose(rng, 12) for _ in range(4)]
+    for i in range(40):
+        words = texts[rng.randrange(300)].split(" ")
+        words[rng.randrange(len(words))] = f"q{i}"
+        texts.append(" ".join(words))
+    texts += [prose(rng, 12) + " " + rng.choice(items)[: rng.choice([50, 70])] for _ in range(12)] + [texts[1], texts[2], None, "", "few", " ".join(w + "##" for w in texts[5].split())]
+    rows = list(enumerate(texts))
+    good = set(range(330))
+    names = {c: F.lit("mine") for c in ("row_key", "pair", "lines_before", "n_removed", "root", "node", "id")}
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).withColumns(names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i in good), 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    left = brute_quality(rows, good)
+    chunked = brute_lines(left)
+    lost = {i for i, _, _, n in chunked if n}
+    left = [(i, t) for i, t, _, n in brute_passages([(i, t) for i, t, _, _ in chunked]) if t.strip() or not (n or i in lost)]
+    left = [(i, t) for (i, t), (_, _, c) in zip(sorted(left), brute_components(sorted(left)), strict=True) if i == c]
+    passages = [decontaminate.normalise(x) for x in items]
+    near = [(i, t) for i, t in left if any(p[k : k + 8] in decontaminate.normalise(t) for p in passages for k in range(len(p) - 7))]
+    leaks = {i for i, t in near if any(holds(p, decontaminate.normalise(t)) for p in passages)}  # without a common 8-gram no window can match
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    expected = {i: library.encode_ordinary(t) for i, t in left if i not in leaks}
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == expected
+    assert leaks and lost and 200 < len(got) < len(rows) - 25
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.where("row_key <> 'mine' or pair <> 'mine' or lines_before <> 'mine'").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
