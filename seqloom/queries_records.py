@@ -332,9 +332,9 @@ def run_vs_run(spark, d):
     return runs[0].join(runs[1], "sequence_md5").groupBy("old", "new").agg(F.count("*").alias("n"))
 
 
-@query("select k, v from (select s_nationkey as k, min(s_name) as v from supplier group by 1) union all select k, v from (select c_nationkey as k, min(c_name) as v from customer group by 1) where k not in (select s_nationkey from supplier)")
+@query("select k, v from (select s_nationkey as k, min(s_name) as v from supplier where s_suppkey < 10 group by 1) union all select k, v from (select c_nationkey as k, min(c_name) as v from customer group by 1) where k not in (select s_nationkey from supplier where s_suppkey < 10)")
 def merged_tables(spark, d):
-    base = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("v"))
+    base = table(spark, d, "supplier").where("s_suppkey < 10").groupBy(F.col("s_nationkey").alias("k")).agg(F.min("s_name").alias("v"))
     delta = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_name").alias("v"))
     return shape.merged(base, delta, "k")
 
