@@ -6,8 +6,8 @@ The pattern looks back at nothing, so where two chunks have a pre-token
 boundary at the same place inside their overlap, all later pre-tokens of both
 agree: the text is stitched there.  A chunk's last pre-tokens may depend on
 what follows, so boundaries near its end are not used.  Where two chunks have
-no common boundary (one long run), the text is encoded in one go.  Each piece is encoded by its ranks;
-decoding joins the raw bytes of the ids.
+no common boundary (one long run), the text is encoded in one go.  Each piece
+is encoded by its ranks; decoding joins the raw bytes of the ids.
 """
 
 from __future__ import annotations

@@ -41,7 +41,7 @@ BATCH_BYTES = 256 << 10
 ENTRIES, WINDOWS = 1 << 21, 1 << 17
 #: A match and all its q-grams lie within so many bytes of a document.
 REACH = WIDTH + EDITS + Q
-#: Bytes of the table that all q-grams of a benchmark of several slices are looked up in first.
+#: Bits (as a power of two) of the table in which all q-grams of a benchmark of several slices are looked up first.
 FILTER_BITS = 27
 
 
@@ -99,20 +99,20 @@ class Index:
 
 
 def indexes(texts: list[tuple[int, bytes]]) -> Iterator[Index]:
-    """Indexes of all items (number, text) in which no q-gram occurs more than ``MOST`` times, but for the last piece added."""
-    pieces, owner, counts, largest = [], [], {}, 0
-    for number, text in texts:
-        for piece in split(text):
-            if largest >= MOST:
-                yield Index(pieces, owner)
-                pieces, owner, counts, largest = [], [], {}, 0
-            pieces.append(piece)
-            owner.append(number)
-            for i in range(0, max(1, len(piece) - Q + 1)):
-                n = counts[piece[i : i + Q]] = counts.get(piece[i : i + Q], 0) + 1
-                largest = max(largest, n)
-    if pieces:
-        yield Index(pieces, owner)
+    """Indexes of all items (number, text) in which no q-gram occurs more than ``MOST`` times."""
+    pieces = [(number, piece) for number, text in texts for piece in split(text)]
+    every = [grams(np.frombuffer(piece, np.uint8)) for _, piece in pieces]
+    at = 0
+    while at < len(pieces):
+        values = np.concatenate(every[at:])
+        owner = np.repeat(np.arange(at, len(pieces)), [len(g) for g in every[at:]])
+        order = np.argsort(values, kind="stable")
+        start = np.flatnonzero(np.diff(values[order], prepend=~values[order[:1]]))
+        rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+        over = owner[order[rank >= MOST]]
+        to = int(over.min()) if len(over) else len(pieces)  # a piece is shorter than MOST, so at least one fits
+        yield Index([piece for _, piece in pieces[at:to]], [number for number, _ in pieces[at:to]])
+        at = to
 
 
 def dense(near: np.ndarray, least: int, span: int = WIDTH + EDITS - Q + 1) -> np.ndarray:
