@@ -21,6 +21,7 @@ import html
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -221,15 +222,15 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     A subtree is a site template if it recurs on at least ``min_pages`` pages
     of a host (a paragraph of a marked article also on ``ARTICLE_SHARE`` of
     them); pages of a host with the same main text count once, so copies of a
-    page or article are no template.  ``n_recurring`` blocks go by that,
-    ``n_marked`` further ones by the markup; without ``markup`` none, and no
-    article is known.  Null html is an empty page; a null url has the host ''.
+    page or article are no template.  ``n_marked`` blocks go by the markup,
+    ``n_recurring`` further ones by the counts; without ``markup`` all that go
+    go by the counts, and no article is known.  Null html is an empty page; a null url has the host ''.
     A page without text left gives an empty text.  Rows given twice give two
     rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.monotonically_increasing_id().alias("uid"))
     id_type = rows.schema["id"].dataType.simpleString()
-    element = pa.list_(pa.struct([("hash", pa.int64()), ("article", pa.bool_()), ("first", pa.int32()), ("end", pa.int32())]))
+    element = pa.list_(pa.struct([("hash", pa.int64()), ("article", pa.bool_()), ("first", pa.int32()), ("end", pa.int32()), ("holds", pa.bool_())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,26 +244,28 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                     only = markup and any(p.mains)
                     texts.append([None if markup and (m or only and not a) else b for b, m, a in zip(p.blocks, p.marked, p.mains, strict=True)])
                     # the host is part of the hash: one column to count and to join by
-                    elements.append([{"hash": (h & ~1) * 0x9E3779B97F4A7C15 + site + (1 << 63) & (1 << 64) - 1, "article": bool(markup and h & 1), "first": a, "end": b} for h, a, b in p.elements])
+                    # elements whose blocks go by the markup in any case are counted, but need not be joined to be deleted
+                    left = list(accumulate((x is not None for x in texts[-1]), initial=0))
+                    elements.append([{"hash": (h & ~1) * 0x9E3779B97F4A7C15 + site + (1 << 63) & (1 << 64) - 1, "article": bool(markup and h & 1), "first": a, "end": b, "holds": left[b] > left[a]} for h, a, b in p.elements])
                     for e in elements[-1]:
                         e["hash"] -= 1 << 63
                     prints.append(p.print)
                 columns = [part.column(3), part.column(0), part.column(1), pa.array(sites, pa.int64()), pa.array(prints, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(elements, element)]
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "id", "url", "site", "print", "blocks", "elements"])
 
-    schema = f"uid long, id {id_type}, url string, site long, print long, blocks array<string>, elements array<struct<hash: long, article: boolean, first: int, end: int>>"
+    schema = f"uid long, id {id_type}, url string, site long, print long, blocks array<string>, elements array<struct<hash: long, article: boolean, first: int, end: int, holds: boolean>>"
     parsed = materialize(rows.mapInArrow(read, schema), "parsed")
     sizes = parsed.select("site", "print").distinct().groupBy("site").agg(F.count("*").alias("pages"))
     found = parsed.select("site", "print", F.explode(F.array_distinct(F.col("elements.hash"))).alias("hash")).distinct().groupBy("hash").agg(F.count("*").alias("n"), F.first("site").alias("site"))
     found = materialize(found.where(F.col("n") >= min_pages), "found")
     template = join_hot(found, sizes, "site").select("hash", (F.col("n") >= ARTICLE_SHARE * F.col("pages")).alias("most"))
-    wanted = parsed.select("uid", F.inline("elements"))
+    wanted = parsed.select("uid", F.inline("elements")).where("holds").drop("holds")
     gone = join_hot(wanted, template, "hash").where("most or not article").groupBy("uid").agg(F.collect_list(F.struct("first", "end")).alias("gone"))
     out = parsed.select("uid", "id", "url", "blocks").join(materialize(gone, "gone"), "uid", "left").withColumn("gone", F.coalesce("gone", F.array()))
     # a recurring element takes all blocks from its first to its end
     out = out.withColumn("blocks", F.transform("blocks", lambda b, i: F.struct(b.alias("text"), F.exists("gone", lambda g: (g["first"] <= i) & (i < g["end"])).alias("recurs"))))
     left = F.filter("blocks", lambda b: b["text"].isNotNull() & ~b["recurs"])
-    n_recurring = F.size(F.filter("blocks", lambda b: b["recurs"])).cast("long")
-    n_marked = F.size(F.filter("blocks", lambda b: b["text"].isNull() & ~b["recurs"])).cast("long")
+    n_recurring = F.size(F.filter("blocks", lambda b: b["recurs"] & b["text"].isNotNull())).cast("long")
+    n_marked = F.size(F.filter("blocks", lambda b: b["text"].isNull())).cast("long")
     text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), n_recurring.alias("n_recurring"), n_marked.alias("n_marked")).withColumn("n_chars", F.length("text").cast("long")).select(id_col, url_col, "text", "n_chars", "n_recurring", "n_marked")
