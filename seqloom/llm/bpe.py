@@ -76,14 +76,14 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.core = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.token = {b: a for a, b in ranks.items()}
-        self.cache: dict[str, tuple[str, list[int]]] = {}
+        self.cache: dict[str, tuple[str, list[int], bytes]] = {}
 
-    def piece(self, text: str) -> tuple[str, list[int]]:
-        """The ids of a pre-token, as decimals joined by spaces and as numbers."""
+    def piece(self, text: str) -> tuple[str, list[int], bytes]:
+        """The ids of a pre-token, as decimals joined by spaces and as numbers, and the bytes that they decode to."""
         found = self.cache.get(text)
         if found is None:
             ids = self.core.encode_single_piece(text) if hasattr(self.core, "encode_single_piece") else self.core._encode_single_piece(text)
-            found = " ".join(map(str, ids)), ids
+            found = " ".join(map(str, ids)), ids, self.decode(ids)
             if len(text) > 64:
                 return found
             if len(self.cache) >= CACHE:
@@ -91,9 +91,12 @@ class Encoder:
             self.cache[text] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, list[int]]:
+    def encode(self, text: str, keep: bool) -> tuple[int, str, str, list[int] | None]:
+        """Number of ids, digests of the ids and of what they decode to, and the ids if they are kept."""
         every = [self.piece(x) for x in self.pattern.findall(text)]
-        return " ".join([x[0] for x in every]), [i for x in every for i in x[1]]
+        line, raw = " ".join([x[0] for x in every]), b"".join([x[2] for x in every])
+        ids = [i for x in every for i in x[1]] if keep else None
+        return sum([len(x[1]) for x in every]), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), ids
 
     def decode(self, ids: list[int]) -> bytes:
         token = self.token
@@ -103,10 +106,6 @@ class Encoder:
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
-def _result(encoder: Encoder, line: str, ids: list[int], keep: bool) -> tuple[int, str, str, list[int] | None]:
-    return len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids if keep else None
-
-
 def _columns(rows: list[tuple]) -> list[pa.Array]:
     types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
     return [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
@@ -129,7 +128,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
         for batch in batches:
-            found = [_result(encoder, *encoder.encode(x.as_py()), keep_ids) for x in batch.column(1)]
+            found = [encoder.encode(x.as_py(), keep_ids) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(found)], ["id", *names])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,8 +151,12 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 flat = np.array([i for x in ids for i in x], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([number], pa.int32()), pa.array([after], pa.int64()), pa.array([[own[i][0] for i in head]], pa.list_(pa.int64())), pa.array([place[head]], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.int32()))], ["key", "number", "after", "starts", "places", "ids"])
 
+    token: dict[int, bytes] = {}  # filled once in each task
+
     def stitch(table: pa.Table) -> pa.Table:
-        encoder, line, decoded, kept, n, start = Encoder(ranks.value, pattern), hashlib.sha256(), hashlib.sha256(), [], 0, 0
+        if not token:
+            token.update({b: a for a, b in ranks.value.items()})
+        line, decoded, kept, n, start = hashlib.sha256(), hashlib.sha256(), [], 0, 0
         order = np.argsort(np.array(table.column("number")))
         for row in order.tolist():
             after = table.column("after")[row].as_py()
@@ -166,7 +169,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             ids = ids[places[at] :] if at < len(places) else []
             if ids:
                 line.update(b" " * (n > 0) + " ".join(map(str, ids)).encode())
-                decoded.update(encoder.decode(ids))
+                decoded.update(b"".join([token[i] for i in ids]))
             n += len(ids)
             if keep_ids:
                 kept += ids
