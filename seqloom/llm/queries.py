@@ -13,7 +13,10 @@ from .decontaminate import find_leaks
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .line_dedup import line_dedup
+from .periodic_runs import find_periodic_runs
 from .quality_rules import ALPHA, DELTA, LEVELS, quality_rules
+from .simhash import simhash_components
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity, train
 from .url_filter import filter_urls, glob, rule
@@ -75,8 +78,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_url_filter, op4_decontaminate, op5_bpe, op6_chat_format, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extract, op3_url_filter, op4_decontaminate, op5_bpe, op6_chat_format, op7_jaccard_join, op8_toxicity, op9_substring_dedup, op10_line_dedup, op11_spelling, op12_simhash, op13_periodic_runs)}
 
 
 OP3_SQL = r"""
@@ -216,5 +231,66 @@ def _op1_sql() -> str:
     return OP1_SQL.replace("LADDER", ladder).replace("STEPS", str(len(LEVELS))).replace("ALPHA", str(ALPHA)).replace("DELTA", str(DELTA))
 
 
+#: The crc32 (unsigned) of the hexadecimal bytes BYTES by the table ``tab`` of CRC_TABLE.
+CRC_TABLE = "select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(BYTES)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295)"
+
+OP11_SQL = r"""
+with recursive t as (CRC_TABLE), r as (
+  select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents
+), g as (
+  select id, run, count(*) as k from r group by id, run
+), h as (
+  select run, k, CRC as h from g, t
+), w as (
+  select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(k)::bigint as n from h group by 1 having length(word) >= 5 and sum(k) >= 3
+), d as (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from w)
+), p as (
+  select a.word as word, b.word as near, b.n from d a join d b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select w.word, d.word, d.n from w join d on w.word = d.rest
+  union select d.word, w.word, w.n from w join d on w.word = d.rest
+), q as (
+  select word, count(*) as n_near, arg_min(near, (-n, near)) as best, max(n) as best_n from p group by word
+), f as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * w.n then best end as form, case when best_n >= 2 * w.n then best_n end as form_n from w left join q using (word)
+), walk as (
+  select word, word as here, 0 as step from f union all select walk.word, f.form, step + 1 from walk join f on f.word = walk.here where f.form is not null
+)
+select word, n, n_near, form, form_n, root from f join (select word, arg_max(here, step) as root from walk group by word) using (word)
+"""
+
+OP13_SQL = r"""
+with t as (CRC_TABLE), o as (
+  select doc_id, case when text is null then [] else regexp_extract_all(text, '[^\x20\x09-\x0D]+') end as ws, CRC as h from documents, t
+), k as (
+  select doc_id, ws, len(ws) as n, h % 10 = 0 and len(ws) > 0 as plant, (h // 10) % greatest(len(ws), 1) as a, 3 + (h // 10) % 8 as parts from o
+), e as (
+  select doc_id, n, ws, plant, a, 1 + (n - a) // parts as p, unnest(range(n)) as i from k
+), w as (
+  select doc_id, n, i, case when plant and i >= a then ws[a + (i - a) % p + 1] else ws[i + 1] end as word from e
+), eq as (
+  select x.doc_id, y.i - x.i as q, x.i from w x join w y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n
+), s as (
+  select doc_id, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as island from eq) group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)
+), r as (
+  select doc_id, start, length, min(q) as period from s group by doc_id, start, length
+), gone as (
+  select distinct doc_id, i from (select doc_id, unnest(range(start + period, start + length)) as i from r)
+), kept as (
+  select w.doc_id, string_agg(word, ' ' order by w.i) as text from w anti join gone on w.doc_id = gone.doc_id and w.i = gone.i group by w.doc_id
+), said as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as text, arg_max((start, length, period), (length, -start, -period)) as top from r group by doc_id
+)
+select k.doc_id, n as n_words, coalesce(n_runs, 0) as n_runs, top[1]::bigint as start, top[2]::bigint as length, top[3]::bigint as period, (1000 * top[2] // top[3])::bigint as exponent_milli,
+       sha256(coalesce(said.text, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from k left join said using (doc_id) left join kept using (doc_id)
+"""
+
+
+def _with_crc(sql: str, text: str) -> str:
+    return sql.replace("CRC_TABLE", CRC_TABLE).replace("CRC", CRC.replace("BYTES", text))
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_quality_rules": _op1_sql(), "op3_url_filter": OP3_SQL, "op6_chat_format": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling": _with_crc(OP11_SQL, "id || ':' || run"), "op13_periodic_runs": _with_crc(OP13_SQL, "coalesce(doc_id::varchar, '')")}
