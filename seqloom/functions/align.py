@@ -33,94 +33,95 @@ def read_scores(text: str) -> dict[str, dict[str, int]]:
     return {row.split()[0]: dict(zip(head, map(int, row.split()[1:]), strict=True)) for row in lines[1:]}
 
 
+def fill(pairs: np.ndarray, gap_open: int, gap_extend: int, local: bool) -> np.ndarray:
+    """Best integer score of an alignment with affine gaps that ends at each place of two sequences.
+
+    ``pairs``: the score of each element of the first with each of the second.
+    ``local``: an alignment may begin anywhere; else at the start of either
+    sequence, with a free gap before.  Rows are vectorised along the second.
+    """
+    n, m = pairs.shape
+    steps = np.arange(m + 1) * gap_extend
+    best = np.zeros((n + 1, m + 1), np.int64)
+    down = np.full(m + 1, -(10**12), np.int64)
+    for i in range(1, n + 1):
+        down = np.maximum(down - gap_extend, best[i - 1] - gap_open - gap_extend)
+        row = np.maximum(down, 0) if local else down.copy()
+        row[0] = 0
+        row[1:] = np.maximum(row[1:], best[i - 1, :-1] + pairs[i - 1])
+        # a gap along the row: the running maximum of what a gap can start from
+        gap = np.maximum.accumulate(row + steps)
+        row[1:] = np.maximum(row[1:], gap[:-1] - steps[1:] - gap_open)
+        best[i] = row
+    return best
+
+
+def path(best: np.ndarray, pairs: np.ndarray, end: tuple[int, int], gap_open: int, gap_extend: int, local: bool) -> list[tuple[int, int]]:
+    """The columns of the best alignment that ends at ``end``: pairs of places, -1 for a gap.
+
+    Of equal ways a pair comes before a gap in the second sequence, and that
+    before a gap in the first; of gaps the shortest.
+    """
+    (i, j), out = end, []
+    while i > 0 and j > 0 and (best[i, j] > 0 or not local):
+        here = best[i, j]
+        if here == best[i - 1, j - 1] + pairs[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+            continue
+        hit = np.flatnonzero(best[:i, j] - gap_open - gap_extend * np.arange(i, 0, -1) == here)
+        if len(hit):
+            out += [(k, -1) for k in range(i - 1, int(hit[-1]) - 1, -1)]
+            i = int(hit[-1])
+            continue
+        hit = np.flatnonzero(best[i, :j] - gap_open - gap_extend * np.arange(j, 0, -1) == here)
+        out += [(-1, k) for k in range(j - 1, int(hit[-1]) - 1, -1)]
+        j = int(hit[-1])
+    return out[::-1]
+
+
+def spanning_end(best: np.ndarray) -> tuple[int, int]:
+    """Where the best alignment to the end of either sequence ends."""
+    n, m = best.shape[0] - 1, best.shape[1] - 1
+    return max(((n, int(best[-1].argmax())), (int(best[:, -1].argmax()), m)), key=lambda e: best[e])
+
+
 class Aligner:
-    """Local alignment with affine gaps; rows are vectorised along the second sequence."""
+    """Alignment of two sequences with affine gaps."""
 
     def __init__(self, scores: dict[str, dict[str, int]], gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND):
-        self.table = np.full((128, 128), -4, np.int32)
+        self.table = np.full((128, 128), -4, np.int64)
         for a, row in scores.items():
             for b, value in row.items():
                 self.table[ord(a), ord(b)] = value
         self.open, self.extend = gap_open, gap_extend
 
+    def _columns(self, a: str, b: str, local: bool) -> tuple[int, int, list[tuple[int, int]]]:
+        """Score, identities and columns."""
+        x, y = (np.frombuffer(s.encode("ascii", "replace"), np.uint8) for s in (a, b))
+        if not len(x) or not len(y):
+            return 0, 0, []
+        pairs = self.table[np.ix_(x, y)]
+        best = fill(pairs, self.open, self.extend, local)
+        i, j = np.unravel_index(int(best.argmax()), best.shape) if local else spanning_end(best)
+        columns = path(best, pairs, (int(i), int(j)), self.open, self.extend, local)
+        return int(best[i, j]), sum(p >= 0 and q >= 0 and x[p] == y[q] for p, q in columns), columns
+
     def local(self, a: str, b: str) -> tuple[int, int, int, int, int, int, int]:
         """Score, identities, alignment length, and the aligned range of each side."""
-        x = np.frombuffer(a.encode("ascii", "replace"), np.uint8)
-        y = np.frombuffer(b.encode("ascii", "replace"), np.uint8)
-        if not len(x) or not len(y):
+        score, same, columns = self._columns(a, b, True)
+        if not columns:
             return 0, 0, 0, 0, 0, 0, 0
-        steps = np.arange(len(y) + 1) * self.extend
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        down = np.full(len(y) + 1, -(10**6), np.int64)
-        for i, c in enumerate(x, 1):
-            down = np.maximum(down - self.extend, best[i - 1] - self.open - self.extend)
-            row = np.maximum(down, 0)
-            row[1:] = np.maximum(row[1:], best[i - 1, :-1] + self.table[c, y])
-            # a gap along the row: the running maximum of what a gap can start from
-            gap = np.maximum.accumulate(row + steps)
-            row[1:] = np.maximum(row[1:], gap[:-1] - steps[1:] - self.open)
-            best[i] = row
-        i, j = np.unravel_index(int(best.argmax()), best.shape)
-        score, ends = int(best[i, j]), (int(i), int(j))
-        same = length = 0
-        while i > 0 and j > 0 and best[i, j] > 0:
-            here = best[i, j]
-            if here == best[i - 1, j - 1] + self.table[x[i - 1], y[j - 1]]:
-                same += int(x[i - 1] == y[j - 1])
-                i, j, length = i - 1, j - 1, length + 1
-                continue
-            up = best[:i, j] - self.open - self.extend * np.arange(i, 0, -1)
-            hit = np.flatnonzero(up == here)
-            if len(hit):
-                length += int(i - hit[-1])
-                i = int(hit[-1])
-                continue
-            left = best[i, :j] - self.open - self.extend * np.arange(j, 0, -1)
-            hit = np.flatnonzero(left == here)
-            if not len(hit):
-                break
-            length += int(j - hit[-1])
-            j = int(hit[-1])
-        return score, same, length, int(i), ends[0], int(j), ends[1]
-
+        (i, j), (k, m) = columns[0], columns[-1]  # a local alignment begins and ends with pairs
+        return score, int(same), len(columns), i, k + 1, j, m + 1
 
     def spanning(self, a: str, b: str) -> tuple[int, int, int, int, int]:
         """Near-global alignment: both sequences from a common end to a common end, gaps beyond the ends free.
 
         Score, identities, aligned columns (end gaps left out), and the residues of each side in them.
         """
-        x = np.frombuffer(a.encode("ascii", "replace"), np.uint8)
-        y = np.frombuffer(b.encode("ascii", "replace"), np.uint8)
-        if not len(x) or not len(y):
-            return 0, 0, 0, 0, 0
-        steps = np.arange(len(y) + 1) * self.extend
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
-        down = np.full(len(y) + 1, -(10**6), np.int64)
-        for i, c in enumerate(x, 1):
-            down = np.maximum(down - self.extend, best[i - 1] - self.open - self.extend)
-            row = down.copy()
-            row[0] = 0  # a gap before the start of b is free
-            row[1:] = np.maximum(row[1:], best[i - 1, :-1] + self.table[c, y])
-            gap = np.maximum.accumulate(row + steps)
-            row[1:] = np.maximum(row[1:], gap[:-1] - steps[1:] - self.open)
-            best[i] = row
-        i, j = max(((len(x), int(best[-1].argmax())), (int(best[:, -1].argmax()), len(y))), key=lambda e: best[e])
-        score, ends, same, columns = int(best[i, j]), (i, j), 0, 0
-        while i > 0 and j > 0:
-            here = best[i, j]
-            if here == best[i - 1, j - 1] + self.table[x[i - 1], y[j - 1]]:
-                same += int(x[i - 1] == y[j - 1])
-                i, j, columns = i - 1, j - 1, columns + 1
-                continue
-            hit = np.flatnonzero(best[:i, j] - self.open - self.extend * np.arange(i, 0, -1) == here)
-            if len(hit):
-                columns += int(i - hit[-1])
-                i = int(hit[-1])
-                continue
-            hit = np.flatnonzero(best[i, :j] - self.open - self.extend * np.arange(j, 0, -1) == here)
-            columns += int(j - hit[-1])
-            j = int(hit[-1])
-        return score, same, columns, ends[0] - i, ends[1] - j
+        score, same, columns = self._columns(a, b, False)
+        return score, int(same), len(columns), sum(p >= 0 for p, _ in columns), sum(q >= 0 for _, q in columns)
 
 
 def bit_score(raw: float) -> float:
