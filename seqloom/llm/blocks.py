@@ -8,11 +8,12 @@ each.  A bucket answers each block with one bit for each key (does it occur
 more than once?) and the sums for those that do.  A key that a third of all
 documents hold thus costs one entry for each block, never one for each document.
 
-The work for a block grows with its keys, not with the number of buckets.  A
-block of ``BLOCK_BYTES`` has keys for some thousand buckets of at least
-``ROW_KEYS`` keys a row, which is enough for about a hundred gigabytes of text
-with ``BUCKET_KEYS`` keys in a bucket; beyond that the buckets grow in
-proportion, unless larger blocks (``block_bytes``) are given to ``pack``.
+The work for a block grows with its keys, not with the number of buckets: a
+block sends at least ``ROW_KEYS`` keys to each on average.  So the larger the
+corpus, the larger are its blocks (``block_size``), up to ``LARGEST_BLOCK``,
+and with them the number of buckets; a bucket has about ``BUCKET_KEYS`` keys
+for some ten gigabytes of text, ten million at a terabyte and a hundred
+million (a gigabyte and a half in its task) at a hundred terabytes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, shuffle_partitions
 
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES, LARGEST_BLOCK = 3 << 20, 64 << 20
+#: Bytes of input for each byte of a block, where that lies between the two.
+INPUT_PER_BLOCK_BYTE = 150_000
 BUCKET_KEYS = 1_000_000
 #: A block sends at least so many keys to a bucket on average, however large the corpus is.
 ROW_KEYS = 64
@@ -47,12 +50,12 @@ def unpacked(payload: bytes) -> pa.RecordBatch:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the offsets of its values; null counts as empty."""
+    """The bytes of a string or binary column and the offsets of its values; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     buf = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
@@ -69,8 +72,20 @@ def pieces(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
         at = to
 
 
-def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def block_size(input_bytes: int) -> int:
+    """Bytes of a block for an input of so many bytes."""
+    return min(LARGEST_BLOCK, max(BLOCK_BYTES, input_bytes // INPUT_PER_BLOCK_BYTE))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The size of ``df`` as its plan estimates it from the files' sizes; 0 if it cannot tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def pack(df: DataFrame, text: str, block_bytes: int | None = None) -> DataFrame:
     """Blocks of ``df``'s rows, written to the shared folder: block, n_docs, n_bytes, payload."""
+    block_bytes = block_bytes or block_size(planned_bytes(df))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -136,14 +151,18 @@ def cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     return list(zip(bucket[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=False))
 
 
+def bucket_count(total_keys: float, blocks: int, partitions: int) -> int:
+    """A power of two: about ``BUCKET_KEYS`` keys in each bucket, but not so many buckets that a block sends fewer than ``ROW_KEYS`` keys to each."""
+    wanted = max(2 * partitions, total_keys / BUCKET_KEYS)
+    if total_keys > BUCKET_KEYS:
+        wanted = min(wanted, max(total_keys / max(1, blocks) / ROW_KEYS, 2 * partitions))
+    return 1 << max(int(wanted - 1).bit_length(), 1)
+
+
 def bucket_bits(blocks: DataFrame, keys_per_byte: float) -> int:
-    """Bits that choose a bucket: about ``BUCKET_KEYS`` keys in each, but not so many buckets that a block sends fewer than ``ROW_KEYS`` keys to each."""
+    """Bits that choose a bucket."""
     size = blocks.agg(F.sum("n_bytes").alias("n"), F.count("*").alias("blocks")).first()
-    total = (size.n or 0) * keys_per_byte
-    wanted = max(2 * shuffle_partitions(blocks.sparkSession), total / BUCKET_KEYS)
-    if total / BUCKET_KEYS > 1:
-        wanted = min(wanted, max(total / max(1, size.blocks) / ROW_KEYS, 2 * shuffle_partitions(blocks.sparkSession)))
-    return max(int(wanted - 1).bit_length(), 1)
+    return bucket_count((size.n or 0) * keys_per_byte, size.blocks, shuffle_partitions(blocks.sparkSession)).bit_length() - 1
 
 
 def _answer(table: pa.Table) -> pa.Table:

@@ -6,10 +6,12 @@ between different texts is lost.  Signatures are counted over all documents
 filter needs.  Of the sets with one signature, the one whose signatures are
 the most frequent is paired with the others: in a group of near copies that is
 the original or the copy closest to it.  Only where the partners of one such
-centre lie in several components are they compared among themselves, in tiles
-of bounded size that give no more links than join components.  Histograms of
-the features rule pairs out without reading the sets; every link is verified
-on the whole sets.
+centre lie in several components are they looked at again: their features are
+counted, and sets of different components meet if they share one of the
+rarest features of each, of which linked sets share at least one.  Pages of
+one template that do not link share none of these.  Histograms of the
+features rule pairs out without reading the sets; every link is verified on
+the whole sets.
 """
 
 from __future__ import annotations
@@ -30,8 +32,6 @@ from .wordhash import mix, run_hashes, word_hashes, words
 
 NODE_BITS = 20
 CELLS = 256
-#: Sets and feature bytes of one side of a tile.
-TILE, TILE_BYTES = 512, 8 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 KEYS_PER_BYTE = 0.13
@@ -105,40 +105,46 @@ def _reaches(x: np.ndarray, y: np.ndarray) -> bool:
     return common * DENOMINATOR >= (len(x) + len(y) - common) * NUMERATOR
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Links between sets of one tile that join different components: at most one less than there are components."""
-    root, size, side = (np.array(table.column(c)) for c in ("root", "n", "side"))
-    cells = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("cells")]).astype(np.int16)
-    features = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("features")]
-    same = table.column("low")[0].as_py() == table.column("high")[0].as_py()
-    left, right = (np.arange(len(root)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    names, group = np.unique(root, return_inverse=True)
-    parent = np.arange(len(names))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = int(parent[x])
-        return x
-
-    links = []
-    for at in range(0, len(left), 64):
-        i = left[at : at + 64]
-        ok = group[i][:, None] != group[right][None]
-        if same:
-            ok &= i[:, None] < right[None]
-        ok &= np.minimum(size[i][:, None], size[right][None]) * DENOMINATOR >= np.maximum(size[i][:, None], size[right][None]) * NUMERATOR
-        x, y = np.nonzero(ok)
-        for piece in range(0, len(x), 8192):
-            u, v = i[x[piece : piece + 8192]], right[y[piece : piece + 8192]]
-            apart = np.abs(cells[u] - cells[v]).sum(axis=1, dtype=np.int64)
-            near = apart * (DENOMINATOR + NUMERATOR) <= (size[u] + size[v]) * (DENOMINATOR - NUMERATOR)
-            for p, q in zip(u[near].tolist(), v[near].tolist(), strict=True):
-                g, h = find(int(group[p])), find(int(group[q]))
-                if g != h and _reaches(features[p], features[q]):
-                    parent[max(g, h)] = min(g, h)
-                    links.append((int(root[p]), int(root[q])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+def fine_bands(largest: int) -> np.ndarray:
+    """Least sizes of bands of set sizes, each about three hundredths wide."""
+    low = [1]
+    while low[-1] <= largest:
+        low.append(max(low[-1], low[-1] * 103 // 100) + 1)
+    return np.array(low, np.int64)
+
+
+def rare_features(feature: np.ndarray, offsets: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by which every two linked sets meet, with the set of each, the feature's place in the set's order, and the side.
+
+    All sets' features are put into one order, the rarest first (``times``
+    tells how many sets have each).  A set of size a whose partner has at
+    least b features shares 4 / 9 (a + b) of them with it, so one of the first
+    a - 4 / 9 (a + b) + 1 is shared.  Partners are told apart by bands of
+    sizes: a key is a feature and the bands of both sets.  The side tells
+    whether the set's own band is the lower (0) or the higher one (1), or both
+    are the same (-1).  Features of one set only are left out.
+    """
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((feature, times, owner))
+    place = np.arange(len(feature)) - np.repeat(offsets[:-1], sizes)
+    low = fine_bands(int(sizes.max(initial=1)) * 5 // 4 + 1)
+    least = -(-sizes * NUMERATOR // DENOMINATOR)
+    own, first, last = (np.searchsorted(low, x, side="right") - 1 for x in (sizes, least, sizes * DENOMINATOR // NUMERATOR))
+    keys, sets, places, sides = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    mixed, again = mix(feature[order]), times[order] > 1
+    for step in range(int((last - first).max(initial=-1)) + 1):
+        band = first + step
+        partner = np.maximum(low[np.minimum(band, len(low) - 1)], least)
+        prefix = np.where(band <= last, sizes - -(-NUMERATOR * (sizes + partner) // (NUMERATOR + DENOMINATOR)) + 1, 0)
+        at = np.flatnonzero(again & (place < prefix[owner]))
+        who = owner[at]
+        both = np.minimum(band, own)[who] * len(low) * 8 + np.maximum(band, own)[who]
+        keys.append(mix(mixed[at] + both.astype(np.uint64)))
+        sets.append(who)
+        places.append(place[at])
+        sides.append(np.where(band == own, -1, band < own)[who])
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(places), np.concatenate(sides)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +167,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, block_bytes: int | None = None) -> DataFrame:
     """One row for each document: id, n_shingles, component_id (the least id that links reach).
 
     A document's set: its distinct ``n``-word shingles after lower-casing A-Z;
@@ -169,8 +175,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     have an empty set, link with nothing and are their own component.  A null
     id is never the least unless its whole component has none.  Rows given
     twice are equal sets, hence linked.  Other columns are ignored.
+    ``block_bytes``: see ``blocks``.
     """
-    blocks = pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    blocks = pack(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", block_bytes)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def keys_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -216,30 +223,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paired = join_hot(entries, centres.select("key", "centre"), "key").where("node != centre.node")
     pairs = materialize(paired.select(F.col("centre.node").alias("a"), F.col("node").alias("b"), F.col("centre.n").alias("n"), F.col("n").alias("n2")).distinct(), "pairs")
 
-    # most pairs share a passage only: their histograms rule them out, and their whole sets stay where they are
-    able = pairs.where(F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR)
-    compared = join_hot(able, sets.select(F.col("node").alias("a"), "cells"), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells2")).hint("merge"), "b")
-    likely = materialize(compared.select("a", "b", "n", "cells", "n2", "cells2").mapInArrow(_near, "a long, b long"), "likely")
-    read = join_hot(likely, sets.select(F.col("node").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("y")).hint("merge"), "b")
-    links = materialize(read.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b, n, n2) that link: histograms rule most out, and their whole sets stay where they are."""
+        able = pairs.where(F.least("n", "n2") * DENOMINATOR >= F.greatest("n", "n2") * NUMERATOR)
+        compared = join_hot(able, sets.select(F.col("node").alias("a"), "cells"), "a").join(sets.select(F.col("node").alias("b"), F.col("cells").alias("cells2")).hint("merge"), "b")
+        likely = materialize(compared.select("a", "b", "n", "cells", "n2", "cells2").mapInArrow(_near, "a long, b long"), "likely")
+        read = join_hot(likely, sets.select(F.col("node").alias("a"), F.col("features").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("features").alias("y")).hint("merge"), "b")
+        return materialize(read.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), name)
+
+    links = linked(pairs, "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)).hint("merge"), node, "left").withColumn(root, F.coalesce(root, node))
 
     # Any two sets with a common signature have the same centre.  Where the partners of one centre lie in several
-    # components, they are compared with each other, in tiles of a bounded number of sets and bytes.
-    stars = materialize(rooted(pairs.select("a", "b", F.col("n2").alias("n")), "b", "root"), "stars")
-    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / TILE_BYTES)).cast("int")
-    open_ = stars.groupBy("a").agg(tiles.alias("tiles"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("a", "tiles")
-    spread = join_hot(stars, open_, "a").withColumnRenamed("b", "node")
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("a", "node", "root", "n", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    spread = spread.join(sets.select("node", "cells", "features").hint("merge"), "node")
-    more = materialize(spread.groupBy("a", "low", "high").applyInArrow(_across, "a long, b long"), "more")
-    if not more.isEmpty():  # links between components: their components' roots replace the roots
-        again = components(more, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("new"))
-        roots = materialize(join_hot(roots, again, "root", "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(_new_roots(again, roots)), "roots")
+    # components, those that link meet by a rare feature.
+    stars = materialize(rooted(pairs.select("a", "b"), "b", "root"), "stars")
+    open_ = stars.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("a")
+    apart = join_hot(stars, open_, "a").groupBy(F.col("b").alias("node")).agg(F.first("root").alias("root"))
+    apart = materialize(apart.join(sets.select("node", "n", "features").hint("merge"), "node"), "apart")
+    if not apart.isEmpty():
+        more = linked(_meeting(apart), "more")
+        if not more.isEmpty():
+            roots = materialize(components(links.unionByName(more), "a", "b"), "roots")
 
     # documents without a set match nothing; their keys differ, so that they do not meet in one task
     held = held.select("id", "n_shingles", "node", F.coalesce("node", -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("at"))
@@ -249,6 +256,36 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _new_roots(again: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (node, root) for sets without a link before: they were their own roots."""
-    return again.join(roots.select(F.col("node").alias("root")).hint("merge"), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))
+def _meeting(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, n2) of the ``sets`` (node, root, n, features) of different roots that share enough from a rare feature on."""
+
+    def of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        features = rows.column(rows.schema.get_field_index("features"))
+        sizes = np.array(rows.column(rows.schema.get_field_index("n")), np.int64)
+        return np.frombuffer(b"".join(x.as_buffer() for x in features), np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+
+    found, bits = counted(pack(sets, "features"), lambda rows: np.unique(of(rows)[0], return_counts=True), 0.125, "seen")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, answers in zip(batch.column(0), batch.column(1), strict=True):
+                rows = unpacked(payload.as_buffer())
+                feature, offsets = of(rows)
+                known, place = np.unique(feature, return_inverse=True)
+                keys, who, *at = rare_features(feature, offsets, totals(known, answers, bits)[place])
+                columns = [np.array(rows.column(rows.schema.get_field_index(c)), np.int64)[who] for c in ("node", "root", "n")]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.view(np.int64), *columns, *at)], ["key", "node", "root", "n", "place", "side"])
+
+    entries = materialize(found.select("payload", "seen").mapInArrow(keyed, "key long, node long, root long, n long, place long, side long"), "entries")
+    # of two sets of different roots one at least is not of the key's commonest root: a large component is not compared with itself
+    by_root = entries.groupBy("key", "root").agg(F.count("*").alias("size"))
+    mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("common"), F.count("*").alias("roots")).where("roots > 1").select("key", "common")
+    entries = materialize(join_hot(entries, mixed, "key"), "mixed")
+    other = entries.select("key", "side", F.col("node").alias("b"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    one = entries.where("root != common").withColumnRenamed("node", "a").withColumn("side", F.when(F.col("side") < 0, F.col("side")).otherwise(1 - F.col("side")))
+    met = one.join(other.hint("merge"), ["key", "side"]).where("root != root2")
+    # what both have from here on, if this is the first feature that they share
+    met = met.where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (NUMERATOR + DENOMINATOR) >= (F.col("n") + F.col("n2")) * NUMERATOR)
+    ordered = F.col("a") < F.col("b")
+    pair = (F.when(ordered, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("n", "n2"), ("n2", "n")))
+    return materialize(met.select(*pair).distinct(), "met")

@@ -57,14 +57,15 @@ class _Windows:
         return at, *np.unique(runs[at], return_inverse=True, return_counts=True)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, keep_text: bool = False, key_bits: int = 64) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, keep_text: bool = False, key_bits: int = 64, block_bytes: int | None = None) -> DataFrame:
     """One row for each document: id, n_words, n_removed, kept_sha256, intervals, and with ``keep_text`` kept_text.
 
     ``intervals`` lists maximal removed word ranges [first, end).  Null and
     empty texts have no words and lose nothing; a row given twice repeats all
     its windows, in both rows; texts shorter than ``width`` are kept whole.
     Other columns of ``docs`` are ignored; an empty table gives no rows.  The
-    result does not depend on ``key_bits``, the bits of the first hash in use.
+    result depends neither on ``key_bits``, the bits of the first hash in use,
+    nor on ``block_bytes`` (see ``blocks``).
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = kept.schema["id"].dataType.simpleString()
@@ -73,7 +74,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         windows = _Windows(rows.column(1), width, key_bits)
         return windows.keys, windows.times
 
-    found, bits = counted(pack(kept, "text"), keys_of, 0.17)
+    found, bits = counted(pack(kept, "text", block_bytes), keys_of, 0.17)
 
     def second_of(rows: pa.RecordBatch, answers) -> tuple[np.ndarray, np.ndarray]:
         windows = _Windows(rows.column(1), width, key_bits)

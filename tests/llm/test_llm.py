@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import bpe, decontaminate, html_extract, partenum, quality_rules, toxicity, url_filter
+from seqloom.llm import blocks, bpe, decontaminate, html_extract, jaccard_join, partenum, quality_rules, toxicity, url_filter
 from seqloom.llm.blocks import decode, encode
 from seqloom.llm.chat_format import format_chats
 from seqloom.llm.jaccard_join import jaccard_components
@@ -179,7 +180,7 @@ def test_jaccard_many_near_copies_and_a_common_passage(spark):
 
 
 def test_jaccard_copies_without_their_original(spark):
-    """Copies with several changes each: few link with the centre, so partners are compared in tiles."""
+    """Copies with several changes each: few link with the centre, so partners meet by their rare features."""
     rng = random.Random(11)
     rows = []
     for g in range(3):
@@ -193,6 +194,69 @@ def test_jaccard_copies_without_their_original(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("own", [120, 50])
+def test_jaccard_pages_of_one_template(spark, monkeypatch, own):
+    """Pages that share 280 shingles without linking (0.54 and 0.74): no written table grows faster than the pages, and a true link is found."""
+    common, rows_of, materialize = " ".join(f"c{i}" for i in range(284)), {}, jaccard_join.materialize
+
+    def counted(df, name):
+        out = materialize(df, name)
+        rows_of[size, name] = rows_of.get((size, name), 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    for size in (300, 1200):
+        rows = [(i, common + " " + " ".join(f"o{i}x{j}" for j in range(own))) for i in range(size)]
+        rows.append((size, rows[7][1].replace("o7x3", "other")))
+        got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, rows)).collect()}
+        assert got == {i: i for i in range(size)} | {size: 7}
+    assert {name: (n, rows_of[1600, name]) for (s, name), n in rows_of.items() if s == 300 and rows_of[1200, name] > 5 * n + 3000} == {}
+
+
+def test_rare_features_miss_no_link():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(100):
+        base = rng.integers(0, 2**63, int(rng.choice([1, 3, 5, 9, 20, 60, 200, 500])), dtype=np.uint64)
+        for _ in range(5):
+            more = rng.integers(0, 2**63, int(len(base) * rng.choice([0, 0.03, 0.12, 0.2])), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) >= rng.choice([0, 0.04, 0.1, 0.18])], more])))
+    sets = [s for s in sets if len(s)]
+    feature, offsets = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    _, place, times = np.unique(feature, return_inverse=True, return_counts=True)
+    by_key = collections.defaultdict(list)
+    for key, *entry in zip(*(x.tolist() for x in jaccard_join.rare_features(feature, offsets, times[place])), strict=True):
+        by_key[key].append(entry)
+    met = set()
+    for group in by_key.values():
+        for (x, p, s), (y, q, t) in itertools.combinations(group, 2):
+            if (s == t == -1 or s + t == 1) and 180 * min(len(sets[x]) - p, len(sets[y]) - q) >= 80 * (len(sets[x]) + len(sets[y])):
+                met.add((min(x, y), max(x, y)))
+    whole = [set(s.tolist()) for s in sets]
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(whole[i] & whole[j]) >= 80 * len(whole[i] | whole[j])}
+    assert links <= met and len(links) > 300
+
+
+def test_block_sizes_follow_the_input():
+    """Keys in one bucket's task and in one row, for the Jaccard join (0.13 keys a byte)."""
+    table = {}
+    for gb in (0.1, 30, 1000, 100_000):
+        size = blocks.block_size(int(gb * 1e9))
+        n = blocks.bucket_count(gb * 1e9 * 0.13, max(1, int(gb * 1e9 / size)), max(8, int(min(gb * 8, 20_000))))
+        table[gb] = (gb * 1e9 * 0.13 / n, size * 0.13 / n)
+    assert table[30][0] < 1.1e6 and table[1000][0] < 1.6e7 and table[100_000][0] < 2e8
+    assert all(row >= 15 for _, row in table.values())
+
+
+def test_results_do_not_depend_on_blocks(spark, corpus, monkeypatch):
+    expected = sorted(map(tuple, substring_dedup(frame(spark, corpus)).select("doc_id", "n_removed", "kept_sha256").collect())), brute_components(corpus)
+    monkeypatch.setattr(blocks, "BUCKET_KEYS", 50)
+    monkeypatch.setattr(blocks, "ROW_KEYS", 4)
+    got = sorted(map(tuple, substring_dedup(frame(spark, corpus), block_bytes=2000).select("doc_id", "n_removed", "kept_sha256").collect()))
+    assert got == expected[0]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, corpus), block_bytes=2000).collect()) == expected[1]
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
