@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import collapse, models
+from .functions import align, text
+from .operators import collapse, models, seeds
 from .plans.scratch import materialize
 from .queries import query, table
 
@@ -58,3 +58,27 @@ def family_manifest(spark, d):
     sizes = members.groupBy("family").agg(F.count("*").alias("n_members"))
     summary = collapse.domain_summary(hits, "family", "member", sizes.withColumnRenamed("n_members", "n"), models.FLOOR)
     return models.manifest(hits, sizes, "family").join(summary.select("family", F.round("least", 4).alias("min_hmm_coverage")), "family")
+
+
+# --- candidates ------------------------------------------------------------------------------------------------------
+
+
+def _nodes(spark, d) -> DataFrame:
+    """The distinct sequences of the parts, by their least part."""
+    return _members(spark, d).groupBy("sequence").agg(F.min("member").alias("node"))
+
+
+@query()
+def remote_alignment(spark, d):
+    n = materialize(_nodes(spark, d), "nodes")
+    pairs = seeds.seeded_pairs(n, "node", "sequence", hits=1)
+    a, b = (n.select(F.col("node").alias(k), F.col("sequence").alias(f"s{k}")) for k in "ab")
+    hits = align.align_pairs(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b"), "a", "b", "sa", "sb", 10_000)
+    raw = F.round((F.col("bits") * F.log(F.lit(2.0)) + F.log(F.lit(align.K))) / align.LAMBDA).cast("long")
+    return hits.select("a", "b", F.round("pct_id", 6).alias("pct_id"), raw.alias("score"), F.round("qcov", 6).alias("qcov"), F.round("scov", 6).alias("scov"))
+
+
+@query()
+def near_contained_parts(spark, d):
+    pairs = seeds.near_contained_pairs(materialize(_nodes(spark, d), "nodes"), "node", "sequence")
+    return pairs.withColumn("coverage", F.round("coverage", 9))

@@ -44,8 +44,8 @@ def test_same_rows_as_sql(spark, duck, name):
 # --- queries that SQL cannot express, against plain programs ---------------------------------------------------------
 
 
-#: Tested in test_models.py.
-FAMILIES = {"family_alignment", "family_profiles", "family_search", "family_manifest"}
+#: Tested in test_models.py and test_seeds.py.
+FAMILIES = {"family_alignment", "family_profiles", "family_search", "family_manifest", "remote_alignment", "near_contained_parts"}
 
 
 def test_every_query_has_a_counterpart():
