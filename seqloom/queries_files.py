@@ -1,7 +1,7 @@
 """Queries that write the driver's tables with a sink and read them back with a source.
 
-Files lie in the shared folder.  Sources that number the rows of one file are
-given one file; the tables written so are the small ones.
+Files lie in the shared folder.  Tables are written in several part files;
+texts whose lines must keep their order are written as one.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text
 from .plans.scratch import forget_at_exit, shared_dir
 from .queries import LETTERS, query, table
-from .sources import delimited, records, sinks
+from .sources import delimited, records, sinks, versions
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -42,7 +42,7 @@ def _first(spark: SparkSession, value: str, place: int = -1) -> DataFrame:
 @query("select c_custkey::varchar as c_custkey, c_name, coalesce(c_mktsegment, '') as c_mktsegment from customer")
 def table_roundtrip(spark, d):
     path = _path(spark, "customer.tsv")
-    sinks.write_table(table(spark, d, "customer").coalesce(1), path, ["c_custkey", "c_name", "c_mktsegment"])
+    sinks.write_table(table(spark, d, "customer").repartition(3), path, ["c_custkey", "c_name", "c_mktsegment"])
     header, rows = delimited.scan(spark, path)
     return delimited.named(header, rows).drop("_row")
 
@@ -74,7 +74,7 @@ def section_scan(spark, d):
 @query("select p_partkey::varchar as p_partkey, p_brand, case when p_size >= 25 then 'kept' else 'removed' end as side from part")
 def split_output(spark, d):
     kept, removed = _path(spark, "kept.tsv"), _path(spark, "removed.tsv")
-    sinks.write_split(table(spark, d, "part").coalesce(1), F.col("p_size") >= 25, kept, removed, ["p_partkey", "p_brand"])
+    sinks.write_split(table(spark, d, "part").repartition(3), F.col("p_size") >= 25, kept, removed, ["p_partkey", "p_brand"])
     read = lambda path, side: delimited.named(*delimited.scan(spark, path)).drop("_row").withColumn("side", F.lit(side))
     return read(kept, "kept").unionByName(read(removed, "removed"))
 
@@ -82,7 +82,7 @@ def split_output(spark, d):
 @query("select r_regionkey::varchar as r_regionkey, lower(r_name) as r_name from region")
 def replaced_table(spark, d):
     path = _path(spark, "region.tsv")
-    sinks.write_table(table(spark, d, "region").coalesce(1), path, ["r_regionkey", "r_name"])
+    sinks.write_table(table(spark, d, "region").repartition(2), path, ["r_regionkey", "r_name"])
     old = delimited.named(*delimited.scan(spark, path))
     sinks.replace_table(old.withColumn("r_name", F.lower("r_name")), path, ["r_regionkey", "r_name"])
     return delimited.named(*delimited.scan(spark, path)).drop("_row")
@@ -91,7 +91,7 @@ def replaced_table(spark, d):
 @query("select p_partkey::varchar as p_partkey, p_brand, p_size::varchar as p_size, 'full' as form from part union all select p_partkey::varchar, p_brand, null, 'slim' from part")
 def full_and_slim(spark, d):
     full, slim = _path(spark, "full.tsv"), _path(spark, "slim.tsv")
-    sinks.write_full_and_slim(table(spark, d, "part").coalesce(1), full, slim, ["p_partkey", "p_brand", "p_size"], ["p_partkey", "p_brand"])
+    sinks.write_full_and_slim(table(spark, d, "part").repartition(3), full, slim, ["p_partkey", "p_brand", "p_size"], ["p_partkey", "p_brand"])
     read = lambda path, form: delimited.named(*delimited.scan(spark, path)).drop("_row").withColumn("form", F.lit(form))
     return read(full, "full").unionByName(read(slim, "slim"), allowMissingColumns=True)
 
@@ -110,7 +110,7 @@ def fasta_wrapping(spark, d):
     path = _path(spark, "wrapped.fasta")
     docs = table(spark, d, "documents").withColumn("sequence", text.letters("text"))
     sinks.write_fasta(docs, path, sinks.header_from("{doc_id}", docs.columns), F.col("sequence"))
-    return spark.read.text(path).agg(F.count("*").alias("n_lines"), F.max(F.length("value")).cast("long").alias("longest"))
+    return spark.read.text(versions.current(spark, path)).agg(F.count("*").alias("n_lines"), F.max(F.length("value")).cast("long").alias("longest"))
 
 
 def _fasta(spark, d):
@@ -252,7 +252,7 @@ def markdown_report(spark, d):
 @query(f"select 'rows' as what, count(*) as n from customer union all select 'records', count(*) from documents where {LETTERS} <> '' union all select 'missing', null")
 def file_summary(spark, d):
     rows, fasta = _path(spark, "rows.tsv"), _path(spark, "records.fasta")
-    sinks.write_table(table(spark, d, "customer").coalesce(1), rows, ["c_custkey"])
+    sinks.write_table(table(spark, d, "customer").repartition(2), rows, ["c_custkey"])
     docs = table(spark, d, "documents").withColumn("sequence", text.letters("text"))
     sinks.write_fasta(docs, fasta, F.col("doc_id").cast("string"), F.col("sequence"))
     found = [("rows", delimited.count_rows(spark, rows)), ("records", records.count_records(spark, fasta)), ("missing", delimited.count_rows(spark, _path(spark, "nothing.tsv")))]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stripped
 from ..plans.scratch import materialize
+from .versions import current
 
 BOM = "﻿"
 
@@ -19,20 +20,28 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[s
     """The header as it is, and rows of string columns c0, c1, ... with _row, their place in the file.
 
     Short rows read as blanks, a byte order mark and carriage returns go, and
-    blank lines keep their number but are no rows.
+    blank lines keep their number but are no rows.  Of a folder the current
+    version is read (see ``versions``); its files follow each other by name,
+    and each that begins with the first one's header loses that line.
     """
     sep = sep or delimiter(path)
-    first = spark.read.text(path).limit(1).collect()
+    path = current(spark, path)
+    first = spark.read.text(path).orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id()).limit(1).collect()
     if not first:
         return [], spark.createDataFrame([], "_row long")
     reader = spark.read.option("sep", sep).option("header", False).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
     head = spark.createDataFrame([(first[0].value.lstrip(BOM).rstrip("\r"),)], "value string")
     names = head.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(first[0].value.count(sep) + 1)), {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*").first()
     header = [x or "" for x in names]
-    # one multi-line file is read by one task, so ids follow the file's order
-    rows = reader.schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(path).withColumn("_row", F.monotonically_increasing_id() - 1)
-    cells = [F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), "\r$", "").alias(f"c{i}") for i in range(len(header))]
-    rows = rows.where("_row >= 0").select("_row", *cells)
+    # a multi-line file is read by one task, so ids follow the file's order
+    rows = reader.schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(path).withColumns({"_id": F.monotonically_increasing_id(), "_file": F.col("_metadata.file_name")})
+    cells = {f"c{i}": F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), "\r$", "") for i in range(len(header))}
+    rows = rows.withColumns(cells).withColumn("_same", F.array(F.ltrim(F.col("c0"), F.lit(BOM)), *(F.col(f"c{i}") for i in range(1, len(header)))) == F.array(*map(F.lit, header)))
+    # one row for each file
+    files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("_same", "_id").cast("int").alias("_head"))
+    before = F.coalesce(F.sum(F.col("_n") - F.col("_head")).over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(files.select("_file", "_first", "_head", before.alias("_before")), "_file").withColumn("_row", F.col("_id") - F.col("_first") - F.col("_head") + F.col("_before"))
+    rows = rows.where(F.col("_id") >= F.col("_first") + F.col("_head")).select("_row", *cells)
     return header, rows.where(F.concat_ws("", *(stripped(f"c{i}") for i in range(len(header)))) != "")
 
 
@@ -73,14 +82,14 @@ def after_marker(rows: DataFrame, marker: str) -> DataFrame:
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:
     """Alignment pairs (query, target, pct_id, evalue, bits, ord); unparsable rows are skipped."""
-    raw = spark.read.option("sep", "\t").schema("q string, t string, p string, e string, b string").csv(path).withColumn("ord", F.monotonically_increasing_id())
+    raw = spark.read.option("sep", "\t").schema("q string, t string, p string, e string, b string").csv(current(spark, path)).withColumn("ord", F.monotonically_increasing_id())
     typed = raw.select(F.col("q").alias("query"), F.col("t").alias("target"), F.expr("try_cast(p as double)").alias("pct_id"), F.expr("try_cast(e as double)").alias("evalue"), F.expr("try_cast(b as double)").alias("bits"), "ord")
     return typed.dropna()
 
 
 def edges(spark: SparkSession, path: str) -> DataFrame:
     """Directed edges with coverage; ids such as n12 become numbers; self pairs and unparsable rows go."""
-    raw = spark.read.option("sep", "\t").schema("q string, s string, p string, qc string, sc string, b string").csv(path).withColumn("ord", F.monotonically_increasing_id())
+    raw = spark.read.option("sep", "\t").schema("q string, s string, p string, qc string, sc string, b string").csv(current(spark, path)).withColumn("ord", F.monotonically_increasing_id())
     number = lambda c: F.expr(f"try_cast(substring({c}, 2) as long)")
     typed = raw.select(number("q").alias("q"), number("s").alias("s"), *(F.expr(f"try_cast({c} as double)").alias(n) for c, n in (("p", "pct_id"), ("qc", "qcov"), ("sc", "scov"), ("b", "bits"))), "ord")
     return typed.dropna().where("q <> s")
@@ -89,7 +98,7 @@ def edges(spark: SparkSession, path: str) -> DataFrame:
 def cluster_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Centroids and hits of a tagged cluster file (S and H records)."""
     cells = F.split("value", "\t")
-    rows = spark.read.text(path).select(cells.alias("v")).where(F.size("v") >= 10)
+    rows = spark.read.text(current(spark, path)).select(cells.alias("v")).where(F.size("v") >= 10)
     col = lambda i, n: F.get("v", i).alias(n)
     centroids = rows.where(F.get("v", 0) == "S").select(col(1, "cluster"), col(8, "label"))
     hits = rows.where(F.get("v", 0) == "H").select(col(1, "cluster"), F.expr("try_cast(v[3] as double)").alias("pct_id"), col(8, "label"), col(9, "centroid"))
@@ -98,7 +107,7 @@ def cluster_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def domain_hits(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a domain table: target, query, score, from, to, length."""
-    rows = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(F.split(F.trim("value"), r"\s+").alias("v")).where(F.size("v") >= 23)
+    rows = spark.read.text(current(spark, path)).where(~F.startswith("value", F.lit("#"))).select(F.split(F.trim("value"), r"\s+").alias("v")).where(F.size("v") >= 23)
     number = lambda i, n: F.expr(f"try_cast(v[{i}] as double)").alias(n)
     return rows.select(F.get("v", 0).alias("target"), F.get("v", 3).alias("query"), number(5, "query_length"), number(13, "score"), number(15, "hmm_from"), number(16, "hmm_to"))
 

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from .versions import current
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """(_row, header, sequence): one row for each record."""
-    rows = spark.read.option("lineSep", ">").text(path).withColumn("_row", F.monotonically_increasing_id())
+    rows = spark.read.option("lineSep", ">").text(current(spark, path)).withColumn("_row", F.monotonically_increasing_id())
     parts = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
     return rows.where(stripped("value") != "").select("_row", stripped(F.get(parts, 0)).alias("header"), F.regexp_replace(F.coalesce(F.get(parts, 1), F.lit("")), r"\s+", "").alias("sequence"))
 
@@ -23,7 +24,7 @@ def count_records(spark: SparkSession, path: str) -> int | None:
     """The number of records of a FASTA file, null if there is none."""
     from .delimited import exists
 
-    return spark.read.text(path).where(F.startswith("value", F.lit(">"))).count() if exists(spark, path) else None
+    return spark.read.text(current(spark, path)).where(F.startswith("value", F.lit(">"))).count() if exists(spark, path) else None
 
 
 def fasta_by_key(records: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def coding_sequences(records: DataFrame) -> DataFrame:
 
 def json_sidecar(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row, with null fields where the document is malformed."""
-    return spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("doc"))
+    return spark.read.option("wholetext", True).text(current(spark, path)).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("doc"))
 
 
 def _decode(text: str) -> Iterator[str]:
@@ -90,7 +91,7 @@ def taxonomy(xml: DataFrame, column: str) -> DataFrame:
 
 def profile(spark: SparkSession, path: str, residues: str = "ACDEFGHIKLMNPQRSTVWY") -> DataFrame:
     """(pos, residue, p): emission probabilities of a profile's match states; '*' counts as 0, rows are renormalised."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("v"))
+    lines = spark.read.text(current(spark, path)).select(F.split(F.trim("value"), r"\s+").alias("v"))
     states = lines.where(F.get("v", 0).rlike(r"^\d+$") & (F.size("v") > len(residues)))
     cells = states.select(F.get("v", 0).cast("int").alias("pos"), F.posexplode(F.slice("v", 2, len(residues))).alias("i", "score"))
     raw = F.when(F.col("score") == "*", F.lit(0.0)).otherwise(F.exp(-F.expr("try_cast(score as double)")))

@@ -1,4 +1,9 @@
-"""Writers: delimited tables, FASTA, JSON and markdown."""
+"""Writers: delimited tables, FASTA, JSON and markdown.
+
+Each writes a new version of its table (see ``versions``), in as many part
+files as the frame has partitions; a delimited part begins with the header,
+which ``delimited.scan`` knows.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import wrapped
+from .versions import publish
 
 
 def write_table(df: DataFrame, path: str, columns: list[str], sep: str = "\t") -> None:
-    """The named columns, in that order; blanks stay blanks.  Spark's commit makes the write atomic."""
+    """The named columns, in that order; blanks stay blanks.  The table's old version stays until this one is complete."""
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]
-    df.select(*blank).write.mode("overwrite").option("sep", sep).option("header", True).option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
+    out = df.select(*blank).write.option("sep", sep).option("header", True).option("emptyValue", "").option("quote", '"').option("escape", '"')
+    publish(df.sparkSession, path, out.csv)
 
 
 def write_split(df: DataFrame, keep: Column, path: str, removed_path: str, columns: list[str]) -> None:
@@ -22,10 +29,8 @@ def write_split(df: DataFrame, keep: Column, path: str, removed_path: str, colum
 
 
 def replace_table(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Replaces a table that ``df`` may itself be read from: the new rows are written aside first."""
-    from ..plans.scratch import materialize
-
-    write_table(materialize(df, "replacement"), path, columns)
+    """Replaces a table that ``df`` may itself be read from: what it reads stays as the backup."""
+    write_table(df, path, columns)
 
 
 def fasta_record(header: Column, sequence: Column, width: int | None = 60) -> Column:
@@ -44,18 +49,20 @@ def header_from(template: str, columns: list[str]) -> Column:
 def write_fasta(df: DataFrame, path: str, header: Column, sequence: Column, order: list | None = None, width: int | None = 60) -> None:
     rows = df.where(sequence != "")
     rows = rows.orderBy(*order) if order else rows
-    rows.select(fasta_record(header, sequence, width).alias("value")).write.mode("overwrite").text(path)
+    publish(df.sparkSession, path, rows.select(fasta_record(header, sequence, width).alias("value")).write.text)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    publish(df.sparkSession, path, df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.text)
 
 
 def markdown(df: DataFrame, limit: int = 100) -> str:
-    """A report table; ``limit`` is the number of lines that a report shows."""
-    rows = df.limit(limit).collect()
+    """A report table; ``limit`` is the number of lines that a report shows, and a last line tells if there are more."""
+    rows = df.limit(limit + 1).collect()
+    more = f"\nOnly the first {limit} rows are shown.\n" if len(rows) > limit else ""
+    rows = rows[:limit]
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n" for r in rows)
+    return head + "".join("| " + " | ".join("" if x is None else str(x) for x in r) + " |\n" for r in rows) + more
 
 
 def write_full_and_slim(df: DataFrame, path: str, slim_path: str, columns: list[str], slim_columns: list[str]) -> None:
