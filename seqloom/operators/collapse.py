@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_number, stripped
+from ..plans.scratch import materialize
 from ..sources.delimited import numbered
-from .relate import ranked
 
 
 def value_set(x: str, numeric: bool = False) -> Column:
@@ -48,12 +48,48 @@ def upper_median(x: str) -> Column:
     return F.get(F.sort_array(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int"))
 
 
+#: Parts into which a round of ``order_statistic`` cuts the values that are left.
+PARTS = 1024
+
+
+def order_statistic(df: DataFrame, x: str, place: Column, by: list[str] = ()) -> DataFrame:
+    """(by, value): the value at ``place`` (from 0, an expression of ``n``) of each group's sorted non-null numbers, without sorting.
+
+    Each round counts the values in PARTS equal parts between the least and
+    the largest that are left, and goes on with the part that holds the place;
+    the values of that part bound the next round.  Few rounds are needed, and a
+    group of any size costs a row for each task and part.  NaN counts as the
+    largest value.
+    """
+    # all that decides the order, as two numbers: NaN apart from the rest
+    value = F.col(x).cast("double") if df.schema[x].dataType.simpleString() in ("float", "double") else F.col(x).cast("decimal(38,6)") if "decimal" in df.schema[x].dataType.simpleString() else F.col(x).cast("long")
+    rows = df.where(F.col(x).isNotNull()).select(F.struct(*by).alias("g") if by else F.lit(0).alias("g"), value.alias("v"))
+    real = rows.where(~F.isnan("v")) if dict(rows.dtypes)["v"] == "double" else rows
+    counts = rows.groupBy("g").agg(F.count("*").alias("n"))
+    bounds = real.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("numbers")).join(counts, "g").select("g", "lo", "hi", place.cast("long").alias("at"), "numbers")
+    # a place beyond the numbers is a NaN
+    beyond = counts.join(bounds.select("g", "numbers"), "g", "left").select("g", place.cast("long").alias("at"), F.coalesce("numbers", F.lit(0)).alias("numbers"), "n").where("at >= numbers and at < n")
+    state = materialize(bounds.where("at >= 0 and at < numbers").select("g", "lo", "hi", "at"), "bounds")
+    done = state.where("lo = hi")
+    while True:
+        state = state.where("lo <> hi")
+        if state.isEmpty():
+            break
+        inside = real.join(F.broadcast(state) if not by else state, "g").where("v >= lo and v <= hi")
+        # halves keep the difference of very large numbers finite
+        part = F.least(F.lit(PARTS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2).cast("double") / (F.col("hi") / 2 - F.col("lo") / 2).cast("double") * PARTS))
+        cells = inside.groupBy("g", part.cast("int").alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("at").alias("at"))
+        # PARTS rows at most for each group
+        before = F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")
+        state = materialize(cells.withColumn("before", before).where("at >= before and at < before + n").select("g", "lo", "hi", (F.col("at") - F.col("before")).alias("at")), "bounds")
+        done = done.unionByName(state.where("lo = hi"))
+    out = done.select("g", F.col("lo").alias("value")).unionByName(beyond.select("g", F.lit(float("nan")).cast(dict(rows.dtypes)["v"]).alias("value"))) if dict(rows.dtypes)["v"] == "double" else done.select("g", F.col("lo").alias("value"))
+    return out.select(*(F.col(f"g.{c}") for c in by), F.col("value").cast(df.schema[x].dataType).alias("value"))
+
+
 def upper_median_of(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
-    """The same for groups of any size: values are ranked over tasks, never gathered in a row."""
-    rows = df.where(F.col(x).isNotNull()).withColumn("_group", F.struct(*by) if by else F.lit(0))
-    counts = rows.groupBy(F.col("_group").alias("_g")).agg(F.floor(F.count("*") / 2).alias("_half"))
-    placed = ranked(rows, "_group", [x]).join(counts, F.col("_group") == F.col("_g"))
-    return placed.where(F.col("_rank") == F.col("_half") + 1).select(*by, F.col(x).alias("upper_median"))
+    """The same for groups of any size."""
+    return order_statistic(df, x, F.floor(F.col("n") / 2), by).withColumnRenamed("value", "upper_median")
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:

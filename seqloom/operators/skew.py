@@ -9,6 +9,8 @@ from ..plans.scratch import materialize
 
 #: A key is hot if it holds more than this fraction of the rows: fewer than SHARE keys can.
 SHARE = 2000
+#: A key with fewer rows is never hot: its rows are not worth 64 copies of the other side's row.
+LEAST = 100
 SALTS = 64
 
 
@@ -23,7 +25,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     read once more to count its keys.
     """
     total = left.count()
-    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") * SHARE > total)
+    hot = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).where((F.col("_rows") * SHARE > total) & (F.col("_rows") >= LEAST))
     hot = F.broadcast(materialize(hot.select(key, F.lit(True).alias("_hot")), "hot_keys"))
     own = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
     dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), own).otherwise(0)).drop("_hot")
