@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from seqloom import queries, queries_files, queries_models, queries_records  # noqa: F401
+from seqloom import queries, queries_files, queries_growth, queries_models, queries_records  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,8 +44,8 @@ def test_same_rows_as_sql(spark, duck, name):
 # --- queries that SQL cannot express, against plain programs ---------------------------------------------------------
 
 
-#: Tested in test_models.py and test_seeds.py.
-FAMILIES = {"family_alignment", "family_profiles", "family_search", "family_manifest", "remote_alignment", "near_contained_parts"}
+#: Tested in test_models.py, test_seeds.py and test_growth.py.
+FAMILIES = {"family_alignment", "family_profiles", "family_search", "family_manifest", "remote_alignment", "near_contained_parts", "forward_clusters"}
 
 
 def test_every_query_has_a_counterpart():
