@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize
+from ..sources.delimited import numbered
 
 PART = 256
 HEAD, TAIL = "<|im_start|>", "<|im_end|>"
@@ -36,14 +37,11 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     null conversation are one conversation.  Other columns are ignored.
     """
     rows = turns.select(F.col(conv_col).alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / PART).cast("long"))
-    # places in two steps: a conversation's blocks are numbered first, so that no task orders all its turns
-    sizes = rows.groupBy("id", "block").agg(F.count("*").alias("size"))
-    upto = Window.partitionBy("id").orderBy(F.col("block").asc_nulls_first())
-    offsets = sizes.withColumn("before", F.sum("size").over(upto) - F.col("size")).select(F.col("id").alias("oid"), F.col("block").alias("oblock"), "before")
-    placed = rows.join(offsets, F.col("id").eqNullSafe(F.col("oid")) & F.col("block").eqNullSafe(F.col("oblock")))
-    within = Window.partitionBy("id", "block").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    placed = placed.withColumn("place", F.col("before") + F.row_number().over(within))
+    # numbered in one order over all tasks, so that no task orders all turns of a conversation; blocks are cut by place
+    ordered = numbered(rows, *(F.col(c).asc_nulls_first() for c in ("id", "turn", "role", "text")), name="at")
+    starts = ordered.groupBy("id").agg(F.min("at").alias("start")).select(F.col("id").alias("sid"), "start")
+    placed = ordered.join(starts, F.col("id").eqNullSafe(F.col("sid"))).withColumn("place", F.col("at") - F.col("start") + 1).withColumn("block", F.floor((F.col("place") - 1) / PART).cast("long"))
+    upto = Window.partitionBy("id").orderBy("block")
     known = F.concat(F.coalesce(F.concat(F.lit("r"), F.octet_length("role").cast("string"), F.lit(":"), "role"), F.lit("-")), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-")))
     digest = F.sha2(F.concat(F.col("place").cast("string"), F.lit("\n"), known), 256)
     placed = placed.select("id", "block", "place", "role", "text", *(_half(digest, 1 + 12 * i).alias(f"h{i}") for i in range(3)))

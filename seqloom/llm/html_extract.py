@@ -10,9 +10,11 @@ pages for that: quotations and licence lines recur too.
 
 After that goes what the markup itself calls navigation, header, footer,
 sidebar, notice, advert, form, script, style or comment, and where a page marks
-its article, what lies outside of it.  A class, id or role counts if all its
+its article, what lies outside of it.  A form or the like around an article
+or around most of the page's text is no such mark.  A class, id or role counts if all its
 words are such names or plain ones like 'box'; inside an article, around one
-and on inline elements only names of comments and adverts count.
+and on inline elements only names that no chapter has count, such as those of
+comments, adverts and newsletters.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt figcaption b i em strong span a code q cite u s sub sup small mark".split())
 DROPPED = frozenset("nav header footer aside form button select label fieldset dialog menu head".split())
+#: Of these, tags that also stand around a whole page: not if they hold an article or most of the page's text.
+WRAPPERS = frozenset("form fieldset menu dialog".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"})}
 #: Words in class, id or role that mark a part of the page as no main text.
 MARKS = frozenset(
@@ -46,9 +50,12 @@ MARKS = frozenset(
     "related recommended recommendations share sharing social toolbar widget pagination pager search searchbox skip contentinfo complementary dialog".split()
 )
 #: Inside an article only these count: 'discussion' or 'ad-hoc' may name a chapter.
-INSIDE = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus".split())
+INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion comment comments commentlist disqus "
+    "newsletter subscribe subscription share sharing social cookie cookies consent gdpr pagination pager breadcrumb breadcrumbs related recommended recommendations".split()
+)
 #: Words that may stand beside them in a name.
-PLAIN = frozenset("container wrapper wrap list section area box block slot unit inner outer top bottom left right inline native google article post entry thread site page main global primary secondary mobile bar links link item items button buttons icon icons text title js id".split())
+PLAIN = frozenset("container wrapper wrap list section area box block slot unit inner outer top bottom left right inline native google article post entry thread site page main global primary secondary mobile bar links link item items button buttons icon icons text title js id posts articles stories notice banner form".split())
 SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 MIN_PAGES = 4
@@ -98,11 +105,19 @@ class Page:
         self._whole, self._article = blake2b(digest_size=8), blake2b(digest_size=8)
         self._stack: list[_Element] = []
         self._held: list[str] = []
+        self._depths: list[int] = []  # how many elements call each block no main text
+        self._around: list[tuple[int, int]] = []
         self._dropped = self._main = 0
         self._mute: list = []  # an inline element whose text is no main text, and how deep it is nested in itself
         self._parse(page)
         while self._stack:
             self._close()
+        total = sum(map(len, self.blocks))
+        for first, end in self._around:
+            alone = [i for i in range(first, end) if self._depths[i] == 1]
+            if 2 * sum(len(self.blocks[i]) for i in alone) > total:
+                for i in alone:
+                    self.marked[i] = False
         self.print = int.from_bytes((self._article if any(self.mains) else self._whole).digest(), "big", signed=True)
 
     def _flush(self) -> None:
@@ -118,6 +133,7 @@ class Page:
             self._stack[-1].text = True
         self.blocks.append(text)
         self.marked.append(self._dropped > 0)
+        self._depths.append(self._dropped)
         self.mains.append(self._main > 0 and not self._dropped)
         if self.mains[-1]:
             self._article.update(raw + b"\n")
@@ -125,7 +141,7 @@ class Page:
     def _open(self, tag: str, attributes: str) -> None:
         sure, any_ = _marked(attributes)
         by_tag = tag in DROPPED and not (tag == "header" and self._main)
-        soft = any_ and not sure and not by_tag and not self._main
+        soft = not sure and not self._main and (tag in WRAPPERS if by_tag else any_)
         dropped = (by_tag or sure or soft) and tag not in ("html", "body")
         main = tag in ("article", "main") and not dropped
         if main and not any(e.dropped and not e.soft for e in self._stack):
@@ -141,6 +157,8 @@ class Page:
         self._flush()
         e = self._stack.pop()
         self._dropped -= e.dropped
+        if e.dropped and e.soft and e.tag in WRAPPERS:
+            self._around.append((e.first, len(self.blocks)))
         inside = self._main > 0
         self._main -= e.main
         digest = e.digest.digest()

@@ -167,7 +167,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, weight: np.ndarray) -> Model:
     x = summary(_sigmoid(odds), first)
     final = np.zeros(x.shape[1])
     final[0] = -2.0
-    for _ in range(30):  # Newton steps of the weighted logistic regression
+    for _ in range(30 if toxic.any() else 0):  # Newton steps of the weighted logistic regression
         p = _sigmoid(x @ final)
         h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1])
         final = final + np.clip(np.linalg.solve(h, x.T @ (weight * (toxic - p)) - 0.5 * final), -2, 2)
@@ -196,7 +196,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """One row for each document: id, score, predicted, spans (first and end code point of each toxic run of words).
 
     Null and empty texts have no words; their score is that of a document
-    without toxic words.  Rows given twice give two rows; other columns are
+    without toxic words.  A model that was fitted without a toxic label scores
+    every text below the threshold.  Rows given twice give two rows; other columns are
     ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.move, model.final))

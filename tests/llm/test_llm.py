@@ -833,3 +833,43 @@ def test_pipeline(spark, tmp_path):
         docs_after = stage(spark, docs, str(tmp_path))
         assert docs_after.columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+# --- what the markup and the labels leave open ------------------------------------------------------------------------
+
+
+def kept_of(page):
+    p = html_extract.Page(page)
+    only = any(p.mains)
+    return [b for b, m, a in zip(p.blocks, p.marked, p.mains, strict=True) if not (m or only and not a)]
+
+
+def test_wrappers_around_the_page():
+    assert kept_of('<form id="f"><div><article><p>Text</article></div></form>') == ["Text"]
+    assert kept_of("<form><div><p>Most of the text of the page</div></form><nav>menu</nav>") == ["Most of the text of the page"]
+    assert kept_of("<fieldset><menu><p>Most of the text of the page</menu></fieldset>") == []  # two of them: a form indeed
+    assert kept_of("<p>A long text of the page, the longest of all</p><form><p>Search here</form>") == ["A long text of the page, the longest of all"]
+    assert kept_of("<nav><form><article><p>Text</article></form></nav><p>Rest") == ["Rest"]
+
+
+def test_notices_inside_an_article():
+    named = "".join(f'<div class="{c}"><p>gone</div>' for c in ("newsletter", "share", "related-posts", "cookie-notice", "pagination", "social-bar"))
+    assert kept_of(f'<article><p>Body</p>{named}<section class="related-work"><p>Stays</section><div class="ad-hoc">too</div></article>') == ["Body", "Stays", "too"]
+
+
+def test_chats_without_turn_numbers(spark):
+    """Turns without numbers are cut into blocks by place, and rendered in parts like any other."""
+    rows = [("a", None, "user", f"{i:05d}") for i in range(700)] + [("b", 7, "user", f"{i:05d}") for i in range(300)] + [(None, None, None, f"n{i}") for i in range(3)]
+    got = format_chats(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
+    parts = collections.defaultdict(dict)
+    for r in got:
+        parts[r.conv_id][r.part] = r.rendered
+    assert set(parts) == {"a", None} and set(parts["a"]) == {0, 1, 2}  # "b" is a prefix of "a"
+    assert "".join(parts["a"][i] for i in range(3)) == "".join(f"<|im_start|>user\n{i:05d}<|im_end|>\n" for i in range(700))
+
+
+def test_toxicity_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, ""), (3, None)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), "doc_id", "text")
+    assert all(r.predicted == 0 and 0 <= r.score < 0.3 for r in toxicity.score_toxicity(docs, model).collect())
+    assert toxicity.score_toxicity(docs.where("false"), model).count() == 0
