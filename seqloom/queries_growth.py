@@ -1,4 +1,4 @@
-"""Queries of results that grow from run to run: clusters, rosters, overlays, look-ups."""
+"""Queries of results that grow from run to run: clusters, rosters, overlays, look-ups, summaries; and of a search index."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import forward
+from .operators import forward, summaries
 from .queries import LETTERS, _links, query, table
+from .queries_files import _path
 
 
 def _batches(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -65,3 +66,34 @@ def lookup_store(spark, d):
         return wanted.join(answers, "key").select("key", F.lit(forward.FOUND).alias("status"), "answer")
 
     return forward.looked_up(forward.looked_up(None, first, "key", unsure), second, "key", sure)
+
+
+@query("select l_suppkey, count(*) as n, sum(l_quantity) as sum_l_quantity, round(avg(l_quantity), 6) as avg_l_quantity, min(l_quantity) as min_l_quantity, max(l_quantity) as max_l_quantity, (select l_returnflag from lineitem y where y.l_suppkey = x.l_suppkey group by 1 order by count(*) desc, 1 limit 1) as mode_l_returnflag, count(distinct l_returnflag) as distinct_l_returnflag, count(distinct l_partkey) as distinct_l_partkey from lineitem x group by l_suppkey")
+def summary_views(spark, d):
+    """A summary of the open and the returned items each, added up."""
+    items = table(spark, d, "lineitem")
+    by, sums, values = ["l_suppkey"], ["l_quantity"], ["l_returnflag", "l_partkey"]
+    halves = (summaries.partial(items.where(c), by, sums, values) for c in ("l_returnflag = 'N'", "l_returnflag <> 'N'"))
+    out = summaries.finished(summaries.merged(*halves, by), by, sums, values)
+    return out.select("l_suppkey", "n", "sum_l_quantity", F.round("avg_l_quantity", 6).alias("avg_l_quantity"), "min_l_quantity", "max_l_quantity", "mode_l_returnflag", "distinct_l_returnflag", "distinct_l_partkey")
+
+
+def _index(spark, d) -> str:
+    path = _path(spark, "index")
+    rows = [table(spark, d, t).select((F.col(k) * 4 + i).alias("row"), F.concat_ws(" ", *c).alias("text")) for i, (t, k, c) in enumerate((("part", "p_partkey", ["p_name", "p_brand"]), ("supplier", "s_suppkey", ["s_name"]), ("customer", "c_custkey", ["c_name", "c_mktsegment"])))]
+    summaries.write_index(rows[0].unionByName(rows[1]).unionByName(rows[2]), "row", "text", path)
+    return path
+
+
+_KEYS = "with t as (select p_partkey * 4 as id, lower(p_name || ' ' || p_brand) as text from part union all select s_suppkey * 4 + 1, lower(s_name) from supplier union all select c_custkey * 4 + 2, lower(c_name || ' ' || c_mktsegment) from customer) "
+
+
+@query(_KEYS + "select id as row, 2::bigint as terms from t where list_contains(string_split(text, ' '), 'ring') and list_contains(string_split(text, ' '), 'brand#7')")
+def index_terms(spark, d):
+    return summaries.find_terms(spark, _index(spark, d), ["ring", "Brand#7"])
+
+
+@query(_KEYS + "select distinct term, id as row from (select id, unnest(string_split(text, ' ')) as term from t) where starts_with(term, 'brand#1') or starts_with(term, 'customer#00000001')")
+def index_prefix(spark, d):
+    path = _index(spark, d)
+    return summaries.find_prefix(spark, path, "Brand#1").unionByName(summaries.find_prefix(spark, path, "customer#00000001"))

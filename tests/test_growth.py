@@ -123,3 +123,32 @@ def test_order_statistic_of_odd_numbers(spark):
     got = [collapse.order_statistic(df.where("v > double('-Infinity')"), "v", F.lit(i)).first().value for i in range(6)]
     assert got[:4] == [-1e308, 1.5, 2.5, 1e308] and all(map(math.isnan, got[4:]))
     assert collapse.order_statistic(df.where("v is null"), "v", F.lit(0)).count() == 0
+
+
+def test_merged_summaries_equal_the_whole(spark):
+    from seqloom.operators import summaries
+
+    rng = random.Random(1)
+    df = spark.createDataFrame([(rng.randrange(4), rng.choice([None, 1.0, 2.5]), rng.choice([None, "a", "b", "c"])) for _ in range(200)], "g long, x double, v string")
+    both = summaries.merged(summaries.partial(df.where("v = 'a'"), ["g"], ["x"], ["v"]), summaries.partial(df.where("v is null or v <> 'a'"), ["g"], ["x"], ["v"]), ["g"])
+    one, two = (sorted(map(tuple, summaries.finished(p, ["g"], ["x"], ["v"]).collect()), key=str) for p in (both, summaries.partial(df, ["g"], ["x"], ["v"])))
+    assert one == two and all(r[-1] == 3 for r in one)
+
+
+def test_index_reads_few_rows(spark, tmp_path, monkeypatch):
+    from seqloom.operators import summaries
+    from seqloom.sources.versions import current
+
+    monkeypatch.setattr(summaries, "SPAN", 64)
+    path = f"file://{tmp_path}/index"
+    df = spark.range(1000).select("id", F.concat(F.lit("Every row, t"), (F.col("id") % 50), F.lit(" u"), "id").alias("text"))
+    summaries.write_index(df.unionByName(df.limit(5)), "id", "text", path)
+    assert {r.row for r in summaries.find_terms(spark, path, ["every", "T7"]).collect()} == set(range(7, 1000, 50))
+    assert summaries.find_terms(spark, path, ["t7", "t8"]).count() == 0 and summaries.find_terms(spark, path, ["t7", "t8"], every=False).count() == 40
+    assert {(r.term, r.row) for r in summaries.find_prefix(spark, path, "U99").collect()} == {(f"u{i}", i) for i in (99, *range(990, 1000))}
+    index = spark.read.parquet(current(spark, path))
+    assert index.where("term = 'every'").count() == 16 and index.agg(F.max("n")).first()[0] <= 64
+    assert "GreaterThanOrEqual(term,u99)" in summaries.find_prefix(spark, path, "u99")._jdf.queryExecution().executedPlan().toString()
+    # terms are dealt by range: a term's lists lie in neighbouring files, all others are pruned by their statistics
+    files = index.select("term", F.col("_metadata.file_name").alias("f")).groupBy("f").agg(F.min("term").alias("lo"), F.max("term").alias("hi")).collect()
+    assert sum(r.lo <= "t7" <= r.hi for r in files) <= 2
