@@ -19,11 +19,15 @@ def value_set(x: str, numeric: bool = False) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["v"])
 
 
-def collapse(df: DataFrame, key: str, columns: list[str], numeric: list[str] = ()) -> DataFrame:
-    """One row for each key: for every column its least value and all values joined by ';', and the number of rows."""
-    grouped = df.groupBy(key).agg(F.count("*").alias("n_source_rows"), *(value_set(c, c in numeric).alias(f"_{c}") for c in columns))
+def collapse(df: DataFrame, key: str, columns: list[str], numeric: list[str] = (), more: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each key: for every column its least value and all values joined by ';', and the number of rows.
+
+    ``more``: further aggregates by name.
+    """
+    more = more or {}
+    grouped = df.groupBy(key).agg(F.count("*").alias("n_source_rows"), *(v.alias(k) for k, v in more.items()), *(value_set(c, c in numeric).alias(f"_{c}") for c in columns))
     cells = [x for c in columns for x in (F.coalesce(F.get(f"_{c}", F.lit(0)), F.lit("")).alias(c), F.concat_ws(";", f"_{c}").alias(f"{c}_all"))]
-    return grouped.select(key, "n_source_rows", *cells)
+    return grouped.select(key, "n_source_rows", *cells, *more)
 
 
 def ordered_distinct(value: str, order: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.align import block_coverage
+from ..functions.align import block_coverage, fuzzy_ratio
 from .rules import first_match
 
 
@@ -103,10 +103,11 @@ def near_containment(pairs: DataFrame, short: str, long: str, least: float = 0.9
     return ordered.withColumn("coverage", block_coverage("_s", "_l")).where(F.col("coverage") >= least).drop("_s", "_l")
 
 
-def change_audit(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """Per key the lengths before and after, and their difference, of cells that changed."""
+def change_audit(before: DataFrame, after: DataFrame, key: str, value: str, similarity: bool = False) -> DataFrame:
+    """Per key the lengths before and after, and their difference, of cells that changed; with ``similarity`` also the share of matching blocks."""
     joined = before.select(key, F.coalesce(F.col(value), F.lit("")).alias("_b")).join(after.select(key, F.coalesce(F.col(value), F.lit("")).alias("_a")), key)
-    return joined.where("_a <> _b").select(key, F.length("_b").alias("len_before"), F.length("_a").alias("len_after"), (F.length("_a") - F.length("_b")).alias("delta"))
+    more = [F.round(fuzzy_ratio("_b", "_a"), 4).alias("similarity")] if similarity else []
+    return joined.where("_a <> _b").select(key, F.length("_b").alias("len_before"), F.length("_a").alias("len_after"), (F.length("_a") - F.length("_b")).alias("delta"), *more)
 
 
 def fetch_targets(rows: DataFrame, accession: str, sequence: str) -> DataFrame:

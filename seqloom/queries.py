@@ -44,8 +44,7 @@ LETTERS = "upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'))"
 @query(f"select sequence_md5, count(*) as n_source_rows, coalesce(min(nullif(trim(source), '')), '') as source, coalesce(string_agg(distinct source, ';' order by source), '') as source_all, coalesce(min(nullif(trim(lang), '')), '') as lang, coalesce(string_agg(distinct lang, ';' order by lang), '') as lang_all, min(doc_id) as first_doc from (select *, md5({LETTERS}) as sequence_md5, {LETTERS} as l from documents) where l <> '' group by sequence_md5")
 def md5_collapse(spark, d):
     docs = table(spark, d, "documents").withColumn("sequence_md5", text.sequence_key("text")).where("sequence_md5 <> ''")
-    first = docs.groupBy("sequence_md5").agg(F.min("doc_id").alias("first_doc"))
-    return collapse.collapse(docs, "sequence_md5", ["source", "lang"]).join(first, "sequence_md5")
+    return collapse.collapse(docs, "sequence_md5", ["source", "lang"], more={"first_doc": F.min("doc_id")})
 
 
 @query(f"select 'm' || lpad(cast(row_number() over (order by h) as varchar), 6, '0') as node_id, h as sequence_md5, n from (select md5({LETTERS}) as h, count(*) as n from documents where {LETTERS} <> '' group by 1)")

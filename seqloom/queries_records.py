@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import accession, align, families, text
-from .operators import cluster, evidence, graph, relate, rules, shape, variants
+from .operators import cluster, compare, evidence, graph, relate, rules, shape, variants
 from .plans import steps
 from .queries import CODES, COMPONENTS, LETTERS, PRIOR, _codes, _components, _links, _pairs, _two, query, table
 from .sources.delimited import numbered
@@ -267,10 +267,8 @@ def partition_cover(spark, d):
 @query(PRIOR + ", k as (select root, prior, count(*) as n from c join p using (node) group by 1, 2) select (select sum(n * (n - 1) // 2)::bigint from k) as both, (select sum(n * (n - 1) // 2)::bigint from (select sum(n) as n from k group by root)) as by_component, (select sum(n * (n - 1) // 2)::bigint from (select sum(n) as n from k group by prior)) as by_prior")
 def pair_agreement(spark, d):
     c, p = _two(spark, d)
-    cells = c.join(p, "node").groupBy("root", "prior").agg(F.count("*").alias("n"))
-    pairs = lambda df, name: df.agg(F.sum(F.expr("n * (n - 1) div 2")).alias(name))
-    total = lambda key: cells.groupBy(key).agg(F.sum("n").alias("n"))
-    return pairs(cells, "both").join(pairs(total("root"), "by_component")).join(pairs(total("prior"), "by_prior"))
+    found = compare.agreement(compare.crosstab(c, p, "node", "root", "prior"), "root", "prior")
+    return found.select("both", (F.col("both") + F.col("a_only")).alias("by_component"), (F.col("both") + F.col("b_only")).alias("by_prior"))
 
 
 # --- overlays and shapes ---------------------------------------------------------------------------------------------

@@ -152,3 +152,14 @@ def test_index_reads_few_rows(spark, tmp_path, monkeypatch):
     # terms are dealt by range: a term's lists lie in neighbouring files, all others are pruned by their statistics
     files = index.select("term", F.col("_metadata.file_name").alias("f")).groupBy("f").agg(F.min("term").alias("lo"), F.max("term").alias("hi")).collect()
     assert sum(r.lo <= "t7" <= r.hi for r in files) <= 2
+
+
+def test_change_audit_similarity(spark):
+    import difflib
+
+    from seqloom.operators import evidence
+
+    before, after = (spark.createDataFrame(list(enumerate(x)), "k long, v string") for x in (["abcd", "same", None, "MKVL"], ["abxd", "same", "new", ""]))
+    got = {r.k: (r.delta, r.similarity) for r in evidence.change_audit(before, after, "k", "v", similarity=True).collect()}
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4)
+    assert got == {0: (0, ratio("abcd", "abxd")), 2: (3, ratio("", "new")), 3: (-4, ratio("MKVL", ""))}
