@@ -47,6 +47,16 @@ def table_roundtrip(spark, d):
     return delimited.named(header, rows).drop("_row")
 
 
+@query("select doc_id::varchar as doc_id, row_number() over (order by doc_id) - 1 as place, md5(coalesce(text, '')) as text_md5, lang from documents where doc_id is not null")
+def quoted_scan(spark, d):
+    """Texts with line ends, quotes and delimiters in their cells, read back by byte ranges."""
+    path = _path(spark, "documents.csv")
+    docs = table(spark, d, "documents").where("doc_id is not null").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    sinks.write_table(docs, path, ["doc_id", "text", "lang"], ",")
+    rows = delimited.named(*delimited.scan(spark, path, ","))
+    return rows.select("doc_id", F.col("_row").alias("place"), F.md5("text").alias("text_md5"), "lang")
+
+
 @query("select s_suppkey::varchar as id, s_name as first_name, s_nationkey::varchar as second_name, '' as extra, row_number() over (order by s_suppkey) - 1 as place from supplier")
 def duplicate_headers(spark, d):
     lines = _lines(table(spark, d, "supplier"), "s_suppkey", "s_suppkey", "s_name", "s_nationkey")

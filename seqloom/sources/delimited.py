@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
@@ -16,6 +16,77 @@ def delimiter(path: str) -> str:
     return "\t" if path.lower().rsplit(".", 1)[-1] in ("tsv", "tab") else ","
 
 
+#: What a quoted cell holds after its opening quote: anything but a quote, or two quotes for one.
+_BODY = '[^"]*+(?:""[^"]*+)*+'
+
+
+def _opens(value: Column, sep: str) -> Column:
+    """Whether a quoted cell is open at the end of a line that begins outside one.
+
+    A cell is quoted if it begins with a quote; quotes elsewhere are letters.
+    """
+    s = "\\t" if sep == "\t" else f"\\Q{sep}\\E"
+    cell = f'(?:"{_BODY}"(?:(?!{s}).)*+|(?!{s}|").(?:(?!{s}).)*+|)'
+    return value.rlike(f'(?s)\\A(?:{cell}{s})*+"{_BODY}\\z')
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all files in parallel, with their file, the place of their byte range in it, and a number that grows within the range."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+
+
+def _blocks(lines: DataFrame, sep: str) -> DataFrame:
+    """One row for each byte range: its first line, its lines, and for either state it may begin in the state it ends in and the rows that begin in it.
+
+    Only lines that a state other than their own can leave behind are gathered
+    (``events``), so a row's size is bounded by its byte range.
+    """
+    text = F.ltrim(F.col("value"), F.lit(BOM))
+    quoted = F.contains("value", F.lit('"'))
+    event = F.when(quoted, F.struct("_id", _opens(text, sep).alias("out"), _opens(F.concat(F.lit('"'), text), sep).alias("in")))
+    event = F.when(event["out"] | ~event["in"], event)  # else both states stay as they are
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("value", "_id").alias("_line"), F.array_sort(F.collect_list(event)).alias("events"))
+
+    def outcome(start: bool) -> Column:
+        begun = F.struct(F.lit(start).alias("open"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("rows"))
+
+        def step(s: Column, e: Column) -> Column:
+            after = e["_id"] - F.col("_first") + 1
+            return F.struct(F.when(s["open"], e["in"]).otherwise(e["out"]).alias("open"), after.alias("at"), (s["rows"] + F.when(s["open"], F.lit(0).cast("long")).otherwise(after - s["at"])).alias("rows"))
+
+        return F.aggregate("events", begun, step, lambda s: F.struct(s["open"].alias("open"), (s["rows"] + F.when(s["open"], F.lit(0).cast("long")).otherwise(F.col("_n") - s["at"])).alias("rows")))
+
+    return blocks.select("_file", "_block", "_first", "_n", "_line", (F.size("events") > 0).alias("_events"), outcome(False).alias("out"), outcome(True).alias("in"))
+
+
+def _before(order: list[str], of: Column, by: list[str] = ()) -> Column:
+    return of.over((Window.partitionBy(*by) if by else Window).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _located(blocks: DataFrame) -> DataFrame:
+    """Each byte range with the state it begins in (``_open``) and the rows that begin before it, in files by name.
+
+    The state after a range is that of the last one whose end does not depend
+    on its beginning, turned over by each range after it that turns it over.
+    The windows hold one row for each range.
+    """
+    fixed = F.when(F.col("out.open") == F.col("in.open"), F.col("out.open"))
+    turned = F.when(F.col("out.open") & ~F.col("in.open"), 1).otherwise(0)
+    rows = blocks.withColumn("_turns", F.sum(turned).over(Window.partitionBy("_file").orderBy("_block"))).withColumn("_known", F.when(fixed.isNotNull(), F.struct(fixed.cast("int").alias("open"), F.col("_turns").alias("turns"))))
+    known = _before(["_block"], F.last("_known", ignorenulls=True), ["_file"])
+    rows = rows.withColumn("_last", known).withColumn("_all", F.coalesce(_before(["_block"], F.last("_turns"), ["_file"]), F.lit(0)))
+    flips = F.coalesce(F.col("_last.open"), F.lit(0)) + F.col("_all") - F.coalesce(F.col("_last.turns"), F.lit(0))
+    rows = rows.withColumn("_open", flips % 2 == 1)
+    rows = rows.withColumn("_rows", F.when(F.col("_open"), F.col("in.rows")).otherwise(F.col("out.rows")))
+    return rows.withColumn("_before", F.coalesce(_before(["_file", "_block"], F.sum("_rows")), F.lit(0))).select("_file", "_block", "_first", "_line", "_events", "_open", "_before")
+
+
+def _cells(value: Column, width: int, sep: str) -> Column:
+    """The first ``width`` cells of a row's text; missing ones are null."""
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    return F.from_csv(F.regexp_replace(value, "\r$", ""), schema, {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "maxColumns": str(max(20480, 2 * width))})
+
+
 def scan(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[str], DataFrame]:
     """The header as it is, and rows of string columns c0, c1, ... with _row, their place in the file.
 
@@ -23,26 +94,56 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[s
     blank lines keep their number but are no rows.  Of a folder the current
     version is read (see ``versions``); its files follow each other by name,
     and each that begins with the first one's header loses that line.
+
+    Cells may hold line ends.  Files are read by byte ranges all the same: a
+    first pass finds for each range whether it begins inside a quoted cell and
+    how many rows begin before it, a second one reads the rows.  Only ranges
+    with open cells are sorted, to put the lines of their rows together.  A
+    quote that never closes takes the rest of its file as one row.
     """
     sep = sep or delimiter(path)
     path = current(spark, path)
-    first = spark.read.text(path).orderBy(F.col("_metadata.file_name"), F.monotonically_increasing_id()).limit(1).collect()
+    # written once: how files are cut depends on the executors at hand, and both passes need the same ranges
+    lines = materialize(_lines(spark, path), "lines")
+    blocks = materialize(_located(_blocks(lines, sep)), "ranges")
+    first = blocks.orderBy("_file", "_block").limit(1).collect()
     if not first:
         return [], spark.createDataFrame([], "_row long")
-    reader = spark.read.option("sep", sep).option("header", False).option("quote", '"').option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False)
-    head = spark.createDataFrame([(first[0].value.lstrip(BOM).rstrip("\r"),)], "value string")
-    names = head.select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(first[0].value.count(sep) + 1)), {"sep": sep, "quote": '"', "escape": '"'}).alias("r")).select("r.*").first()
+    line = first[0]._line.lstrip(BOM)
+    names = spark.range(1).select(_cells(F.lit(line), line.count(sep) + 1, sep).alias("r")).select("r.*").first()
     header = [x or "" for x in names]
-    # a multi-line file is read by one task, so ids follow the file's order
-    rows = reader.schema(", ".join(f"c{i} string" for i in range(len(header)))).csv(path).withColumns({"_id": F.monotonically_increasing_id(), "_file": F.col("_metadata.file_name")})
-    cells = {f"c{i}": F.regexp_replace(F.coalesce(F.col(f"c{i}"), F.lit("")), "\r$", "") for i in range(len(header))}
-    rows = rows.withColumns(cells).withColumn("_same", F.array(F.ltrim(F.col("c0"), F.lit(BOM)), *(F.col(f"c{i}") for i in range(1, len(header)))) == F.array(*map(F.lit, header)))
-    # one row for each file
-    files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("_same", "_id").cast("int").alias("_head"))
-    before = F.coalesce(F.sum(F.col("_n") - F.col("_head")).over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(files.select("_file", "_first", "_head", before.alias("_before")), "_file").withColumn("_row", F.col("_id") - F.col("_first") - F.col("_head") + F.col("_before"))
-    rows = rows.where(F.col("_id") >= F.col("_first") + F.col("_head")).select("_row", *cells)
-    return header, rows.where(F.concat_ws("", *(stripped(f"c{i}") for i in range(len(header)))) != "")
+    # a file's first line is a header if it reads as the first file's
+    top = blocks.groupBy("_file").agg(F.min_by("_line", "_block").alias("_line"), F.min("_before").alias("_start"))
+    own = _cells(F.ltrim(F.col("_line"), F.lit(BOM)), len(header), sep)
+    same = F.array(*(F.coalesce(own[f"c{i}"], F.lit("")) for i in range(len(header)))) == F.array(*map(F.lit, header))
+    top = top.select("_file", "_start", same.cast("int").alias("_head"))
+    top = top.withColumn("_heads", F.coalesce(F.sum("_head").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = lines.join(blocks.join(top, "_file").drop("_line"), ["_file", "_block"])
+    whole = placed.where(~F.col("_events") & ~F.col("_open")).withColumn("_at", F.col("_before") + F.col("_id") - F.col("_first"))
+    out = whole.select("_at", "_start", "_head", "_heads", "value")
+    if not blocks.where("_events or _open").isEmpty():
+        out = out.unionByName(_joined(placed.where("_events or _open"), sep).select(*out.columns))
+    out = out.where(F.col("_at") >= F.col("_start") + F.col("_head"))
+    value = F.when(F.col("_at") == F.col("_start"), F.ltrim("value", F.lit(BOM))).otherwise(F.col("value"))
+    out = out.select((F.col("_at") - F.col("_head") - F.col("_heads")).alias("_row"), _cells(value, len(header), sep).alias("r"))
+    out = out.select("_row", *(F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(header))))
+    return header, out.where(F.concat_ws("", *(stripped(f"c{i}") for i in range(len(header)))) != "")
+
+
+def _joined(lines: DataFrame, sep: str) -> DataFrame:
+    """The rows of ranges with open cells, each from its lines; a row may go on in the ranges after its own."""
+    text = F.ltrim(F.col("value"), F.lit(BOM))
+    after = {k: F.when(F.contains("value", F.lit('"')), _opens(t, sep)).otherwise(k == "in") for k, t in (("out", text), ("in", F.concat(F.lit('"'), text)))}
+    through = Window.partitionBy("_file", "_block").orderBy("_id")
+    earlier = through.rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.withColumns({f"_{k}": v for k, v in after.items()})
+    rows = rows.withColumn("_turns", F.sum((F.col("_out") & ~F.col("_in")).cast("int")).over(through))
+    rows = rows.withColumn("_known", F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").cast("int").alias("open"), F.col("_turns").alias("turns"))))
+    rows = rows.withColumns({"_last": F.last("_known", ignorenulls=True).over(earlier), "_all": F.coalesce(F.last("_turns").over(earlier), F.lit(0))})
+    inside = (F.coalesce(F.col("_last.open"), F.col("_open").cast("int")) + F.col("_all") - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2
+    rows = rows.withColumn("_at", F.col("_before") + F.sum(1 - inside).over(through) - 1)
+    parts = F.array_sort(F.collect_list(F.struct("_block", "_id", "value")))
+    return rows.groupBy("_file", "_at").agg(*(F.first(c).alias(c) for c in ("_start", "_head", "_heads")), F.concat_ws("\n", F.transform(parts, lambda p: p["value"])).alias("value"))
 
 
 def nth(header: list[str], name: str, occurrence: int = 1):
