@@ -100,35 +100,66 @@ def without_tokens(df: DataFrame, tokens: Column, seeds: DataFrame, seed: str) -
     return held.join(hit, "_id", "left_anti").drop("_id")
 
 
-#: Characters of a very short text that lead to the texts that may hold it.
+#: Characters of a text of few words that lead to the texts that may hold it.
 GRAM = 8
+#: Pieces at either end of a short text of which the rarest is its anchor.
+ENDS = 8
+
+
+def _trigrams(words: str) -> Column:
+    first, second = F.col(words), F.slice(words, 2, F.size(words))
+    pairs = F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b))
+    return F.slice(F.zip_with(pairs, F.slice(words, 3, F.size(words)), lambda ab, c: F.concat_ws(" ", ab, c)), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+
+
+def _grams(text: str, n: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
+def _of_kind(kind: int, pieces: Column) -> Column:
+    return F.transform(F.array_distinct(pieces), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("piece")))
 
 
 def containment(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
     """(short_id, long_id) where a shorter text is part of a longer one.
 
-    Every short text has an anchor that a text holding it must have too, so
-    candidates come from equi-joins of ids: of five or more tokens (cut at
-    single spaces) the second to fourth, of three or four the second, else its
-    first characters, ``GRAM`` of them or all.  Whole texts are read for the
-    candidates only.  Null and empty texts are in nothing and hold nothing.
+    A text that holds another one has all its pieces: of five or more tokens
+    (cut at single spaces) three successive ones but for the first and last
+    token, of three or four the inner ones, else ``GRAM`` characters, or the
+    whole of fewer.  Each short text's anchor is the piece, of up to ``ENDS``
+    at either end, that the fewest longer texts have, so a piece that many
+    texts begin with makes no candidates.  Longer texts are cut once, and only
+    pieces of some short text are kept.  Candidates come from equi-joins of
+    ids, and whole texts are read for these only.  Null and empty texts are in
+    nothing and hold nothing.
     """
     s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s <> ''").withColumn("t", F.split("s", " "))
     l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l <> ''")  # noqa: E741
     size = F.size("t")
     kind = F.when(size >= 5, -2).when(size >= 3, -1).otherwise(F.least(F.length("s"), F.lit(GRAM)))
-    anchor = F.when(size >= 5, F.concat_ws(" ", F.slice("t", 2, 3))).when(size >= 3, F.get("t", F.lit(1))).otherwise(F.substring("s", 1, GRAM))
-    anchored = s.select("s_id", kind.alias("kind"), anchor.alias("anchor"), F.length("s").alias("s_length"))
+    inner = s.select("s_id", "s", kind.alias("kind"), F.slice("t", F.lit(2), F.greatest(size - 2, F.lit(0))).alias("t"))
+    pieces = F.when(F.col("kind") == -2, _trigrams("t")).when(F.col("kind") == -1, F.col("t")).when(F.col("kind") == GRAM, _grams("s", GRAM)).otherwise(F.array("s"))
+    cut = inner.select(F.monotonically_increasing_id().alias("s_row"), "s_id", F.length("s").alias("s_length"), "kind", pieces.alias("p"))
+    ends = F.when(F.size("p") > 2 * ENDS, F.concat(F.slice("p", 1, ENDS), F.slice("p", -ENDS, ENDS))).otherwise(F.col("p"))
+    able = materialize(cut.select("s_row", "s_id", "s_length", "kind", F.explode(F.array_distinct(ends)).alias("piece")), "pieces")
+    wanted = able.select("kind", "piece").distinct()
+
     words = l.select("l_id", F.length("l").alias("l_length"), "l", F.split("l", " ").alias("t"))
-    trigrams = F.zip_with(F.zip_with("t", F.slice("t", 2, F.size("t")), lambda a, b: F.concat_ws(" ", a, b)), F.slice("t", 3, F.size("t")), lambda ab, c: F.concat_ws(" ", ab, c))
-    found = None
-    for n in sorted(r.kind for r in anchored.select("kind").distinct().collect()):  # at most GRAM + 2 kinds
-        ways = F.filter(trigrams, lambda x: x.isNotNull()) if n == -2 else F.col("t") if n == -1 else F.regexp_extract_all("l", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
-        keyed = words.select("l_id", "l_length", F.explode(F.array_distinct(ways)).alias("anchor"))
-        part = keyed.join(anchored.where(F.col("kind") == n), "anchor").where("s_length < l_length").select("s_id", "l_id")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    kinds = sorted(r.kind for r in able.select("kind").distinct().collect())  # at most GRAM + 2
+    if not kinds:
         found = s.select("s_id").join(l.select("l_id"), F.lit(False))
+    else:
+        ways = (_trigrams("t") if n == -2 else F.col("t") if n == -1 else _grams("l", n) for n in kinds)
+        keyed = F.concat(*(_of_kind(n, way) for n, way in zip(kinds, ways, strict=True)))
+        # explode would cut every text once more, for a filter on the number of its pieces
+        held = words.select("l_id", "l_length", F.explode_outer(keyed).alias("k")).select("l_id", "l_length", "k.*")
+        held = materialize(held.join(wanted, ["kind", "piece"], "left_semi"), "held")
+        counts = held.groupBy("kind", "piece").agg(F.count("*").alias("n"))
+        # a piece that no text has ends the search for its short text
+        rated = able.join(counts, ["kind", "piece"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        anchors = rated.groupBy("s_row").agg(*(F.first(c).alias(c) for c in ("s_id", "s_length", "kind")), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("a"))
+        anchors = anchors.where("a.n > 0").select("s_id", "s_length", "kind", F.col("a.piece").alias("piece"))
+        found = held.join(anchors, ["kind", "piece"]).where("s_length < l_length").select("s_id", "l_id")
     found = materialize(found.distinct(), "candidates")
     read = found.join(s.select("s_id", "s"), "s_id").join(l, "l_id").where((F.length("s") < F.length("l")) & F.col("l").contains(F.col("s")))
     return read.select("s_id", "l_id").distinct().withColumnsRenamed({"s_id": short_id, "l_id": long_id} if short_id != long_id else {"s_id": "short_id", "l_id": "long_id"})

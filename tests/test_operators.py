@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import accession, align, families, text
 from seqloom.operators import cluster, collapse, graph, relate, rules, variants
 from seqloom.plans import steps
+from seqloom.plans.scratch import materialize
 from seqloom.sources import delimited, records, sinks
 
 
@@ -196,6 +197,23 @@ def test_containment_equals_all_pairs(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and t and len(s) < len(t) and s in t}
 
 
+def test_a_common_beginning_makes_no_candidates(spark, monkeypatch):
+    """Names with one prefix, and texts with one middle, meet only the texts that have their rare piece."""
+    texts = [f"Customer#{i:09d}" for i in range(80)] + [f"x Customer#{i:09d} y" for i in range(80)]
+    texts += [f"a terms of use apply to the site {i}{i} of b" for i in range(60)] + [f"c a terms of use apply to the site {i}{i} of b d" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    written = {}
+
+    def kept(frame, name):
+        written[name] = materialize(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(relate, "materialize", kept)
+    got = {(r.short_id, r.long_id) for r in relate.containment(df, df, "id", "text", "id", "text").collect()}
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if len(s) < len(t) and s in t}
+    assert written["candidates"].count() <= 2 * len(got)
+
+
 def test_delimited_files(spark, tmp_path):
     path = tmp_path / "t.tsv"
     path.write_text("﻿id\tseq\tseq\textra\r\n1\tAA\tBB\tx\r\n\r\n2\tCC\r\n", encoding="utf-8")
