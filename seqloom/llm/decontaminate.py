@@ -280,7 +280,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     are ignored.  The benchmark is read in slices of ``slice_bytes`` on
     average.  If there are several, one pass over the documents writes those
     that can match by a table of all q-grams (of a fixed size), and only these
-    are read again for each slice.
+    are read again for each slice, whose hits are written before the next slice
+    is read: the driver holds one slice, however large the benchmark.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null")
@@ -319,6 +320,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         size += len(held[-1])
 
         hits = rows.mapInArrow(run, f"id {id_type}, item {item_type}, first long, end long, edits long")
+        if slices > 1:  # one slice at a time in the memory of the driver and the executors
+            hits = materialize(hits, "hits")
+            sent.destroy()
         out = hits if out is None else out.unionByName(hits)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 

@@ -6,6 +6,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 
@@ -470,6 +471,25 @@ def holds(item, text):
     return any(edit_distance(item[w : w + width], text) <= edits for w in range(len(item) - width + 1))
 
 
+def test_one_slice_of_the_benchmark_is_held(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, prose(rng, 12)) for i in range(200)]
+    docs = [(i, prose(rng, 5) + " " + items[i][1] + " " + prose(rng, 5)) for i in range(0, 200, 10)]
+    held, most, real = [], [], spark.sparkContext.broadcast
+
+    def recorded(value):
+        if isinstance(value, list):  # a slice
+            held.append(real(value))
+            most.append(sum(os.path.exists(b._path) for b in held if b._path))
+            return held[-1]
+        return real(value)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", recorded)
+    rows = decontaminate.find_leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), slice_bytes=2000)
+    assert {(r.doc_id, r.item_id) for r in rows.collect()} == {(i, i) for i in range(0, 200, 10)}
+    assert len(held) > 5 and max(most) <= 1
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, rng.randrange(5, 16))) for i in range(10)] + [(50, "too short"), (51, None), (52, "")]
