@@ -30,29 +30,34 @@ def _opens(value: Column, sep: str) -> Column:
     return value.rlike(f'(?s)\\A(?:{cell}{s})*+"{_BODY}\\z')
 
 
+def _empty() -> Column:
+    return F.col("value").isin("", "\r")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of all files in parallel, with their file, the place of their byte range in it, and a number that grows within the range."""
     return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
 
 
 def _blocks(lines: DataFrame, sep: str) -> DataFrame:
-    """One row for each byte range: its first line, its lines, and for either state it may begin in the state it ends in and the rows that begin in it.
+    """One row for each byte range: its first line that is not empty, its lines, and for either state it may begin in the state it ends in and the rows that begin in it.
 
-    Only lines that a state other than their own can leave behind are gathered
-    (``events``), so a row's size is bounded by its byte range.
+    Only lines that may change the state, and empty ones, which are no rows
+    outside a cell, are gathered (``events``), so a row's size is bounded by
+    its byte range.
     """
     text = F.ltrim(F.col("value"), F.lit(BOM))
     quoted = F.contains("value", F.lit('"'))
-    event = F.when(quoted, F.struct("_id", _opens(text, sep).alias("out"), _opens(F.concat(F.lit('"'), text), sep).alias("in")))
-    event = F.when(event["out"] | ~event["in"], event)  # else both states stay as they are
-    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("value", "_id").alias("_line"), F.array_sort(F.collect_list(event)).alias("events"))
+    event = F.when(quoted | _empty(), F.struct("_id", _opens(text, sep).alias("out"), _opens(F.concat(F.lit('"'), text), sep).alias("in"), _empty().alias("empty")))
+    event = F.when(event["out"] | ~event["in"] | event["empty"], event)  # else both states stay as they are
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("value", F.when(~_empty(), F.col("_id"))).alias("_line"), F.array_sort(F.collect_list(event)).alias("events"))
 
     def outcome(start: bool) -> Column:
         begun = F.struct(F.lit(start).alias("open"), F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("rows"))
 
         def step(s: Column, e: Column) -> Column:
             after = e["_id"] - F.col("_first") + 1
-            return F.struct(F.when(s["open"], e["in"]).otherwise(e["out"]).alias("open"), after.alias("at"), (s["rows"] + F.when(s["open"], F.lit(0).cast("long")).otherwise(after - s["at"])).alias("rows"))
+            return F.struct(F.when(s["open"], e["in"]).otherwise(e["out"]).alias("open"), after.alias("at"), (s["rows"] + F.when(s["open"], F.lit(0).cast("long")).otherwise(after - s["at"] - e["empty"].cast("long"))).alias("rows"))
 
         return F.aggregate("events", begun, step, lambda s: F.struct(s["open"].alias("open"), (s["rows"] + F.when(s["open"], F.lit(0).cast("long")).otherwise(F.col("_n") - s["at"])).alias("rows")))
 
@@ -91,9 +96,10 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[s
     """The header as it is, and rows of string columns c0, c1, ... with _row, their place in the file.
 
     Short rows read as blanks, a byte order mark and carriage returns go, and
-    blank lines keep their number but are no rows.  Of a folder the current
-    version is read (see ``versions``); its files follow each other by name,
-    and each that begins with the first one's header loses that line.
+    rows of blank cells keep their number but are left out; empty lines have
+    none.  Of a folder the current version is read (see ``versions``); its
+    files follow each other by name, and each that begins with the first one's
+    header loses that line.
 
     Cells may hold line ends.  Files are read by byte ranges all the same: a
     first pass finds for each range whether it begins inside a quoted cell and
@@ -106,17 +112,17 @@ def scan(spark: SparkSession, path: str, sep: str | None = None) -> tuple[list[s
     # written once: how files are cut depends on the executors at hand, and both passes need the same ranges
     lines = materialize(_lines(spark, path), "lines")
     blocks = materialize(_located(_blocks(lines, sep)), "ranges")
-    first = blocks.orderBy("_file", "_block").limit(1).collect()
+    first = blocks.where("_line is not null").orderBy("_file", "_block").limit(1).collect()
     if not first:
         return [], spark.createDataFrame([], "_row long")
     line = first[0]._line.lstrip(BOM)
     names = spark.range(1).select(_cells(F.lit(line), line.count(sep) + 1, sep).alias("r")).select("r.*").first()
     header = [x or "" for x in names]
     # a file's first line is a header if it reads as the first file's
-    top = blocks.groupBy("_file").agg(F.min_by("_line", "_block").alias("_line"), F.min("_before").alias("_start"))
+    top = blocks.groupBy("_file").agg(F.min_by("_line", F.when(F.col("_line").isNotNull(), F.col("_block"))).alias("_line"), F.min("_before").alias("_start"))
     own = _cells(F.ltrim(F.col("_line"), F.lit(BOM)), len(header), sep)
     same = F.array(*(F.coalesce(own[f"c{i}"], F.lit("")) for i in range(len(header)))) == F.array(*map(F.lit, header))
-    top = top.select("_file", "_start", same.cast("int").alias("_head"))
+    top = top.select("_file", "_start", F.coalesce(same.cast("int"), F.lit(0)).alias("_head"))
     top = top.withColumn("_heads", F.coalesce(F.sum("_head").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = lines.join(blocks.join(top, "_file").drop("_line"), ["_file", "_block"])
     whole = placed.where(~F.col("_events") & ~F.col("_open")).withColumn("_at", F.col("_before") + F.col("_id") - F.col("_first"))
@@ -141,7 +147,8 @@ def _joined(lines: DataFrame, sep: str) -> DataFrame:
     rows = rows.withColumn("_known", F.when(F.col("_out") == F.col("_in"), F.struct(F.col("_out").cast("int").alias("open"), F.col("_turns").alias("turns"))))
     rows = rows.withColumns({"_last": F.last("_known", ignorenulls=True).over(earlier), "_all": F.coalesce(F.last("_turns").over(earlier), F.lit(0))})
     inside = (F.coalesce(F.col("_last.open"), F.col("_open").cast("int")) + F.col("_all") - F.coalesce(F.col("_last.turns"), F.lit(0))) % 2
-    rows = rows.withColumn("_at", F.col("_before") + F.sum(1 - inside).over(through) - 1)
+    rows = rows.withColumn("_inside", inside).withColumn("_none", _empty() & (F.col("_inside") == 0))
+    rows = rows.withColumn("_at", F.col("_before") + F.sum(F.when(F.col("_none"), 0).otherwise(1 - F.col("_inside"))).over(through) - 1).where(~F.col("_none"))
     parts = F.array_sort(F.collect_list(F.struct("_block", "_id", "value")))
     return rows.groupBy("_file", "_at").agg(*(F.first(c).alias(c) for c in ("_start", "_head", "_heads")), F.concat_ws("\n", F.transform(parts, lambda p: p["value"])).alias("value"))
 

@@ -48,9 +48,11 @@ def test_a_row_longer_than_many_ranges(spark, tmp_path, small_ranges):
 def test_stray_quotes_blank_lines_and_an_open_end(spark, tmp_path, small_ranges):
     path = tmp_path / "a.csv"
     path.write_text('\ufeff"a",b,c\n\n1,2"x"y,"3\n\n4"\n,,\n5,in"side\n\n7,"8"z,9\r\n"",,x\n', encoding="utf8")
-    assert rows(spark, path) == (["a", "b", "c"], [(1, "1", '2"x"y', "3\n\n4"), (3, "5", 'in"side', ""), (5, "7", '"8"z', "9"), (6, "", "", "x")])
+    assert rows(spark, path) == (["a", "b", "c"], [(0, "1", '2"x"y', "3\n\n4"), (2, "5", 'in"side', ""), (3, "7", '"8"z', "9"), (4, "", "", "x")])
     path.write_text('a,b\n1,"2\n3,4\n5,6\n')
     assert [r[:2] for r in rows(spark, path)[1]] == [(0, "1")]
+    path.write_text('\n\na,b\n1,"2\n\n\n3"\n\r\n\n4,5\n\n' + "\n" * 150 + "6,7\n", newline="")
+    assert rows(spark, path) == (["a", "b"], [(0, "1", "2\n\n\n3"), (1, "4", "5"), (2, "6", "7")])
     path.write_text('a\tb\n1\t"2,\t\n3"\n4\t5,"\n')
     assert rows(spark, path, "\t")[1] == [(0, "1", "2,\t\n3"), (1, "4", '5,"')]
 
@@ -60,3 +62,5 @@ def test_empty_files(spark, tmp_path):
     assert rows(spark, tmp_path / "a.csv") == ([], [])
     (tmp_path / "a.csv").write_text("a,b\n")
     assert rows(spark, tmp_path / "a.csv") == (["a", "b"], [])
+    (tmp_path / "a.csv").write_text("\n\r\na,b\n\n")
+    assert rows(spark, tmp_path / "a.csv") == (["a", "b"], [])
