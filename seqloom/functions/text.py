@@ -103,9 +103,13 @@ def doi(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(low, r"^\s+|\s+$", ""), r"[.;,]+$", "")
 
 
+#: Fixed value: what separates the DOIs of a cell.
+BETWEEN_DOIS = r"[;,]\s*|\s+(?=10\.)"
+
+
 def dois(x: Column | str) -> Column:
     """The DOIs of a cell that lists them."""
-    parts = F.split(F.coalesce(_c(x), F.lit("")), r"[;,]\s*|\s+(?=10\.)")
+    parts = F.split(F.coalesce(_c(x), F.lit("")), BETWEEN_DOIS)
     return F.filter(F.transform(parts, doi), lambda d: F.startswith(d, F.lit("10.")))
 
 
@@ -113,11 +117,15 @@ def dois(x: Column | str) -> Column:
 DECORATIONS = (r"(?i)^MULTISPECIES:\s*", r"(?i)^MAG(\s+TPA)?:\s*", r"(?i)^Chain\s+[A-Z0-9]+,\s*", r"(?i)^RecName:\s*Full=", r"(?i);\s*(AltName|Flags|Short)\b.*$", r"\s*;\s*$")
 
 
+#: Fixed value: the organism in brackets that closes a title.
+ORGANISM = r"\[([^\[\]]+)\]\s*$"
+
+
 def title_parts(x: Column | str) -> Column:
     """A record title without decorations, and the organism in its closing brackets."""
     raw = stripped(x)
-    organism = F.regexp_extract(raw, r"\[([^\[\]]+)\]\s*$", 1)
-    text = F.when(organism != "", F.regexp_replace(raw, r"\s*\[[^\[\]]+\]\s*$", "")).otherwise(raw)
+    organism = F.regexp_extract(raw, ORGANISM, 1)
+    text = F.when(organism != "", F.regexp_replace(raw, r"\s*" + ORGANISM, "")).otherwise(raw)
     for pattern in DECORATIONS:
         text = F.regexp_replace(text, pattern, "")
     return F.struct(stripped(text).alias("title"), stripped(organism).alias("organism"))
@@ -149,9 +157,13 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+#: Fixed value: a purification tag at a sequence's end.
+TAG = r"(LE)?H{5,}\*?$"
+
+
 def without_tag(x: Column | str) -> Column:
     """Without a closing purification tag."""
-    return F.regexp_replace(_c(x), r"(LE)?H{5,}\*?$", "")
+    return F.regexp_replace(_c(x), TAG, "")
 
 
 def signed(x: Column | str) -> Column:
@@ -183,8 +195,12 @@ def free_sequences(x: Column | str, least: int = 40) -> Column:
     return F.filter(F.transform(records, letters), lambda s: F.length(s) >= least)
 
 
+#: Fixed value: the letters and the least length of a sequence in running text.
+SEQUENCE = "^[ACDEFGHIKLMNPQRSTVWYXBZUO]{40,}$"
+
+
 def looks_like_sequence(x: Column | str) -> Column:
-    return spaceless(x).rlike("^[ACDEFGHIKLMNPQRSTVWYXBZUO]{40,}$")
+    return spaceless(x).rlike(SEQUENCE)
 
 
 def key_value(x: Column | str, key: str) -> Column:

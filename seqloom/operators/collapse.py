@@ -43,6 +43,21 @@ def ordered_merge(value: str, order: str, delimiter: str = ";") -> Column:
     return F.array_distinct(F.filter(F.transform(parts, stripped), lambda x: x != ""))
 
 
+def ordered_lists(df: DataFrame, key: str, value: Column, order: str, name: str) -> DataFrame:
+    """(key, name): each key's distinct non-blank entries in the order of their first occurrence, for keys of any number of rows.
+
+    ``value`` is one entry or an array of them.  The first place of each entry
+    is found first, with partial aggregation, so a list holds an entry once and
+    no task the rows of a whole key.  Entries of one row keep their order.
+    """
+    # a single entry is an array of one
+    entries = value if dict(df.select(value.alias("v")).dtypes)["v"].startswith("array") else F.array(value)
+    each = df.select(key, order, F.posexplode(entries).alias("_pos", "_entry")).withColumn("_entry", stripped("_entry")).where("_entry <> ''")
+    first = each.groupBy(key, "_entry").agg(F.min(F.struct(F.col(order), F.col("_pos"))).alias("_at"))
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "_entry"))).alias("_all"))
+    return listed.select(key, F.transform("_all", lambda x: x["_entry"]).alias(name))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 

@@ -271,7 +271,15 @@ def lineage_flag(spark, d):
 
 @query("with f as (select user_id, event_type, min(event_id) as o from events group by 1, 2) select user_id, string_agg(event_type, ';' order by o) as types from f group by user_id")
 def ordered_merge(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(collapse.ordered_distinct("event_type", "event_id"), ";").alias("types"))
+    listed = collapse.ordered_lists(table(spark, d, "events"), "user_id", F.col("event_type"), "event_id", "types")
+    return listed.select("user_id", F.array_join("types", ";").alias("types"))
+
+
+@query("with e as (select p_brand, p_partkey, unnest(string_split(p_name, ' ')) as entry, generate_subscripts(string_split(p_name, ' '), 1) as pos from part), f as (select p_brand, trim(entry) as entry, min((p_partkey, pos)) as place from e where trim(entry) <> '' group by 1, 2) select p_brand, string_agg(entry, ';' order by place) as words from f group by p_brand")
+def ordered_entries(spark, d):
+    """The words of each brand's part names, by the first part that has them."""
+    listed = collapse.ordered_lists(table(spark, d, "part"), "p_brand", F.split("p_name", " "), "p_partkey", "words")
+    return listed.select("p_brand", F.array_join("words", ";").alias("words"))
 
 
 @query("select user_id, string_agg(distinct event_type, ';' order by event_type) as types, count(*) as n from events group by 1")

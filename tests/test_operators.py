@@ -197,6 +197,14 @@ def test_containment_equals_all_pairs(spark):
     assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and t and len(s) < len(t) and s in t}
 
 
+def test_ordered_lists(spark):
+    rows = [(1, 3, "b; a"), (1, 1, "c;;b"), (1, 2, None), (2, 1, " "), (None, 1, "z;z"), (1, 1, "c;;b")]
+    df = spark.createDataFrame(rows, "k long, o long, v string")
+    got = {r.k: r.x for r in collapse.ordered_lists(df, "k", F.split("v", ";"), "o", "x").collect()}
+    assert got == {1: ["c", "b", "a"], None: ["z"]}
+    assert {r.k: r.x for r in collapse.ordered_lists(df, "k", F.col("v"), "o", "x").collect()} == {1: ["c;;b", "b; a"], None: ["z;z"]}
+
+
 def test_a_common_beginning_makes_no_candidates(spark, monkeypatch):
     """Names with one prefix, and texts with one middle, meet only the texts that have their rare piece."""
     texts = [f"Customer#{i:09d}" for i in range(80)] + [f"x Customer#{i:09d} y" for i in range(80)]
