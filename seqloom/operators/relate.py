@@ -104,20 +104,99 @@ def without_tokens(df: DataFrame, tokens: Column, seeds: DataFrame, seed: str) -
 GRAM = 8
 #: Pieces at either end of a short text of which the rarest is its anchor.
 ENDS = 8
+#: Of the three-word pieces those whose hash this divides are shuffled; texts with fewer than ``ENOUGH`` of them, of which one should be rare, are sought by all theirs.
+SAMPLE = 8
+ENOUGH = 4
+#: So many pieces of texts without enough sampled ones are broadcast, to drop other pieces where they are cut; more are joined by a shuffle.
+BROADCAST_PIECES = 4_000_000
 
 
-def _trigrams(words: str) -> Column:
-    first, second = F.col(words), F.slice(words, 2, F.size(words))
-    pairs = F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b))
-    return F.slice(F.zip_with(pairs, F.slice(words, 3, F.size(words)), lambda ab, c: F.concat_ws(" ", ab, c)), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+def _trigrams(hashes: str) -> Column:
+    first, second = F.col(hashes), F.slice(hashes, 2, F.size(hashes))
+    pairs = F.zip_with(first, second, lambda a, b: F.xxhash64(a, b))
+    return F.slice(F.zip_with(pairs, F.slice(hashes, 3, F.size(hashes)), lambda ab, c: F.xxhash64(ab, c)), F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0)))
 
 
 def _grams(text: str, n: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1), lambda x: F.struct(F.lit(n).alias("kind"), x.alias("gram"))))
 
 
-def _of_kind(kind: int, pieces: Column) -> Column:
-    return F.transform(F.array_distinct(pieces), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("piece")))
+def _ends(pieces: Column) -> Column:
+    return F.when(F.size(pieces) > 2 * ENDS, F.concat(F.slice(pieces, 1, ENDS), F.slice(pieces, -ENDS, ENDS))).otherwise(pieces)
+
+
+def _words(text: str) -> Column:
+    """The hashes of a text's words, so that a piece is one number."""
+    return F.transform(F.split(text, " "), lambda x: F.xxhash64(F.lit(-1), x))
+
+
+def _wide_words(s: DataFrame, l: DataFrame) -> DataFrame | None:  # noqa: E741
+    """(s_id, s_length, piece) for texts of one or two tokens: the hashes of the longer texts' tokens that contain its longest token.
+
+    Only the distinct tokens are cut into characters.  None if there are no such texts.
+    """
+    t = F.split("s", " ")
+    longest = F.array_max(F.transform(t, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
+    few = s.where(F.size(t) <= 2).select("s_id", F.length("s").alias("s_length"), longest.alias("part"))
+    few = few.withColumns({"kind": F.least(F.length("part"), F.lit(GRAM)), "s_row": F.monotonically_increasing_id()})
+    kinds = sorted(r.kind for r in few.select("kind").distinct().collect())  # at most GRAM + 1
+    if not kinds:
+        return None
+    few = materialize(few, "few")
+    tokens = l.select(F.explode(F.array_distinct(F.split("l", " "))).alias("token")).distinct()
+    cut = tokens.select("token", F.explode_outer(F.concat(*(_grams("token", n) for n in kinds))).alias("g")).select("token", "g.*")
+    own = F.coalesce(*(F.when(F.col("kind") == n, _grams("part", n)) for n in kinds))
+    able = materialize(few.select("s_row", F.explode(_ends(own)).alias("g")).select("s_row", "g.*"), "grams")
+    held = materialize(cut.join(able.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi"), "tokens")
+    counts = held.groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    rarest = able.join(counts, ["kind", "gram"]).groupBy("s_row").agg(F.min_by(F.struct("kind", "gram"), F.struct("n", "gram")).alias("g")).select("s_row", "g.*")
+    anchors = few.drop("kind").join(rarest, "s_row")
+    return held.join(anchors, ["kind", "gram"]).where(F.contains("token", "part")).select("s_id", "s_length", F.xxhash64(F.lit(-1), "token").alias("piece")).distinct()
+
+
+def _held_pairs(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
+    """(s_id, l_id, s, l) where the text s is part of the longer text l; see ``containment``."""
+    s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s <> ''")
+    l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l <> ''")  # noqa: E741
+    size = F.size("t")
+    inner = s.withColumn("t", _words("s")).where(size >= 3).select("s_id", "s", F.when(size >= 5, -2).otherwise(-1).alias("kind"), F.slice("t", F.lit(2), size - 2).alias("t"))
+    pieces = F.when(F.col("kind") == -2, _trigrams("t")).otherwise(F.col("t"))
+    cut = inner.select(F.monotonically_increasing_id().alias("s_row"), "s_id", F.length("s").alias("s_length"), "kind", pieces.alias("p"))
+    cut = cut.withColumn("few", F.filter("p", lambda x: (F.col("kind") == -2) & (F.pmod(x, F.lit(SAMPLE)) == 0)))
+    cut = cut.withColumn("sampled", F.size("few") >= ENOUGH).withColumn("p", F.when(F.col("sampled"), F.col("few")).otherwise(F.col("p")))
+    able = materialize(cut.select("s_row", "s_id", "s_length", "kind", "sampled", F.explode(F.array_distinct(_ends(F.col("p")))).alias("piece")), "pieces")
+    rest, wanted = able.where("not sampled").select("piece"), able.select("piece")
+    kinds = {r.kind for r in able.select("kind").distinct().collect()}  # at most two
+    wide = _wide_words(s, l)
+    if wide is not None:
+        wide = materialize(wide, "wide")
+        rest, wanted = rest.unionByName(wide.select("piece")), wanted.unionByName(wide.select("piece"))
+        kinds.add(-1)
+    rest, wanted = rest.distinct(), wanted.distinct()
+    n_rest = rest.count()
+
+    words = l.select("l_id", F.length("l").alias("l_length"), "l", _words("l").alias("t"))
+    tri = _trigrams("t") if n_rest else F.filter(_trigrams("t"), lambda x: F.pmod(x, F.lit(SAMPLE)) == 0)
+    keyed = F.concat(tri, F.col("t")) if -1 in kinds else tri
+    # explode would cut every text once more, for a filter on the number of its pieces
+    held = words.select("l_id", "l_length", F.explode_outer(F.array_distinct(keyed)).alias("piece"))
+    if 0 < n_rest <= BROADCAST_PIECES:
+        held = held.join(F.broadcast(rest.withColumn("rest", F.lit(True))), "piece", "left").where((F.pmod("piece", F.lit(SAMPLE)) == 0) | F.col("rest")).drop("rest")
+    held = materialize(held.join(wanted.hint("merge"), "piece", "left_semi"), "held")
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
+    # a piece that no text has ends the search for its short text
+    rated = able.join(counts, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    anchors = rated.groupBy("s_row").agg(*(F.first(c).alias(c) for c in ("s_id", "s_length")), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("a"))
+    anchors = anchors.where("a.n > 0").select("s_id", "s_length", F.col("a.piece").alias("piece"))
+    if wide is not None:
+        anchors = anchors.unionByName(wide)
+    found = held.join(anchors, "piece").where("s_length < l_length").select("s_id", "l_id")
+    found = materialize(found.distinct(), "candidates")
+    return found.join(s, "s_id").join(l, "l_id").where((F.length("s") < F.length("l")) & F.col("l").contains(F.col("s")))
+
+
+def _named_ids(short_id: str, long_id: str) -> dict[str, str]:
+    return {"s_id": short_id, "l_id": long_id} if short_id != long_id else {"s_id": "short_id", "l_id": "long_id"}
 
 
 def containment(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
@@ -125,44 +204,25 @@ def containment(short: DataFrame, long: DataFrame, short_id: str, short_text: st
 
     A text that holds another one has all its pieces: of five or more tokens
     (cut at single spaces) three successive ones but for the first and last
-    token, of three or four the inner ones, else ``GRAM`` characters, or the
-    whole of fewer.  Each short text's anchor is the piece, of up to ``ENDS``
-    at either end, that the fewest longer texts have, so a piece that many
-    texts begin with makes no candidates.  Longer texts are cut once, and only
-    pieces of some short text are kept.  Candidates come from equi-joins of
-    ids, and whole texts are read for these only.  Null and empty texts are in
-    nothing and hold nothing.
+    token, of three or four the inner ones, of fewer a token that contains the
+    longest of its own.  Pieces are 64-bit hashes.  Of the three-token ones both
+    sides keep the same sample by hash (one in ``SAMPLE``), so the exchange is
+    a fraction of the text; short texts with fewer than ``ENOUGH`` are sought by
+    all theirs, which are looked for where the longer texts are cut.  Each
+    short text's anchor is the piece, of up to ``ENDS`` at either end, that
+    the fewest longer texts have, so a piece that many texts begin with makes
+    no candidates.  Candidates come from equi-joins of ids, and whole texts
+    are compared for these only.  Null and empty texts are in nothing and hold
+    nothing.
     """
-    s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s <> ''").withColumn("t", F.split("s", " "))
-    l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l <> ''")  # noqa: E741
-    size = F.size("t")
-    kind = F.when(size >= 5, -2).when(size >= 3, -1).otherwise(F.least(F.length("s"), F.lit(GRAM)))
-    inner = s.select("s_id", "s", kind.alias("kind"), F.slice("t", F.lit(2), F.greatest(size - 2, F.lit(0))).alias("t"))
-    pieces = F.when(F.col("kind") == -2, _trigrams("t")).when(F.col("kind") == -1, F.col("t")).when(F.col("kind") == GRAM, _grams("s", GRAM)).otherwise(F.array("s"))
-    cut = inner.select(F.monotonically_increasing_id().alias("s_row"), "s_id", F.length("s").alias("s_length"), "kind", pieces.alias("p"))
-    ends = F.when(F.size("p") > 2 * ENDS, F.concat(F.slice("p", 1, ENDS), F.slice("p", -ENDS, ENDS))).otherwise(F.col("p"))
-    able = materialize(cut.select("s_row", "s_id", "s_length", "kind", F.explode(F.array_distinct(ends)).alias("piece")), "pieces")
-    wanted = able.select("kind", "piece").distinct()
+    return _held_pairs(short, long, short_id, short_text, long_id, long_text).select("s_id", "l_id").distinct().withColumnsRenamed(_named_ids(short_id, long_id))
 
-    words = l.select("l_id", F.length("l").alias("l_length"), "l", F.split("l", " ").alias("t"))
-    kinds = sorted(r.kind for r in able.select("kind").distinct().collect())  # at most GRAM + 2
-    if not kinds:
-        found = s.select("s_id").join(l.select("l_id"), F.lit(False))
-    else:
-        ways = (_trigrams("t") if n == -2 else F.col("t") if n == -1 else _grams("l", n) for n in kinds)
-        keyed = F.concat(*(_of_kind(n, way) for n, way in zip(kinds, ways, strict=True)))
-        # explode would cut every text once more, for a filter on the number of its pieces
-        held = words.select("l_id", "l_length", F.explode_outer(keyed).alias("k")).select("l_id", "l_length", "k.*")
-        held = materialize(held.join(wanted, ["kind", "piece"], "left_semi"), "held")
-        counts = held.groupBy("kind", "piece").agg(F.count("*").alias("n"))
-        # a piece that no text has ends the search for its short text
-        rated = able.join(counts, ["kind", "piece"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        anchors = rated.groupBy("s_row").agg(*(F.first(c).alias(c) for c in ("s_id", "s_length", "kind")), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("a"))
-        anchors = anchors.where("a.n > 0").select("s_id", "s_length", "kind", F.col("a.piece").alias("piece"))
-        found = held.join(anchors, ["kind", "piece"]).where("s_length < l_length").select("s_id", "l_id")
-    found = materialize(found.distinct(), "candidates")
-    read = found.join(s.select("s_id", "s"), "s_id").join(l, "l_id").where((F.length("s") < F.length("l")) & F.col("l").contains(F.col("s")))
-    return read.select("s_id", "l_id").distinct().withColumnsRenamed({"s_id": short_id, "l_id": long_id} if short_id != long_id else {"s_id": "short_id", "l_id": "long_id"})
+
+def containment_places(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
+    """``containment`` with the place of the shorter text in the longer one and the difference of their lengths."""
+    both = _held_pairs(short, long, short_id, short_text, long_id, long_text)
+    out = both.select("s_id", "l_id", containment_place(F.col("s"), F.col("l")).alias("place"), (F.length("l") - F.length("s")).cast("long").alias("delta"))
+    return out.distinct().withColumnsRenamed(_named_ids(short_id, long_id))
 
 
 def containment_place(short: Column, long: Column) -> Column:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import partition
+from ..plans.scratch import materialize
+from .components import components
 from .relate import containment_place
 
 
 def substring_groups(rows: DataFrame, node: str, text: str, links: DataFrame, short: str, long: str) -> DataFrame:
     """(group, node, role, delta, place): the shortest text of each group is its core, the others contain it or a relative."""
-    roots = partition(rows, node, links, short, long)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    held = rows.select(node, text).join(roots, node).join(sizes, "root")
-    core = held.groupBy("root").agg(F.min_by(F.struct(F.col(node).alias("node"), F.col(text).alias("text")), F.struct(F.length(text), F.col(node))).alias("core"))
-    joined = held.join(core, "root")
+    # lengths choose the cores; texts are read for members of groups only
+    members = materialize(components(links, short, long).withColumnRenamed("node", node).join(rows.select(node, F.length(text).alias("_length")), node), "members")
+    core = members.groupBy("root").agg(F.min(F.struct("_length", F.col(node).alias("node"))).alias("_core")).select("root", F.col("_core.node").alias("_node"))
+    cores = core.join(rows.select(F.col(node).alias("_node"), F.col(text).alias("_text")), "_node").select("root", F.struct(F.col("_node").alias("node"), F.col("_text").alias("text")).alias("core"))
+    joined = rows.select(node, text).join(members.select(node, "root"), node).join(cores, "root")
     role = F.when(F.col(node) == F.col("core.node"), "core").otherwise("superset")
     place = F.when(role == "core", "core").otherwise(F.when(F.col(text).contains(F.col("core.text")), containment_place(F.col("core.text"), F.col(text))).otherwise("chain"))
     return joined.select(F.col("core.node").alias("group"), node, role.alias("role"), (F.length(text) - F.length("core.text")).alias("delta"), place.alias("place"))

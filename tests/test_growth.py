@@ -163,3 +163,41 @@ def test_change_audit_similarity(spark):
     got = {r.k: (r.delta, r.similarity) for r in evidence.change_audit(before, after, "k", "v", similarity=True).collect()}
     ratio = lambda a, b: round(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), 4)
     assert got == {0: (0, ratio("abcd", "abxd")), 2: (3, ratio("", "new")), 3: (-4, ratio("MKVL", ""))}
+
+
+def test_containment_shuffles_a_sample(spark, monkeypatch):
+    """Long texts are exchanged by a sample of their pieces, short ones by all theirs; no link is lost."""
+    import random
+
+    from seqloom.operators import relate, variants
+    from seqloom.plans.scratch import materialize
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    longs = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(30)]
+    texts = [*longs]
+    for t in longs:
+        w = t.split(" ")
+        texts += [" ".join(w[k : k + n])[cut:] for n, k, cut in ((1, 5, 0), (2, 7, 1), (3, 9, 1), (4, 20, 0), (7, 30, 1), (150, 40, 1), (299, 1, 0))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    written = {}
+
+    def kept(frame, name):
+        written[name] = materialize(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(relate, "materialize", kept)
+    places = relate.containment_places(df, df, "id", "text", "id", "text")
+    got = {(r.short_id, r.long_id): (r.place, r.delta) for r in places.collect()}
+    place = lambda s, t: "prefix" if t.startswith(s) else "suffix" if t.endswith(s) else "internal"
+    expected = {(i, j): (place(s, t), len(t) - len(s)) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and len(s) < len(t) and s in t}
+    assert got == expected
+    assert dict(written["held"].dtypes)["piece"] == "bigint"  # numbers are exchanged, not texts
+    able = written["pieces"].where("sampled")
+    assert able.count() and able.where(f"pmod(piece, {relate.SAMPLE}) <> 0").isEmpty()
+    for piece_limit in (0, 10**6):  # without and with a broadcast of the rare pieces
+        monkeypatch.setattr(relate, "BROADCAST_PIECES", piece_limit)
+        links = relate.containment(df, df, "id", "text", "id", "text")
+        assert {(r.short_id, r.long_id) for r in links.collect()} == set(expected)
+    groups = variants.substring_groups(df, "id", "text", links, "short_id", "long_id").collect()
+    assert {r.id for r in groups} == {i for pair in expected for i in pair}
