@@ -244,10 +244,8 @@ def containment(spark, d):
 @query("select a.doc_id as core, b.doc_id as superset, case when starts_with(b.text, a.text) then 'prefix' when ends_with(b.text, a.text) then 'suffix' else 'internal' end as place, length(b.text) - length(a.text) as delta from documents a join documents b on length(a.text) < length(b.text) and contains(b.text, a.text) where a.text <> ''")
 def containment_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    found = relate.containment(docs, docs, "doc_id", "text", "doc_id", "text")
-    a, b = docs.select(F.col("doc_id").alias("short_id"), F.col("text").alias("s")), docs.select(F.col("doc_id").alias("long_id"), F.col("text").alias("l"))
-    both = found.join(a, "short_id").join(b, "long_id")
-    return both.select(F.col("short_id").alias("core"), F.col("long_id").alias("superset"), relate.containment_place(F.col("s"), F.col("l")).alias("place"), (F.length("l") - F.length("s")).cast("long").alias("delta"))
+    found = relate.containment_places(docs, docs, "doc_id", "text", "doc_id", "text")
+    return found.withColumnsRenamed({"short_id": "core", "long_id": "superset"})
 
 
 @query("""with u as (select o_custkey as r, o_orderkey as k, o_totalprice as score, 0 as src from orders where o_orderpriority = '1-URGENT' union all select o_custkey, o_orderkey, o_totalprice, 1 from orders),
