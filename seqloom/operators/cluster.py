@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import discard, materialize
@@ -55,6 +55,8 @@ def _kernel(kind: str, cover: float):
 
 #: Nodes and links of a component that one task may hold; larger components are clustered in rounds of joins.
 KERNEL_ROWS = 200_000
+#: A batch of a larger component has links only, as arrays, and may hold so many times as many.
+BATCH = 5
 
 
 def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float = 0.9, kernel_rows: int = KERNEL_ROWS) -> DataFrame:
@@ -63,8 +65,8 @@ def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float
     'cover': the node that covers most uncovered nodes comes next, ties by ord.
     'length': longest first; a node joins the best existing centroid, or becomes one.
     A connected component of the links that pass is clustered in one task if it
-    has at most ``kernel_rows`` nodes and links, else in rounds of joins; both
-    give the same clusters.
+    has at most ``kernel_rows`` nodes and links, else in rounds of joins and
+    batches; both give the same clusters.
     """
     strong = links.where(F.col("cover") >= cover).where("node <> other")
     strong = strong.join(nodes.select("node"), "node", "left_semi").join(nodes.select(F.col("node").alias("other")), "other", "left_semi")
@@ -82,37 +84,103 @@ def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float
     if large.isEmpty():
         return out
     rows = every.join(large, "root")
-    rounds = _cover_rounds if kind == "cover" else _length_rounds
-    return out.unionByName(rounds(rows.where("tag = 0").select("node", "ord", "len"), rows.where("tag = 1").select("node", "other", "cover")))
+    if kind == "cover":
+        return out.unionByName(_cover_rounds(rows.where("tag = 0").select("root", "node", "ord"), rows.where("tag = 1").select("root", "node", "other"), BATCH * kernel_rows))
+    return out.unionByName(_length_rounds(rows.where("tag = 0").select("node", "ord", "len"), rows.where("tag = 1").select("node", "other", "cover")))
 
 
-def _cover_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Each round takes all nodes that come before every node within two links of them.
+def _cover_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(node, centroid) that the greedy order settles before it leaves the batch.
 
-    Nothing that is taken before such a node can change how many it covers, so
-    the rounds take the same nodes as the one order would.
+    Rows (node, other, ord, gain, last): all open links of the nodes that come
+    up to the place (gain, last).  What others cover only falls, so while the
+    next node of the batch is not behind that place, it is next of all.
     """
-    nodes, links, done = materialize(nodes.select("node", "ord"), "open"), materialize(links.select("node", "other"), "links"), None
-    while not nodes.isEmpty():
-        gain = links.groupBy(F.col("other").alias("node")).agg(F.count("*").alias("gain"))
-        rank = nodes.join(gain, "node", "left").select("node", F.struct(F.coalesce("gain", F.lit(0)).alias("gain"), (-F.col("ord")).alias("first"), "node").alias("rank"))
-        rank = materialize(rank, "ranks")
-        both = links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other")))
-        best = rank
-        for _ in range(2):  # the best rank within one link, then within two
-            seen = both.join(best.select(F.col("node").alias("other"), "rank"), "other").select("node", "rank")
-            best = seen.unionByName(best).groupBy("node").agg(F.max("rank").alias("rank"))
-        taken = materialize(best.where("rank.node = node").select("node"), "taken")
-        members = links.join(taken.select(F.col("node").alias("other")), "other", "left_semi").select("node", F.col("other").alias("centroid"))
-        found = materialize(members.unionByName(taken.select("node", F.col("node").alias("centroid"))), "found")
+    import heapq
+
+    nodes, first, head = np.unique(pdf["other"].to_numpy(), return_index=True, return_inverse=True)
+    order, gain, last = pdf["ord"].to_numpy()[first], int(pdf["gain"].iloc[0]), int(pdf["last"].iloc[0])
+    names, member = np.unique(pdf["node"].to_numpy(), return_inverse=True)
+    by_head, by_member = np.argsort(head, kind="stable"), np.argsort(member, kind="stable")
+    h_at, m_at = np.searchsorted(head[by_head], np.arange(len(nodes) + 1)), np.searchsorted(member[by_member], np.arange(len(names) + 1))
+    members, heads = member[by_head], head[by_member]
+    at = np.searchsorted(names, nodes)  # a node's place among the members, if it is one
+    itself = np.where((at < len(names)) & (names[np.minimum(at, len(names) - 1)] == nodes), at, -1)
+    as_head = np.full(len(names), -1)
+    as_head[itself[itself >= 0]] = np.flatnonzero(itself >= 0)
+    left, covered, closed = np.diff(h_at), np.zeros(len(names), bool), np.zeros(len(nodes), bool)
+    heap = [(-int(n), int(o), int(x), i) for i, (n, o, x) in enumerate(zip(left, order, nodes, strict=True))]
+    heapq.heapify(heap)
+    found, centroid = [], []
+    while heap:
+        size, place, name, i = heapq.heappop(heap)
+        if closed[i]:
+            continue
+        now = int(left[i])
+        if now < gain or (now == gain and place > last):
+            continue  # behind the batch's end: left for a later one
+        if now != -size:
+            heapq.heappush(heap, (-now, place, name, i))
+            continue
+        taken = members[h_at[i] : h_at[i + 1]]
+        taken = taken[~covered[taken]]
+        own = np.append(taken, itself[i]) if itself[i] >= 0 else taken
+        found += [np.array([name]), names[taken]]
+        centroid += [name] * (1 + len(taken))
+        closed[i] = True
+        covered[own] = True
+        closed[as_head[taken][as_head[taken] >= 0]] = True
+        for m in own:
+            np.subtract.at(left, heads[m_at[m] : m_at[m + 1]], 1)
+    return pd.DataFrame({"node": np.concatenate(found).astype(np.int64) if found else np.array([], np.int64), "centroid": np.array(centroid, dtype=np.int64)})
+
+
+def _cover_rounds(nodes: DataFrame, links: DataFrame, batch_links: int) -> DataFrame:
+    """Clusters large components in batches: each takes, of every component, the nodes that cover most, up to ``batch_links`` links.
+
+    ``nodes``: root, node, ord; ``links``: root, node, other.  What a node
+    covers only falls, so a batch is settled on its own until its next node
+    would come behind the first node outside it.  A batch ends between two
+    sizes, or within a size too large for it at an ``ord``; a node with more
+    links than a batch is taken by a join.  No table is broadcast but that of
+    the batches' ends, with one row for each component.
+    """
+    heads = nodes.select(F.col("node").alias("other"), "ord")
+    links, done = materialize(links.select("root", "node", "other").join(heads.hint("merge"), "other"), "links"), None
+    while not links.isEmpty():
+        gains = materialize(links.groupBy("root", "other", "ord").agg(F.count("*").alias("size")), "gains")
+        sizes = gains.groupBy("root", "size").agg(F.count("*").alias("n"))  # few: distinct sizes add up to the links at most
+        down = Window.partitionBy("root").orderBy(F.col("size").desc())
+        sizes = sizes.withColumns({"held": F.sum(F.col("n") * F.col("size")).over(down), "top": F.row_number().over(down) == 1})
+        # all sizes above the first that does not fit; if that is the greatest, the first places of it
+        fits = F.col("held") <= batch_links
+        ends = sizes.groupBy("root").agg(F.max(F.when(~fits, F.col("size"))).alias("out"), F.max(F.when(F.col("top"), F.struct("size", "n"))).alias("most"))
+        part = F.coalesce(F.col("out") == F.col("most.size"), F.lit(False))
+        ends = materialize(ends.select("root", part.alias("part"), F.when(part, F.col("out")).otherwise(F.coalesce("out", F.lit(0)) + 1).alias("gain"), F.col("most.n").alias("n")), "sizes")
+        cut = gains.join(F.broadcast(ends.where("part")), "root").where("size = gain")
+        step = F.greatest(F.floor(F.lit(1000 * batch_links) / (F.max("gain") * F.max("n"))).cast("int"), F.lit(1))
+        lasts = cut.groupBy("root").agg(F.min("ord").alias("first"), step.alias("step"), F.percentile_approx("ord", [k / 1000 for k in range(1, 1000)], 10000).alias("places"))
+        lasts = lasts.select("root", F.col("first"), F.get("places", F.least("step", F.lit(999)) - 1).alias("place"))
+        last = F.when(F.col("gain") > batch_links, F.col("first")).otherwise(F.coalesce("place", F.lit(2**63 - 1)))
+        ends = materialize(ends.join(lasts, "root", "left").select("root", "gain", last.alias("last")), "ends")
+        chosen = gains.join(F.broadcast(ends), "root").where((F.col("size") > F.col("gain")) | (F.col("size") == F.col("gain")) & (F.col("ord") <= F.col("last")))
+        chosen = materialize(chosen.select("other", "size", "gain", "last"), "chosen")
+        small = links.join(chosen.where(F.col("size") <= batch_links).drop("size").hint("merge"), "other")
+        found = small.groupBy("root").applyInPandas(_cover_batch, "node long, centroid long")
+        # a node larger than a batch is the only one of its batch
+        huge = chosen.where(F.col("size") > batch_links).select("other")
+        found = found.unionByName(links.join(huge, "other", "left_semi").select("node", F.col("other").alias("centroid"))).unionByName(huge.select(F.col("other").alias("node"), F.col("other").alias("centroid")))
+        found = materialize(found, "found")
         done = found if done is None else done.unionByName(found)
-        gone = found.select("node")
-        used = (nodes, links, rank, taken)
-        nodes = materialize(nodes.join(gone, "node", "left_anti"), "open")
-        links = materialize(links.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("other")), "other", "left_anti"), "links")
+        gone = found.select("node").hint("merge")
+        used = (links, gains, ends, chosen)
+        links = materialize(links.join(gone, "node", "left_anti").join(found.select(F.col("node").alias("other")).hint("merge"), "other", "left_anti"), "links")
         for table in used:
             discard(table)
-    return done
+    rest = nodes.select("node")
+    if done is None:
+        return rest.select("node", F.col("node").alias("centroid"))
+    return done.unionByName(rest.join(done.select("node").hint("merge"), "node", "left_anti").select("node", F.col("node").alias("centroid")))
 
 
 def _length_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:

@@ -201,3 +201,34 @@ def test_containment_shuffles_a_sample(spark, monkeypatch):
         assert {(r.short_id, r.long_id) for r in links.collect()} == set(expected)
     groups = variants.substring_groups(df, "id", "text", links, "short_id", "long_id").collect()
     assert {r.id for r in groups} == {i for pair in expected for i in pair}
+
+
+@pytest.mark.parametrize("size", [7, 60, 10**6])
+def test_covers_in_batches(spark, size, monkeypatch):
+    """One component with many shared members: batches of any size take the nodes that the one order takes, in few rounds."""
+    import random
+
+    from seqloom.operators import cluster
+    from seqloom.plans.scratch import materialize
+
+    rng = random.Random(size)
+    pairs = {(rng.randrange(120), rng.randrange(24)) for _ in range(500)} | {(n, n + 1) for n in range(119)}
+    pairs = sorted(x for x in pairs if x[0] != x[1])
+    nodes = spark.createDataFrame([(0, n, (n * 37) % 120) for n in range(120)], "root long, node long, ord long")
+    links = spark.createDataFrame([(0, *x) for x in pairs], "root long, node long, other long")
+    rounds = []
+
+    def kept(frame, name):
+        rounds.append(name)
+        return materialize(frame, name)
+
+    monkeypatch.setattr(cluster, "materialize", kept)
+    got = {r.node: r.centroid for r in cluster._cover_rounds(nodes, links, size).collect()}
+    near = {n: {a for a, b in pairs if b == n} for n in range(120)}
+    expected = {}
+    while len(expected) < 120:
+        n = max((x for x in range(120) if x not in expected), key=lambda x: (sum(m not in expected for m in near[x]), -(x * 37 % 120)))
+        expected |= {m: n for m in near[n] if m not in expected} | {n: n}
+    assert got == expected
+    if size == 10**6:
+        assert rounds.count("found") == 1
