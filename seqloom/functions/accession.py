@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rules import first_match
-from .text import listed, stripped
+from .text import listed, once, stripped
 
 #: Classes of accessions, tried in this order, without regard to case.
 CLASSES = [
@@ -52,8 +52,7 @@ def has_version(x: Column | str) -> Column:
 
 
 def identifier_kind(x: Column | str) -> Column:
-    value = stripped(x)
-    return first_match([("empty", value == ""), *((name, value.rlike(pattern)) for name, pattern in KINDS)], "UNKNOWN")
+    return once(stripped(x), lambda value: first_match([("empty", value == ""), *((name, value.rlike(pattern)) for name, pattern in KINDS)], "UNKNOWN"))
 
 
 def kind_rank(kind: Column) -> Column:
@@ -80,23 +79,31 @@ def dropped_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.sum(n - kept).cast("long").alias("dropped_tokens"), F.count_if((n > 0) & (kept == 0)).alias("emptied_rows"), F.count_if(kept < n).alias("touched_rows"), F.count("*").alias("n_rows"))
 
 
+def _items(x: Column | str) -> Column:
+    """token, kind and rank of each entry of a ';' list."""
+    kinds = F.transform(listed(x), lambda t: F.struct(t.alias("token"), identifier_kind(t).alias("kind")))
+    ranks = F.create_map(*(F.lit(v) for pair in KIND_RANKS.items() for v in pair))
+    return F.transform(kinds, lambda i: F.struct(i["token"].alias("token"), i["kind"].alias("kind"), F.try_element_at(ranks, i["kind"]).alias("rank")))
+
+
 def order_problems(x: Column | str) -> Column:
     """What is wrong with the order of a ';' list of identifiers."""
-    items = F.transform(listed(x), lambda t: F.struct(t.alias("token"), identifier_kind(t).alias("kind"), kind_rank(identifier_kind(t)).alias("rank")))
+    return once(_items(x), _problems)
+
+
+def _problems(items: Column) -> Column:
     unknown = F.transform(F.filter(items, lambda i: i["kind"] == "UNKNOWN"), lambda i: F.concat(F.lit("unrecognized:"), i["token"]))
-    known = F.filter(items, lambda i: i["rank"].isNotNull())
-    later = F.when(F.size(known) > 1, F.slice(known, 2, F.greatest(F.size(known) - 1, F.lit(1)))).otherwise(F.filter(known, lambda i: F.lit(False)))
-    steps = F.zip_with(F.slice(known, 1, F.size(later)), later, lambda a, b: F.when(b["rank"] < a["rank"], F.concat(F.lit("out-of-order:"), b["token"])))
+    later = lambda known: F.slice(known, F.lit(2), F.greatest(F.size(known) - 1, F.lit(0)))
+    steps = once(F.filter(items, lambda i: i["rank"].isNotNull()), lambda known: F.zip_with(F.slice(known, F.lit(1), F.size(later(known))), later(known), lambda a, b: F.when(b["rank"] < a["rank"], F.concat(F.lit("out-of-order:"), b["token"]))))
     protein = F.filter(items, lambda i: i["kind"].isin(*PROTEIN_KINDS))
-    misplaced = F.when((F.size(items) > 0) & (F.size(protein) > 0) & ~F.get(items, 0)["kind"].isin(*PROTEIN_KINDS), F.array(F.concat(F.lit("primary-misplaced:"), F.get(protein, 0)["token"])))
+    misplaced = F.when(~F.get(items, F.lit(0))["kind"].isin(*PROTEIN_KINDS), F.transform(F.slice(protein, 1, 1), lambda i: F.concat(F.lit("primary-misplaced:"), i["token"])))
     return F.concat(unknown, F.filter(steps, lambda s: s.isNotNull()), F.coalesce(misplaced, F.array().cast("array<string>")))
 
 
 def reordered(x: Column | str) -> Column:
     """A ';' list sorted by rank; equal ranks keep their order, unknown entries their relative place."""
-    items = listed(x)
-    keyed = F.transform(items, lambda t, i: F.struct(F.coalesce(kind_rank(identifier_kind(t)).cast("double"), i / F.greatest(F.size(items), F.lit(1))).alias("rank"), i.alias("place"), t.alias("token")))
-    return F.concat_ws(";", F.transform(F.array_sort(keyed), lambda k: k["token"]))
+    keyed = lambda items: F.transform(items, lambda t, i: F.struct(F.coalesce(t["rank"].cast("double"), i / F.greatest(F.size(items), F.lit(1))).alias("rank"), i.alias("place"), t["token"].alias("token")))
+    return once(_items(x), lambda items: F.concat_ws(";", F.transform(F.array_sort(keyed(items)), lambda k: k["token"])))
 
 
 def is_refseq(accession: Column | str, source: Column | str) -> Column:

@@ -13,6 +13,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def stripped(x: Column | str) -> Column:
     """Without white space at both ends; null counts as blank."""
     return F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"^\s+|\s+$", "")

@@ -232,3 +232,24 @@ def test_covers_in_batches(spark, size, monkeypatch):
     assert got == expected
     if size == 10**6:
         assert rounds.count("found") == 1
+
+
+def test_kinds_are_found_once(spark, capsys):
+    """Order checks name each entry's kind once, and agree with a plain program."""
+    from seqloom.functions import accession
+
+    rows = ["5XFY;WP_000000001.1;OK558825", "zzz;AAA12345", "", None, "P12345; ;x_y", "WP_1;5XFY;P12345;??", "AAA12345"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, x string")
+    out = df.select("i", accession.order_problems("x").alias("p"), accession.reordered("x").alias("r"))
+    out.explain(True)
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("^MGYP") <= 2
+    got = {r.i: (r.p, r.r) for r in out.collect()}
+    assert got == {
+        0: (["out-of-order:WP_000000001.1", "primary-misplaced:WP_000000001.1"], "WP_000000001.1;OK558825;5XFY"),
+        1: (["unrecognized:zzz", "primary-misplaced:AAA12345"], "zzz;AAA12345"),
+        2: ([], ""),
+        3: ([], ""),
+        4: ([], "P12345;x_y"),
+        5: (["unrecognized:??", "out-of-order:P12345"], "WP_1;??;P12345;5XFY"),
+        6: ([], "AAA12345"),
+    }
