@@ -111,6 +111,24 @@ def upper_median_of(df: DataFrame, x: str, by: list[str] = ()) -> DataFrame:
     return order_statistic(df, x, F.floor(F.col("n") / 2), by).withColumnRenamed("value", "upper_median")
 
 
+def quantiles(df: DataFrame, x: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """(by, one column for each share): quantiles between the two nearest values, for groups of any size."""
+    # distinct values with their counts, in ranges; a task holds one range, and the windows over ranges a row for each
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.struct(*by).alias("g"), F.col(x).alias("v")).agg(F.count("*").alias("c"))
+    held = materialize(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "values")
+    parts = held.groupBy("g", "part").agg(F.sum("c").alias("held"))
+    parts = parts.select("g", "part", (F.sum("held").over(Window.partitionBy("g").orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy("g")).alias("n"))
+    placed = held.join(F.broadcast(parts), ["g", "part"])
+    first = F.col("before") + F.sum("c").over(Window.partitionBy("g", "part").orderBy("v")) - F.col("c")
+    placed = placed.withColumn("first", first)
+    at = lambda share: F.lit(share) * (F.col("n") - 1)
+    value = lambda place: F.max(F.when((place >= F.col("first")) & (place < F.col("first") + F.col("c")), F.col("v")))
+    ends = [e for i, share in enumerate(shares.values()) for e in (value(F.floor(at(share))).alias(f"low{i}"), value(F.ceil(at(share))).alias(f"high{i}"))]
+    found = placed.groupBy("g").agg(F.max("n").alias("n"), *ends)
+    between = [(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (at(share) - F.floor(at(share)))).alias(name) for i, (name, share) in enumerate(shares.items())]
+    return found.select(*(F.col(f"g.{c}").alias(c) for c in by), *between)
+
+
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
     """(id, gid, n, first_id) of rows that share a key with others; groups are numbered by their first id.
 

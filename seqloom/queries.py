@@ -333,8 +333,10 @@ def domain_coverage(spark, d):
 @query("select case when l_quantity < 10 then 'low' when l_quantity < 30 then 'mid' else 'high' end as bin, round(avg(l_extendedprice), 4) as mean, round(quantile_cont(l_extendedprice, 0.5), 4) as median, round(quantile_cont(l_extendedprice, 0.25), 4) as q1, round(quantile_cont(l_extendedprice, 0.75), 4) as q3, round(stddev_pop(l_extendedprice), 4) as sd from lineitem group by 1")
 def robust_stats(spark, d):
     bins = F.when(F.col("l_quantity") < 10, "low").when(F.col("l_quantity") < 30, "mid").otherwise("high")
-    p = lambda q: F.round(F.percentile("l_extendedprice", q), 4)
-    return table(spark, d, "lineitem").groupBy(bins.alias("bin")).agg(F.round(F.avg("l_extendedprice"), 4).alias("mean"), p(0.5).alias("median"), p(0.25).alias("q1"), p(0.75).alias("q3"), F.round(F.stddev_pop("l_extendedprice"), 4).alias("sd"))
+    rows = table(spark, d, "lineitem").select(bins.alias("bin"), "l_extendedprice")
+    quartiles = collapse.quantiles(rows, "l_extendedprice", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ["bin"])
+    moments = rows.groupBy("bin").agg(F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("sd"))
+    return moments.join(quartiles, "bin", "left").select("bin", *(F.round(c, 4).alias(c) for c in ("mean", "median", "q1", "q3", "sd")))
 
 
 @query("""with h as (select l_orderkey + 1.0 as e, l_quantity as bits, l_linenumber::double as m, (l_partkey + 1)::double as n from lineitem), v as (select log10(e) + bits * log10(2.0) as base, m, n from h), x as (select base - log10(unnest([1.0::double, m, n, m * n, m * 5000, 5000, m * 70, 5000.0 * 70, m * 5000 * 70])) as x, unnest(['const', 'm(query)', 'n(target)', 'm*n', 'm*N', 'N', 'm*Ndb', 'N*Ndb', 'm*N*Ndb']) as model from v)

@@ -253,3 +253,40 @@ def test_kinds_are_found_once(spark, capsys):
         5: (["unrecognized:??", "out-of-order:P12345"], "WP_1;??;P12345;5XFY"),
         6: ([], "AAA12345"),
     }
+
+
+def test_names_are_cleaned_once(spark, capsys):
+    """The separators of a name are replaced once, not for each surface form."""
+    from seqloom.functions import families
+
+    names = ["PpCutA", "PET6 lipase", "alpha/beta hydrolase", "hydrolase", "laccase-like hydrolase", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, x string")
+    out = df.select("i", families.families_of_name(F.col("x")).alias("f"))
+    out.explain(True)
+    assert capsys.readouterr().out.split("== Physical Plan ==")[1].count("regexp_replace") == 1
+    assert {r.i: r.f for r in out.collect()} == {0: ["cutinase"], 1: ["lipase", "pet_hydrolase"], 2: ["ab_hydrolase"], 3: ["hydrolase"], 4: ["laccase"], 5: [], 6: []}
+
+
+def test_mean_coverage_is_exact(spark):
+    """A mean of exactly 0.7 is not below 0.7, in whatever order its shares come."""
+    spans = [3, 3, 3, 3, 3, 6, 7, 7, 7, 7]
+    for seed in range(3):
+        rng = random.Random(seed)
+        rng.shuffle(spans)
+        hits = spark.createDataFrame([("m", i, 1.0, 1.0, float(n), 7.0) for i, n in enumerate(spans)], "model string, target long, score double, hmm_from double, hmm_to double, query_length double").repartition(1)
+        got = collapse.domain_summary(hits, "model", "target", spark.createDataFrame([("m", 10), ("x", 1)], "model string, n long"), 0.7).collect()
+        assert {r.model: (r.detected, r["mean"], r.least, r.flags) for r in got} == {"m": (10, 0.7, 3 / 7, ""), "x": (0, 0.0, 0.0, "undetected=1;low_member_coverage;singleton_model")}
+
+
+def test_quartiles_without_one_task(spark):
+    """Quartiles of groups come from counts of parts, so no task holds a group's values."""
+    import numpy as np
+
+    from seqloom import queries
+
+    rng = random.Random(4)
+    groups = {g: [round(rng.uniform(-5, 5), 2) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 7), ("d", 40))}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v double")
+    got = {r.g: (r.q1, r.q2) for r in collapse.quantiles(df, "v", {"q1": 0.25, "q2": 0.5}, ["g"]).collect()}
+    assert {g: tuple(round(x, 9) for x in q) for g, q in got.items()} == {g: tuple(round(float(np.quantile(vs, s)), 9) for s in (0.25, 0.5)) for g, vs in groups.items()}
+    assert "percentile" not in queries.QUERIES["robust_stats"](spark, DATA)._jdf.queryExecution().toString()
