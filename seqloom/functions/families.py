@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.rules import first_match
+from .text import once
 
 #: Surface forms of each family.
 FORMS = {
@@ -68,13 +69,20 @@ def families(text: Column, forms: dict[str, list[str]] = FORMS, weakest: str = "
     shortest are listed.
     """
     low = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "), F.lit(" "))
-    flags = []
-    for family in sorted(forms):
-        hit = F.lit(False)
-        for form in forms[family]:
-            hit = hit | low.contains(form)
-        flags.append(F.when(hit, F.lit(family)))
-    found = F.filter(F.array(*flags), lambda f: f.isNotNull())
+
+    def named(words: Column) -> Column:
+        flags = []
+        for family in sorted(forms):
+            hit = F.lit(False)
+            for form in forms[family]:
+                hit = hit | words.contains(form)
+            flags.append(F.when(hit, F.lit(family)))
+        return F.filter(F.array(*flags), lambda f: f.isNotNull())
+
+    return once(once(low, named), lambda found: _without_weakest(found, weakest))
+
+
+def _without_weakest(found: Column, weakest: str) -> Column:
     return F.when(F.size(found) > 1, F.array_remove(found, weakest)).otherwise(found)
 
 
@@ -93,9 +101,8 @@ def agreement(a: Column, b: Column, clans: list[list[str]] = CLANS, generic: lis
 def families_of_name(name: Column, weakest: str = "hydrolase") -> Column:
     """Sorted families of an enzyme's name: those in its words, and those that its laboratory code hints at."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    hinted = F.filter(F.array(*(F.when(low.rlike(pattern), F.lit(family)) for pattern, family in CODE_HINTS)), lambda f: f.isNotNull())
-    found = F.array_sort(F.array_union(families(name), hinted))
-    return F.when(F.size(found) > 1, F.array_remove(found, weakest)).otherwise(found)
+    hinted = once(low, lambda x: F.filter(F.array(*(F.when(x.rlike(pattern), F.lit(family)) for pattern, family in CODE_HINTS)), lambda f: f.isNotNull()))
+    return once(F.array_sort(F.array_union(families(name), hinted)), lambda found: _without_weakest(found, weakest))
 
 
 def uninformative(title: Column) -> Column:
