@@ -166,8 +166,11 @@ def domain_summary(hits: DataFrame, model: str, target: str, sizes: DataFrame, f
     ``hits``: model, target, score, hmm_from, hmm_to, query_length; ``sizes``: model, n.
     """
     best = hits.groupBy(model, target).agg(F.max_by(F.struct("hmm_from", "hmm_to", "query_length"), F.struct("score", F.col("hmm_to") - F.col("hmm_from"))).alias("b"))
-    share = (F.col("b.hmm_to") - F.col("b.hmm_from") + 1) / F.col("b.query_length")
-    found = best.groupBy(model).agg(F.count("*").alias("detected"), F.avg(share).alias("mean"), F.min(share).alias("least"))
+    # whole lengths are added up and divided once, so the mean does not depend on the order of the rows
+    length = F.col("b.hmm_to") - F.col("b.hmm_from") + 1
+    sums = best.groupBy(model, F.col("b.query_length").alias("_of")).agg(F.count("*").alias("_n"), F.sum(length).alias("_sum"), F.min(length).alias("_least"))
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("_of", "_sum"))), F.lit(0.0), lambda t, x: t + x["_sum"] / x["_of"])
+    found = sums.groupBy(model).agg(F.sum("_n").alias("detected"), (total / F.sum("_n")).alias("mean"), F.min(F.col("_least") / F.col("_of")).alias("least"))
     joined = sizes.join(found, model, "left").withColumns({"detected": F.coalesce("detected", F.lit(0)), "mean": F.coalesce("mean", F.lit(0.0)), "least": F.coalesce("least", F.lit(0.0))})
     flags = F.concat_ws(";", F.when(F.col("detected") < F.col("n"), F.concat(F.lit("undetected="), (F.col("n") - F.col("detected")).cast("string"))), F.when(F.col("mean") < floor, "low_member_coverage"), F.when(F.col("n") == 1, "singleton_model"))
     return joined.withColumn("flags", flags)
