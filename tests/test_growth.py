@@ -290,3 +290,15 @@ def test_quartiles_without_one_task(spark):
     got = {r.g: (r.q1, r.q2) for r in collapse.quantiles(df, "v", {"q1": 0.25, "q2": 0.5}, ["g"]).collect()}
     assert {g: tuple(round(x, 9) for x in q) for g, q in got.items()} == {g: tuple(round(float(np.quantile(vs, s)), 9) for s in (0.25, 0.5)) for g, vs in groups.items()}
     assert "percentile" not in queries.QUERIES["robust_stats"](spark, DATA)._jdf.queryExecution().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_quoted_files_grow_in_number(spark, monkeypatch):
+    """An input of more parts is written as more files, so no task holds a fixed share of it."""
+    from seqloom import queries, queries_files
+
+    written, write = [], queries_files.sinks.write_table
+    monkeypatch.setattr(queries_files, "table", lambda spark, d, name: queries.table(spark, d, name).repartition(7))
+    monkeypatch.setattr(queries_files.sinks, "write_table", lambda df, *a: (written.append(df.rdd.getNumPartitions()), write(df, *a))[1])
+    rows = queries.QUERIES["quoted_scan"](spark, DATA)
+    assert written == [7] and rows.count() == queries.table(spark, DATA, "documents").count()
