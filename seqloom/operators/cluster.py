@@ -66,21 +66,22 @@ def greedy(nodes: DataFrame, links: DataFrame, kind: str = "cover", cover: float
     'length': longest first; a node joins the best existing centroid, or becomes one.
     A connected component of the links that pass is clustered in one task if it
     has at most ``kernel_rows`` nodes and links, else in rounds of joins and
-    batches; both give the same clusters.
+    batches; both give the same clusters.  No join sends a table that grows to
+    the driver: all sort, but for the list of large components.
     """
     strong = links.where(F.col("cover") >= cover).where("node <> other")
-    strong = strong.join(nodes.select("node"), "node", "left_semi").join(nodes.select(F.col("node").alias("other")), "other", "left_semi")
-    strong = strong.groupBy("node", "other").agg(F.max("cover").alias("cover"))
+    strong = strong.join(nodes.select("node").hint("merge"), "node", "left_semi").join(nodes.select(F.col("node").alias("other")).hint("merge"), "other", "left_semi")
+    strong = materialize(strong.groupBy("node", "other").agg(F.max("cover").alias("cover")), "strong")
     roots = materialize(partition(nodes, "node", strong, "node", "other"), "roots")
-    own = nodes.join(roots, "node").select("root", F.lit(0).alias("tag"), "node", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("cover"), "ord", "len")
-    tied = strong.join(roots, "node").select("root", F.lit(1).alias("tag"), "node", "other", "cover", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("len"))
+    own = nodes.join(roots.hint("merge"), "node").select("root", F.lit(0).alias("tag"), "node", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("cover"), "ord", "len")
+    tied = strong.join(roots.hint("merge"), "node").select("root", F.lit(1).alias("tag"), "node", "other", "cover", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("len"))
     every = materialize(own.unionByName(tied), "tagged")
     # a component of one node needs no kernel
     sizes = materialize(every.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    alone = roots.join(sizes.select("root"), "root", "left_anti").select("node", F.col("node").alias("centroid"))
-    several = every.join(sizes.where(F.col("n") <= kernel_rows).select("root"), "root")
+    alone = roots.join(sizes.select("root").hint("merge"), "root", "left_anti").select("node", F.col("node").alias("centroid"))
+    large = F.broadcast(sizes.where(F.col("n") > kernel_rows).select("root"))  # each stands for more than kernel_rows rows
+    several = every.join(large, "root", "left_anti").join(sizes.select("root").hint("merge"), "root")
     out = several.groupBy("root").applyInPandas(_kernel(kind, cover), "node long, centroid long").unionByName(alone)
-    large = sizes.where(F.col("n") > kernel_rows).select("root")
     if large.isEmpty():
         return out
     rows = every.join(large, "root")
@@ -130,8 +131,9 @@ def _cover_batch(pdf: pd.DataFrame) -> pd.DataFrame:
         closed[i] = True
         covered[own] = True
         closed[as_head[taken][as_head[taken] >= 0]] = True
-        for m in own:
-            np.subtract.at(left, heads[m_at[m] : m_at[m + 1]], 1)
+        each = m_at[own + 1] - m_at[own]  # the places of all links of the nodes that are covered now
+        places = np.arange(each.sum()) + np.repeat(m_at[own] - np.cumsum(each) + each, each)
+        np.subtract.at(left, heads[places], 1)
     return pd.DataFrame({"node": np.concatenate(found).astype(np.int64) if found else np.array([], np.int64), "centroid": np.array(centroid, dtype=np.int64)})
 
 
@@ -169,7 +171,7 @@ def _cover_rounds(nodes: DataFrame, links: DataFrame, batch_links: int) -> DataF
         found = small.groupBy("root").applyInPandas(_cover_batch, "node long, centroid long")
         # a node larger than a batch is the only one of its batch
         huge = chosen.where(F.col("size") > batch_links).select("other")
-        found = found.unionByName(links.join(huge, "other", "left_semi").select("node", F.col("other").alias("centroid"))).unionByName(huge.select(F.col("other").alias("node"), F.col("other").alias("centroid")))
+        found = found.unionByName(links.join(huge.hint("merge"), "other", "left_semi").select("node", F.col("other").alias("centroid"))).unionByName(huge.select(F.col("other").alias("node"), F.col("other").alias("centroid")))
         found = materialize(found, "found")
         done = found if done is None else done.unionByName(found)
         gone = found.select("node").hint("merge")
@@ -187,21 +189,21 @@ def _length_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Each round decides the nodes all of whose earlier coverers are decided: without a centroid among these they become one."""
     place = F.struct((-F.col("len")).alias("k"), "ord", "node")
     nodes = materialize(nodes.select("node", "ord", place.alias("place")), "nodes")
-    before = links.join(nodes.select("node", "place"), "node").join(nodes.select(F.col("node").alias("other"), F.col("ord").alias("other_ord"), F.col("place").alias("other_place")), "other")
+    before = links.join(nodes.select("node", "place").hint("merge"), "node").join(nodes.select(F.col("node").alias("other"), F.col("ord").alias("other_ord"), F.col("place").alias("other_place")).hint("merge"), "other")
     before = materialize(before.where("other_place < place").select("node", "other", "cover", "other_ord"), "before")
     left, done = nodes.select("node"), None
     while not left.isEmpty():
-        waiting = before.join(left.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct()
-        ready = left.join(waiting, "node", "left_anti")
+        waiting = before.join(left.select(F.col("node").alias("other")).hint("merge"), "other", "left_semi").select("node").distinct()
+        ready = left.join(waiting.hint("merge"), "node", "left_anti")
         if done is None:
             found = ready.select("node", F.col("node").alias("centroid"))
         else:
             heads = done.where("node = centroid").select(F.col("node").alias("other"))
-            best = before.join(ready, "node", "left_semi").join(heads, "other", "left_semi").groupBy("node").agg(F.max_by("other", F.struct("cover", -F.col("other_ord"))).alias("best"))
-            found = ready.join(best, "node", "left").select("node", F.coalesce("best", "node").alias("centroid"))
+            best = before.join(ready.hint("merge"), "node", "left_semi").join(heads.hint("merge"), "other", "left_semi").groupBy("node").agg(F.max_by("other", F.struct("cover", -F.col("other_ord"))).alias("best"))
+            found = ready.join(best.hint("merge"), "node", "left").select("node", F.coalesce("best", "node").alias("centroid"))
         found = materialize(found, "found")
         done = found if done is None else done.unionByName(found)
-        left = materialize(left.join(found.select("node"), "node", "left_anti"), "left")
+        left = materialize(left.join(found.select("node").hint("merge"), "node", "left_anti"), "left")
     return done
 
 
@@ -213,10 +215,9 @@ def hierarchy(nodes: DataFrame, links: DataFrame, covers: list[float], kind: str
     """
     held, out = nodes.select("node", F.col("node").alias("at")), None
     for level, cover in enumerate(covers):
-        heads = nodes.join(held.select(F.col("at").alias("node")).distinct(), "node", "left_semi")
-        own = links.join(heads.select("node"), "node", "left_semi").join(heads.select(F.col("node").alias("other")), "other", "left_semi")
-        found = greedy(heads, own, kind, cover).select(F.col("node").alias("at"), "centroid")
-        held = materialize(held.join(found, "at").select("node", F.col("centroid").alias("at")), "level")
+        heads = nodes.join(held.select(F.col("at").alias("node")).distinct().hint("merge"), "node", "left_semi")
+        found = greedy(heads, links, kind, cover).select(F.col("node").alias("at"), "centroid")
+        held = materialize(held.join(found.hint("merge"), "at").select("node", F.col("centroid").alias("at")), "level")
         part = held.select("node", F.lit(level).alias("level"), F.col("at").alias("centroid"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -225,7 +226,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, covers: list[float], kind: str
 def recruit(links: DataFrame, seeds: DataFrame, cover: float = 0.9) -> DataFrame:
     """(node, centroid, cover): each node joins the seed (node, ord) that covers it best; ties go to the earliest seed."""
     s = seeds.select(F.col("node").alias("other"), F.col("ord").alias("seed_ord"))
-    best = links.where(F.col("cover") >= cover).join(s, "other").join(seeds.select("node"), "node", "left_anti")
+    best = links.where(F.col("cover") >= cover).join(s.hint("merge"), "other").join(seeds.select("node").hint("merge"), "node", "left_anti")
     return best.groupBy("node").agg(F.max_by(F.struct(F.col("other").alias("centroid"), "cover"), F.struct("cover", -F.col("seed_ord"))).alias("x")).select("node", "x.*")
 
 
@@ -236,26 +237,26 @@ def seeded(nodes: DataFrame, links: DataFrame, seeds: DataFrame, cover: float =
     input order.  ``redundant``: 'keep' leaves seeds that cover each other as
     they are; 'drop' makes them members of the seed that stands for them.
     """
-    anchors = seeds.select("node", "ord")
+    anchors = materialize(seeds.select("node", "ord"), "seeds")
+    links = materialize(links.where(F.col("cover") >= cover), "strong")
     demoted = None
     if redundant == "drop":
-        own = greedy(nodes.join(anchors.select("node"), "node", "left_semi"), links.join(anchors.select("node"), "node", "left_semi").join(anchors.select(F.col("node").alias("other")), "other", "left_semi"), kind, cover)
+        own = greedy(nodes.join(anchors.select("node").hint("merge"), "node", "left_semi"), links, kind, cover)
         own = materialize(own, "seed_clusters")
         demoted = own.where("node <> centroid")
-        anchors = anchors.join(demoted.select("node"), "node", "left_anti")
+        anchors = anchors.join(demoted.select("node").hint("merge"), "node", "left_anti")
     joined = materialize(recruit(links, anchors, cover).select("node", "centroid"), "recruited")
     if demoted is not None:
-        joined = joined.join(demoted.select("node"), "node", "left_anti").unionByName(demoted.select("node", "centroid"))
+        joined = joined.join(demoted.select("node").hint("merge"), "node", "left_anti").unionByName(demoted.select("node", "centroid"))
     taken = joined.select("node").unionByName(anchors.select("node")).distinct()
-    rest = nodes.join(taken, "node", "left_anti")
-    inner = links.join(taken, "node", "left_anti").join(taken.select(F.col("node").alias("other")), "other", "left_anti")
-    new = greedy(rest, inner, kind, cover)
+    rest = materialize(nodes.join(taken.hint("merge"), "node", "left_anti"), "rest")
+    new = greedy(rest, links, kind, cover)
     every = anchors.select("node", F.col("node").alias("centroid")).withColumn("origin", F.lit("seed")).unionByName(joined.withColumn("origin", F.lit("seed"))).unionByName(new.withColumn("origin", F.lit("denovo")))
     every = materialize(every, "clusters")
-    heads = every.where("node = centroid").join(anchors.select("node", F.col("ord").alias("seed_ord")), "node", "left").join(nodes.select("node", "ord"), "node")
+    heads = every.where("node = centroid").join(anchors.select("node", F.col("ord").alias("seed_ord")).hint("merge"), "node", "left").join(nodes.select("node", "ord").hint("merge"), "node")
     heads = numbered(heads.withColumn("_late", F.col("origin") == "denovo").withColumn("_by", F.coalesce("seed_ord", "ord")), "_late", "_by", "node")
     heads = heads.select(F.col("node").alias("centroid"), (F.col("_ord") + 1).alias("cluster"))
-    return every.join(heads, "centroid").select("cluster", "node", F.when(F.col("node") == F.col("centroid"), "centroid").otherwise("member").alias("role"), "origin")
+    return every.join(heads.hint("merge"), "centroid").select("cluster", "node", F.when(F.col("node") == F.col("centroid"), "centroid").otherwise("member").alias("role"), "origin")
 
 
 def rollup(members: DataFrame, cluster: str, label: str, pct: str, role: str = "role") -> DataFrame:

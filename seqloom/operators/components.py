@@ -17,7 +17,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Large-star and small-star steps alternate until the edges form stars.  A
     node with very many links costs partial aggregates and a join that
-    adaptive execution can split; nothing is gathered on the driver.  Links
+    adaptive execution can split; nothing is gathered on the driver or broadcast.  Links
     with a null end and links from a node to itself are ignored.
     """
     x, y = F.col(a), F.col(b)
@@ -27,9 +27,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = large.join(least.hint("merge"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         old, edges = edges, materialize(small, "edges")
         discard(old)
         after = _state(edges)

@@ -50,7 +50,7 @@ def best_cover(directed: DataFrame, q: str, s: str) -> DataFrame:
 def partition(nodes: DataFrame, node: str, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node: single linkage, isolated nodes on their own."""
     roots = components(links, a, b).withColumnsRenamed({"node": "_node"})
-    return nodes.select(node).distinct().join(roots, F.col(node) == F.col("_node"), "left").select(node, F.coalesce("root", node).alias("root"))
+    return nodes.select(node).distinct().join(roots.hint("merge"), F.col(node) == F.col("_node"), "left").select(node, F.coalesce("root", node).alias("root"))
 
 
 def canonical_order(label: str, node: str) -> Column:

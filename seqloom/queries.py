@@ -600,7 +600,7 @@ def recruit(spark, d):
 @query()
 def seeded_clusters(spark, d):
     nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("ord"), F.col("p_size").cast("long").alias("len"))
-    seeds = table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("ord")).join(nodes.select("node"), "node", "left_semi")
+    seeds = table(spark, d, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("node"), F.col("s_suppkey").alias("ord")).join(nodes.select("node").hint("merge"), "node", "left_semi")
     return cluster.seeded(nodes, _links(spark, d), seeds, 0.9)
 
 

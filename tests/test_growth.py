@@ -302,3 +302,27 @@ def test_quoted_files_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(queries_files.sinks, "write_table", lambda df, *a: (written.append(df.rdd.getNumPartitions()), write(df, *a))[1])
     rows = queries.QUERIES["quoted_scan"](spark, DATA)
     assert written == [7] and rows.count() == queries.table(spark, DATA, "documents").count()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["seeded_clusters"])
+def test_clusters_broadcast_no_table_that_grows(spark, monkeypatch, name):
+    """Nodes, links, roots and clusters are joined by sorting; only short lists go to the driver: large components, offsets of parts."""
+    from seqloom import queries, queries_growth
+    from seqloom.operators import cluster, components, forward
+    from seqloom.plans.scratch import materialize
+
+    plans = {}
+
+    def kept(frame, name):
+        plans.setdefault(name, []).append(frame._jdf.queryExecution().executedPlan().toString())
+        return materialize(frame, name)
+
+    for module in (cluster, components, forward, queries_growth):
+        monkeypatch.setattr(module, "materialize", kept, raising=False)
+    result = queries.QUERIES[name](spark, DATA)
+    plans["result"] = [result._jdf.queryExecution().executedPlan().toString()]
+    few = {"edges": 0, "roots": 0, "tagged": 0, "sizes": 0, "strong": 0, "seeds": 0, "recruited": 0, "rest": 0, "joined": 0, "fresh": 0, "near": 0, "links": 0}
+    assert {k: max(p.count("BroadcastHashJoin") for p in ps) for k, ps in plans.items() if k in few} == {k: 0 for k in plans if k in few}
+    # the list of large components, and in 'clusters' and the result the offsets of the numbered parts
+    assert all(p.count("BroadcastHashJoin") <= 1 for k, ps in plans.items() if k not in few for p in ps)
