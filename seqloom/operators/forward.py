@@ -31,16 +31,16 @@ def extend(known: DataFrame | None, nodes: DataFrame, links: DataFrame, cover: f
     else:
         kept = known.select("node", "centroid", "cluster")
         base = kept.agg(F.max("cluster")).first()[0] or 0
-        new = nodes.join(kept.select("node"), "node", "left_anti")
+        new = nodes.join(kept.select("node").hint("merge"), "node", "left_anti")
         heads = kept.where("node = centroid").select(F.col("node").alias("other"), "cluster")
-        best = links.where(F.col("cover") >= cover).join(new.select("node"), "node", "left_semi").join(heads, "other")
+        inner = materialize(links.where(F.col("cover") >= cover).join(new.select("node").hint("merge"), "node", "left_semi"), "near")
+        best = inner.join(heads.hint("merge"), "other")
         best = best.groupBy("node").agg(F.max_by(F.struct("other", "cluster"), F.struct("cover", -F.col("cluster"))).alias("x"))
         joined = materialize(best.select("node", F.col("x.other").alias("centroid"), F.col("x.cluster").alias("cluster")), "joined")
-        fresh = materialize(new.join(joined.select("node"), "node", "left_anti"), "fresh")
-        inner = links.join(fresh.select("node"), "node", "left_semi").join(fresh.select(F.col("node").alias("other")), "other", "left_semi")
+        fresh = materialize(new.join(joined.select("node").hint("merge"), "node", "left_anti"), "fresh")
     found = materialize(greedy(fresh, inner, kind, cover), "found")
-    heads = numbered(found.where("node = centroid").select("node").join(fresh.select("node", "ord"), "node"), "ord", "node", name="place")
-    made = found.join(heads.select(F.col("node").alias("centroid"), (F.col("place") + base + 1).alias("cluster")), "centroid").select("node", "centroid", "cluster")
+    heads = numbered(found.where("node = centroid").select("node").join(fresh.select("node", "ord").hint("merge"), "node"), "ord", "node", name="place")
+    made = found.join(heads.select(F.col("node").alias("centroid"), (F.col("place") + base + 1).alias("cluster")).hint("merge"), "centroid").select("node", "centroid", "cluster")
     out = made.withColumn("how", F.lit("new"))
     if known is not None:
         out = kept.withColumn("how", F.lit("kept")).unionByName(joined.withColumn("how", F.lit("joined"))).unionByName(out)
@@ -64,11 +64,10 @@ def extend_levels(known: DataFrame | None, nodes: DataFrame, links: DataFrame, c
     out, at = None, nodes
     for level, cover in enumerate(covers):
         before = None if known is None else known.where(F.col("level") == level)
-        inner = links.join(at.select("node"), "node", "left_semi")
-        now = extend(before, at, inner, cover, kind)
+        now = extend(before, at, links, cover, kind)
         part = now.withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
-        at = nodes.join(now.where("node = centroid").select("node"), "node", "left_semi")
+        at = nodes.join(now.where("node = centroid").select("node").hint("merge"), "node", "left_semi")
     return out.select("node", "level", "centroid", "cluster", "how")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import forward, summaries
+from .plans.scratch import materialize
 from .queries import LETTERS, _links, query, table
 from .queries_files import _path
 
@@ -20,8 +21,8 @@ def _batches(spark, d) -> tuple[DataFrame, DataFrame]:
 @query()
 def forward_clusters(spark, d):
     first, nodes = _batches(spark, d)
-    links, covers = _links(spark, d), [0.9, 0.6, 0.3]
-    known = forward.extend_levels(None, first, links.join(first.select(F.col("node").alias("other")), "other", "left_semi"), covers)
+    links, covers = materialize(_links(spark, d), "links"), [0.9, 0.6, 0.3]
+    known = forward.extend_levels(None, first, links, covers)
     return forward.extend_levels(known.drop("how"), nodes, links, covers)
 
 

@@ -305,7 +305,7 @@ def test_quoted_files_grow_in_number(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["seeded_clusters"])
+@pytest.mark.parametrize("name", ["forward_clusters", "seeded_clusters"])
 def test_clusters_broadcast_no_table_that_grows(spark, monkeypatch, name):
     """Nodes, links, roots and clusters are joined by sorting; only short lists go to the driver: large components, offsets of parts."""
     from seqloom import queries, queries_growth
