@@ -149,8 +149,12 @@ def supplement_url(doi: Column, filename: Column) -> Column:
 
 
 def order_report(rows: DataFrame, id_col: str, problems: Column) -> DataFrame:
-    """(kind, n, n_rows) of the problems of a column of lists, the most frequent kind first by ``place``."""
-    every = rows.select(F.col(id_col).alias("_row"), F.explode(problems).alias("_p"))
+    """(kind, n, n_rows) of the problems of a column of lists, the most frequent kind first by ``place``.
+
+    Lists cost far more than their bytes, so rows are dealt by id first; a
+    small file would be one task.
+    """
+    every = rows.repartition(id_col).select(F.col(id_col).alias("_row"), F.explode(problems).alias("_p"))
     kinds = every.withColumn("kind", F.trim(F.split_part(F.split_part("_p", F.lit(":"), F.lit(1)), F.lit("("), F.lit(1))))
     counts = kinds.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("_row").alias("n_rows"))
     return numbered(counts, F.col("n").desc(), "kind").withColumn("place", F.col("_ord") + 1).drop("_ord")

@@ -116,7 +116,7 @@ def _order_sql(name: str, source: str) -> str:
 @query(f"with c as (select c_custkey, '5XFY;' || acc || ';WP_000000001.1;OK558825' as cell from (select c_custkey, {CODES} as acc from customer)), {_order_sql('a', 'c')}, {_order_sql('b', 'a_r')} select c_custkey, a_p.problems, a_r.cell as reordered, b_p.problems as still from a_p join a_r using (c_custkey) join b_p using (c_custkey)")
 def list_order_check(spark, d):
     cell = F.concat(F.lit("5XFY;"), "acc", F.lit(";WP_000000001.1;OK558825"))
-    lists = _codes(spark, d).select("c_custkey", F.array_join(accession.order_problems(cell), "|").alias("problems"), accession.reordered(cell).alias("reordered"))
+    lists = _codes(spark, d).repartition("c_custkey").select("c_custkey", F.array_join(accession.order_problems(cell), "|").alias("problems"), accession.reordered(cell).alias("reordered"))
     return lists.withColumn("still", F.array_join(accession.order_problems("reordered"), "|"))
 
 

@@ -255,6 +255,26 @@ def test_kinds_are_found_once(spark, capsys):
     }
 
 
+def test_lists_are_checked_in_many_tasks(spark):
+    """Rows of one file are dealt before their lists are checked; the report counts rows and ids apart."""
+    from seqloom import queries
+    from seqloom.operators import shape
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = spark.range(0, 400, 1, 1).selectExpr("nullif(id div 2, 0) as id")
+        found = F.array(F.lit("a:x"), F.concat(F.lit("part"), F.spark_partition_id().cast("string")))
+        report = {r.kind: (r.n, r.n_rows) for r in shape.order_report(rows, "id", found).collect()}
+        assert report.pop("a") == (400, 199)
+        assert len(report) == 4 and tuple(map(sum, zip(*report.values()))) == (400, 199)
+        if os.path.isdir(DATA):
+            assert queries.QUERIES["list_order_check"](spark, DATA).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_names_are_cleaned_once(spark, capsys):
     """The separators of a name are replaced once, not for each surface form."""
     from seqloom.functions import families
