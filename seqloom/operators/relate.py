@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import windows
 from ..plans.scratch import materialize
 from ..sources.delimited import numbered
 
@@ -100,98 +102,46 @@ def without_tokens(df: DataFrame, tokens: Column, seeds: DataFrame, seed: str) -
     return held.join(hit, "_id", "left_anti").drop("_id")
 
 
-#: Characters of a text of few words that lead to the texts that may hold it.
-GRAM = 8
-#: Pieces at either end of a short text of which the rarest is its anchor.
-ENDS = 8
-#: Of the three-word pieces those whose hash this divides are shuffled; texts with fewer than ``ENOUGH`` of them, of which one should be rare, are sought by all theirs.
-SAMPLE = 8
-ENOUGH = 4
-#: So many pieces of texts without enough sampled ones are broadcast, to drop other pieces where they are cut; more are joined by a shuffle.
+#: One place in so many may begin a window of a long text.
+SAMPLE = windows.SAMPLE
+#: The broadcast table of bits, 64 for each text's pieces, is sized for so many texts at most (32 MB); with more it lets more windows through, which the join drops.
 BROADCAST_PIECES = 4_000_000
 
 
-def _trigrams(hashes: str) -> Column:
-    first, second = F.col(hashes), F.slice(hashes, 2, F.size(hashes))
-    pairs = F.zip_with(first, second, lambda a, b: F.xxhash64(a, b))
-    return F.slice(F.zip_with(pairs, F.slice(hashes, 3, F.size(hashes)), lambda ab, c: F.xxhash64(ab, c)), F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0)))
-
-
-def _grams(text: str, n: int) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1), lambda x: F.struct(F.lit(n).alias("kind"), x.alias("gram"))))
-
-
-def _ends(pieces: Column) -> Column:
-    return F.when(F.size(pieces) > 2 * ENDS, F.concat(F.slice(pieces, 1, ENDS), F.slice(pieces, -ENDS, ENDS))).otherwise(pieces)
-
-
-def _words(text: str) -> Column:
-    """The hashes of a text's words, so that a piece is one number."""
-    return F.transform(F.split(text, " "), lambda x: F.xxhash64(F.lit(-1), x))
-
-
-def _wide_words(s: DataFrame, l: DataFrame) -> DataFrame | None:  # noqa: E741
-    """(s_id, s_length, piece) for texts of one or two tokens: the hashes of the longer texts' tokens that contain its longest token.
-
-    Only the distinct tokens are cut into characters.  None if there are no such texts.
-    """
-    t = F.split("s", " ")
-    longest = F.array_max(F.transform(t, lambda x: F.struct(F.length(x), x.alias("x"))))["x"]
-    few = s.where(F.size(t) <= 2).select("s_id", F.length("s").alias("s_length"), longest.alias("part"))
-    few = few.withColumns({"kind": F.least(F.length("part"), F.lit(GRAM)), "s_row": F.monotonically_increasing_id()})
-    kinds = sorted(r.kind for r in few.select("kind").distinct().collect())  # at most GRAM + 1
-    if not kinds:
-        return None
-    few = materialize(few, "few")
-    tokens = l.select(F.explode(F.array_distinct(F.split("l", " "))).alias("token")).distinct()
-    cut = tokens.select("token", F.explode_outer(F.concat(*(_grams("token", n) for n in kinds))).alias("g")).select("token", "g.*")
-    own = F.coalesce(*(F.when(F.col("kind") == n, _grams("part", n)) for n in kinds))
-    able = materialize(few.select("s_row", F.explode(_ends(own)).alias("g")).select("s_row", "g.*"), "grams")
-    held = materialize(cut.join(able.select("kind", "gram").distinct(), ["kind", "gram"], "left_semi"), "tokens")
-    counts = held.groupBy("kind", "gram").agg(F.count("*").alias("n"))
-    rarest = able.join(counts, ["kind", "gram"]).groupBy("s_row").agg(F.min_by(F.struct("kind", "gram"), F.struct("n", "gram")).alias("g")).select("s_row", "g.*")
-    anchors = few.drop("kind").join(rarest, "s_row")
-    return held.join(anchors, ["kind", "gram"]).where(F.contains("token", "part")).select("s_id", "s_length", F.xxhash64(F.lit(-1), "token").alias("piece")).distinct()
+def _table(pieces: DataFrame) -> tuple[np.ndarray, int]:
+    """Two bits for each wanted piece and for each hash of a piece's first bytes: 64-bit words, and the logarithm of the number of bits."""
+    bits = max(12, (64 * min(pieces.count(), BROADCAST_PIECES) - 1).bit_length())  # at most 28
+    wanted = pieces.select(F.explode(F.array_distinct(F.concat(F.array("piece", "other"), "marks"))).alias("h"))
+    slots = wanted.select(F.explode(F.array(*(F.shiftrightunsigned(F.shiftleft("h", n), 64 - bits) for n in (0, 28)))).alias("slot"))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    set_bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()  # at most one row for 64 bits
+    words = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words[set_bits["word"].to_numpy()] = set_bits["bits"].to_numpy().view(np.uint64)
+    return words, bits
 
 
 def _held_pairs(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
     """(s_id, l_id, s, l) where the text s is part of the longer text l; see ``containment``."""
     s = short.select(F.col(short_id).alias("s_id"), F.col(short_text).alias("s")).where("s <> ''")
     l = long.select(F.col(long_id).alias("l_id"), F.col(long_text).alias("l")).where("l <> ''")  # noqa: E741
-    size = F.size("t")
-    inner = s.withColumn("t", _words("s")).where(size >= 3).select("s_id", "s", F.when(size >= 5, -2).otherwise(-1).alias("kind"), F.slice("t", F.lit(2), size - 2).alias("t"))
-    pieces = F.when(F.col("kind") == -2, _trigrams("t")).otherwise(F.col("t"))
-    cut = inner.select(F.monotonically_increasing_id().alias("s_row"), "s_id", F.length("s").alias("s_length"), "kind", pieces.alias("p"))
-    cut = cut.withColumn("few", F.filter("p", lambda x: (F.col("kind") == -2) & (F.pmod(x, F.lit(SAMPLE)) == 0)))
-    cut = cut.withColumn("sampled", F.size("few") >= ENOUGH).withColumn("p", F.when(F.col("sampled"), F.col("few")).otherwise(F.col("p")))
-    able = materialize(cut.select("s_row", "s_id", "s_length", "kind", "sampled", F.explode(F.array_distinct(_ends(F.col("p")))).alias("piece")), "pieces")
-    rest, wanted = able.where("not sampled").select("piece"), able.select("piece")
-    kinds = {r.kind for r in able.select("kind").distinct().collect()}  # at most two
-    wide = _wide_words(s, l)
-    if wide is not None:
-        wide = materialize(wide, "wide")
-        rest, wanted = rest.unionByName(wide.select("piece")), wanted.unionByName(wide.select("piece"))
-        kinds.add(-1)
-    rest, wanted = rest.distinct(), wanted.distinct()
-    n_rest = rest.count()
-
-    words = l.select("l_id", F.length("l").alias("l_length"), "l", _words("l").alias("t"))
-    tri = _trigrams("t") if n_rest else F.filter(_trigrams("t"), lambda x: F.pmod(x, F.lit(SAMPLE)) == 0)
-    keyed = F.concat(tri, F.col("t")) if -1 in kinds else tri
-    # explode would cut every text once more, for a filter on the number of its pieces
-    held = words.select("l_id", "l_length", F.explode_outer(F.array_distinct(keyed)).alias("piece"))
-    if 0 < n_rest <= BROADCAST_PIECES:
-        held = held.join(F.broadcast(rest.withColumn("rest", F.lit(True))), "piece", "left").where((F.pmod("piece", F.lit(SAMPLE)) == 0) | F.col("rest")).drop("rest")
-    held = materialize(held.join(wanted.hint("merge"), "piece", "left_semi"), "held")
-    counts = held.groupBy("piece").agg(F.count("*").alias("n"))
-    # a piece that no text has ends the search for its short text
-    rated = able.join(counts, "piece", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    anchors = rated.groupBy("s_row").agg(*(F.first(c).alias(c) for c in ("s_id", "s_length")), F.min_by(F.struct("piece", "n"), F.struct("n", "piece")).alias("a"))
-    anchors = anchors.where("a.n > 0").select("s_id", "s_length", F.col("a.piece").alias("piece"))
-    if wide is not None:
-        anchors = anchors.unionByName(wide)
-    found = held.join(anchors, "piece").where("s_length < l_length").select("s_id", "l_id")
-    found = materialize(found.distinct(), "candidates")
+    pieces = materialize(s.mapInArrow(windows.own_windows, f"s_id {s.schema['s_id'].dataType.simpleString()}, {windows.PIECES}"), "pieces")
+    sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # powers of two, and those below GRAM
+    sent = s.sparkSession.sparkContext.broadcast(_table(pieces))
+    held = l.mapInArrow(windows.held_windows(sizes, sent), f"l_id {l.schema['l_id'].dataType.simpleString()}, l_length long, piece long")
+    held = materialize(held, "held")
+
+    # a text is sought if a longer one has its first and a longer one its last window; copies are sought once
+    known = ["piece", "other", "s_length"]
+    counts = held.groupBy("piece").agg(F.count("*").alias("n"), F.max("l_length").alias("longest"))
+    sought = pieces.select(*known).distinct()
+    for end in ("piece", "other"):
+        sought = sought.join(counts.select(F.col("piece").alias(end), F.col("n").alias(f"n_{end}"), F.col("longest").alias("_longest")), end).where("_longest > s_length").drop("_longest")
+    sought = materialize(sought, "sought")
+    first = F.col("n_piece") <= F.col("n_other")
+    anchors = sought.select(*known, F.when(first, F.col("piece")).otherwise(F.col("other")).alias("anchor"), F.when(first, F.col("other")).otherwise(F.col("piece")).alias("far"))
+    near = held.withColumnRenamed("piece", "anchor").join(anchors, "anchor").where("s_length < l_length").drop("anchor", "l_length")
+    both = near.join(held.select("l_id", F.col("piece").alias("far")), ["l_id", "far"], "left_semi").drop("far")
+    found = materialize(both.join(pieces.select("s_id", *known), known).select("s_id", "l_id").distinct(), "candidates")
     return found.join(s, "s_id").join(l, "l_id").where((F.length("s") < F.length("l")) & F.col("l").contains(F.col("s")))
 
 
@@ -202,17 +152,18 @@ def _named_ids(short_id: str, long_id: str) -> dict[str, str]:
 def containment(short: DataFrame, long: DataFrame, short_id: str, short_text: str, long_id: str, long_text: str) -> DataFrame:
     """(short_id, long_id) where a shorter text is part of a longer one.
 
-    A text that holds another one has all its pieces: of five or more tokens
-    (cut at single spaces) three successive ones but for the first and last
-    token, of three or four the inner ones, of fewer a token that contains the
-    longest of its own.  Pieces are 64-bit hashes.  Of the three-token ones both
-    sides keep the same sample by hash (one in ``SAMPLE``), so the exchange is
-    a fraction of the text; short texts with fewer than ``ENOUGH`` are sought by
-    all theirs, which are looked for where the longer texts are cut.  Each
-    short text's anchor is the piece, of up to ``ENDS`` at either end, that
-    the fewest longer texts have, so a piece that many texts begin with makes
-    no candidates.  Candidates come from equi-joins of ids, and whole texts
-    are compared for these only.  Null and empty texts are in nothing and hold
+    Of each text two windows of its bytes are its pieces, of one size, the
+    greatest power of two that fits: one begins at the first place of its
+    first half, the other at the last place from which it fits.  A place is
+    where the hash of the next eight bytes is divisible by ``SAMPLE``, and any
+    byte in short texts and those without such a place; so the same bytes have
+    the same places, and both windows are in every text that holds this one.
+    Texts of less than eight bytes are one window.  Of the longer texts
+    those windows are exchanged whose bits a broadcast table of the wanted
+    pieces has.  A text whose first or last window no longer text has is in
+    nothing; for the others the window that fewer texts have leads to
+    candidates, which must have the other window too.  Whole texts are
+    compared for these only.  Null and empty texts are in nothing and hold
     nothing.
     """
     return _held_pairs(short, long, short_id, short_text, long_id, long_text).select("s_id", "l_id").distinct().withColumnsRenamed(_named_ids(short_id, long_id))

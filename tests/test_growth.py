@@ -203,6 +203,50 @@ def test_containment_shuffles_a_sample(spark, monkeypatch):
     assert {r.id for r in groups} == {i for pair in expected for i in pair}
 
 
+def test_near_copies_make_no_candidates(spark, monkeypatch):
+    """Texts that begin and end alike and differ in the middle, and exact copies, are not compared pair by pair; no link is lost."""
+    import random
+
+    from seqloom.operators import relate
+    from seqloom.plans.scratch import materialize
+
+    rng = random.Random(12)
+    words = [f"w{i}é" for i in range(500)]
+    body = [rng.choice(words) for _ in range(400)]
+    texts = [" ".join([*body[: 150 + i], "x" * (i + 1), *body[151 + i :]]) for i in range(80)] + [" ".join(body)] * 30
+    texts += [" ".join(body[100:140]), texts[3] + " and more", "-" + texts[7], texts[9][5:-5], "y" * 3000, "y" * 2000, "é", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    written = {}
+
+    def kept(frame, name):
+        written[name] = materialize(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(relate, "materialize", kept)
+    got = {(r.short_id, r.long_id) for r in relate.containment(df, df, "id", "text", "id", "text").collect()}
+    assert got == {(i, j) for i, s in enumerate(texts) for j, t in enumerate(texts) if s and t and len(s) < len(t) and s in t}
+    assert written["candidates"].count() <= len(got) + 100  # those with their change outside both windows
+
+
+@pytest.mark.parametrize("pieces", [0, 10**6])
+def test_containment_at_any_place(spark, monkeypatch, pieces):
+    """Parts of every length, cut anywhere, of texts with and without spaces, with a full and with a sparse table of bits."""
+    import random
+
+    from seqloom.functions import windows
+    from seqloom.operators import relate
+
+    rng = random.Random(13)
+    longs = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("ab", 700), ("acgt", 2000), ("aé ", 900), ("abcdefgh ", 3000), ("x", 600), ("0123456789", 300))]
+    cuts = [(rng.choice(longs), rng.choice((1, 2, 5, 7, 8, 9, 15, 16, 31, 33, 64, 255, 256, 257, 300, 500))) for _ in range(120)]
+    texts = longs + [t[k : k + n] for t, n in cuts for k in [rng.randrange(max(1, len(t) - n))]]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "id string, text string").repartition(3)
+    monkeypatch.setattr(relate, "BROADCAST_PIECES", pieces)
+    monkeypatch.setattr(windows, "SEGMENT", 1000)
+    got = {(r.short_id, r.long_id) for r in relate.containment(df, df, "id", "text", "id", "text").collect()}
+    assert got == {(f"k{i}", f"k{j}") for i, s in enumerate(texts) for j, t in enumerate(texts) if len(s) < len(t) and s in t}
+
+
 @pytest.mark.parametrize("size", [7, 60, 10**6])
 def test_covers_in_batches(spark, size, monkeypatch):
     """One component with many shared members: batches of any size take the nodes that the one order takes, in few rounds."""
